@@ -4,19 +4,50 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, secrets, warc
+from .common import fresh_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.parse(warc.read_archive(spark, path)).drop("payload", "url")
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda x: x["kind"] != "literal")
+    counts = [secrets.count_of(F.col("secrets"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return found.select("doc_id", *counts, F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op8_byte_bpe,)}
+QUERIES = {f.__name__: f for f in (op5_warc_archive, op6_secret_scan, op8_byte_bpe)}
 
 #: DuckDB SQL with the same result, where SQL can express it on whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_warc_archive": """
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS html FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS sha1, min(page_id) OVER (PARTITION BY html) AS first FROM p
+        )
+        SELECT page_id, payload_bytes,
+            array_to_string([
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || sha1[1 + 5 * (i // 4) : 5 + 5 * (i // 4)])::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER]
+                for i in range(32)
+            ], '') AS payload_digest,
+            CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM d
+    """,
+}
