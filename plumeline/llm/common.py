@@ -67,7 +67,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHash(dict):
     """64-bit xxHash of words, remembered; forgets everything beyond `limit` words, so that memory stays bounded."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = 500_000):
         super().__init__()
         self.limit = limit
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, phrases, secrets, warc
+from . import bpe, phrases, repeats, secrets, warc
 from .common import fresh_path
 
 
@@ -36,10 +36,30 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op5_warc_archive, op6_secret_scan, op7_benchmark_phrases, op8_byte_bpe)}
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op5_warc_archive, op6_secret_scan, op7_benchmark_phrases, op8_byte_bpe, op9_repeated_passages)}
 
 #: DuckDB SQL with the same result, where SQL can express it on whole tables.
 SQL: dict[str, str] = {
+    "op9_repeated_passages": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS path FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM windows JOIN (SELECT path FROM windows GROUP BY path HAVING count(*) > 1) USING (path)
+        ), kept AS (
+            SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY p) AS kept
+            FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d) LEFT JOIN (SELECT doc_id, p, true AS hit FROM gone) USING (doc_id, p)
+            WHERE hit IS NULL GROUP BY doc_id
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op7_benchmark_phrases": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
