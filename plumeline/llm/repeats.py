@@ -62,7 +62,8 @@ def heavy_prefixes(docs: DataFrame, text: str, groups: int, share: float) -> np.
 
 
 def leaves(docs: DataFrame, key: str, text: str, size: int, groups: int, heavy: np.ndarray) -> DataFrame:
-    """For each batch of documents and each group: the distinct paths and their leaves. Group -1 has the leaves that repeat inside the batch."""
+    """For each batch of documents and each group: the documents (keys, begins: their first leaves), the distinct paths and their
+    leaves. One row of a batch also has `again`, the leaves that repeat inside the batch; so all that is known of a batch comes from one run of its task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, keys, parts, total = WordHash(), [], [], 0
@@ -95,52 +96,53 @@ def leaves(docs: DataFrame, key: str, text: str, size: int, groups: int, heavy:
         group = (mix(by) % np.uint64(groups)).astype(np.int64)
         dealt = np.argsort(group, kind="stable")  # keeps the order of paths inside each group
         cuts = np.searchsorted(group[dealt], np.arange(groups + 1))
-        name = f"{keys[0]}:{keys[-1]}:{len(keys)}"
-        rows = [(name, -1, pack(np.array(keys, np.int64)), pack(begins), pack(again.astype(np.uint32)))]
-        for g in range(groups):
+        name, named = f"{keys[0]}:{keys[-1]}:{len(keys)}", (pack(np.diff(np.array(keys, np.int64), prepend=0)), pack(np.diff(begins, prepend=0)))
+        filled = [g for g in range(groups) if cuts[g] < cuts[g + 1]]
+        mark = filled[int(ordered[0] % np.uint64(len(filled)))]
+        rows = []
+        for g in filled:
             part = dealt[cuts[g] : cuts[g + 1]]
-            if len(part):
-                rows.append((name, g, pack_sorted(ordered[new][part]), b"", pack(first[part].astype(np.uint32))))
-        yield pd.DataFrame(rows, columns=["batch", "group", "paths", "begins", "leaves"])
+            rows.append((name, g, *named, pack_sorted(ordered[new][part]), pack(first[part].astype(np.uint32)), pack(again.astype(np.uint32)) if g == mark else None))
+        yield pd.DataFrame(rows, columns=["batch", "group", "keys", "begins", "paths", "leaves", "again"])
 
-    return docs.select(key, text).mapInPandas(run, "batch string, group long, paths binary, begins binary, leaves binary")
+    # In the order of the key, a task that is run again makes the same batches.
+    return docs.select(key, text).sortWithinPartitions(key).mapInPandas(run, "batch string, group long, keys binary, begins binary, paths binary, leaves binary, again binary")
 
 
 def deep_nodes(frame: pd.DataFrame) -> pd.DataFrame:
     """One subtree: its leaves, sorted by path, with the nodes of full depth as runs; gives each batch its leaves under nodes of two leaves or more."""
     paths = [unpack_sorted(x) for x in frame["paths"]]
-    sizes = [len(p) for p in paths]
-    owner = np.repeat(np.arange(len(paths)), sizes)
+    owner = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
     leaf = np.concatenate([unpack(x, "u4") for x in frame["leaves"]])
     flat = np.concatenate(paths)
     order = np.argsort(flat, kind="stable")
     same = flat[order][1:] == flat[order][:-1]
-    inside = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    found = order[inside]
-    out = [(frame["batch"].iat[b], pack(np.sort(leaf[found[owner[found] == b]]))) for b in np.unique(owner[found])]
-    return pd.DataFrame(out, columns=["batch", "leaves"])
-
-
-def repeated_windows(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """key and starts (packed word offsets) of the windows of each document whose words start elsewhere in docs, too."""
-    groups = group_count(docs, text)
-    sent = leaves(docs, key, text, size, groups, heavy_prefixes(docs, text, groups, PLAN_SHARE))
-    across = sent.where("group >= 0").select("batch", "group", "paths", "leaves").groupBy("group").applyInPandas(deep_nodes, "batch string, leaves binary")
-    # A path found twice inside a batch went out as one leaf; if others have it as well, that changes nothing for its own leaves.
-    own = sent.where("group < 0").select("batch", F.col("paths").alias("keys"), "begins", "leaves")
-
-    def join(name, mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if not len(mine):
-            raise AssertionError(f"batch {name} was not dealt alike twice")
-        row = mine.iloc[0]
-        begins = unpack(row["begins"], "i8")
-        hit = np.unique(np.concatenate([unpack(x, "u4") for x in [row["leaves"], *found["leaves"]]]).astype(np.int64))
-        doc = np.searchsorted(begins, hit, side="right") - 1
-        places, firsts = np.unique(doc, return_index=True)
-        starts = np.split((hit - begins[doc]).astype(np.uint32), firsts[1:]) if len(places) else []
-        return pd.DataFrame({key: unpack(row["keys"], "i8")[places], "starts": [pack(s) for s in starts]})
-
-    return own.groupBy("batch").cogroup(across.groupBy("batch")).applyInPandas(join, f"{key} long, starts binary")
+    found = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    found = found[np.argsort(owner[found], kind="stable")]
+    cuts = np.searchsorted(owner[found], np.arange(len(paths) + 1))
+    out = []
+    for b, row in enumerate(frame.itertuples(index=False)):
+        if cuts[b] < cuts[b + 1] or row.again is not None:
+            out.append((row.batch, row.keys, row.begins, pack(np.sort(leaf[found[cuts[b] : cuts[b + 1]]])), row.again))
+    return pd.DataFrame(out, columns=["batch", "keys", "begins", "leaves", "again"])
+
+
+def by_document(frame: pd.DataFrame) -> pd.DataFrame:
+    """One batch: its repeated windows by document."""
+    keys, begins = np.cumsum(unpack(frame["keys"].iat[0], "i8")), np.cumsum(unpack(frame["begins"].iat[0], "i8"))
+    hit = np.unique(np.concatenate([unpack(x, "u4") for x in [*frame["leaves"], *frame["again"].dropna()]]).astype(np.int64))
+    doc = np.searchsorted(begins, hit, side="right") - 1
+    places, firsts = np.unique(doc, return_index=True)
+    starts = np.split((hit - begins[doc]).astype(np.uint32), firsts[1:]) if len(places) else []
+    return pd.DataFrame({"key": keys[places], "starts": [pack(s) for s in starts]})
+
+
+def repeated_windows(docs: DataFrame, key: str, text: str, size: int, plan: DataFrame) -> DataFrame:
+    """key and starts (packed word offsets) of the windows of each document whose words start elsewhere in docs, too. The groups are planned on `plan`."""
+    groups = group_count(plan, text)
+    sent = leaves(docs, key, text, size, groups, heavy_prefixes(plan, text, groups, PLAN_SHARE))
+    found = sent.groupBy("group").applyInPandas(deep_nodes, "batch string, keys binary, begins binary, leaves binary, again binary")
+    return found.groupBy("batch").applyInPandas(by_document, "key long, starts binary").withColumnRenamed("key", key)
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -160,7 +162,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     # Of each text that has copies only the row of least key is searched.
     spare = digests.join(copied, "_digest").where("_key > _least").select(F.col("_key").alias(key)).distinct()
     searched = docs.select(key, text).join(spare, key, "left_anti")
-    found = repeated_windows(searched, key, text, size)
+    found = repeated_windows(searched, key, text, size, plan=docs)
     marks = found.unionByName(digests.join(copied, "_digest").select(F.col("_key").alias(key), F.lit(b"").alias("starts")).distinct())
     marks = marks.groupBy(key).agg(F.min("starts").alias("starts"))  # empty: a copy, all windows are repeated
     out = docs.drop("n_words", "n_removed", "kept").join(marks.withColumnRenamed("starts", "_starts"), key, "left")
