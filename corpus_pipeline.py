@@ -1,10 +1,71 @@
-"""The training-data pipeline: quality, near-duplicates, decontamination, secrets, tokens."""
+"""The training-data pipeline: quality, near-duplicates, decontamination, secrets, tokens.
+
+Each stage works on all that its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumeline.llm import bpe, knlm, omh, phrases, secrets
+from plumeline.llm.common import written
+
+#: Up to so many ids (8 bytes each) are broadcast to leave documents out; beyond, both sides are shuffled.
+BROADCAST_IDS = 2_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for those ids. Rows with a null doc_id stay."""
+    ids = written(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "left-out")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of higher perplexity than their language's trusted texts go, and those without words."""
+    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
+    return without(docs, knlm.classify(docs, trusted).where("NOT accepted"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class stays, that of least doc_id; of rows with one doc_id, any one."""
+    found = written(omh.classes(docs), "classes")
+    kept = without(docs, found.where("NOT kept"))
+    if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    return kept
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more is benchmark text go."""
+    return without(docs, phrases.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+
+
+def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are overwritten; n_chars follows the text."""
+    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens, and digests of the ids and of what they decode to."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("near-duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_removal),
+    ("byte-level BPE", tokens),
+]
+
+#: Perplexities and sketches have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -177,22 +177,21 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", result: str = "decod
     return kept.mapInPandas(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: n_tokens, ids_sha256 (of little-endian unsigned 32-bit integers) and decoded_sha256, without building id columns."""
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per row: n_tokens, ids_sha256 (of little-endian unsigned 32-bit integers) and decoded_sha256, on request also ids."""
 
     def run(frames):
         encoder = Encoder(path, pattern)
         for part in batches(frames, text):
             split = encoder.split([t or "" for t in part[text]])
             ids = [b"".join(x) for x in split]
-            yield pd.DataFrame(
-                {
-                    key: part[key].to_numpy(),
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in encoder.join(split)],
-                }
-            )
+            out = {
+                key: part[key].to_numpy(),
+                "n_tokens": [len(x) // 4 for x in ids],
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in encoder.join(split)],
+            }
+            yield pd.DataFrame(out | ({"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]} if with_ids else {}))
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

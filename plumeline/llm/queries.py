@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, phrases, repeats, secrets, warc
+from . import bpe, knlm, omh, phrases, repeats, secrets, warc
 from .common import fresh_path
 
 
@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.classes(table(spark, sf_dir, "documents"))
+
+
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1")
+    return knlm.classify(table(spark, sf_dir, "documents"), trusted)
+
+
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
@@ -41,7 +50,7 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("kept", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_warc_archive, op6_secret_scan, op7_benchmark_phrases, op8_byte_bpe, op9_repeated_passages)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op4_kneser_ney, op5_warc_archive, op6_secret_scan, op7_benchmark_phrases, op8_byte_bpe, op9_repeated_passages)}
 
 #: DuckDB SQL with the same result, where SQL can express it on whole tables.
 SQL: dict[str, str] = {
