@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knlm, omh, phrases, repeats, secrets, site_tree, warc
+from . import bpe, knlm, licenses, omh, phrases, repeats, secrets, site_tree, warc
 from .common import fresh_path
 
 
@@ -18,6 +18,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.classes(table(spark, sf_dir, "documents"))
 
 
+def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("first_word")
+
+
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return knlm.classify(table(spark, sf_dir, "documents"), trusted)
@@ -54,7 +58,7 @@ def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_tree.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op4_kneser_ney, op5_warc_archive, op6_secret_scan, op7_benchmark_phrases, op8_byte_bpe, op9_repeated_passages, op10_site_style_tree)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op3_license_windows, op4_kneser_ney, op5_warc_archive, op6_secret_scan, op7_benchmark_phrases, op8_byte_bpe, op9_repeated_passages, op10_site_style_tree)}
 
 #: DuckDB SQL with the same result, where SQL can express it on whole tables.
 SQL: dict[str, str] = {
@@ -112,3 +116,21 @@ SQL: dict[str, str] = {
         FROM d
     """,
 }
+
+#: Containment of every template in every run of its words' number, and of the number of words of its scale's windows.
+SQL["op3_license_windows"] = """
+    WITH t(license_id, own, size, step) AS (VALUES {values}),
+    d AS (
+        SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents
+    ), s AS (
+        SELECT row, doc_id, len(w) AS n, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) AS shingles FROM d WHERE len(w) >= 5
+    ), near AS (
+        SELECT s.*, t.* FROM s, t WHERE list_has_any(shingles, own)
+    ), windows AS (
+        SELECT row, doc_id, license_id, own, shingles[i : i + size - 5] AS seen FROM (SELECT *, unnest(range(1, n - 3, step)) AS i FROM near)
+    )
+    SELECT doc_id, license_id, max(len(list_intersect(own, seen)) / len(own)) AS containment
+    FROM windows GROUP BY row, doc_id, license_id HAVING max(len(list_intersect(own, seen)) / len(own)) >= 0.8
+""".format(
+    values=", ".join(f"('{n}', {licenses.template_shingles(t)!r}, {s.words}, {s.step})" for (n, t), s in zip(licenses.NOTICES.items(), licenses.scales(licenses.NOTICES, 0.8, 0.999).values(), strict=True))
+)
