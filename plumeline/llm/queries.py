@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, knlm, licenses, omh, phrases, repeats, secrets, site_tree, warc
+from . import bpe, collide, knlm, licenses, omh, phrases, repeats, secrets, site_tree, warc
 from .common import fresh_path
 
 
@@ -18,6 +18,10 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return omh.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collide.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("first_word")
 
@@ -58,10 +62,24 @@ def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_tree.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op3_license_windows, op4_kneser_ney, op5_warc_archive, op6_secret_scan, op7_benchmark_phrases, op8_byte_bpe, op9_repeated_passages, op10_site_style_tree)}
+QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_collision_counting, op3_license_windows, op4_kneser_ney, op5_warc_archive, op6_secret_scan, op7_benchmark_phrases, op8_byte_bpe, op9_repeated_passages, op10_site_style_tree)}
 
 #: DuckDB SQL with the same result, where SQL can express it on whole tables.
 SQL: dict[str, str] = {
+    "op2_collision_counting": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), l AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), r(id, c) AS (
+            SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id
+        )
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+        FROM embeddings JOIN (SELECT id AS vec_id, min(c) AS c FROM r GROUP BY id) USING (vec_id)
+        LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a) USING (vec_id)
+    """,
     "op9_repeated_passages": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
