@@ -1,4 +1,644 @@
-"""Registered queries over the observation view and their DuckDB twins."""
+"""Registered queries: each applies library operators to the driver's tables. SQL holds the same in DuckDB's dialect, where it can."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..functions import geo, parse, text, units
+from ..operators import detect, enrich, evaluate, read, rollup, runs, store, validate
+from ..sources import feeds, registry
+from .view import OBS, PLACES, RUNS, facilities, km_sql, observations, table
+from .view import runs as run_log
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = re.sub(r"round\((.*?), 4\) AS", r"round(\1 + 1e-9, 4) AS", sql, flags=re.S)
+        return f
+
+    return add
+
+
+def r4(of: str | F.Column) -> F.Column:
+    """Four decimals; the shift keeps sums that differ in their last bits from falling on two sides of a tie. SQL gets the same."""
+    return F.round((F.col(of) if isinstance(of, str) else of) + 1e-9, 4)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: r4(n) for n in names})
+
+
+LAT, LON = S.TARGET_LAT, S.TARGET_LON
+
+# Scans, filters, pages
+
+
+@query(f"WITH {OBS} SELECT * FROM obs")
+def obs_scan(spark, d):
+    return observations(spark, d)
+
+
+@query(f"WITH {OBS} SELECT id, timestamp, value FROM obs WHERE source = 'openaq'")
+def obs_by_source(spark, d):
+    return read.select_observations(observations(spark, d), "openaq").select("id", "timestamp", "value")
+
+
+@query(f"WITH {OBS} SELECT id, timestamp, value FROM obs WHERE source = 'openaq' AND metric = 'pm25' AND timestamp BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 12:00:00'")
+def obs_filter_metric_time(spark, d):
+    found = read.select_observations(observations(spark, d), "openaq", metric="pm25", start=F.lit("2024-01-05").cast("timestamp_ntz"), end=F.lit("2024-01-20 12:00:00").cast("timestamp_ntz"))
+    return found.select("id", "timestamp", "value")
+
+
+@query(f"WITH {OBS} SELECT id, lat, lon FROM obs WHERE source = 'purpleair' AND lat BETWEEN {LAT} - 30.0::DOUBLE / 111.0 AND {LAT} + 30.0::DOUBLE / 111.0 AND lon BETWEEN {LON} - 30.0::DOUBLE / 111.0 AND {LON} + 30.0::DOUBLE / 111.0")
+def obs_filter_box(spark, d):
+    return read.select_observations(observations(spark, d), "purpleair", lat=LAT, lon=LON, radius_km=30.0).select("id", "lat", "lon")
+
+
+@query(f"WITH {OBS} SELECT id, timestamp, metric, value FROM obs WHERE source = 'openaq' ORDER BY timestamp DESC, id LIMIT 100 OFFSET 50")
+def obs_page_newest(spark, d):
+    return read.query_observations(observations(spark, d), "openaq", limit=100, offset=50).items.select("id", "timestamp", "metric", "value")
+
+
+@query(f"WITH {OBS} SELECT source, count(*) AS total FROM obs WHERE metric = 'pm10' GROUP BY source")
+def obs_page_total(spark, d):
+    return observations(spark, d).where("metric = 'pm10'").groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+
+
+@query(f"WITH {OBS} SELECT id, round({km_sql(str(LAT), str(LON), 'lat', 'lon')}, 4) AS km FROM obs WHERE {km_sql(str(LAT), str(LON), 'lat', 'lon')} <= 50")
+def obs_within_radius(spark, d):
+    o = observations(spark, d)
+    lat, lon = F.col("lat"), F.col("lon")
+    return o.where(geo.within_radius(lat, lon, LAT, LON, 50.0)).select("id", r4(geo.distance_km(F.lit(LAT), F.lit(LON), lat, lon)).alias("km"))
+
+
+# Scalar functions
+
+
+@query(
+    f"""WITH {OBS}, p(point_id, north, east) AS (VALUES ('center', 0.0, 0.0), ('north', 25.0, 0.0), ('east', 0.0, 25.0), ('south', -25.0, 0.0), ('west', 0.0, -25.0)),
+    s AS (SELECT DISTINCT source_entity_id, lat, lon FROM obs)
+    SELECT source_entity_id, point_id, round(lat + north::DOUBLE / 111.32, 6) AS point_lat, round(lon + east::DOUBLE / (111.32 * greatest(cos(radians(lat)), 0.01)), 6) AS point_lon FROM s, p"""
+)
+def geo_offset_grid(spark, d):
+    sites = observations(spark, d).select("source_entity_id", "lat", "lon").distinct()
+    points = [F.struct(F.lit(n).alias("point_id"), F.lit(a).alias("north"), F.lit(b).alias("east")) for n, a, b in geo.query_points(LAT, LON, 50.0)]
+    grid = sites.withColumn("p", F.explode(F.array(*points)))
+    lat, lon = geo.offset(F.col("lat"), F.col("lon"), F.col("p.north"), F.col("p.east"))
+    return grid.select("source_entity_id", "p.point_id", F.round(lat, 6).alias("point_lat"), F.round(lon, 6).alias("point_lon"))
+
+
+@query(
+    f"""WITH {OBS}, s AS (SELECT DISTINCT source_entity_id, lat, lon, 50.0::DOUBLE / 111.32 AS up, 50.0::DOUBLE / (111.32 * greatest(cos(radians(lat)), 0.01)) AS side FROM obs)
+    SELECT source_entity_id, printf('%.4f,%.4f,%.4f,%.4f', lon - side, lat - up, lon + side, lat + up) AS box, (50 * 0.621371)::INTEGER AS miles FROM s"""
+)
+def geo_bbox_csv(spark, d):
+    sites = observations(spark, d).select("source_entity_id", "lat", "lon").distinct()
+    return sites.select("source_entity_id", geo.box_text(F.col("lat"), F.col("lon"), 50.0).alias("box"), geo.whole_miles(50.0).alias("miles"))
+
+
+@query(
+    """WITH u AS (SELECT p_partkey, CASE p_size % 8 WHEN 0 THEN ' ug/m3 ' WHEN 1 THEN 'UG/M^3' WHEN 2 THEN 'µg/m³' WHEN 3 THEN 'μg / m3' WHEN 4 THEN 'PPM' WHEN 5 THEN '' WHEN 6 THEN 'Mg/M3' END AS unit FROM part)
+    SELECT p_partkey,
+        CASE WHEN coalesce(unit, '') = '' THEN 'unknown' WHEN upper(trim(unit)) IN ('UG/M3', 'UG/M^3') THEN 'ug/m3' ELSE translate(lower(upper(trim(unit))), 'µ', 'μ') END AS airnow,
+        CASE WHEN coalesce(unit, '') = '' THEN 'unknown' WHEN replace(translate(lower(trim(unit)), 'µμ³', 'uu3'), ' ', '') IN ('ug/m3', 'ug/m^3') THEN 'ug/m3' ELSE replace(translate(lower(trim(unit)), 'µμ³', 'uu3'), ' ', '') END AS openaq
+    FROM u"""
+)
+def unit_normalize(spark, d):
+    labels = ["' ug/m3 '", "'UG/M^3'", "'µg/m³'", "'μg / m3'", "'PPM'", "''", "'Mg/M3'"]
+    unit = F.expr("CASE p_size % 8 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(labels)) + " END")
+    return table(spark, d, "part").select("p_partkey", unit.alias("unit")).select("p_partkey", units.airnow_unit(F.col("unit")).alias("airnow"), units.openaq_unit(F.col("unit")).alias("openaq"))
+
+
+@query(
+    """SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS from_iso, CASE WHEN event_id > 0 THEN strftime(make_timestamp(event_id * 60000000), '%Y-%m-%d %H:%M:%S') END AS from_epoch,
+        strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS from_acquisition, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS from_hour FROM events"""
+)
+def time_parse(spark, d):
+    e = table(spark, d, "events")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    date = F.date_format("ts", "yyyy-M-d")
+    return e.select(
+        "event_id",
+        shown(parse.iso_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))).alias("from_iso"),
+        shown(parse.epoch_seconds((F.col("event_id") * 60).cast("string"))).alias("from_epoch"),
+        shown(parse.acquisition_time(date, F.date_format("ts", "Hmm"))).alias("from_acquisition"),
+        shown(parse.hour_of_date(date, F.hour("ts").cast("string"))).alias("from_hour"),
+    )
+
+
+@query(
+    """WITH c AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'l' WHEN 1 THEN ' Nominal' WHEN 2 THEN 'HIGH' WHEN 3 THEN value::VARCHAR WHEN 4 THEN 'bad' WHEN 5 THEN '1.5d' END AS given FROM events)
+    SELECT event_id, round(CASE lower(trim(given)) WHEN 'l' THEN 33 WHEN 'low' THEN 33 WHEN 'n' THEN 66 WHEN 'nominal' THEN 66 WHEN 'h' THEN 100 WHEN 'high' THEN 100 ELSE try_cast(given AS DOUBLE) END, 4) AS confidence FROM c"""
+)
+def confidence_map(spark, d):
+    given = F.expr("CASE event_id % 7 WHEN 0 THEN 'l' WHEN 1 THEN ' Nominal' WHEN 2 THEN 'HIGH' WHEN 3 THEN cast(value AS STRING) WHEN 4 THEN 'bad' WHEN 5 THEN '1.5d' END")
+    return table(spark, d, "events").select("event_id", r4(parse.fire_confidence(given)).alias("confidence"))
+
+
+@query(f"WITH {OBS} SELECT id, concat_ws(':', 'VIIRS', coalesce(CASE WHEN id % 3 > 0 THEN metric END, 'unknown'), printf('%.5f', lat), printf('%.5f', lon), strftime(timestamp, '%Y%m%d%H%M')) AS entity FROM obs")
+def entity_id_format(spark, d):
+    return observations(spark, d).select("id", text.fire_entity(F.lit("VIIRS"), F.when(F.col("id") % 3 > 0, F.col("metric")), F.col("lat"), F.col("lon"), F.col("timestamp")).alias("entity"))
+
+
+@query("""SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END + CASE WHEN event_id % 4 = 0 THEN 0 ELSE value / 2 END, 4) AS mm FROM events""")
+def precip_sum(spark, d):
+    rain = F.when(F.col("event_id") % 3 != 0, F.col("value").cast("string"))
+    snow = F.when(F.col("event_id") % 4 == 0, "none").otherwise((F.col("value") / 2).cast("string"))
+    return table(spark, d, "events").select("event_id", r4(parse.precipitation(rain, snow)).alias("mm"))
+
+
+@query("SELECT event_id FROM events WHERE event_id % 5 IN (0, 1, 4)")
+def outdoor_filter(spark, d):
+    kind = F.expr("CASE event_id % 5 WHEN 0 THEN '0' WHEN 1 THEN NULL WHEN 2 THEN '1' WHEN 3 THEN 'inside' ELSE 'false' END")
+    return table(spark, d, "events").where(parse.is_outdoor(kind)).select("event_id")
+
+
+@query(f"WITH {RUNS} SELECT seq, concat(source, ' | ', CASE WHEN success THEN 'ok' ELSE 'failed' END, ' | records=', record_count, ' | duration_ms=', round(duration_ms, 1), CASE WHEN len(errors) > 0 THEN concat(' | errors=', array_to_string(errors, '; ')) ELSE '' END) AS line FROM runs")
+def run_report(spark, d):
+    return runs.report(run_log(spark, d)).select("seq", "line")
+
+
+@query("SELECT event_id, 30 * (2 ** (event_id % 4))::BIGINT AS wait_s FROM events")
+def retry_backoff(spark, d):
+    return table(spark, d, "events").select("event_id", (F.lit(runs.BACKOFF_S) * F.pow(F.lit(2), F.col("event_id") % 4)).cast("long").alias("wait_s"))
+
+
+@query(
+    f"""WITH {OBS}, c AS (SELECT id, floor(value * 10) / 10 AS c FROM obs WHERE metric = 'pm25')
+    SELECT id, CASE WHEN c <= 9.0 THEN round(50 / 9.0 * c) WHEN c <= 35.4 THEN round(49 / 26.3 * (greatest(c, 9.1) - 9.1) + 51) WHEN c <= 55.4 THEN round(49 / 19.9 * (greatest(c, 35.5) - 35.5) + 101)
+        WHEN c <= 125.4 THEN round(49 / 69.9 * (greatest(c, 55.5) - 55.5) + 151) WHEN c <= 225.4 THEN round(99 / 99.9 * (greatest(c, 125.5) - 125.5) + 201) WHEN c <= 325.4 THEN round(199 / 99.9 * (greatest(c, 225.5) - 225.5) + 301) ELSE 500 END::INTEGER AS aqi FROM c"""
+)
+def aqi_from_conc(spark, d):
+    return observations(spark, d).where("metric = 'pm25'").select("id", units.aqi_pm25(F.col("value")).alias("aqi"))
+
+
+@query(f"WITH {OBS} SELECT id, round(greatest(0.0, value * 0.7 - 1.5), 4) AS corrected FROM obs WHERE metric = 'pm25'")
+def pm_correction(spark, d):
+    return observations(spark, d).where("metric = 'pm25'").select("id", r4(units.corrected(F.col("value"), 0.7, -1.5)).alias("corrected"))
+
+
+@query(f"WITH {OBS} SELECT id, extract(hour FROM timestamp)::INTEGER AS hour_of_day, (extract(dow FROM timestamp) + 1)::INTEGER AS day_of_week FROM obs")
+def calendar_features(spark, d):
+    return observations(spark, d).select("id", F.hour("timestamp").alias("hour_of_day"), F.dayofweek("timestamp").alias("day_of_week"))
+
+
+@query(
+    r"""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS y FROM documents WHERE lang = 'en')
+    SELECT doc_id, round(CASE WHEN w > 0 THEN 0.39 * w / s + 11.8 * greatest(y, w) / w - 15.59 END, 4) AS grade FROM n"""
+)
+def readability(spark, d):
+    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", r4(text.grade(F.col("text"))).alias("grade"))
+
+
+# Normalizers over payloads made of the event table
+
+
+def payloads(spark, d, which: int, body: F.Column) -> DataFrame:
+    return table(spark, d, "events").where(F.col("user_id") % 5 == which).select(F.to_json(body).alias("payload"))
+
+
+def shown(found: DataFrame) -> DataFrame:
+    return found.select(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), r4("lat").alias("lat"), r4("lon").alias("lon"), "metric", r4("value").alias("value"), "unit", "source", "source_entity_id")
+
+
+def text_of(name: str) -> F.Column:
+    return F.col(name).cast("string")
+
+
+@query(
+    f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 4 = 0 THEN {LAT} ELSE 33.749 END::DOUBLE AS lat, CASE WHEN event_id % 4 = 0 THEN {LON} ELSE -84.388 END::DOUBLE AS lon,
+        CASE event_type WHEN 'click' THEN 'pm25' WHEN 'view' THEN 'pm10' ELSE 'ozone' END AS metric, round(value, 4) AS value, CASE event_type WHEN 'error' THEN 'ppm' ELSE 'ug/m3' END AS unit, 'epa_airnow' AS source,
+        CASE WHEN event_id % 6 = 0 THEN 'unknown' ELSE user_id::VARCHAR END AS source_entity_id
+    FROM events WHERE user_id % 5 = 0 AND event_type IN ('click', 'view', 'error') AND event_id % 9 <> 0"""
+)
+def normalize_airnow(spark, d):
+    o = F.struct(
+        F.date_format("ts", "yyyy-MM-dd").alias("DateObserved"),
+        F.hour("ts").alias("HourObserved"),
+        F.when(F.col("event_id") % 6 != 0, text_of("user_id")).alias("ReportingArea"),
+        F.when(F.col("event_id") % 4 != 0, 33.749).alias("Latitude"),
+        F.when(F.col("event_id") % 4 != 0, -84.388).alias("Longitude"),
+        F.expr("CASE event_type WHEN 'click' THEN 'PM2.5' WHEN 'view' THEN 'PM10' WHEN 'error' THEN 'OZONE' ELSE 'UNKNOWN' END").alias("ParameterName"),
+        F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("Value"),
+        F.expr("CASE event_type WHEN 'error' THEN 'PPM' ELSE 'UG/M3' END").alias("Unit"),
+    )
+    return shown(feeds.airnow(payloads(spark, d, 0, F.struct(F.array(o).alias("observations")))))
+
+
+@query(
+    f"""SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 2 = 0 THEN 34.1 ELSE {LAT} END::DOUBLE AS lat, CASE WHEN event_id % 2 = 0 THEN -84.2 ELSE {LON} END::DOUBLE AS lon,
+        CASE event_type WHEN 'click' THEN 'pm25' WHEN 'view' THEN 'ozone' ELSE 'bc' END AS metric, round(value, 4) AS value, CASE event_type WHEN 'view' THEN 'ppm' ELSE 'ug/m3' END AS unit, 'openaq' AS source, event_id::VARCHAR AS source_entity_id
+    FROM events WHERE user_id % 5 = 1 AND event_type IN ('click', 'view', 'error') AND event_id % 7 <> 0"""
+)
+def normalize_openaq(spark, d):
+    place = F.struct(F.lit(LAT).alias("latitude"), F.lit(LON).alias("longitude"))
+    own = F.when(F.col("event_id") % 2 == 0, F.struct(F.lit(34.1).alias("latitude"), F.lit(-84.2).alias("longitude")))
+    latest = F.struct(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc")).alias("datetime"), F.col("value"), own.alias("coordinates"))
+    parameter = F.struct(F.expr("CASE event_type WHEN 'click' THEN 'PM25' WHEN 'view' THEN 'o3' WHEN 'error' THEN 'bc' ELSE 'pm4' END").alias("name"), F.expr("CASE event_type WHEN 'view' THEN 'ppm' ELSE 'µg/m³' END").alias("units"))
+    sensor = F.struct(text_of("event_id").alias("id"), parameter.alias("parameter"), F.when(F.col("event_id") % 7 != 0, latest).alias("latest"))
+    body = F.struct(F.array(F.struct(text_of("user_id").alias("id"), place.alias("coordinates"))).alias("locations"), F.create_map(text_of("user_id"), F.array(sensor)).alias("sensors_by_location_id"))
+    return shown(feeds.openaq(payloads(spark, d, 1, body)))
+
+
+@query(
+    f"""WITH e AS (SELECT *, 34.0515::DOUBLE + ((user_id * 37) % 201 - 100) * 0.008::DOUBLE AS lat, (-84.0713)::DOUBLE + ((user_id * 53) % 201 - 100) * 0.008::DOUBLE AS lon FROM events WHERE user_id % 5 = 2 AND event_id % 3 <> 0 AND event_id % 11 <> 0),
+    r AS (SELECT *, 'pm25' AS metric, 'ug/m3' AS unit, value AS v FROM e UNION ALL SELECT *, 'pm10', 'ug/m3', value * 2 FROM e WHERE event_id % 5 <> 0 UNION ALL SELECT *, 'humidity', 'percent', 44 FROM e)
+    SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, round(lat, 4) AS lat, round(lon, 4) AS lon, metric, round(v, 4) AS value, unit, 'purpleair' AS source, user_id::VARCHAR AS source_entity_id
+    FROM r WHERE {km_sql(str(LAT), str(LON), 'lat', 'lon')} <= 50"""
+)
+def normalize_purpleair(spark, d):
+    names = ["sensor_index", "last_seen", "latitude", "longitude", "location_type", "pm2.5_atm", "pm10.0_atm", "humidity", "temperature"]
+    place = lambda centre, by: F.lit(centre) + ((F.col("user_id") * by) % 201 - 100) * F.lit(0.008)
+    seen = F.when(F.col("event_id") % 11 == 0, "not-a-time").otherwise(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"))
+    row = [text_of("user_id"), seen, place(34.0515, 37), place(-84.0713, 53), F.when(F.col("event_id") % 3 == 0, "1").otherwise("0"), F.col("value"), F.when(F.col("event_id") % 5 != 0, F.col("value") * 2), F.lit("44"), F.lit("warm")]
+    return shown(feeds.purpleair(payloads(spark, d, 2, F.struct(F.array(*map(F.lit, names)).alias("fields"), F.array(F.array(*[x.cast("string") for x in row])).alias("data")))))
+
+
+@query(
+    """WITH e AS (SELECT *, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE user_id % 5 = 3),
+    r AS (SELECT *, 'temperature' AS metric, 'degC' AS unit, value AS v FROM e WHERE event_id % 4 <> 0 UNION ALL SELECT *, 'humidity', 'percent', 58 FROM e UNION ALL SELECT *, 'pressure', 'hPa', 1012 FROM e UNION ALL SELECT *, 'wind_speed', 'm/s', 3.4 FROM e
+        UNION ALL SELECT *, 'precipitation', 'mm/h', CASE WHEN event_id % 2 = 0 THEN 1.2 ELSE 0 END + 0.3 FROM e)
+    SELECT r.at, 34.05::DOUBLE AS lat, (-84.07)::DOUBLE AS lon, metric, round(v::DOUBLE, 4) AS value, unit, 'openweather' AS source, 'grid:p' || user_id AS source_entity_id FROM r"""
+)
+def normalize_openweather(spark, d):
+    number = lambda x, name: F.lit(x).alias(name)
+    main = F.struct(F.when(F.col("event_id") % 4 == 0, "bad").otherwise(text_of("value")).alias("temp"), number("1012", "pressure"), number("58", "humidity"))
+    body = F.struct(
+        F.struct(number(-84.07, "lon"), number(34.05, "lat")).alias("coord"),
+        main.alias("main"),
+        F.struct(number("3.4", "speed")).alias("wind"),
+        F.when(F.col("event_id") % 2 == 0, F.struct(number("1.2", "1h"))).alias("rain"),
+        F.struct(number("0.3", "1h")).alias("snow"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("dt"),
+    )
+    return shown(feeds.openweather(payloads(spark, d, 3, F.struct(F.concat(F.lit("p"), "user_id").alias("point_id"), body.alias("payload")))))
+
+
+@query(
+    """WITH e AS (SELECT *, date_trunc('minute', ts) AS m, CASE WHEN user_id % 2 = 0 THEN 'VIIRS_SNPP_NRT' ELSE 'MODIS_NRT' END AS dataset FROM events WHERE user_id % 5 = 4),
+    r AS (SELECT *, 'fire_radiative_power' AS metric, 'MW' AS unit, value AS v FROM e UNION ALL SELECT *, 'fire_confidence', 'percent', CASE WHEN user_id % 2 = 0 THEN 66 ELSE 87 END FROM e
+        UNION ALL SELECT *, 'fire_brightness', 'K', 300 + value FROM e WHERE event_id % 5 <> 0)
+    SELECT strftime(m, '%Y-%m-%d %H:%M:%S') AS at, 34.1::DOUBLE AS lat, (-84.2)::DOUBLE AS lon, metric, round(v::DOUBLE, 4) AS value, unit, 'nasa_firms' AS source, dataset || ':N20:34.10000:-84.20000:' || strftime(m, '%Y%m%d%H%M') AS source_entity_id FROM r"""
+)
+def normalize_firms(spark, d):
+    e = table(spark, d, "events").where("user_id % 5 = 4")
+    viirs = F.col("user_id") % 2 == 0
+    heat = F.when(F.col("event_id") % 5 != 0, (F.col("value") + 300).cast("string")).otherwise("")
+    head = F.when(viirs, "latitude,longitude,bright_ti4,acq_date,acq_time,satellite,confidence,frp").otherwise("latitude,longitude,brightness,acq_date,acq_time,satellite,confidence,frp")
+    line = F.concat_ws(",", F.lit("34.1"), F.lit("-84.2"), heat, F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "Hmm"), F.lit("N20"), F.when(viirs, "n").otherwise("87"), text_of("value"))
+    return shown(feeds.fires(feeds.fire_rows(e.select(F.when(viirs, "VIIRS_SNPP_NRT").otherwise("MODIS_NRT").alias("dataset"), F.concat(head, F.lit("\n"), line, F.lit("\n")).alias("payload")))))
+
+
+@query("SELECT 'epa_airnow' AS source, count(*) AS n FROM events WHERE user_id % 5 = 0 AND event_id % 2 = 0 UNION ALL SELECT 'nasa_firms', 2 * count(*) FROM events WHERE user_id % 5 = 4")
+def union_sources(spark, d):
+    """Two feeds through the registry into one table."""
+    e = table(spark, d, "events")
+    o = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("DateObserved"), F.hour("ts").alias("HourObserved"), F.when(F.col("event_id") % 2 == 0, "PM10").otherwise("pm10").alias("ParameterName"), F.col("value").alias("Value"))
+    air = e.where("user_id % 5 = 0").select(F.to_json(F.struct(F.array(o).alias("observations"))).alias("payload"))
+    line = F.concat_ws(",", F.lit("34.1"), F.lit("-84.2"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "Hmm"), F.lit("high"), text_of("value"))
+    fire = e.where("user_id % 5 = 4").select(F.lit("MODIS_NRT").alias("dataset"), F.concat(F.lit("latitude,longitude,acq_date,acq_time,confidence,frp\n"), line).alias("payload"))
+    return registry.normalize_all({"epa_airnow": air, "nasa_firms": fire}).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Store and status
+
+
+@query(
+    f"""WITH {OBS}, b AS (SELECT *, date_trunc('hour', timestamp) AS h FROM obs WHERE id % 3 > 0), s AS (SELECT DISTINCT source, metric, source_entity_id, date_trunc('hour', timestamp) AS h FROM obs WHERE id % 3 = 0)
+    SELECT min(id) AS id, source, metric, source_entity_id, h AS timestamp FROM b ANTI JOIN s USING (source, metric, source_entity_id, h) GROUP BY ALL"""
+)
+def insert_ignore(spark, d):
+    """Of hourly keys two thirds of the rows come in, one third is stored."""
+    o = observations(spark, d).withColumn("timestamp", F.date_trunc("hour", F.col("timestamp").cast("timestamp")).cast("timestamp_ntz"))
+    return store.new_rows(o.where("id % 3 = 0"), o.where("id % 3 > 0"), ["id"]).select("id", *S.KEY)
+
+
+@query(
+    "SELECT min(l_linenumber) AS l_linenumber, l_orderkey, l_partkey FROM lineitem WHERE l_linenumber > 2 AND (l_orderkey, l_partkey) NOT IN (SELECT (l_orderkey, l_partkey) FROM lineitem WHERE l_linenumber <= 2) GROUP BY l_orderkey, l_partkey"
+)
+def insert_ignore_volume(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
+    return store.new_rows(rows.where("l_linenumber <= 2"), rows.where("l_linenumber > 2"), ["l_linenumber"], key=("l_orderkey", "l_partkey"))
+
+
+@query(
+    f"""WITH {RUNS}, l AS (SELECT source, arg_max(success, (run_at, seq)) AS ok, max(run_at) FILTER (success) AS last_collected_at, max((run_at, seq)) FILTER (success) AS last FROM runs GROUP BY source)
+    SELECT l.source AS name, CASE WHEN ok THEN 'active' ELSE 'error' END AS status, last_collected_at, (SELECT count(*) FROM runs AS r WHERE r.source = l.source AND NOT success AND (last IS NULL OR (run_at, seq) > last)) AS error_count FROM l"""
+)
+def source_status(spark, d):
+    return store.source_status(run_log(spark, d))
+
+
+@query(f"WITH {RUNS} SELECT source, count(*) FILTER (success) AS n_ok, count(*) FILTER (NOT success) AS n_failed, count(*) FILTER (success) = 0 AS all_failed FROM runs GROUP BY source")
+def dataset_tally(spark, d):
+    return runs.tally(run_log(spark, d))
+
+
+@query(f"WITH {RUNS} SELECT CASE WHEN bool_and(success) THEN 0 ELSE 1 END AS exit_code FROM runs")
+def exit_code(spark, d):
+    return runs.exit_code(run_log(spark, d))
+
+
+@query(f"WITH {RUNS} SELECT source, max(run_at) AS last_at, round(avg(success::INTEGER), 4) AS success_rate, count(*) AS n_runs FROM runs GROUP BY source")
+def source_health(spark, d):
+    return rounded(rollup.source_health(run_log(spark, d)), "success_rate")
+
+
+@query()
+def latency_pctl(spark, d):
+    return run_log(spark, d).groupBy("source").agg(F.percentile_approx("duration_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(10_000)).alias("ms"))
+
+
+# Validation
+
+
+@query(
+    f"""WITH {OBS}, k AS (SELECT *, row_number() OVER (PARTITION BY source, metric, source_entity_id, date_trunc('day', timestamp) ORDER BY id) AS n FROM obs)
+    SELECT id, array_to_string(list_filter([CASE WHEN id % 50 = 0 THEN 'schema' END, CASE WHEN id % 20 = 0 AND id % 50 <> 0 THEN 'range' END, CASE WHEN n > 1 THEN 'duplicate' END,
+        CASE WHEN epoch(TIMESTAMP '2024-01-30') - epoch(date_trunc('day', timestamp)) > 120 * CASE source WHEN 'purpleair' THEN 15 WHEN 'nasa_firms' THEN 180 ELSE 60 END THEN 'stale' END], lambda x: x IS NOT NULL), ',') AS violations FROM k"""
+)
+def validate_rules(spark, d):
+    o = observations(spark, d).withColumn("timestamp", F.date_trunc("day", F.col("timestamp").cast("timestamp")))
+    o = o.withColumn("value", F.when(F.col("id") % 50 == 0, None).when(F.col("id") % 20 == 0, -1.0).otherwise(F.col("value")))
+    return validate.with_violations(o, ["id"], now="2024-01-30").select("id", F.array_join("violations", ",").alias("violations"))
+
+
+@query(f"WITH {OBS}, l AS (SELECT source, max(timestamp) AS last_at FROM obs WHERE timestamp < TIMESTAMP '2024-01-20' OR source = 'openaq' GROUP BY source) SELECT source, last_at FROM l WHERE epoch(TIMESTAMP '2024-01-21') - epoch(date_trunc('second', last_at)) > 120 * CASE source WHEN 'purpleair' THEN 15 WHEN 'nasa_firms' THEN 180 ELSE 60 END")
+def stale_sources(spark, d):
+    o = observations(spark, d).where("timestamp < TIMESTAMP_NTZ '2024-01-20' OR source = 'openaq'")
+    return validate.stale_sources(o, "2024-01-21").select("source", "last_at")
+
+
+# Rollups
+
+
+@query(f"WITH {OBS} SELECT source, metric, unit, timestamp::DATE AS day, count(*) AS n, max(timestamp) AS last_at, round(avg(value), 4) AS mean_value FROM obs GROUP BY ALL")
+def source_daily_rollup(spark, d):
+    return rounded(rollup.daily(observations(spark, d)), "mean_value")
+
+
+Z = f"""WITH {OBS}, w AS (SELECT *, count(value) OVER b AS n_before, avg(value) OVER b AS mean_before, stddev_samp(value) OVER b AS sd_before FROM obs
+    WINDOW b AS (PARTITION BY metric ORDER BY timestamp RANGE BETWEEN INTERVAL 7 DAYS PRECEDING AND INTERVAL 1 MICROSECOND PRECEDING)),
+    z AS (SELECT *, CASE WHEN n_before >= 10 AND sd_before > 0 THEN (value - mean_before) / sd_before END AS z FROM w)"""
+
+
+def by_metric(spark, d) -> DataFrame:
+    return detect.zscore(observations(spark, d), by=("metric",))
+
+
+def with_severity(spark, d) -> DataFrame:
+    z = by_metric(spark, d).where("z IS NOT NULL")
+    return z.select("*", F.when(F.abs("z") > 3, "severe").when(F.abs("z") > 2, "moderate").otherwise("minor").alias("severity")).where("abs(z) > 1")
+
+
+SEVERE = f"{Z}, a AS (SELECT *, CASE WHEN abs(z) > 3 THEN 'severe' WHEN abs(z) > 2 THEN 'moderate' ELSE 'minor' END AS severity FROM z WHERE abs(z) > 1)"
+
+
+@query(f"{SEVERE} SELECT metric, severity, count(*) AS n FROM a GROUP BY CUBE (metric, severity)")
+def anomaly_cube(spark, d):
+    return rollup.cube(with_severity(spark, d))
+
+
+@query(f"{SEVERE} SELECT id, severity FROM a WHERE severity = 'severe' AND metric = 'pm25' AND {km_sql(str(LAT), str(LON), 'lat', 'lon')} <= 60")
+def feed_filter(spark, d):
+    return read.feed(with_severity(spark, d), severity="severe", metric="pm25", lat=LAT, lon=LON, radius_km=60.0).select("id", "severity")
+
+
+@query(f"WITH {OBS} SELECT floor(lat / 0.1)::BIGINT AS cell_lat, floor(lon / 0.1)::BIGINT AS cell_lon, count(*) AS n FROM obs GROUP BY ALL ORDER BY n DESC, cell_lat, cell_lon LIMIT 10")
+def top_cells(spark, d):
+    return rollup.top_cells(observations(spark, d), 0.1, 10)
+
+
+@query(f"WITH {OBS} SELECT floor(lat / 0.1)::BIGINT AS cell_lat, floor(lon / 0.1)::BIGINT AS cell_lon, metric, unit, round(avg(value), 4) AS mean_value, count(*) AS n FROM obs GROUP BY ALL")
+def grid_avg(spark, d):
+    return rounded(rollup.grid_means(observations(spark, d), 0.1), "mean_value")
+
+
+@query(f"WITH {OBS} SELECT source, source_entity_id, metric, timestamp, value, unit, lat, lon FROM obs QUALIFY row_number() OVER (PARTITION BY source, source_entity_id, metric ORDER BY timestamp DESC, id DESC) = 1")
+def latest_per_entity(spark, d):
+    return rollup.latest(observations(spark, d), "id")
+
+
+@query(f"WITH {OBS}, c AS (SELECT metric, timestamp::DATE AS day, count(*) AS n FROM obs GROUP BY ALL) SELECT *, n - lag(n) OVER (PARTITION BY metric ORDER BY day) AS change FROM c")
+def day_over_day(spark, d):
+    return rollup.day_over_day(observations(spark, d))
+
+
+@query(f"WITH {OBS} SELECT source_entity_id, metric, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean_value, arg_max(value, timestamp) AS last_value, count(*) AS n FROM obs GROUP BY ALL")
+def series_summary(spark, d):
+    return rounded(rollup.series_summary(observations(spark, d)), "mean_value")
+
+
+# Detectors
+
+
+@query(f"{Z} SELECT id, n_before, round(mean_before, 4) AS mean_before, round(sd_before, 4) AS sd_before, round(z, 4) AS z, coalesce(abs(z) > 3, false) AS flagged FROM z")
+def obs_zscore(spark, d):
+    return rounded(by_metric(spark, d), "mean_before", "sd_before", "z").select("id", "n_before", "mean_before", "sd_before", "z", "flagged")
+
+
+@query(f"{Z.replace('PARTITION BY metric', 'PARTITION BY source, source_entity_id, metric, unit')} SELECT id, round(z, 4) AS z FROM z WHERE abs(z) > 3")
+def zscore_flags(spark, d):
+    return rounded(detect.zscore(observations(spark, d)).where("flagged"), "z").select("id", "z")
+
+
+SEASON = f"""WITH {OBS}, h AS (SELECT metric, date_trunc('hour', timestamp) AS hour, avg(value) AS value FROM obs GROUP BY ALL),
+    t AS (SELECT *, avg(value) OVER (PARTITION BY metric ORDER BY hour RANGE BETWEEN INTERVAL 12 HOURS PRECEDING AND INTERVAL 12 HOURS FOLLOWING) AS trend FROM h),
+    s AS (SELECT *, avg(value - trend) OVER (PARTITION BY metric, extract(hour FROM hour)) AS season FROM t), r AS (SELECT *, value - trend - season AS residual FROM s), f AS (SELECT *, stddev_samp(residual) OVER (PARTITION BY metric) AS sd FROM r)"""
+
+
+@query(f"{SEASON} SELECT metric, strftime(hour, '%Y-%m-%d %H') AS hour, round(trend, 4) AS trend, round(season, 4) AS season, round(residual, 4) AS residual, coalesce(sd > 0 AND abs(residual) > 2.5 * sd, false) AS flagged FROM f")
+def seasonal_residual(spark, d):
+    found = rounded(detect.seasonal_residual(observations(spark, d)), "trend", "season", "residual")
+    return found.select("metric", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "trend", "season", "residual", "flagged")
+
+
+@query()
+def loess_residual(spark, d):
+    return rounded(detect.loess_residuals(observations(spark, d)), "trend", "season", "residual")
+
+
+@query()
+def iforest_scores(spark, d):
+    o = observations(spark, d)
+    o = o.select("id", "value", "lat", "lon", F.hour("timestamp").alias("hour_of_day"), F.dayofweek("timestamp").alias("day_of_week"))
+    return detect.isolation_forest(o, ["value", "lat", "lon", "hour_of_day", "day_of_week"]).select("id", "score", "flagged")
+
+
+@query(
+    f"""{Z}, h AS (SELECT metric, avg(value) AS m, stddev_samp(value) AS s FROM obs GROUP BY metric),
+    f AS (SELECT id, 'zscore' AS method FROM z WHERE abs(z) > 2 UNION ALL SELECT id, 'level' FROM obs JOIN h USING (metric) WHERE value > m + 2 * s UNION ALL SELECT id, 'high' FROM obs WHERE value > 100),
+    c AS (SELECT id, count(DISTINCT method) AS n_methods, array_to_string(list_sort(list_distinct(list(method))), ',') AS methods FROM f GROUP BY id)
+    SELECT id, n_methods, methods, CASE WHEN n_methods >= 3 OR (metric = 'pm25' AND value >= 225.5) OR (metric = 'pm10' AND value >= 425) THEN 'severe' WHEN n_methods = 2 THEN 'moderate' ELSE 'minor' END AS severity FROM c JOIN obs USING (id)"""
+)
+def consensus_severity(spark, d):
+    o = observations(spark, d)
+    level = o.groupBy("metric").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    flags = [
+        by_metric(spark, d).where("abs(z) > 2").select("id", F.lit("zscore").alias("method")),
+        o.join(F.broadcast(level), "metric").where("value > m + 2 * s").select("id", F.lit("level").alias("method")),  # one row for each metric
+        o.where("value > 100").select("id", F.lit("high").alias("method")),
+    ]
+    found = detect.consensus(flags[0].unionByName(flags[1]).unionByName(flags[2]), o, "id")
+    return found.select("id", "n_methods", F.array_join("methods", ",").alias("methods"), "severity")
+
+
+@query(
+    f"""{Z}, a AS (SELECT *, floor(lat / 0.1)::BIGINT AS cell_lat, floor(lon / 0.1)::BIGINT AS cell_lon FROM z WHERE abs(z) > 1),
+    g AS (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER w > INTERVAL 30 MINUTES OR lag(timestamp) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM a WINDOW w AS (PARTITION BY metric, cell_lat, cell_lon ORDER BY timestamp, id)),
+    e AS (SELECT *, sum(new) OVER (PARTITION BY metric, cell_lat, cell_lon ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS event FROM g)
+    SELECT metric, cell_lat, cell_lon, event::BIGINT AS event, min(timestamp) AS first_at, max(timestamp) AS last_at, count(*) AS n FROM e GROUP BY ALL"""
+)
+def merge_events(spark, d):
+    a = rollup.cells(by_metric(spark, d).where("abs(z) > 1").withColumn("score", F.col("z")), 0.1)
+    return detect.merge_gaps(a).drop("representative")
+
+
+@query(
+    f"""{Z}, a AS (SELECT * FROM z WHERE abs(z) > 1.5)
+    SELECT a.metric, a.id, b.id AS id_b FROM a JOIN a AS b ON a.metric = b.metric AND a.id < b.id AND abs(epoch_us(a.timestamp) - epoch_us(b.timestamp)) <= 1800000000 WHERE {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 10"""
+)
+def merge_pairs(spark, d):
+    return detect.near_pairs(by_metric(spark, d).where("abs(z) > 1.5"))
+
+
+# Enrichment
+
+
+def few(spark, d) -> DataFrame:
+    return by_metric(spark, d).where("abs(z) > 2.5")
+
+
+FEW = f"{Z}, a AS (SELECT * FROM z WHERE abs(z) > 2.5)"
+
+
+@query(
+    f"""{FEW}, m AS (SELECT a.id AS anomaly, o.source, o.metric, o.id AS reading, o.value, abs(epoch_us(o.timestamp) - epoch_us(a.timestamp)) AS gap, o.timestamp AS t FROM a JOIN obs AS o ON o.source <> a.source AND abs(epoch_us(o.timestamp) - epoch_us(a.timestamp)) <= 3600000000
+        WHERE {km_sql('a.lat', 'a.lon', 'o.lat', 'o.lon')} <= 25)
+    SELECT anomaly, source, metric, reading, value FROM m QUALIFY row_number() OVER (PARTITION BY anomaly, source, metric ORDER BY gap, t, reading) = 1"""
+)
+def concurrent_asof(spark, d):
+    return enrich.concurrent(few(spark, d), observations(spark, d))
+
+
+@query(f"WITH {OBS}, l AS (SELECT * FROM obs WHERE metric = 'ozone'), r AS (SELECT * FROM obs WHERE metric = 'pm25') SELECT l.id, r.value AS as_of_value FROM l ASOF LEFT JOIN r ON l.source = r.source AND l.timestamp >= r.timestamp")
+def as_of_reading(spark, d):
+    o = observations(spark, d)
+    return enrich.as_of(o.where("metric = 'ozone'").select("id", "source", "timestamp"), o.where("metric = 'pm25'"), ["source"], "value").select("id", "as_of_value")
+
+
+@query(
+    f"""{FEW} SELECT a.id AS anomaly, count(*) AS n, min(o.value) AS low, max(o.value) AS high, round(avg(o.value), 4) AS mean_value, arg_max(o.value, o.timestamp) AS last_value
+    FROM a JOIN obs AS o ON a.source_entity_id = o.source_entity_id AND a.metric = o.metric AND o.timestamp BETWEEN a.timestamp - INTERVAL 72 HOURS AND a.timestamp GROUP BY a.id"""
+)
+def history_72h(spark, d):
+    return rounded(enrich.history(few(spark, d), observations(spark, d)), "mean_value")
+
+
+BEARING = "(degrees(atan2(sin(radians(p.lon - a.lon)) * cos(radians(p.lat)), cos(radians(a.lat)) * sin(radians(p.lat)) - sin(radians(a.lat)) * cos(radians(p.lat)) * cos(radians(p.lon - a.lon)))) + 360) % 360"
+
+
+@query(f"{FEW}, {PLACES} SELECT a.id, p.facility, round({km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')}, 4) AS km FROM a JOIN places AS p ON true WHERE {km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')} <= 25")
+def near_facilities(spark, d):
+    return rounded(enrich.within(few(spark, d), facilities(spark, d), 25.0, "id", "facility"), "km").select("id", "facility", "km")
+
+
+@query(
+    f"""{FEW}, p AS (SELECT id AS fire, lat, lon FROM obs WHERE source = 'nasa_firms' AND value > 20), n AS (SELECT a.id, p.fire, {km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')} AS km, {BEARING} AS turn FROM a, p)
+    SELECT id, fire, round(km, 4) AS km, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][(floor((turn + 22.5) / 45)::INTEGER % 8) + 1] AS wind FROM n WHERE km <= 100 AND km > 0"""
+)
+def near_fires(spark, d):
+    fires = observations(spark, d).where("source = 'nasa_firms' AND value > 20").withColumnRenamed("id", "fire")
+    return rounded(enrich.within(few(spark, d), fires, 100.0, "id", "fire").where("km > 0"), "km").select("id", "fire", "km", "wind")
+
+
+@query("SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def location_lookup(spark, d):
+    """Places with their dimensions, which may be missing; Spark broadcasts what its statistics show to be small."""
+    s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
+    return s.join(n, s.s_nationkey == n.n_nationkey, "left").join(r, n.n_regionkey == r.r_regionkey, "left").select("s_suppkey", "n_name", "r_name")
+
+
+@query(
+    f"""WITH {OBS} SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H') AS hour, round(avg(value) FILTER (metric = 'pm25'), 4) AS pm25, round(avg(value) FILTER (metric = 'ozone'), 4) AS ozone,
+    extract(hour FROM date_trunc('hour', timestamp))::INTEGER AS hour_of_day, (extract(dow FROM date_trunc('hour', timestamp)) + 1)::INTEGER AS day_of_week FROM obs GROUP BY date_trunc('hour', timestamp)"""
+)
+def feature_pivot(spark, d):
+    return rounded(enrich.features(observations(spark, d), ["pm25", "ozone"]), "pm25", "ozone").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
+
+
+@query()
+def enrich_context(spark, d):
+    o = observations(spark, d)
+    fires = o.where("source = 'nasa_firms' AND value > 50").withColumnRenamed("id", "fire")
+    return enrich.context_document(enrich.enriched(few(spark, d), o, facilities(spark, d), fires)).select("id", F.size("facilities").alias("n_facilities"), F.size("fires").alias("n_fires"), F.size("concurrent").alias("n_concurrent"), "document")
+
+
+# Retrieval and evaluation
+
+
+@query(
+    """SELECT q.vec_id AS query, e.vec_id AS chunk, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS similarity FROM embeddings AS q, embeddings AS e WHERE q.vec_id IN (1, 2, 3)
+    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 5"""
+)
+def retrieve_top5(spark, d):
+    """The five nearest of all vectors for a stated set of three queries."""
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id IN (1, 2, 3)").select(F.col("vec_id").alias("query"), "embedding")
+    return rounded(evaluate.top_chunks(queries, e.withColumnRenamed("vec_id", "chunk"), 5), "similarity").select("query", "chunk", "similarity")
+
+
+@query(
+    f"""WITH {OBS}, claims AS (SELECT DISTINCT source, metric, timestamp::DATE AS day FROM obs), evidence AS (SELECT DISTINCT source, metric, timestamp::DATE AS day FROM obs WHERE value > 15), v AS (SELECT c.*, e.day IS NOT NULL AS verified FROM claims AS c LEFT JOIN evidence AS e USING (source, metric, day))
+    SELECT source, round(avg(verified::INTEGER), 4) AS share, count(*) AS n, count(DISTINCT metric) AS n_metrics FROM v GROUP BY source"""
+)
+def claim_grounding(spark, d):
+    o = observations(spark, d).withColumn("day", F.to_date("timestamp"))
+    claims = o.select("source", "metric", "day").distinct().withColumn("claim", F.concat_ws(" ", "source", "metric", "day"))
+    found = evaluate.grounded(claims, o.where("value > 15"), ["source", "metric", "day"])
+    return rounded(found.groupBy("source").agg(F.avg(F.col("verified").cast("int")).alias("share"), F.count(F.lit(1)).alias("n"), F.count_distinct("metric").alias("n_metrics")), "share")
+
+
+@query(
+    """WITH n AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), t AS (SELECT sum(n)::BIGINT AS total, sum(n) FILTER (a = b) AS same FROM n),
+    c AS (SELECT sum(x.n * y.n)::DOUBLE AS chance FROM (SELECT a AS v, sum(n) AS n FROM n GROUP BY a) AS x JOIN (SELECT b AS v, sum(n) AS n FROM n GROUP BY b) AS y USING (v))
+    SELECT total, round(same / total, 4) AS observed, round(chance / (total * total), 4) AS expected, round((same / total - chance / (total * total)) / (1 - chance / (total * total)), 4) AS kappa FROM t, c"""
+)
+def kappa(spark, d):
+    return rounded(evaluate.kappa(table(spark, d, "labels"), "quality", "toxic"), "observed", "expected", "kappa")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_type END AS cause, round(value / 100, 4) AS confidence FROM events")
+def explanation_metadata(spark, d):
+    meta = F.to_json(F.struct(F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("cause"), (F.col("value") / 100).alias("confidence")))
+    return rounded(evaluate.metadata(table(spark, d, "events").select("event_id", meta.alias("metadata"))), "confidence").select("event_id", "cause", "confidence")
+
+
+# Streams
+
+
+@query(f"WITH {OBS} SELECT source, count(*) AS n FROM (SELECT DISTINCT source, metric, source_entity_id, timestamp FROM obs) GROUP BY source")
+def stream_ingest(spark, d):
+    """The event table as a stream through insert-or-ignore, twice: the second pass adds nothing."""
+    import tempfile
+    import uuid
+
+    from ..streaming import ingest
+
+    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    rows = observations(spark, d)
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{base}/landed")
+    parsed = lambda found: found.select(F.from_json("value", rows.schema).alias("o")).select("o.*")
+    for turn in ("first", "second"):
+        ingest.ingest(spark.readStream.text(f"{base}/landed"), lambda found: parsed(found).drop("id"), f"{base}/table", f"{base}/{turn}", ["value"]).awaitTermination()
+    return spark.read.parquet(f"{base}/table").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
