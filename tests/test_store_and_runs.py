@@ -1,0 +1,117 @@
+"""Insert-or-ignore, status, pages, runs and streams."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from plumeline import schema as S
+from plumeline.operators import detect, enrich, read, runs, store, validate
+from plumeline.streaming import ingest
+
+
+def points(spark, *rows):
+    base = {"timestamp": datetime(2026, 4, 21, 12), "lat": 34.0515, "lon": -84.0713, "metric": "pm25", "value": 10.0, "unit": "ug/m3", "source": "s", "source_entity_id": "e", "raw_json": None}
+    return spark.createDataFrame([tuple((base | r)[f.name] for f in S.OBSERVATION) for r in rows], S.OBSERVATION)
+
+
+def test_insert_twice_is_once(spark, tmp_path):
+    table = f"{tmp_path}/points"
+    rows = points(spark, {"value": 2.0}, {"value": 1.0}, {"source_entity_id": "f"})
+    store.insert_ignore(table, rows, ["value"])
+    store.insert_ignore(table, rows, ["value"])
+    store.insert_ignore(table, points(spark, {"value": 0.0}, {"metric": "pm10"}), ["value"])
+    store.insert_ignore(table, rows.limit(0), ["value"])
+    found = spark.read.parquet(table)
+    assert sorted((r.source_entity_id, r.metric, r.value) for r in found.collect()) == [("e", "pm10", 10.0), ("e", "pm25", 1.0), ("f", "pm25", 10.0)]
+    assert found.select("id").distinct().count() == 3
+
+
+def test_status(spark):
+    log = spark.createDataFrame([("beta", True, 1, 0), ("alpha", True, 1, 0), ("alpha", False, 2, 0), ("alpha", False, 3, 0), ("gamma", False, 1, 0)], "source string, success boolean, at long, seq long").withColumn("at", F.timestamp_seconds("at"))
+    assert [(r.name, r.status, r.error_count, r.last_collected_at is None) for r in store.source_status(log).collect()] == [("alpha", "error", 2, False), ("beta", "active", 0, False), ("gamma", "error", 1, True)]
+
+
+def test_filters_and_pages(spark):
+    rows = points(spark, *[{"timestamp": datetime(2026, 4, 21, 12 + i), "value": float(i), "source_entity_id": f"sensor-{i}"} for i in range(3)], {"metric": "pm10"}, {"lat": 35.0, "source_entity_id": "far"}, {"timestamp": datetime(2026, 4, 18), "source_entity_id": "old"}).withColumn("id", F.col("source_entity_id"))
+    found = read.query_observations(rows, "s", limit=1, offset=1, metric="pm25", start="2026-04-20", end="2026-04-22", lat=34.0515, lon=-84.0713, radius_km=5.0)
+    assert found.total == 3
+    assert [r.source_entity_id for r in found.items.collect()] == ["sensor-1"]
+    assert read.query_observations(rows, "unknown").total == 0
+    assert read.query_observations(rows, "s", metric="", lat=1.0).total == 6
+    for bad in ({"limit": 1001}, {"limit": -1}, {"offset": -1}):
+        with pytest.raises(ValueError, match="limit must be"):
+            read.page(rows, **bad)
+    assert read.health(spark)["status"] == "ok"
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    points(spark, {}).write.parquet(f"{tmp_path}/p")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    rows = read.select_observations(spark.read.parquet(f"{tmp_path}/p"), "s", metric="pm25", lat=34.0, lon=-84.0, radius_km=9.0).select("value")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(metric,pm25)" in plan
+    assert "GreaterThanOrEqual(lat" in plan
+    assert "raw_json" not in plan
+
+
+def test_runs(spark):
+    waits, calls = [], []
+
+    def fails():
+        calls.append(1)
+        raise OSError("missing key")
+
+    done = runs.run_all({"openaq": lambda: 4, "nasa_firms": fails}, sleep=waits.append)
+    assert waits == [30, 60]
+    assert len(calls) == 3
+    assert done[1]["errors"][0] == "Attempt 1: OSError: missing key"
+    assert runs.collect("x", fails, max_retries=0)["errors"] == []
+    log = spark.createDataFrame([("openaq", True, 4, 12.5, []), ("nasa_firms", False, 0, 9.0, ["missing key"])], "source string, success boolean, record_count int, duration_ms double, errors array<string>")
+    assert [r.line for r in runs.report(log).collect()] == ["openaq | ok | records=4 | duration_ms=12.5", "nasa_firms | failed | records=0 | duration_ms=9.0 | errors=missing key"]
+    assert [runs.exit_code(x).first()[0] for x in (log, log.where("success"), log.limit(0))] == [1, 0, 0]
+
+
+def test_tables(spark):
+    store.create_tables(spark)
+    store.create_tables(spark)
+    assert spark.table("data_points").count() == 0
+    store.drop_tables(spark)
+    store.drop_tables(spark)
+
+
+def test_quarantine(spark):
+    kept, bad = validate.split(points(spark, {}, {"value": 11.0}, {"value": -1.0, "metric": "pm10"}), ["value"])
+    assert kept.count() == 1
+    assert sorted(r.violations[0] for r in bad.collect()) == ["duplicate", "range"]
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = points(spark, *[{"timestamp": datetime(2026, 4, 21, i), "value": float(i)} for i in range(20)], {"timestamp": datetime(2026, 4, 21, 20), "value": 500.0})
+    for part in (0, 1):
+        rows.where(F.hour("timestamp") % 2 == part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/landed")
+    seen = []
+    ingest.ingest(spark.readStream.schema(S.OBSERVATION).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/landed"), lambda x: x, f"{tmp_path}/table", f"{tmp_path}/state", ["value"], after=lambda x, n: seen.append(n)).awaitTermination()
+    found = spark.read.parquet(f"{tmp_path}/table")
+    assert found.count() == 21
+    assert seen == [0, 1]
+    flagged = ingest.detect_batch(spark, f"{tmp_path}/table", rows)
+    assert [r.value for r in flagged.collect()] == [500.0]
+
+
+def test_windowed_stream(spark, tmp_path):
+    points(spark, {}, {"value": 20.0}).write.parquet(f"{tmp_path}/in")
+    query = ingest.windowed(spark.readStream.schema(S.OBSERVATION).parquet(f"{tmp_path}/in")).writeStream.format("memory").queryName("windowed").outputMode("complete").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert [(r.n, r.mean_value) for r in spark.table("windowed").collect()] == [(2, 15.0)]
+
+
+def test_forest_and_merge(spark):
+    rows = spark.range(500).select("id", (F.col("id") % 10).cast("double").alias("a"), F.when(F.col("id") == 7, 900.0).otherwise(F.col("id") % 7).alias("b"))
+    top = detect.isolation_forest(rows, ["a", "b"], trees=50).orderBy(F.desc("score")).first()
+    assert top.id == 7
+    a = points(spark, *[{"timestamp": datetime(2026, 4, 21, 12, m), "source_entity_id": str(m)} for m in (0, 20, 55)]).withColumns({"id": F.col("source_entity_id"), "score": F.lit(4.0), "cell_lat": F.lit(0), "cell_lon": F.lit(0)})
+    assert sorted((r.n, r.representative) for r in detect.merge_gaps(a).collect()) == [(1, "55"), (2, "0")]
+    assert [(r.id, r.id_b) for r in detect.near_pairs(a).collect()] == [("0", "20")]
+    assert enrich.within(a.limit(1), spark.createDataFrame([("f", 34.0515, -84.0)], "facility string, lat double, lon double"), 25.0, "id", "facility").first().wind == "E"
