@@ -102,7 +102,7 @@ def words_of(text: Column) -> Column:
 
 def shingles_of(words: Column) -> Column:
     at = F.sequence(F.lit(1), F.size(words) - (SHINGLE - 1))
-    return F.when(F.size(words) >= SHINGLE, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))))
+    return F.transform(at, lambda i: F.array_join(F.slice(words, i, SHINGLE), " "))
 
 
 def band_values(shingles: Column, bands: int) -> Column:
@@ -114,6 +114,10 @@ def band_values(shingles: Column, bands: int) -> Column:
     return F.array(*map(least, range(bands)))
 
 
+def windows_of(starts: Column, scale: Scale) -> Column:
+    return F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_distinct(F.slice("shingles", i, scale.words - SHINGLE + 1)).alias("seen")))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str], scale: Scale, of: dict[str, Scale]) -> DataFrame:
     rows = [F.struct(F.lit(n).alias("license_id"), F.array(*map(F.lit, template_shingles(t))).alias("own")) for n, t in templates.items() if of[n] == scale]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.license_id", "t.own")
@@ -126,11 +130,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     of = scales(templates, containment, collision)
     needed = "(?<![\\p{L}\\p{N}])(" + "|".join(required_words(templates, containment)) + ")(?![\\p{L}\\p{N}])"
     known = docs.select(F.col(key), F.col(text).alias("text")).where(F.lower("text").rlike(needed)).withColumn("row", F.monotonically_increasing_id())
-    known = known.select(key, "row", words_of(F.col("text")).alias("words"))
+    known = known.select(key, "row", words_of(F.col("text")).alias("words")).where(F.size("words") >= SHINGLE).select(key, "row", shingles_of(F.col("words")).alias("shingles"))
     found = []
     for scale in sorted(set(of.values()), key=lambda s: s.least):
-        starts = F.sequence(F.lit(1), F.greatest(F.size("words") - (SHINGLE - 1), F.lit(1)), F.lit(scale.step))
-        windows = known.select(key, "row", "words", F.explode(starts).alias("start")).select(key, "row", "start", shingles_of(F.slice("words", F.col("start"), scale.words)).alias("seen")).where("seen IS NOT NULL")
+        # Cut inside one expression: a window's row holds its own shingles, not the text's.
+        starts = F.sequence(F.lit(1), F.size("shingles"), F.lit(scale.step))
+        windows = known.select(key, "row", F.explode(windows_of(starts, scale)).alias("w")).select(key, "row", "w.start", "w.seen")
         bands = windows.select(key, "row", "start", "seen", F.posexplode(band_values(F.col("seen"), scale.bands)).alias("band", "value"))
         table = template_table(docs.sparkSession, templates, scale, of)
         asked = table.select("license_id", "own", F.posexplode(band_values(F.col("own"), scale.bands)).alias("band", "value"))
