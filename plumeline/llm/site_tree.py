@@ -45,6 +45,8 @@ NOISE_WORDS = frozenset(
 MAIN_TAGS, MAIN_WORDS = frozenset(("article", "main")), frozenset("article content main post entry story body text".split())
 #: Importance below which a branch goes, and the pages from which on a host's own counts say more than the prior.
 LEAST_IMPORTANCE, PRIOR_PAGES = 0.3, 4.0
+#: Up to so many paths (some 100 bytes each) are broadcast; beyond, pages are joined by host and one of SALTS salts.
+BROADCAST_PATHS, SALTS = 100_000, 64
 
 
 class Node:
@@ -128,21 +130,65 @@ def parse(page: str) -> Node:
     return root
 
 
+def pieces(node: Node) -> Iterator[tuple[Node | str, bool]]:
+    """The node's children, depth first, each with whether it begins; an element is sent False to be passed over. No recursion: pages may be nested deeply."""
+    todo: list[tuple[Node | str, bool]] = [(c, True) for c in reversed(node.children)]
+    while todo:
+        child, begins = todo.pop()
+        enter = yield child, begins
+        if begins and not isinstance(child, str) and enter is not False:
+            todo.append((child, False))
+            todo += [(c, True) for c in reversed(child.children)]
+
+
+def walk(node: Node, enters, begin=None, end=None, text=None) -> None:
+    """Calls begin and end at elements that `enters` allows, and text at their texts."""
+    steps = pieces(node)
+    try:
+        child, begins = next(steps)
+        while True:
+            enter = True
+            if isinstance(child, str):
+                if text:
+                    text(child)
+            elif not begins:
+                if end:
+                    end(child)
+            elif enter := enters(child):
+                if begin:
+                    begin(child)
+            child, begins = steps.send(enter)
+    except StopIteration:
+        return
+
+
 def branches(root: Node) -> Iterator[tuple[str, float, str, str]]:
-    """Path, prior, presentation and content of the elements that may be judged: those that hold text, down to the first inside an article."""
+    """Path, prior, presentation and content of the elements that may be judged: blocks, but for those inside what is noise by its mark."""
+    found: list[tuple[Node, int, int]] = []
+    open_at: list[tuple[Node, int]] = []
+    texts: list[str] = []
 
-    def text_of(node: Node) -> str:
-        return "".join(c if isinstance(c, str) else text_of(c) for c in node.children if isinstance(c, str) or c.tag not in RAW)
+    def end(child: Node) -> None:
+        if open_at and open_at[-1][0] is child:
+            found.append((child, open_at.pop()[1], len(texts)))
 
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        for child in node.children:
-            if isinstance(child, str) or child.tag in INLINE or child.tag in RAW or child.tag == "br":
-                continue
-            yield child.path, child.prior, ",".join(c.label for c in child.children if not isinstance(c, str)), " ".join(text_of(child).split())
-            if child.prior > 0:
-                todo.append(child)
+    walk(root, lambda c: c.tag not in RAW, lambda c: open_at.append((c, len(texts))) if c.tag not in INLINE and c.tag != "br" else None, end, texts.append)
+    judged: set[int] = set()
+
+    def enters(child: Node) -> bool:
+        if child.tag in RAW:
+            return False
+        judged.add(id(child))
+        return child.prior > 0
+
+    walk(root, enters)
+    for child, a, b in found:
+        if id(child) in judged:
+            yield child.path, child.prior, ",".join(c.label for c in child.children if not isinstance(c, str)), digest(texts[a:b])
+
+
+def digest(texts: list[str]) -> str:
+    return " ".join("".join(texts).split())
 
 
 def host_of(url: Column) -> Column:
@@ -183,26 +229,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def visible(node: Node, low: set[str], out: list[str]) -> None:
     """Texts of the branches that stay; a line break before and after each block."""
-    for child in node.children:
-        if isinstance(child, str):
-            out.append(child)
-        elif child.tag == "br":
+
+    def edge(child: Node) -> None:
+        if child.tag not in INLINE:
             out.append("\n")
-        elif child.tag in RAW or child.prior == 0 or child.path in low and child.tag not in INLINE:
-            continue
-        else:
-            block = child.tag not in INLINE
-            out.append("\n" if block else "")
-            visible(child, low, out)
-            out.append("\n" if block else "")
+
+    walk(node, lambda c: c.tag not in RAW and c.prior > 0 and (c.tag in INLINE or c.path not in low), edge, edge, out.append)
 
 
 def articles_of(node: Node) -> list[Node]:
     """The outermost articles of a page."""
-    found = []
-    for child in node.children:
-        if not isinstance(child, str) and child.prior > 0:
-            found += [child] if child.tag in MAIN_TAGS else articles_of(child)
+    found: list[Node] = []
+    walk(node, lambda c: c.prior > 0 and not (c.tag in MAIN_TAGS and found.append(c) is None))
     return found
 
 
@@ -221,7 +259,13 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
     low = style_tree(given.select("host", "html")).where(F.col("importance") < LEAST_IMPORTANCE)
     # Paths by host. What the prior marks needs no path; only unmarked branches that a host repeats are sent.
     lists = low.where((F.col("importance") > 0) & ~F.col("path").isin("/html", "/html/body")).groupBy("host").agg(F.collect_list("path").alias("low"))
-    joined = given.join(lists, "host", "left").select(key, url, "html", "low")
+    lists = written(lists, "branches")
+    if (lists.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_PATHS:
+        joined = given.join(F.broadcast(lists), "host", "left")
+    else:
+        salted = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = given.withColumn("salt", F.pmod(F.xxhash64(key, url), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    joined = joined.select(key, url, "html", "low")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
