@@ -166,7 +166,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", result:
 def decode(encoded: DataFrame, path: str, ids: str = "ids", result: str = "decoded") -> DataFrame:
     """Adds `result`, the binary that the ids stand for; null ids give null."""
     kept = encoded.drop(result)
-    schema = kept.withColumn(result, F.lit(b"").cast("binary")).schema
+    schema = kept.withColumn(result, F.lit(None).cast("binary")).schema
 
     def run(frames):
         for part in frames:
