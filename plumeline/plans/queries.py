@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import geo, parse, text, units
 from ..operators import detect, enrich, evaluate, read, rollup, runs, store, validate
-from ..sources import feeds, registry
+from ..sources import feeds, planned, registry
 from .view import OBS, PLACES, RUNS, facilities, km_sql, observations, table
 from .view import runs as run_log
 
@@ -299,6 +299,60 @@ def normalize_firms(spark, d):
     return shown(feeds.fires(feeds.fire_rows(e.select(F.when(viirs, "VIIRS_SNPP_NRT").otherwise("MODIS_NRT").alias("dataset"), F.concat(head, F.lit("\n"), line, F.lit("\n")).alias("payload")))))
 
 
+def placed_row(d: dict[str, F.Column]) -> F.Column:
+    given = {"id": text_of("user_id"), "lat": F.lit("34.1"), "lon": F.lit("-84.2"), "time": F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")} | d
+    return F.struct(*[c.alias(n) for n, c in given.items()])
+
+
+AT = "strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, 34.1::DOUBLE AS lat, (-84.2)::DOUBLE AS lon"
+
+
+@query(
+    f"""WITH e AS (SELECT *, {AT} FROM events WHERE user_id % 5 = 0), r AS (SELECT *, 'traffic_speed' AS metric, 'km/h' AS unit, value AS v FROM e UNION ALL SELECT *, 'traffic_freeflow', 'km/h', event_id % 3 * 50 FROM e
+        UNION ALL SELECT *, 'traffic_congestion', 'ratio', 1 - value / (event_id % 3 * 50) FROM e WHERE event_id % 3 > 0)
+    SELECT r.at, lat, lon, metric, round(v::DOUBLE, 4) AS value, unit, 'traffic' AS source, user_id::VARCHAR AS source_entity_id FROM r"""
+)
+def normalize_traffic(spark, d):
+    row = placed_row({"current_speed": text_of("value"), "free_flow_speed": (F.col("event_id") % 3 * 50).cast("string")})
+    return shown(planned.traffic(payloads(spark, d, 0, F.struct(F.array(row).alias("segments")))))
+
+
+@query(
+    f"""SELECT {AT}, CASE event_type WHEN 'click' THEN 'streamflow' WHEN 'view' THEN 'ph' ELSE 'turbidity' END AS metric, round(value, 4) AS value, CASE event_type WHEN 'click' THEN 'ft3/s' WHEN 'view' THEN 'pH' ELSE 'FNU' END AS unit,
+        'water_gauges' AS source, user_id::VARCHAR AS source_entity_id FROM events WHERE user_id % 5 = 1 AND event_type IN ('click', 'view', 'error')"""
+)
+def normalize_water(spark, d):
+    code = F.expr("CASE event_type WHEN 'click' THEN '00060' WHEN 'view' THEN '00400' WHEN 'error' THEN '63680' ELSE '99999' END")
+    named = lambda c, n="value": F.array(F.struct(c.alias(n)))
+    where = F.struct(F.struct(F.lit("34.1").alias("latitude"), F.lit("-84.2").alias("longitude")).alias("geogLocation"))
+    reading = F.struct(text_of("value").alias("value"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("dateTime"))
+    series = F.struct(
+        F.struct(named(text_of("user_id")).alias("siteCode"), where.alias("geoLocation")).alias("sourceInfo"),
+        F.struct(named(code).alias("variableCode")).alias("variable"),
+        F.array(F.struct(F.array(reading).alias("value"))).alias("values"),
+    )
+    return shown(planned.water(payloads(spark, d, 1, F.struct(F.struct(F.array(series).alias("timeSeries")).alias("value")))))
+
+
+@query(
+    f"""WITH e AS (SELECT *, {AT} FROM events WHERE user_id % 5 = 2), r AS (SELECT *, 'generation_mwh' AS metric, 'MWh' AS unit, value AS v FROM e UNION ALL SELECT *, 'co2_emissions', 't', value / 2 FROM e WHERE event_id % 2 = 0
+        UNION ALL SELECT *, 'grid_carbon_intensity', 'g/kWh', 400 FROM e)
+    SELECT r.at, lat, lon, metric, round(v::DOUBLE, 4) AS value, unit, 'energy' AS source, user_id::VARCHAR AS source_entity_id FROM r"""
+)
+def normalize_energy(spark, d):
+    row = placed_row({"generation_mwh": text_of("value"), "co2_emissions": F.when(F.col("event_id") % 2 == 0, (F.col("value") / 2).cast("string")).otherwise("n/a"), "grid_carbon_intensity": F.lit("400")})
+    return shown(planned.energy(payloads(spark, d, 2, F.struct(F.array(row).alias("plants")))))
+
+
+@query(
+    f"""WITH {OBS} SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS at, round((floor(lat / 0.25) + 0.5) * 0.25, 4) AS lat, round((floor(lon / 0.25) + 0.5) * 0.25, 4) AS lon, 'no2_column' AS metric, round(avg(value), 4) AS value,
+        'mol/m2' AS unit, 'satellite' AS source, concat('cell:', floor(lat / 0.25)::BIGINT, ':', floor(lon / 0.25)::BIGINT) AS source_entity_id FROM obs GROUP BY date_trunc('hour', timestamp), floor(lat / 0.25), floor(lon / 0.25)"""
+)
+def satellite_grid(spark, d):
+    pixels = observations(spark, d).select("timestamp", "lat", "lon", F.col("value").alias("no2_column"))
+    return shown(planned.satellite_cells(pixels, "no2_column", 0.25, "mol/m2"))
+
+
 @query("SELECT 'epa_airnow' AS source, count(*) AS n FROM events WHERE user_id % 5 = 0 AND event_id % 2 = 0 UNION ALL SELECT 'nasa_firms', 2 * count(*) FROM events WHERE user_id % 5 = 4")
 def union_sources(spark, d):
     """Two feeds through the registry into one table."""
