@@ -23,15 +23,15 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = re.sub(r"round\((.*?), 4\) AS", r"round(\1 + 1e-9, 4) AS", sql, flags=re.S)
+            SQL[f.__name__] = re.sub(r"round\((.*?), 4\) AS", r"round(\1 + 1e-9, 4) + 0.0::DOUBLE AS", sql, flags=re.S)
         return f
 
     return add
 
 
 def r4(of: str | F.Column) -> F.Column:
-    """Four decimals; the shift keeps sums that differ in their last bits from falling on two sides of a tie. SQL gets the same."""
-    return F.round((F.col(of) if isinstance(of, str) else of) + 1e-9, 4)
+    """Four decimals; the shift keeps sums that differ in their last bits from falling on two sides of a tie, and no zero is negative. SQL gets the same."""
+    return F.round((F.col(of) if isinstance(of, str) else of) + 1e-9, 4) + F.lit(0.0)
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
