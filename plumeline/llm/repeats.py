@@ -24,13 +24,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, pack, pack_sorted, unpack, unpack_sorted, windows
+from .common import WordHash, mix, pack, pack_sorted, unpack, unpack_sorted, windows, written
 
 PREFIX = 8
 #: Words that a task holds at once, and leaves that a group is to hold.
 BATCH_WORDS, GROUP_LEAVES = 2_000_000, 1_500_000
 #: Share of the sampled words from which heavy prefixes are found; they only steer which group a leaf goes to.
 PLAN_SHARE = 0.01
+#: Up to so many ids of copies (8 bytes each) are broadcast; beyond, they are joined by a shuffle of the texts.
+BROADCAST_IDS = 2_000_000
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -161,7 +163,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     copied = copies.where("_n > 1").select("_digest", F.col("_key").alias("_least"))
     # Of each text that has copies only the row of least key is searched.
     spare = digests.join(copied, "_digest").where("_key > _least").select(F.col("_key").alias(key)).distinct()
-    searched = docs.select(key, text).join(spare, key, "left_anti")
+    spare = written(spare, "spare")
+    searched = docs.select(key, text).join(F.broadcast(spare) if spare.count() <= BROADCAST_IDS else spare, key, "left_anti")
     found = repeated_windows(searched, key, text, size, plan=docs)
     marks = found.unionByName(digests.join(copied, "_digest").select(F.col("_key").alias(key), F.lit(b"").alias("starts")).distinct())
     marks = marks.groupBy(key).agg(F.min("starts").alias("starts"))  # empty: a copy, all windows are repeated
