@@ -34,6 +34,8 @@ from .phrases import words as plain_words
 KMER, SKETCHES, KEPT, LEAST = 5, 20, 6, 0.8
 #: Comparisons left in all buckets, as a multiple of the documents, below which they are made at once; above, hubs take another turn, up to HUB_ROUNDS.
 AT_ONCE, HUB_ROUNDS = 4, 6
+#: Hubs of a bucket in later turns, drawn by a hash that all buckets share, so that the same pairs come up in several.
+HUBS = 4
 
 
 def kmers(text: str | None, table: WordHash, k: int = KMER) -> np.ndarray:
@@ -130,15 +132,15 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: floa
                 good.append(similarity(kmers(x, table), last[1], least) >= least)
             yield frame.loc[good, ["a", "b"]]
 
-    return written(joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long").distinct(), "verified")
+    return written(joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"), "verified")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row for each row of docs: key, component_id (the least key of its class) and kept (whether it is that one)."""
     known = sketched(docs, key, text)
     firsts = written(known.groupBy("digest").agg(F.min("id").alias("first"), F.max("size").alias("size"), F.min_by("sketches", "id").alias("sketches")), "firsts")
-    entries = written(firsts.select(F.col("first").alias("id"), "size", F.posexplode("sketches").alias("band", "sketch")).dropDuplicates(["id", "band"]), "entries")
-    full = entries.groupBy("band", "sketch").agg(F.min("id").alias("hub"), F.min_by("size", "id").alias("hub_size"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    entries = written(firsts.select(F.col("first").alias("id"), "size", F.posexplode("sketches").alias("band", "sketch")), "entries")
+    full = entries.groupBy("band", "sketch").agg(F.min("id").alias("hub"), F.min_by("size", "id").alias("hub_size"), F.max("id").alias("last")).where("last > hub")
     entries = written(entries.join(full.select("band", "sketch", "hub", "hub_size"), ["band", "sketch"]), "buckets")
 
     alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
@@ -149,22 +151,23 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
         merged = components(links, "a", "b")
         placed = entries.select("id", "size", "band", "sketch").join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         sums = placed.groupBy("band", "sketch", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "sketch").agg((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", F.lit(2)))).alias("left"))
-        mixed = sums.where("left > 0")
-        rest = written(placed.join(mixed.select("band", "sketch"), ["band", "sketch"], "left_semi"), "mixed")
+        mixed = written(sums.where("left > 0"), "mixed")
         left = (mixed.agg(F.sum("left")).first()[0] or 0) / 2
         if not left:
             break
+        rest = written(placed.join(mixed.select("band", "sketch"), ["band", "sketch"], "left_semi"), "rest")
         at_once = left <= AT_ONCE * documents or turn == HUB_ROUNDS
         other = [F.col(c).alias(f"{c}_b") for c in ("id", "size", "component")]
         if at_once:
             partners = rest.select("band", "sketch", *other)
         else:
-            drawn = rest.groupBy("band", "sketch").agg(F.min_by(F.struct("id", "size", "component"), F.xxhash64("id", "band", F.lit(turn))).alias("hub"))
+            draws = [F.min_by(F.struct("id", "size", "component"), F.xxhash64("id", F.lit(turn * HUBS + i))) for i in range(HUBS)]
+            drawn = rest.groupBy("band", "sketch").agg(F.array_distinct(F.array(*draws)).alias("hubs")).withColumn("hub", F.explode("hubs"))
             partners = drawn.select("band", "sketch", F.col("hub.id").alias("id_b"), F.col("hub.size").alias("size_b"), F.col("hub.component").alias("component_b"))
         wanted = (F.col("component") != F.col("component_b")) & alike("size", "size_b")
         pairs = rest.join(partners, ["band", "sketch"]).where(wanted & (F.col("id") > F.col("id_b")) if at_once else wanted)
         more = verified(pairs.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct(), docs, key, text, least)
-        links = links.unionByName(more)
+        links = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         if at_once:
             merged = components(links, "a", "b")
             break
