@@ -23,9 +23,9 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of higher perplexity than their language's trusted texts go, and those without words."""
-    trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    return without(docs, knlm.classify(docs, trusted).where("NOT accepted"))
+    """Documents of higher perplexity than their language's trusted texts go, toxic ones, and those without words."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return without(docs, knlm.classify(docs, labels.where("quality <=> 1 AND toxic <=> 0"), labels=labels).where("NOT accepted"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

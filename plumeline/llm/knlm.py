@@ -9,6 +9,14 @@ that neither a text nor the model passes through one place. Counts, n-grams aske
 A document's perplexity is that of its characters. It is accepted if that is no more than the threshold of its language: a quantile
 of trusted texts of that language that were kept from training, times a margin; languages without trusted text take that of all.
 
+A few insults hardly move the perplexity of a text. So where texts are labelled as toxic or clean, two further models of order 1 are
+trained, over whole words (lower-cased runs of letters and digits) of the toxic and of the clean texts; words of fewer than
+LEAST_TEXTS labelled texts are one unknown word to both. As in Kneser-Ney's lower orders, contexts are counted instead of tokens:
+the texts that have a word, so that one text's stutter is no evidence. A text's toxicity is the largest sum, over all its runs of words, of the
+logs of the models' ratios less DRIFT for each word, so that neither a text's length nor what else it holds hides its insults. It is not
+accepted if that is above a threshold: the quantile of clean texts kept from training, times the margin, and no less than the
+log odds of clean texts against toxic ones, less what one word takes (a run has a word at least). Rows labelled both ways are toxic; without labels of both kinds nothing is judged as toxic.
+
 Null and empty texts, and texts of white space, have no perplexity and are not accepted. Null languages are a language of their
 own. Rows with a null key are never trusted. Repeated rows get equal results and count as often in training. Further columns are left out. Without any trusted text all
 texts with words are accepted.
@@ -17,11 +25,14 @@ texts with words are accepted.
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +45,8 @@ HELD_OUT, LEAST_HELD = 10, 20
 CHUNK_CHARS = 10_000_000
 #: Up to so many ids of trusted documents (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Labelled texts from which on a word is known to the models of toxic and clean text, and what each word takes from a run's sum.
+LEAST_TEXTS, DRIFT = 5, 1.0
 FIRST, LAST = 2, 3  # code points that mark a word's begin and end
 
 
@@ -122,6 +135,68 @@ def train(docs: DataFrame, text: str = "text", order: int = ORDER) -> DataFrame:
     return written(model, "model")
 
 
+WHOLE_WORDS = re.compile(r"[^\W_]+").findall
+
+
+def whole_words(text: str) -> list[str]:
+    return WHOLE_WORDS(text.lower())
+
+
+def word_key(word: str) -> int:
+    """Apart from the keys of n-grams."""
+    return xxhash.xxh3_64_intdigest(word, seed=1)
+
+
+def count_words(labelled: DataFrame, text: str) -> DataFrame:
+    """key, clean and toxic (how many such texts have the word), of texts with a column `toxic`."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = Counter(), Counter()
+        for frame in frames:
+            for t, toxic in zip(frame[text], frame["toxic"], strict=True):
+                found[toxic].update(set(whole_words(t)))
+            if sum(map(len, found)) > 400_000:
+                yield table(*found)
+                found = Counter(), Counter()
+        if any(found):
+            yield table(*found)
+
+    def table(clean: Counter, toxic: Counter) -> pd.DataFrame:
+        words = list(clean.keys() | toxic.keys())
+        keys = np.fromiter(map(word_key, words), np.uint64, len(words)).view(np.int64)
+        return pd.DataFrame({"key": keys, "clean": [clean[w] for w in words], "toxic": [toxic[w] for w in words]})
+
+    counted = labelled.select(text, "toxic").where(F.col(text).isNotNull()).mapInPandas(run, "key long, clean long, toxic long")
+    return counted.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+
+def train_ratios(labelled: DataFrame, text: str = "text") -> DataFrame | None:
+    """key and ratio (log of the toxic model's probability by the clean one's) of each known word; None without words of both kinds."""
+    kinds = ("clean", "toxic")
+    counts = written(count_words(labelled, text), "words")
+    totals = counts.agg(*(F.sum(k).alias(k) for k in kinds)).first()
+    if not (totals["clean"] and totals["toxic"]):
+        return None
+    known = counts.where(F.col("clean") + F.col("toxic") >= LEAST_TEXTS)
+    by_kind = discounts(known.select(F.lit(0).alias("n"), F.col("clean").alias("c")).unionByName(known.select(F.lit(1).alias("n"), F.col("toxic").alias("c"))).where("c > 0"))
+    for n, k in enumerate(kinds):
+        d = F.lit(0.0)
+        for c, v in enumerate(by_kind.get(n, (0.5, 1.25, 2.0)), 1):
+            d = F.when(F.least(k, F.lit(3)) == c, v).otherwise(d)
+        known = known.withColumn(f"d_{k}", d)
+    sums = known.agg(F.count(F.lit(1)).alias("words"), *(F.sum(f"d_{k}").alias(k) for k in kinds)).first()
+    if not (sums["clean"] and sums["toxic"]):
+        return None
+    clean, toxic = ((F.col(k) - F.col(f"d_{k}") + sums[k] / (sums["words"] + 1)) / totals[k] for k in kinds)
+    return written(known.select("key", F.log(toxic / clean).cast("float").alias("ratio")), "ratios")
+
+
+def toxicity(values: Iterator[float]) -> float:
+    """Largest sum of a run of values, 0 for none."""
+    sums = np.cumsum(np.concatenate([[0.0], np.fromiter(values, np.float64)]))
+    return float((sums - np.minimum.accumulate(sums)).max())
+
+
 def word_scores(words: list[str], order: int, asked: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, symbols: int) -> np.ndarray:
     """Log probability of each word with its end; asked is sorted, n-grams beyond it are unseen."""
     keys, place, word = grams(words, order)
@@ -141,11 +216,14 @@ def word_scores(words: list[str], order: int, asked: np.ndarray, alpha: np.ndarr
     return np.bincount(word, weights=np.where(place > 0, np.log(p), 0.0), minlength=len(words))
 
 
-def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, also: tuple[str, ...] = ()) -> DataFrame:
-    """key, the columns `also`, and perplexity (null without words) of each row."""
+def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, also: tuple[str, ...] = (), ratios: DataFrame | None = None) -> DataFrame:
+    """key, the columns `also`, and perplexity (null without words) of each row; with `ratios` also toxicity."""
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     chunks = max(8, math.ceil(chars / CHUNK_CHARS))
     symbols = max(1, model.where("n = 1").count())
+    rated = ratios is not None
+    if rated:
+        model = model.unionByName(ratios.select("key", F.lit(None).cast("int").alias("n"), F.col("ratio").alias("alpha"), F.lit(0.0).cast("float").alias("gamma")))
 
     @F.pandas_udf("binary")
     def squeezed(texts: pd.Series) -> pd.Series:
@@ -162,6 +240,9 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
     def ask(frame: pd.DataFrame) -> pd.DataFrame:
         words = list(vocabulary(texts_of(frame)))
         wanted = np.unique(grams(words, order)[0]) if words else np.zeros(1, np.uint64)
+        if rated:
+            own = {w for t in words for w in whole_words(t)}
+            wanted = np.union1d(wanted, np.fromiter(map(word_key, own), np.uint64, len(own)))
         shard = wanted % np.uint64(chunks)
         return pd.DataFrame([(int(frame["chunk"].iat[0]), s, pack_sorted(wanted[shard == np.uint64(s)])) for s in range(chunks)], columns=["chunk", "shard", "wanted"])
 
@@ -180,16 +261,32 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
         by = np.argsort(parts[0])
         words = list(vocabulary(texts_of(mine)))
         scores = dict(zip(words, word_scores(words, order, *(x[by] for x in parts), symbols).tolist(), strict=True)) if words else {}
-        out = []
+        steps = steps_of(words, parts[0][by], parts[1][by]) if rated else {}
+        out, toxic = [], []
         for t in texts_of(mine):
             own = t.split()
             out.append(math.exp(-math.fsum(map(scores.__getitem__, own)) / (sum(map(len, own)) + len(own))) if own else None)
-        return mine[[key, *also]].assign(perplexity=pd.Series(out, index=mine.index, dtype="float64"))
+            if rated:
+                toxic.append(toxicity(chain.from_iterable(map(steps.__getitem__, own))) if own else None)
+        found = mine[[key, *also]].assign(perplexity=pd.Series(out, index=mine.index, dtype="float64"))
+        return found.assign(toxicity=pd.Series(toxic, index=mine.index, dtype="float64")) if rated else found
+
+    def steps_of(words: list[str], asked: np.ndarray, ratio: np.ndarray) -> dict[str, tuple[float, ...]]:
+        """What each whole word of a word adds to a run's sum; nearly all are unknown and share one tuple."""
+        split = [whole_words(w) for w in words]
+        distinct = list({w for own in split for w in own})
+        keys = np.fromiter(map(word_key, distinct), np.uint64, len(distinct))
+        at = np.minimum(np.searchsorted(asked, keys), max(len(asked) - 1, 0))
+        hit = asked[at] == keys if len(asked) else np.zeros(len(keys), bool)
+        known = {distinct[i]: float(ratio[at[i]]) - DRIFT for i in np.flatnonzero(hit)}
+        unknown = (-DRIFT,)
+        return {w: unknown if len(own) == 1 and own[0] not in known else tuple(known.get(x, -DRIFT) for x in own) for w, own in zip(words, split, strict=True)}
 
     asks = chunked.groupBy("chunk").applyInPandas(ask, "chunk int, shard int, wanted binary")
     dealt = model.withColumn("shard", unsigned_mod(F.col("key"), chunks))
     answers = asks.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(answer, "chunk int, keys binary, alpha binary, gamma binary")
     kind = docs.select(key, *also).withColumn("perplexity", F.lit(None).cast("double")).schema
+    kind = kind.add("toxicity", "double") if rated else kind
     return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(judge, kind)
 
 
@@ -203,21 +300,43 @@ def trusted_only(docs: DataFrame, trusted: DataFrame, key: str) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_semi")
 
 
-def classify(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
-    """key, language, perplexity, threshold and accepted of each row; `trusted` has the keys of the trusted texts."""
+def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """The texts with a label, and toxic: 1 or 0."""
+    return docs.select(key, text).join(F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels, key)
+
+
+def classify(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, labels: DataFrame | None = None) -> DataFrame:
+    """key, language, perplexity, threshold and accepted of each row; `trusted` has the keys of the trusted texts. With `labels` (key
+    and toxic, 1 or 0; other rows say nothing) also toxicity and toxicity_threshold, null where nothing is judged as toxic."""
     held = F.pmod(F.xxhash64(key), F.lit(HELD_OUT)) == 0
     model = train(trusted_only(docs, trusted.where(~held), key), text, order)
-    scored = written(score(docs, model, key, text, order, also=(lang,)), "scores")
+    ratios = None
+    if labels is not None:
+        labels = labels.where(F.col(key).isNotNull() & F.col("toxic").isin(0, 1)).groupBy(key).agg(F.max("toxic").cast("int").alias("toxic"))
+        ratios = train_ratios(labelled_texts(docs, labels.where(~held), key, text), text)
+    scored = written(score(docs, model, key, text, order, also=(lang,), ratios=ratios), "scores")
     known = scored.join(trusted.select(key).distinct(), key, "left_semi").where("perplexity IS NOT NULL")
 
-    def cut(of: Column) -> Column:
-        return F.percentile_approx(of, F.lit(quantile), F.lit(10_000)) * margin
+    def cut(of: str) -> Column:
+        apart = F.when(held, F.col(of))
+        at = lambda x: F.percentile_approx(x, F.lit(quantile), F.lit(10_000)) * margin
+        return F.when(F.count(apart) >= LEAST_HELD, at(apart)).otherwise(at(F.col(of)))
 
-    apart = F.when(held, F.col("perplexity"))
-    threshold = F.when(F.count(apart) >= LEAST_HELD, cut(apart)).otherwise(cut(F.col("perplexity")))
-    everywhere = known.agg(threshold.alias("overall"))
-    cuts = known.groupBy(lang).agg(threshold.alias("own"))
+    everywhere = known.agg(cut("perplexity").alias("overall"))
+    cuts = known.groupBy(lang).agg(cut("perplexity").alias("own"))
     # One row for each language.
     out = scored.join(cuts.withColumnRenamed(lang, "_lang"), F.col(lang).eqNullSafe(F.col("_lang")), "left").crossJoin(F.broadcast(everywhere))
     threshold = F.coalesce("own", "overall", F.lit(float("inf")))
-    return out.select(key, lang, "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & (F.col("perplexity") <= threshold)).alias("accepted"))
+    accepted = F.col("perplexity").isNotNull() & (F.col("perplexity") <= threshold)
+    if labels is None:
+        return out.select(key, lang, "perplexity", threshold.alias("threshold"), accepted.alias("accepted"))
+    if ratios is None:
+        out, limit = out.withColumn("toxicity", F.lit(None).cast("double")), F.lit(None).cast("double")
+    else:
+        clean = F.sum(F.when(F.col("toxic") == 0, 1).otherwise(0))
+        of_clean = F.coalesce(cut("_clean"), F.lit(0.0))
+        rated = scored.join(labels, key).where("toxicity IS NOT NULL").withColumn("_clean", F.when(F.col("toxic") == 0, F.col("toxicity")))
+        out = out.crossJoin(F.broadcast(rated.agg(F.greatest(of_clean, F.log(clean / F.sum("toxic")) - DRIFT).alias("limit"))))
+        limit = F.col("limit")
+    accepted = accepted & ~F.coalesce(F.col("toxicity") > limit, F.lit(False))
+    return out.select(key, lang, "perplexity", threshold.alias("threshold"), "toxicity", limit.alias("toxicity_threshold"), accepted.alias("accepted"))

@@ -27,8 +27,8 @@ def op3_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trusted = table(spark, sf_dir, "labels").where("quality = 1")
-    return knlm.classify(table(spark, sf_dir, "documents"), trusted)
+    labels = table(spark, sf_dir, "labels")
+    return knlm.classify(table(spark, sf_dir, "documents"), labels.where("quality <=> 1 AND toxic <=> 0"), labels=labels)
 
 
 def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

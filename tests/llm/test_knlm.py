@@ -90,3 +90,40 @@ def test_held_out(spark):
     share = {r.quality: r.share for r in found.collect()}
     assert share[1] >= 0.97
     assert share[0] <= 0.25
+
+
+def test_toxic_documents():
+    """One run of insults decides, wherever it stands and however long the text is."""
+    steps = [-1.0, 4.5, -1.0, 4.0, -1.0, -1.0]
+    assert knlm.toxicity(iter(steps)) == 7.5
+    assert knlm.toxicity(iter([-1.0] * 9_000 + steps)) == 7.5
+    assert knlm.toxicity(iter([])) == 0.0
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_toxic_held_out(spark, size):
+    """Labelled documents whose labels were not given: those with insults go, clean ones stay, and insults in trusted text do not hide them."""
+    d = f"/root/testdata/{size}"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    given = labels.where("doc_id % 4 > 0")
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    docs = docs.union(spark.createDataFrame([(10**7, None, "en", "s", 0), (10**7 + 1, "You IDIOT, moron-like scum! " + "of the and " * 4000, "en", "s", 0)], docs.schema))
+    found = knlm.classify(docs, given.where("quality <=> 1 AND toxic <=> 0"), labels=given)
+    rows = found.join(docs.select("doc_id", "text"), "doc_id").join(labels.withColumnRenamed("toxic", "label"), "doc_id", "left").collect()
+    insult = lambda t: bool({"trash", "idiot", "moron", "scum", "clown", "loser"} & set(knlm.whole_words(t)))
+    judged = lambda of: [r.toxicity > r.toxicity_threshold for r in of]
+    test = [r for r in rows if r.doc_id % 4 == 0 and r.doc_id < 10**7]
+    toxic, clean = judged(r for r in test if r.label == 1 and insult(r.text)), judged(r for r in test if r.label == 0)
+    assert sum(toxic) >= 0.95 * len(toxic) > 0
+    assert sum(clean) <= 0.02 * len(clean)
+    own = {r.doc_id: r for r in rows if r.doc_id >= 10**7}
+    assert own[10**7].toxicity is None and not own[10**7].accepted
+    assert judged([own[10**7 + 1]]) == [True] and not own[10**7 + 1].accepted
+
+
+def test_no_toxic_labels(spark):
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(TRUSTED)], "doc_id long, text string, lang string")
+    for kind in (0, 1, None):
+        labels = docs.select("doc_id", F.lit(kind).cast("int").alias("toxic"))
+        found = knlm.classify(docs, docs.select("doc_id"), labels=labels).collect()
+        assert all(r.accepted and r.toxicity is None and r.toxicity_threshold is None for r in found)
