@@ -6,13 +6,14 @@ a pair left. An ordered aggregation over (doc, pos, id) rows decodes. No row lea
 
 Nulls count as empty texts; an empty text has no tokens. Repeated rows give repeated results, further columns are kept by
 `encode` unless they have a result's name. A match of n bytes takes up to n rounds, so that single matches of many thousand bytes
-are slow, though right.
+are slow, though right: the recursion keeps all its rounds, so it stops after as many as ROWS allows and starts again from its last one.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 #: Characters of text that a task holds at once, and distinct words that it remembers.
 BATCH_CHARS = 4_000_000
 KEPT_WORDS = 700_000
+#: Bytes of words that go into one recursion (or one word), and rows that it may keep over all its rounds (or two rounds).
+WORD_BYTES, ROWS = 1_000_000, 8_000_000
 
 #: `start` and so every round holds a word's rows together and by pos: one thread keeps the order of rows, and OVER () follows it.
 #: encode_words() checks that each result covers its word without gaps, which a broken order would not.
 ENCODE = """
 WITH RECURSIVE step(round, word, pos, id, size) AS (
-    SELECT 0, word, pos, id, 1 FROM start
+    SELECT 0, word, pos, id, size FROM start
     UNION ALL
     SELECT round + 1, word, pos, CASE WHEN chosen THEN (pick // 4294967296)::INTEGER ELSE id END, CASE WHEN chosen THEN size + added ELSE size END
     FROM (
@@ -41,13 +44,13 @@ WITH RECURSIVE step(round, word, pos, id, size) AS (
             SELECT round, word, pos, id, size, lead(size) OVER () AS added, CASE WHEN lag(word) OVER () = word THEN lag(pos) OVER () END AS before FROM step
         ) AS p JOIN (
             SELECT word, min(m.rank * 4294967296 + pos) AS pick
-            FROM (SELECT word, pos, CASE WHEN lead(pos) OVER () = pos + size AND lead(word) OVER () = word THEN id * 4294967296 + lead(id) OVER () END AS pair FROM step)
-            JOIN merges AS m USING (pair) GROUP BY word
+            FROM (SELECT round, word, pos, CASE WHEN lead(pos) OVER () = pos + size AND lead(word) OVER () = word THEN id * 4294967296 + lead(id) OVER () END AS pair FROM step)
+            JOIN merges AS m USING (pair) GROUP BY word HAVING min(round) < $rounds
         ) AS k USING (word)
     )
     WHERE gone IS NOT TRUE
 )
-SELECT word, pos, id, size FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) ORDER BY word, pos
+SELECT word, pos, id, size, round FROM step JOIN (SELECT word, max(round) AS round FROM step GROUP BY word) USING (word, round) ORDER BY word, pos
 """
 
 DECODE = "SELECT doc, string_agg(hex, '' ORDER BY pos) AS hex FROM tokens JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc"
@@ -63,7 +66,7 @@ def ranks(path: str) -> dict[bytes, int]:
 def database(path: str) -> duckdb.DuckDBPyConnection:
     """An in-memory database of this process, with the vocabulary and every split of a token into two tokens."""
     known = ranks(path)
-    db = duckdb.connect(config={"threads": 1, "memory_limit": "900MB", "temp_directory": ""})
+    db = duckdb.connect(config={"threads": 1, "memory_limit": "900MB", "temp_directory": tempfile.mkdtemp(prefix="plumeline-bpe-")})
     pairs = [(known[t[:i]] << 32 | known[t[i:]], r) for t, r in known.items() for i in range(1, len(t)) if t[:i] in known and t[i:] in known]
     merges = pa.table({"pair": pa.array([a for a, _ in pairs], pa.int64()), "rank": pa.array([b for _, b in pairs], pa.int64())})
     vocabulary = pa.table({"id": pa.array(list(known.values()), pa.int32()), "hex": pa.array([t.hex() for t in known])})
@@ -74,26 +77,46 @@ def database(path: str) -> duckdb.DuckDBPyConnection:
     return db
 
 
+def contracted(words: list[bytes], known: dict[bytes, int], db: duckdb.DuckDBPyConnection) -> list[bytes]:
+    """The ids of each word; words that have pairs left after a recursion's rounds go into the next one."""
+    single = np.array([known[bytes([b])] for b in range(256)], np.int32)
+    sizes = np.array([len(w) for w in words], np.int64)
+    begins = np.cumsum(sizes) - sizes
+    ids = single[np.frombuffer(b"".join(words), np.uint8)]
+    left = {"word": np.repeat(np.arange(len(words), dtype=np.int32), sizes), "pos": np.arange(len(ids)) - np.repeat(begins, sizes), "id": ids, "size": np.ones(len(ids), np.int32)}
+    found: list[bytes] = [b""] * len(words)
+    while len(left["word"]):
+        rounds = max(1, ROWS // len(left["word"]) - 1)
+        db.register("start", pa.table(left))
+        out = db.execute(ENCODE, {"rounds": rounds}).fetchnumpy()
+        db.unregister("start")
+        firsts = np.flatnonzero(np.diff(out["word"], prepend=-1))
+        held = out["word"][firsts]
+        ends = out["pos"] + out["size"]
+        follows = np.append(out["pos"][1:], 0)
+        last = np.append(firsts[1:], len(ends)) - 1
+        follows[last] = sizes[held]
+        if (held != np.unique(left["word"])).any() or out["pos"][firsts].any() or (ends != follows).any():
+            raise AssertionError("the query lost the order of its rows")
+        data = out["id"].astype("<u4").tobytes()
+        done = out["round"][firsts] < rounds
+        for word, a, b in zip(held[done].tolist(), firsts[done].tolist(), last[done].tolist(), strict=True):
+            found[word] = data[a * 4 : b * 4 + 4]
+        more = out["round"] == rounds
+        left = {c: np.ascontiguousarray(out[c][more]) for c in ("word", "pos", "id", "size")}
+    return found
+
+
 def encode_words(words: list[bytes], path: str) -> list[bytes]:
     """The ids of each distinct word, as little-endian unsigned 32-bit integers."""
     known, db = ranks(path), database(path)
     found: list[bytes | None] = [known[w].to_bytes(4, "little") if w in known else None for w in words]
     todo = [i for i, x in enumerate(found) if x is None]
-    if todo:
-        single = np.array([known[bytes([b])] for b in range(256)], np.int32)
-        sizes = np.array([len(words[i]) for i in todo])
-        ends = np.cumsum(sizes)
-        ids = single[np.frombuffer(b"".join(words[i] for i in todo), np.uint8)]
-        db.register("start", pa.table({"word": np.repeat(np.arange(len(todo), dtype=np.int32), sizes), "pos": np.arange(len(ids)) - np.repeat(ends - sizes, sizes), "id": ids}))
-        out = db.execute(ENCODE).fetchnumpy()
-        db.unregister("start")
-        at = np.append(out["pos"] + (ends - sizes)[out["word"]], len(ids))
-        if at[0] or (at[1:] != at[:-1] + out["size"]).any():
-            raise AssertionError("the query lost the order of its rows")
-        cuts = (np.searchsorted(out["word"], np.arange(len(todo) + 1)) * 4).tolist()
-        data = out["id"].astype("<u4").tobytes()
-        for k, i in enumerate(todo):
-            found[i] = data[cuts[k] : cuts[k + 1]]
+    sizes = np.array([len(words[i]) for i in todo], np.int64)
+    part = np.cumsum(sizes) // WORD_BYTES
+    for own in np.split(np.array(todo, np.int64), np.flatnonzero(np.diff(part)) + 1) if todo else ():
+        for i, ids in zip(own.tolist(), contracted([words[i] for i in own], known, db), strict=True):
+            found[i] = ids
     return found
 
 

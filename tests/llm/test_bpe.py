@@ -38,3 +38,17 @@ def test_encode_and_decode_keep_columns(spark, tk):
     assert back.columns == ["doc_id", "text", "other", "ids", "decoded"]
     assert all((r.decoded or b"").decode() == (r.text or "") for r in back.collect())
     assert "ids" in bpe.encode(docs, PATH, P.PATTERN).columns
+
+
+def test_long_match(tk):
+    """One match whose rounds do not fit into memory together."""
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("acgt"), 14_000)).encode(), b"the", b"acgtacgt"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_words(words, PATH)] == [tk._core_bpe.encode_single_piece(w) for w in words]
+
+
+def test_rounds_restart(tk, monkeypatch):
+    monkeypatch.setattr(bpe, "ROWS", 40)
+    monkeypatch.setattr(bpe, "WORD_BYTES", 30)
+    words = ["the", "zqxj", "aaaaaaa", "ababababab", "x" * 90, "éèüß", "9" * 50, " hello", "字" * 20, "qzqzqz"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_words([w.encode() for w in words], PATH)] == [tk._core_bpe.encode_single_piece(w.encode()) for w in words]
