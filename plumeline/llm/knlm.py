@@ -3,8 +3,9 @@
 The model predicts each character of a word, and the word's end, from the characters before it, up to `order` together. It is
 trained on trusted text: tasks count the n-grams of their distinct words, Spark adds the counts up, derives continuation counts,
 discounts and interpolation weights by grouping and joins, and keeps them as one table dealt out by n-gram. To score, documents are
-gathered into chunks; a chunk asks every shard of the table for the n-grams of its distinct words and gets their weights back, so
-that neither a text nor the model passes through one place. Counts, n-grams asked for and scores all grow with the input.
+packed into batches; a batch asks the shards of the table for the n-grams of its distinct words and gets their weights back, so
+that neither a text nor the model passes through one place. Counts, n-grams asked for and scores all grow with the input, as new
+words do. Texts of any length are taken whole; n-grams are made of a bounded number of characters at once, or of one word.
 
 A document's perplexity is that of its characters. It is accepted if that is no more than the threshold of its language: a quantile
 of trusted texts of that language that were kept from training, times a margin; languages without trusted text take that of all.
@@ -18,17 +19,18 @@ accepted if that is above a threshold: the quantile of clean texts kept from tra
 log odds of clean texts against toxic ones, less what one word takes (a run has a word at least). Rows labelled both ways are toxic; without labels of both kinds nothing is judged as toxic.
 
 Null and empty texts, and texts of white space, have no perplexity and are not accepted. Null languages are a language of their
-own. Rows with a null key are never trusted. Repeated rows get equal results and count as often in training. Further columns are left out. Without any trusted text all
-texts with words are accepted.
+own. Rows with a null key are judged, but never trusted. Repeated rows get equal results and count as often in training, as do rows
+that share a key. A perplexity equal to its threshold is accepted. Further columns are left out. Without any trusted text all texts
+with words are accepted; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
-from itertools import chain
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -39,10 +41,13 @@ from pyspark.sql import functions as F
 
 from .common import BASE, mix, pack, pack_sorted, unpack, unpack_sorted, written
 
-ORDER, QUANTILE, MARGIN = 4, 0.995, 1.1
+ORDER, QUANTILE, MARGIN = 6, 0.995, 1.1
 #: One in so many trusted texts is not trained on and sets the threshold, in languages with at least LEAST_HELD such texts; else all set it.
 HELD_OUT, LEAST_HELD = 10, 20
-CHUNK_CHARS = 10_000_000
+#: Characters of texts in a batch, and of words whose n-grams a task holds at once.
+CHUNK_CHARS, COUNT_CHARS, ASK_WORDS = 8_000_000, 1_000_000, 100_000
+#: N-grams of a shard of the model, and batches (by the number of shards) that ask it at once.
+SHARD_GRAMS, SLICE_BATCHES = 2_000_000, 64
 #: Up to so many ids of trusted documents (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Labelled texts from which on a word is known to the models of toxic and clean text, and what each word takes from a run's sum.
@@ -50,22 +55,24 @@ LEAST_TEXTS, DRIFT = 5, 1.0
 FIRST, LAST = 2, 3  # code points that mark a word's begin and end
 
 
-def grams(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For the words' characters with their marks: keys[n, i], the n-gram that ends at i (keys[0] is 0, the empty one), place of i in its word, and word of i."""
+def orders(words: list[str], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For n from 0 to order and the words' characters with their marks: n, the n-grams that end at each character (0 is the empty one), the
+    character's place in its word, and its word."""
     sizes = np.array([len(w) for w in words], np.int64) + 2
     ends = np.cumsum(sizes)
     chars = np.frombuffer((chr(FIRST) + f"{chr(LAST)}{chr(FIRST)}".join(words) + chr(LAST)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), sizes)
-    place = np.arange(len(chars)) - np.repeat(ends - sizes, sizes)
-    keys = np.zeros((order + 1, len(chars)), np.uint64)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    place = (np.arange(len(chars)) - np.repeat(ends - sizes, sizes)).astype(np.int32)
+    keys = np.zeros(len(chars), np.uint64)
+    yield 0, keys, place, word
     for n in range(1, order + 1):
-        keys[n] = chars
-        keys[n, 1:] += keys[n - 1, :-1] * BASE
-        keys[n] = mix(keys[n] + np.uint64(n))
-    return keys, place, word
+        longer = chars + np.uint64(n)
+        longer[1:] += keys[:-1] * BASE
+        keys = mix(longer)
+        yield n, keys, place, word
 
 
-def vocabulary(texts: Iterator[str]) -> Counter:
+def vocabulary(texts: Iterable[str]) -> Counter:
     found: Counter = Counter()
     for t in texts:
         found.update(t.split())
@@ -80,24 +87,38 @@ def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: Counter = Counter()
+        held = 0
         for frame in frames:
-            found.update(vocabulary(frame[text].dropna()))
-            if len(found) > 400_000:
-                yield from table(found)
-                found = Counter()
-        if found:
-            yield from table(found)
-
-    def table(found: Counter) -> Iterator[pd.DataFrame]:
-        words = list(found)
-        keys, place, word = grams(words, order)
-        weight = np.fromiter(found.values(), np.int64, len(words))[word]
-        for n in range(1, order + 1):
-            at = np.flatnonzero(place >= max(1, n - 1))
-            own, where, inverse = np.unique(keys[n, at], return_index=True, return_inverse=True)
-            raw = np.bincount(inverse, weights=np.where((n == order) | (place[at] == n - 1), weight[at], 0)).astype(np.int64)
-            i = at[where]
-            yield pd.DataFrame({"n": n, "key": own.view(np.int64), "context": keys[n - 1, i - 1].view(np.int64), "suffix": keys[n - 1, i].view(np.int64), "raw": raw})
+            for t in frame[text].dropna():
+                new = vocabulary([t])
+                held += sum(len(w) for w in new if w not in found)
+                found.update(new)
+                if held > COUNT_CHARS:
+                    yield from tables(found)
+                    found, held = Counter(), 0
+        yield from tables(found)
+
+    def tables(found: Counter) -> Iterator[pd.DataFrame]:
+        """Some words at a time, so that their n-grams take bounded memory; a word longer than that comes alone."""
+        words, at = list(found), 0
+        while at < len(words):
+            size, end = 0, at
+            while end < len(words) and (end == at or size + len(words[end]) <= COUNT_CHARS):
+                size += len(words[end])
+                end += 1
+            yield from table(words[at:end], np.fromiter((found[w] for w in words[at:end]), np.int64, end - at))
+            at = end
+
+    def table(words: list[str], times: np.ndarray) -> Iterator[pd.DataFrame]:
+        suffix = None
+        for n, keys, place, word in orders(words, order):
+            if n:
+                at = np.flatnonzero(place >= max(1, n - 1))
+                own, where, inverse = np.unique(keys[at], return_index=True, return_inverse=True)
+                raw = np.bincount(inverse, weights=np.where((n == order) | (place[at] == n - 1), times[word[at]], 0)).astype(np.int64)
+                i = at[where]
+                yield pd.DataFrame({"n": n, "key": own.view(np.int64), "context": suffix[i - 1].view(np.int64), "suffix": suffix[i].view(np.int64), "raw": raw})
+            suffix = keys
 
     counted = docs.select(text).mapInPandas(run, COUNTS)
     return counted.groupBy("n", "key", "context", "suffix").agg(F.sum("raw").alias("raw"))
@@ -155,7 +176,7 @@ def count_words(labelled: DataFrame, text: str) -> DataFrame:
         for frame in frames:
             for t, toxic in zip(frame[text], frame["toxic"], strict=True):
                 found[toxic].update(set(whole_words(t)))
-            if sum(map(len, found)) > 400_000:
+            if sum(map(len, found)) > 200_000:
                 yield table(*found)
                 found = Counter(), Counter()
         if any(found):
@@ -191,103 +212,165 @@ def train_ratios(labelled: DataFrame, text: str = "text") -> DataFrame | None:
     return written(known.select("key", F.log(toxic / clean).cast("float").alias("ratio")), "ratios")
 
 
-def toxicity(values: Iterator[float]) -> float:
+def toxicity(values: np.ndarray) -> float:
     """Largest sum of a run of values, 0 for none."""
-    sums = np.cumsum(np.concatenate([[0.0], np.fromiter(values, np.float64)]))
+    sums = np.concatenate([[0.0], np.cumsum(values)])
     return float((sums - np.minimum.accumulate(sums)).max())
 
 
-def word_scores(words: list[str], order: int, asked: np.ndarray, alpha: np.ndarray, gamma: np.ndarray, symbols: int) -> np.ndarray:
-    """Log probability of each word with its end; asked is sorted, n-grams beyond it are unseen."""
-    keys, place, word = grams(words, order)
+class Weights:
+    """alpha and gamma of sorted n-grams; others are unseen."""
+
+    def __init__(self, keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray):
+        by = np.argsort(keys, kind="stable")
+        end = np.uint64(2**64 - 1)  # stands for what is beyond all keys
+        self.keys, self.alpha, self.gamma = np.append(keys[by], end), np.append(alpha[by], np.float32(0)), np.append(gamma[by], np.float32(1))
+
+    def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        at[self.keys[at] != keys] = len(self.keys) - 1
+        return self.alpha[at], self.gamma[at]
+
+
+def word_scores(words: list[str], order: int, weights: Weights, symbols: int) -> np.ndarray:
+    """Log probability of each word with its end."""
+    out, at = np.zeros(len(words)), 0
+    while at < len(words):
+        size, end = 0, at
+        while end < len(words) and (end == at or size + len(words[end]) <= COUNT_CHARS):
+            size += len(words[end])
+            end += 1
+        p, spare = None, None
+        for n, keys, place, word in orders(words[at:end], order):
+            alpha, gamma = weights.of(keys)
+            if n:
+                p = np.where(place >= n - 1, alpha + spare * p, p)
+                spare = np.concatenate([[1.0], gamma[:-1]])
+            else:
+                p, spare = np.full(len(keys), 1.0 / (symbols + 1)), gamma
+        out[at:end] = np.bincount(word, weights=np.where(place > 0, np.log(p), 0.0), minlength=end - at)
+        at = end
+    return out
 
-    def weights(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(asked, of), max(len(asked) - 1, 0))
-        hit = asked[at] == of if len(asked) else np.zeros(len(of), bool)
-        return np.where(hit, alpha[at], 0.0) if len(asked) else np.zeros(len(of)), np.where(hit, gamma[at], 1.0) if len(asked) else np.ones(len(of))
 
-    p = np.full(len(place), 1.0 / (symbols + 1))
-    spare = np.full(len(place), weights(np.zeros(1, np.uint64))[1][0])
-    for n in range(1, order + 1):
-        a, g = weights(keys[n])
-        history = place >= n - 1
-        p = np.where(history, a + spare * p, p)
-        spare = np.concatenate([[1.0], g[:-1]])
-    return np.bincount(word, weights=np.where(place > 0, np.log(p), 0.0), minlength=len(words))
+def packed(docs: DataFrame, key: str, text: str, also: tuple[str, ...]) -> DataFrame:
+    """The texts in batches of CHUNK_CHARS characters or one text, each a row of a written table: batch, the columns as arrays of strings, and the squeezed texts."""
+    names = (key, *also)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
+        for frame in frames:
+            for row in frame.itertuples(index=False, name=None):
+                held.append(row)
+                size += len(row[-1] or "")
+                if size >= CHUNK_CHARS:
+                    yield batch(held)
+                    held, size = [], 0
+        if held:
+            yield batch(held)
+
+    def batch(held: list[tuple]) -> pd.DataFrame:
+        *columns, texts = zip(*held, strict=True)
+        sizes = np.array([-1 if t is None else len(t.encode()) for t in texts], np.int64)
+        blob = "".join(t for t in texts if t is not None).encode()
+        row = {**dict(zip(names, map(list, columns), strict=True)), "sizes": pack(sizes), "texts": zstandard.ZstdCompressor(level=3).compress(blob)}
+        return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in row.items()})
+
+    given = docs.select(*[F.col(c).cast("string").alias(c) for c in names], text)
+    return written(given.mapInPandas(run, ", ".join(f"`{c}` array<string>" for c in names) + ", sizes binary, texts binary").withColumn("batch", F.expr("uuid()")), "batches")
+
+
+def texts_of(sizes: bytes, texts: bytes) -> Iterator[str]:
+    """Nulls count as empty."""
+    blob, at = zstandard.ZstdDecompressor().decompress(texts), 0
+    for size in unpack(sizes, "i8").tolist():
+        yield blob[at : at + max(size, 0)].decode()
+        at += max(size, 0)
 
 
 def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, also: tuple[str, ...] = (), ratios: DataFrame | None = None) -> DataFrame:
     """key, the columns `also`, and perplexity (null without words) of each row; with `ratios` also toxicity."""
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    chunks = max(8, math.ceil(chars / CHUNK_CHARS))
     symbols = max(1, model.where("n = 1").count())
     rated = ratios is not None
     if rated:
         model = model.unionByName(ratios.select("key", F.lit(None).cast("int").alias("n"), F.col("ratio").alias("alpha"), F.lit(0.0).cast("float").alias("gamma")))
+    batches = packed(docs, key, text, also)
+    # As many shards as the model needs; batches ask them in slices, so that what a shard gets at once is bounded by both sides' sizes.
+    shards = max(8, math.ceil(model.count() / SHARD_GRAMS))
+    slices = max(1, math.ceil(batches.count() / (SLICE_BATCHES * shards)))
 
-    @F.pandas_udf("binary")
-    def squeezed(texts: pd.Series) -> pd.Series:
-        press = zstandard.ZstdCompressor(level=3).compress
-        return pd.Series([None if t is None else press(t.encode()) for t in texts], dtype=object)
-
-    # Every text is dealt out once; asking and scoring share that exchange.
-    chunked = docs.select(key, *also, F.pmod(F.xxhash64(key, F.length(text)), F.lit(chunks)).cast("int").alias("chunk"), squeezed(text).alias("squeezed")).repartition(chunks, "chunk")
-
-    def texts_of(frame: pd.DataFrame) -> Iterator[str]:
-        expand = zstandard.ZstdDecompressor().decompress
-        return ("" if x is None else expand(x).decode() for x in frame["squeezed"])
-
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        words = list(vocabulary(texts_of(frame)))
-        wanted = np.unique(grams(words, order)[0]) if words else np.zeros(1, np.uint64)
-        if rated:
-            own = {w for t in words for w in whole_words(t)}
-            wanted = np.union1d(wanted, np.fromiter(map(word_key, own), np.uint64, len(own)))
-        shard = wanted % np.uint64(chunks)
-        return pd.DataFrame([(int(frame["chunk"].iat[0]), s, pack_sorted(wanted[shard == np.uint64(s)])) for s in range(chunks)], columns=["chunk", "shard", "wanted"])
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, sizes, texts in zip(frame["batch"], frame["sizes"], frame["texts"], strict=True):
+                words = list(vocabulary(texts_of(sizes, texts)))
+                wanted = [np.zeros(1, np.uint64)]
+                for at in range(0, len(words), ASK_WORDS):
+                    part = words[at : at + ASK_WORDS]
+                    wanted += [np.unique(keys[place >= n - 1]) for n, keys, place, _ in orders(part, order) if n]
+                if rated:
+                    own = {w for t in words for w in whole_words(t)}
+                    wanted.append(np.fromiter(map(word_key, own), np.uint64, len(own)))
+                asked = np.unique(np.concatenate(wanted))
+                shard = asked % np.uint64(shards)
+                by = np.argsort(shard, kind="stable")
+                cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+                rows = [(name, s, pack_sorted(asked[by[cuts[s] : cuts[s + 1]]])) for s in range(shards) if cuts[s] < cuts[s + 1]]
+                yield pd.DataFrame(rows, columns=["batch", "shard", "wanted"])
 
     def answer(key, asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         known = own["key"].to_numpy(np.int64).view(np.uint64)
         by = np.argsort(known)
         known, alpha, gamma = known[by], own["alpha"].to_numpy(np.float32)[by], own["gamma"].to_numpy(np.float32)[by]
         out = []
-        for chunk, wanted in zip(asks["chunk"], asks["wanted"], strict=True):
-            at = np.flatnonzero(np.isin(known, unpack_sorted(wanted), assume_unique=True))
-            out.append((chunk, pack_sorted(known[at]), pack(alpha[at]), pack(gamma[at])))
-        return pd.DataFrame(out, columns=["chunk", "keys", "alpha", "gamma"])
-
-    def judge(chunk, mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.concatenate([unpack_sorted(x) for x in got["keys"]]), *(np.concatenate([unpack(x, "f4") for x in got[c]]) for c in ("alpha", "gamma"))] if len(got) else [np.empty(0, np.uint64), np.empty(0), np.empty(0)]
-        by = np.argsort(parts[0])
-        words = list(vocabulary(texts_of(mine)))
-        scores = dict(zip(words, word_scores(words, order, *(x[by] for x in parts), symbols).tolist(), strict=True)) if words else {}
-        steps = steps_of(words, parts[0][by], parts[1][by]) if rated else {}
+        for batch, wanted in zip(asks["batch"], asks["wanted"], strict=True):
+            asked = unpack_sorted(wanted)
+            at = np.minimum(np.searchsorted(known, asked), max(len(known) - 1, 0))
+            at = at[known[at] == asked] if len(known) else at[:0]
+            out.append((batch, pack_sorted(known[at]), pack(alpha[at]), pack(gamma[at])))
+        return pd.DataFrame(out, columns=["batch", "keys", "alpha", "gamma"])
+
+    def judge(batch, mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.concatenate([unpack_sorted(x) for x in got["keys"]]), *(np.concatenate([unpack(x, "f4") for x in got[c]]) for c in ("alpha", "gamma"))] if len(got) else [np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.float32)]
+        weights, row = Weights(*parts), mine.iloc[0]
+        ids: dict[str, int] = defaultdict(count().__next__)  # words of the batch by first sight
+        split = [np.fromiter(map(ids.__getitem__, own), np.int32, len(own)) for own in map(str.split, texts_of(row["sizes"], row["texts"]))]
+        words = list(ids)
+        scores = word_scores(words, order, weights, symbols) if words else np.empty(0)
+        lengths = np.array([len(w) for w in words], np.int64) + 1
+        steps, ends = steps_of(words, weights) if rated else (None, None)
         out, toxic = [], []
-        for t in texts_of(mine):
-            own = t.split()
-            out.append(math.exp(-math.fsum(map(scores.__getitem__, own)) / (sum(map(len, own)) + len(own))) if own else None)
+        for own in split:
+            out.append(math.exp(-scores[own].sum() / lengths[own].sum()) if len(own) else None)
             if rated:
-                toxic.append(toxicity(chain.from_iterable(map(steps.__getitem__, own))) if own else None)
-        found = mine[[key, *also]].assign(perplexity=pd.Series(out, index=mine.index, dtype="float64"))
-        return found.assign(toxicity=pd.Series(toxic, index=mine.index, dtype="float64")) if rated else found
+                toxic.append(toxicity(steps[own] if ends is None else run_of(own, steps, ends)) if len(own) else None)
+        found = pd.DataFrame({c: pd.Series(list(row[c]), dtype=object) for c in (key, *also)})
+        found["perplexity"] = pd.Series(out, dtype="float64")
+        if rated:
+            found["toxicity"] = pd.Series(toxic, dtype="float64")
+        return found
 
-    def steps_of(words: list[str], asked: np.ndarray, ratio: np.ndarray) -> dict[str, tuple[float, ...]]:
-        """What each whole word of a word adds to a run's sum; nearly all are unknown and share one tuple."""
+    def steps_of(words: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray | None]:
+        """What each whole word of a word adds to a run's sum, one after the other, and where each word's end; ends are None if all words are whole ones."""
         split = [whole_words(w) for w in words]
         distinct = list({w for own in split for w in own})
         keys = np.fromiter(map(word_key, distinct), np.uint64, len(distinct))
-        at = np.minimum(np.searchsorted(asked, keys), max(len(asked) - 1, 0))
-        hit = asked[at] == keys if len(asked) else np.zeros(len(keys), bool)
-        known = {distinct[i]: float(ratio[at[i]]) - DRIFT for i in np.flatnonzero(hit)}
-        unknown = (-DRIFT,)
-        return {w: unknown if len(own) == 1 and own[0] not in known else tuple(known.get(x, -DRIFT) for x in own) for w, own in zip(words, split, strict=True)}
-
-    asks = chunked.groupBy("chunk").applyInPandas(ask, "chunk int, shard int, wanted binary")
-    dealt = model.withColumn("shard", unsigned_mod(F.col("key"), chunks))
-    answers = asks.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInPandas(answer, "chunk int, keys binary, alpha binary, gamma binary")
-    kind = docs.select(key, *also).withColumn("perplexity", F.lit(None).cast("double")).schema
-    kind = kind.add("toxicity", "double") if rated else kind
-    return chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(judge, kind)
+        ratio, gamma = weights.of(keys)
+        known = dict(zip(distinct, np.where(gamma == 0, ratio, 0.0).tolist(), strict=True))  # unknown words have a gamma of 1
+        flat = np.fromiter((known[x] for own in split for x in own), np.float64) - DRIFT
+        return flat, np.cumsum([0] + [len(own) for own in split])
+
+    def run_of(own: np.ndarray, steps: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sizes = ends[own + 1] - ends[own]
+        return steps[np.repeat(ends[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    asks = batches.select("batch", "sizes", "texts").mapInPandas(ask, "batch string, shard int, wanted binary").withColumn("slice", F.pmod(F.xxhash64("batch"), F.lit(slices)).cast("int"))
+    dealt = model.withColumn("shard", unsigned_mod(F.col("key"), shards)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    answers = asks.groupBy("shard", "slice").cogroup(dealt.groupBy("shard", "slice")).applyInPandas(answer, "batch string, keys binary, alpha binary, gamma binary")
+    measures = ["perplexity", "toxicity"][: 1 + rated]
+    kind = ", ".join([f"`{c}` string" for c in (key, *also)] + [f"{m} double" for m in measures])
+    judged = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInPandas(judge, kind)
+    return judged.select(*[F.col(c).cast(docs.schema[c].dataType) for c in (key, *also)], *measures)
 
 
 def unsigned_mod(x, m: int):

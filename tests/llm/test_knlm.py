@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,9 +96,9 @@ def test_held_out(spark):
 def test_toxic_documents():
     """One run of insults decides, wherever it stands and however long the text is."""
     steps = [-1.0, 4.5, -1.0, 4.0, -1.0, -1.0]
-    assert knlm.toxicity(iter(steps)) == 7.5
-    assert knlm.toxicity(iter([-1.0] * 9_000 + steps)) == 7.5
-    assert knlm.toxicity(iter([])) == 0.0
+    assert knlm.toxicity(np.array(steps)) == 7.5
+    assert knlm.toxicity(np.array([-1.0] * 9_000 + steps)) == 7.5
+    assert knlm.toxicity(np.array([])) == 0.0
 
 
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
@@ -127,3 +128,22 @@ def test_no_toxic_labels(spark):
         labels = docs.select("doc_id", F.lit(kind).cast("int").alias("toxic"))
         found = knlm.classify(docs, docs.select("doc_id"), labels=labels).collect()
         assert all(r.accepted and r.toxicity is None and r.toxicity_threshold is None for r in found)
+
+
+def test_long_words_and_null_keys(spark, monkeypatch):
+    """A text of 5 million characters without white space, null keys and repeated rows; small bounds change nothing."""
+    texts = [*TRUSTED, "x1" * 2_500_000, "the cat sat", "the cat sat"]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(None, "the cat sat", None), (7, "the cat sat", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    trusted = docs.where("doc_id < 6 OR doc_id IS NULL").select("doc_id")
+    find = lambda: sorted((-1 if r.doc_id is None else r.doc_id, r.perplexity, r.accepted) for r in knlm.classify(docs, trusted).collect())
+    found = find()
+    assert len(found) == len(rows)
+    assert len({p for i, p, _ in found if i in (-1, 7, 8)}) == 1
+    assert not next(a for i, _, a in found if i == 6)
+    for name, bound in (("COUNT_CHARS", 7), ("CHUNK_CHARS", 20), ("SHARD_GRAMS", 5), ("SLICE_BATCHES", 1)):
+        monkeypatch.setattr(knlm, name, bound)
+    small = spark.createDataFrame([r for r in rows if r[0] != 6], docs.schema)
+    again = sorted((-1 if r.doc_id is None else r.doc_id, r.perplexity) for r in knlm.classify(small, trusted).collect())
+    assert [i for i, _ in again] == [i for i, *_ in found if i != 6]
+    assert [p for _, p in again] == pytest.approx([p for i, p, _ in found if i != 6], rel=1e-6)
