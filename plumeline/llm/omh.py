@@ -3,16 +3,21 @@
 A document's k-mers are its runs of five words, each labelled with how often it came before. A sketch hashes all labelled k-mers and
 keeps the least few of them in the order of the text, so that two documents share a sketch if they share those k-mers and their
 order: its chance falls with edits, and also with moves, that a plain MinHash does not see. Documents that share a sketch are
-candidates. An alignment inside the band that the threshold allows verifies them: the longest chain of common labelled k-mers that
-rises in both texts, over all k-mers of the two (an ordered Jaccard similarity).
+candidates. Texts of up to SHORT k-mers, of which few sketches could be drawn, are candidates by a rule that loses nothing instead: of
+texts as alike as asked for, the least few k-mers by hash (n less the common ones that n k-mers need, and one) share one. An
+alignment inside the band that the threshold allows verifies candidates: the longest chain of common labelled k-mers that rises in
+both texts, over all k-mers of the two (an ordered Jaccard similarity).
 
-Texts that are equal as words are one node. The others of a bucket are first compared with its hub only; pairs of a bucket whose
-documents are linked by then, directly or not, need no comparison, all others get one. So a bucket of a thousand near copies
-costs a thousand comparisons, and no link between classes is lost.
+Texts that are equal as words are one node. The others of a bucket are first compared with its hub only. Buckets whose documents are
+linked by then, directly or not, are done. All others are compared in blocks: a bucket is cut by sizes, as texts of unlike size are
+never alike, and by hashes into blocks of bounded size; two blocks that meet count their common k-mers, align the pairs that reach the
+needed count and are not linked yet, and return a forest of links, never the pairs. So a bucket of a thousand near copies costs a
+thousand comparisons, and no link between classes is lost, however large a bucket is.
 
 Words are lower-cased runs of letters, digits and characters beyond ASCII; a shorter text is one k-mer. Texts without words (null,
-empty, only punctuation) link with nothing, rows with a null key neither. Repeated rows get the same class; further columns are
-ignored.
+empty, only punctuation) link with nothing, rows with a null key neither. Rows that share a key are one document, alike another if
+one of their texts is. Repeated rows get the same class; further columns are ignored; an empty table gives an empty table. A pair at
+exactly the threshold is linked. Whole texts are read, whatever their length.
 """
 
 from __future__ import annotations
@@ -30,12 +35,13 @@ from .common import BASE, WordHash, mix, windows, written
 from .graph import components
 from .phrases import words as plain_words
 
-#: With 6 k-mers each, 20 sketches find a pair of similarity 0.8 with probability 1 - (1 - 0.8 ** 6) ** 20 = 0.997, one of 0.9 with 1 - 3e-7.
-KMER, SKETCHES, KEPT, LEAST = 5, 20, 6, 0.8
-#: Comparisons left in all buckets, as a multiple of the documents, below which they are made at once; above, hubs take another turn, up to HUB_ROUNDS.
-AT_ONCE, HUB_ROUNDS = 4, 6
-#: Hubs of a bucket in later turns, drawn by a hash that all buckets share, so that the same pairs come up in several.
-HUBS = 4
+#: With 6 k-mers each, 20 sketches find a pair of long texts of similarity 0.8 with probability 1 - (1 - 0.8 ** 6) ** 20 = 0.997, one of 0.9 with
+#: 1 - 3e-7. Sketches draw without replacement, which tells in short texts; up to SHORT k-mers the exact rule holds.
+KMER, SKETCHES, KEPT, LEAST, SHORT = 5, 20, 6, 0.8, 30
+#: Documents and k-mers that a block holds at most (or one document), and distinct k-mers that are counted at once.
+BLOCK_DOCS, BLOCK_KMERS, AT_ONCE = 256, 400_000, 8_192
+#: Up to so many large cells (some 30 bytes each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_CELLS = 200_000
 
 
 def kmers(text: str | None, table: WordHash, k: int = KMER) -> np.ndarray:
@@ -70,6 +76,17 @@ def sketches(labelled: np.ndarray, count: int = SKETCHES, kept: int = KEPT) -> n
     return out
 
 
+def buckets(labelled: np.ndarray, least: float = LEAST) -> np.ndarray:
+    """Where a text looks for candidates: its sketches, or the least k-mers of a short text, or both where short and longer texts may be alike."""
+    n, found = len(labelled), []
+    if n <= SHORT / least:
+        needed = int(np.ceil(least * n - 1e-9))
+        found.append(mix(np.sort(labelled)[: n - needed + 1] + SEEDS[0]))
+    if n > SHORT:
+        found.append(mix(sketches(labelled) + SEEDS[: SKETCHES]))
+    return np.concatenate(found)
+
+
 def rising(values: list[int]) -> int:
     """Length of the longest strictly rising subsequence."""
     tops: list[int] = []
@@ -100,8 +117,8 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
     return chain / (total - chain)
 
 
-def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """id, digest (of the words), size (number of k-mers) and sketches of every text with words, as a written table."""
+def sketched(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
+    """id, digest (of the words), size (number of k-mers) and buckets of every text with words, as a written table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordHash()
@@ -110,11 +127,11 @@ def sketched(docs: DataFrame, key: str, text: str) -> DataFrame:
             for k, t in zip(frame["id"], frame["text"], strict=True):
                 own = kmers(t, table)
                 if len(own):
-                    rows.append((k, xxhash.xxh3_128_hexdigest(b" ".join(plain_words(t.lower()))), len(own), sketches(own).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "digest", "size", "sketches"])
+                    rows.append((k, xxhash.xxh3_128_hexdigest(b" ".join(plain_words(t.lower()))), len(own), buckets(own, least).view(np.int64)))
+            yield pd.DataFrame(rows, columns=["id", "digest", "size", "buckets"])
 
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    return written(given.mapInPandas(run, "id long, digest string, size int, sketches array<long>"), "sketches")
+    return written(given.mapInPandas(run, "id long, digest string, size int, buckets array<long>"), "sketches")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
@@ -135,42 +152,110 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: floa
     return written(joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"), "verified")
 
 
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many k-mers each two of the documents share; a document's k-mers are distinct."""
+    doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc, token = doc[times[token] > 1], token[times[token] > 1]
+    token = np.unique(token, return_inverse=True)[1]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(token, kind="stable")
+    doc, token = doc[order], token[order]
+    for at in range(0, int(token[-1]) + 1 if len(token) else 0, AT_ONCE):
+        a, b = np.searchsorted(token, (at, at + AT_ONCE))
+        held = np.zeros((len(sets), AT_ONCE), np.float32)
+        held[doc[a:b], token[a:b] - at] = 1
+        counts += held @ held.T
+    return counts
+
+
+def linked(ids: list[int], groups: list[int], sides: np.ndarray, texts: list[str], table: WordHash, least: float) -> list[tuple[int, int]]:
+    """A forest of the links between documents of different groups (which are linked already): of one block (side 0 only), or of one side with the other."""
+    if len(set(groups)) < 2:
+        return []
+    sets = [kmers(t, table) for t in texts]
+    sizes = np.array([len(x) for x in sets])
+    total = sizes[:, None] + sizes[None, :]
+    group = np.unique(np.array(groups), return_inverse=True)[1]
+    wanted = (group[:, None] != group[None, :]) & (common_counts(sets) >= np.ceil(least / (1 + least) * total - 1e-9))
+    wanted &= (sides[:, None] < sides[None, :]) if sides.any() else np.triu(np.ones_like(wanted), 1)
+    up, out = list(range(int(group.max()) + 1)), []
+
+    def top(g: int) -> int:
+        while up[g] != g:
+            up[g] = g = up[up[g]]
+        return g
+
+    for i, j in np.argwhere(wanted).tolist():
+        a, b = top(int(group[i])), top(int(group[j]))
+        if a != b and similarity(sets[i], sets[j], least) >= least:
+            up[a] = b
+            out.append((ids[i], ids[j]))
+    return out
+
+
+def in_blocks(rest: DataFrame, mixed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) inside buckets. rest: bucket, id, size, component; mixed: bucket, n and total (k-mers) of those to be compared."""
+    small = (F.col("n") <= BLOCK_DOCS) & (F.col("total") <= BLOCK_KMERS)
+    whole = rest.join(mixed.where(small).select("bucket"), "bucket").select(F.col("bucket").cast("string").alias("task"), F.lit(0).alias("side"), "id", "component")
+    large = rest.join(mixed.where(~small).select("bucket"), "bucket").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / -np.log(least)).cast("int"))
+    cells = large.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"))
+    cells = written(cells.select("bucket", "class", "n", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("total") / BLOCK_KMERS)).cast("int").alias("blocks")), "cells")
+    cut = cells.where("blocks > 1").select("bucket", "class", "blocks")
+    cut = F.broadcast(cut) if cut.count() <= BROADCAST_CELLS else cut
+    large = large.join(cut, ["bucket", "class"], "left").withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1))).cast("int")).drop("blocks")
+    # A cell meets itself and the next class: sizes further apart are never alike.
+    other = cells.select("bucket", F.col("class").alias("class_b"), F.col("blocks").alias("blocks_b"))
+    met = cells.join(other, "bucket").where((F.col("class_b") - F.col("class")).isin(0, 1) & ((F.col("class_b") > F.col("class")) | (F.col("n") > 1)))
+    each = met.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("block_b", F.explode(F.sequence(F.lit(0), F.col("blocks_b") - 1)))
+    each = each.where((F.col("class") < F.col("class_b")) | (F.col("block") <= F.col("block_b")))
+    each = written(each.select("bucket", "class", "block", "class_b", "block_b", F.concat_ws(":", "bucket", "class", "block", "class_b", "block_b").alias("task")), "tasks")
+    cell = ["bucket", "class", "block"]
+    left = large.join(each.select("task", *cell), cell).select("task", F.lit(0).alias("side"), "id", "component")
+    across = each.where((F.col("class") < F.col("class_b")) | (F.col("block") < F.col("block_b"))).select("task", "bucket", F.col("class_b").alias("class"), F.col("block_b").alias("block"))
+    right = large.join(across, cell).select("task", F.lit(1).alias("side"), "id", "component")
+    sent = whole.unionByName(left).unionByName(right).join(texts, "id")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, task, held = WordHash(), None, []
+
+        def links() -> pd.DataFrame:
+            ids, groups, sides, own = zip(*held, strict=True)
+            return pd.DataFrame(linked(ids, groups, np.array(sides), own, table, least), columns=["a", "b"])
+
+        for frame in frames:
+            for name, *row in zip(*(frame[c].tolist() for c in ("task", "id", "component", "side", "text")), strict=True):
+                if name != task:
+                    if len(held) > 1:
+                        yield links()
+                    task, held = name, []
+                held.append(row)
+        if len(held) > 1:
+            yield links()
+
+    return sent.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a long, b long")
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
     """One row for each row of docs: key, component_id (the least key of its class) and kept (whether it is that one)."""
-    known = sketched(docs, key, text)
-    firsts = written(known.groupBy("digest").agg(F.min("id").alias("first"), F.max("size").alias("size"), F.min_by("sketches", "id").alias("sketches")), "firsts")
-    entries = written(firsts.select(F.col("first").alias("id"), "size", F.posexplode("sketches").alias("band", "sketch")), "entries")
-    full = entries.groupBy("band", "sketch").agg(F.min("id").alias("hub"), F.min_by("size", "id").alias("hub_size"), F.max("id").alias("last")).where("last > hub")
-    entries = written(entries.join(full.select("band", "sketch", "hub", "hub_size"), ["band", "sketch"]), "buckets")
-
-    alike = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
-    pairs = entries.where((F.col("id") != F.col("hub")) & alike("size", "hub_size")).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    links = verified(pairs, docs, key, text, least)
-    documents = firsts.count()
-    for turn in range(HUB_ROUNDS + 1):
-        merged = components(links, "a", "b")
-        placed = entries.select("id", "size", "band", "sketch").join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sums = placed.groupBy("band", "sketch", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "sketch").agg((F.pow(F.sum("n"), 2) - F.sum(F.pow("n", F.lit(2)))).alias("left"))
-        mixed = written(sums.where("left > 0"), "mixed")
-        left = (mixed.agg(F.sum("left")).first()[0] or 0) / 2
-        if not left:
-            break
-        rest = written(placed.join(mixed.select("band", "sketch"), ["band", "sketch"], "left_semi"), "rest")
-        at_once = left <= AT_ONCE * documents or turn == HUB_ROUNDS
-        other = [F.col(c).alias(f"{c}_b") for c in ("id", "size", "component")]
-        if at_once:
-            partners = rest.select("band", "sketch", *other)
-        else:
-            draws = [F.min_by(F.struct("id", "size", "component"), F.xxhash64("id", F.lit(turn * HUBS + i))) for i in range(HUBS)]
-            drawn = rest.groupBy("band", "sketch").agg(F.array_distinct(F.array(*draws)).alias("hubs")).withColumn("hub", F.explode("hubs"))
-            partners = drawn.select("band", "sketch", F.col("hub.id").alias("id_b"), F.col("hub.size").alias("size_b"), F.col("hub.component").alias("component_b"))
-        wanted = (F.col("component") != F.col("component_b")) & alike("size", "size_b")
-        pairs = rest.join(partners, ["band", "sketch"]).where(wanted & (F.col("id") > F.col("id_b")) if at_once else wanted)
-        more = verified(pairs.select(F.greatest("id", "id_b").alias("a"), F.least("id", "id_b").alias("b")).distinct(), docs, key, text, least)
-        links = merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-        if at_once:
-            merged = components(links, "a", "b")
-            break
+    known = sketched(docs, key, text, least)
+    firsts = written(known.groupBy("digest").agg(F.min("id").alias("first"), F.max("size").alias("size"), F.min_by("buckets", "id").alias("buckets")), "firsts")
+    entries = written(firsts.select(F.col("first").alias("id"), "size", F.explode("buckets").alias("bucket")), "entries")
+    full = entries.groupBy("bucket").agg(F.min("id").alias("hub"), F.min_by("size", "id").alias("hub_size"), F.max("id").alias("last")).where("last > hub")
+    entries = written(entries.join(full.select("bucket", "hub", "hub_size"), "bucket"), "buckets")
+
+    alike = F.least("size", "hub_size") >= least * F.greatest("size", "hub_size")
+    links = verified(entries.where((F.col("id") != F.col("hub")) & alike).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), docs, key, text, least)
+    merged = components(links, "a", "b")
+    placed = written(entries.select("id", "size", "bucket").join(merged.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    sums = [F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("id")).alias("members")]
+    # Two documents have met as hub and other; buckets of the same documents are compared once.
+    mixed = placed.groupBy("bucket").agg(*sums).where("n > 2 AND low < high")
+    mixed = written(mixed.groupBy("members", "n", "total").agg(F.min("bucket").alias("bucket")), "mixed")
+    if not mixed.isEmpty():
+        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+        more = in_blocks(placed, mixed, texts, least)
+        merged = components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     of_digest = firsts.select("digest", "first").join(merged.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
     placed = known.select("id", "digest").join(of_digest, "digest").groupBy("id").agg(F.min("component").alias("component"))
     out = docs.select(F.col(key), F.col(key).cast("long").alias("id")).join(placed, "id", "left")

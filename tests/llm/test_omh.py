@@ -111,10 +111,54 @@ def test_classes_equal_brute_force(spark, monkeypatch):
     found = {r.doc_id: (r.component_id, r.kept) for r in omh.classes(docs).collect()}
     assert found == {i: (c, i == c) for i, c in enumerate(expected)}
     assert omh.classes(docs.limit(0)).isEmpty()
-    monkeypatch.setattr(omh, "AT_ONCE", 0)  # hubs only, to the end
+    monkeypatch.setattr(omh, "BLOCK_DOCS", 2)  # blocks and classes of sizes everywhere
+    monkeypatch.setattr(omh, "AT_ONCE", 3)
+    monkeypatch.setattr(omh, "BROADCAST_CELLS", 0)
     assert {r.doc_id: r.component_id for r in omh.classes(docs).collect()} == dict(enumerate(expected))
 
 
+def test_short_texts_lose_nothing():
+    """Every pair of up to 40 words at the threshold shares a bucket."""
+    table, found = WordHash(), 0
+    for n in range(1, 41):
+        for trial in range(60):
+            words = prose(n)
+            other = [words + prose(trial % 3 + 1), words[trial % 4 :], edited(words, 1)][trial % 3]
+            a, b = omh.kmers(" ".join(words), table), omh.kmers(" ".join(other), table)
+            if len(b) and slow_similarity(a, b) >= 0.8 and min(len(a), len(b)) <= omh.SHORT:
+                found += 1
+                assert np.isin(omh.buckets(a), omh.buckets(b)).any()
+    assert found > 500
+
+
+def test_common_counts_and_forest(monkeypatch):
+    monkeypatch.setattr(omh, "AT_ONCE", 5)
+    table, base = WordHash(), prose(60)
+    texts = [" ".join(edited(base, 1)) for _ in range(20)] + [" ".join(prose(50)) for _ in range(5)]
+    sets = [omh.kmers(t, table) for t in texts]
+    counts = omh.common_counts(sets)
+    assert all(counts[i, j] == len(np.intersect1d(sets[i], sets[j])) for i, j in combinations(range(len(sets)), 2))
+    ids = list(range(len(texts)))
+    for sides in (np.zeros(25, int), np.array([0] * 12 + [1] * 13)):
+        links = omh.linked(ids, ids, sides, texts, table, 0.8)
+        assert all(omh.similarity(sets[i], sets[j]) >= 0.8 and sides[i] <= sides[j] for i, j in links)
+        assert len(links) == len({frozenset(x) for x in links}) <= 19
+    assert omh.linked(ids, [0] * 25, np.zeros(25, int), texts, table, 0.8) == []
+
+
+def test_shared_and_null_keys(spark):
+    text = " ".join(prose(50))
+    rows = [(1, text), (2, text + " end"), (2, "something else"), (None, text), (3, "something else"), (4, text), (4, text)]
+    found = [(r.doc_id, r.component_id, r.kept) for r in omh.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found, key=str) == sorted([(1, 1, True), (2, 1, False), (2, 1, False), (None, None, True), (3, 1, False), (4, 1, False), (4, 1, False)], key=str)
+
+
+def test_long_text(spark):
+    words = prose(200_000)
+    rows = [(1, " ".join(words)), (2, " ".join(words[:-3])), (3, " ".join(words[100_000:]))]
+    assert [r.component_id for r in omh.classes(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()] == [1, 1, 3]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 150)]
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
