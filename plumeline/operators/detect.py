@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..functions.parse import choice
+from .graph import components
 from ..schema import HAZARDOUS
 
 DAY = 86_400_000_000
@@ -21,12 +22,46 @@ def micros(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp"))
 
 
-def zscore(rows: DataFrame, days: int = 7, limit: float = 3.0, min_samples: int = 10, by: tuple[str, ...] = WHERE) -> DataFrame:
-    """Adds mean, deviation and number of the days before each reading (without it), its z and whether |z| exceeds the limit."""
-    w = Window.partitionBy(*by).orderBy(micros(F.col("timestamp"))).rangeBetween(-days * DAY, -1)
-    out = rows.select("*", F.count("value").over(w).alias("n_before"), F.avg("value").over(w).alias("mean_before"), F.stddev_samp("value").over(w).alias("sd_before"))
+def zscore(rows: DataFrame, days: int = 7, limit: float = 3.0, min_samples: int = 10, by: tuple[str, ...] = WHERE, slice_hours: int = 6) -> DataFrame:
+    """Adds mean, deviation and number of the days before each reading (without it), its z and whether |z| exceeds the limit.
+
+    Time is cut into slices. What comes before a reading are the readings of its own slice before it, the whole slices between, and the end
+    of the slice that many days ago, which is sent to the same task. So each row is read twice whatever the days hold, and a key with a
+    third of all rows is spread over its slices. Rows without a time have nothing before them."""
+    span, step = days * DAY, slice_hours * 3_600_000_000
+    if span % step:
+        raise ValueError("slice_hours must divide the days")
+    at = micros(F.col("timestamp"))
+
+    def moments(of: str, over=lambda x: x) -> list[Column]:
+        """Number, mean and sum of squared deviations."""
+        n = over(F.count(of))
+        return [n.alias("n"), F.coalesce(over(F.avg(of)), F.lit(0.0)).alias("m"), F.coalesce(over(F.var_pop(of)) * n, F.lit(0.0)).alias("q")]
+
+    now = rows.withColumn("_at", at).withColumn("_row", F.lit(True))
+    past = rows.select(*by, (at + span).alias("_at"), F.col("value").alias("_past"))
+    slices = rows.groupBy(*by, F.floor(at / step).alias("_slice")).agg(*moments("value"))
+    # Between: sums around the mean of the key's slices, which keeps them small.
+    slices = slices.withColumn("_c", F.avg("m").over(Window.partitionBy(*by)))
+    between = Window.partitionBy(*by).orderBy("_slice").rangeBetween(-(span // step) + 1, -1)
+    d = F.col("m") - F.col("_c")
+    sums = [F.coalesce(F.sum(x).over(between), F.lit(0)) for x in (F.col("n"), F.col("n") * d, F.col("q") + F.col("n") * d * d)]
+    middle = slices.select(*by, "_slice", F.struct(sums[0].alias("n"), F.when(sums[0] > 0, F.col("_c") + sums[1] / sums[0]).otherwise(0.0).alias("m"), F.when(sums[0] > 0, sums[2] - sums[1] * sums[1] / sums[0]).otherwise(0.0).alias("q")).alias("_middle"))
+    both = now.unionByName(past, allowMissingColumns=True).withColumn("_slice", F.floor(F.col("_at") / step)).unionByName(middle, allowMissingColumns=True)
+    part = Window.partitionBy(*by, "_slice")
+    before = part.orderBy("_at").rangeBetween(Window.unboundedPreceding, -1)
+    after = part.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, 0)
+    own, old = moments("value", lambda x: x.over(before)), moments("_past", lambda x: x.over(after))
+    met = both.select("*", F.struct(*own).alias("_own"), F.struct(*old).alias("_old"), F.max("_middle").over(part).alias("_between")).where("_row")
+    parts = [F.col(c) for c in ("_old", "_between", "_own")]
+    total = lambda f: f(parts[0]) + f(parts[1]) + f(parts[2])
+    n_before = F.when(F.col("_at").isNull(), 0).otherwise(total(lambda p: p["n"])).cast("long")
+    out = met.withColumn("n_before", n_before).withColumn("mean_before", F.when(F.col("n_before") > 0, total(lambda p: p["n"] * p["m"]) / F.col("n_before")))
+    spread = total(lambda p: p["q"] + p["n"] * (p["m"] - F.col("mean_before")) * (p["m"] - F.col("mean_before")))
+    out = out.withColumn("sd_before", F.when(F.col("n_before") > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (F.col("n_before") - 1))))
     z = F.when((F.col("n_before") >= min_samples) & (F.col("sd_before") > 0), (F.col("value") - F.col("mean_before")) / F.col("sd_before"))
-    return out.withColumn("z", z).withColumn("flagged", F.coalesce(F.abs(z) > limit, F.lit(False)))
+    out = out.select(*rows.columns, "n_before", "mean_before", "sd_before", z.alias("z"))
+    return out.withColumn("flagged", F.coalesce(F.abs("z") > limit, F.lit(False)))
 
 
 def seasonal_residual(rows: DataFrame, limit: float = 2.5, half_window_h: int = 12, by: tuple[str, ...] = ("metric",)) -> DataFrame:
@@ -46,15 +81,17 @@ def loess_residuals(rows: DataFrame, period: int = 24, span: int = 49, passes: i
     hourly = rows.groupBy(*by, F.date_trunc("hour", F.col("timestamp").cast("timestamp")).alias("hour")).agg(F.avg("value").alias("value"))
 
     def smooth(x: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
-        out = np.empty(len(y))
-        for i, at in enumerate(x):
-            lo = max(0, min(i - width // 2, len(x) - width))
-            u, v = x[lo : lo + width] - at, y[lo : lo + width]
-            w = (1 - np.minimum(1, np.abs(u) / (np.abs(u).max() + 1)) ** 3) ** 3
-            mu, mv = np.average(u, weights=w), np.average(v, weights=w)
-            var = np.average((u - mu) ** 2, weights=w)
-            out[i] = mv - (np.average((u - mu) * (v - mv), weights=w) / var if var else 0.0) * mu
-        return out
+        """Each point from the line fitted to its `width` neighbours, all points at once."""
+        width = min(width, len(x))
+        first = np.clip(np.arange(len(x)) - width // 2, 0, len(x) - width)
+        near = first[:, None] + np.arange(width)
+        u, v = x[near] - x[:, None], y[near]
+        w = (1 - np.minimum(1, np.abs(u) / (np.abs(u).max(axis=1, keepdims=True) + 1)) ** 3) ** 3
+        w /= w.sum(axis=1, keepdims=True)
+        mu, mv = (w * u).sum(axis=1), (w * v).sum(axis=1)
+        du = u - mu[:, None]
+        var, both = (w * du * du).sum(axis=1), (w * du * (v - mv[:, None])).sum(axis=1)
+        return mv - np.divide(both, var, out=np.zeros(len(x)), where=var > 0) * mu
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("hour")
@@ -103,32 +140,52 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> list[tuple[int, float, int,
     return nodes
 
 
-def isolation_forest(rows: DataFrame, features: list[str], trees: int = TREES, subsample: int = SUBSAMPLE, limit: float = FOREST_LIMIT) -> DataFrame:
-    """Adds score (0 to 1) and flagged. The forest is fitted on `trees * subsample` rows at most, the least by a hash: a documented bound."""
-    ready = [F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features]
-    sample = rows.select(*ready, F.xxhash64(*features, F.lit(SEED)).alias("_order")).orderBy("_order").limit(trees * subsample).drop("_order").toPandas().to_numpy(float)
+FOREST_FEATURES = ("value", "temperature", "humidity", "wind_speed", "traffic_density", "hour_of_day", "day_of_week")
+
+
+def training_weeks(rows: DataFrame, week: str | None = None, days: int = 30) -> DataFrame:
+    """Rows of the `days` before the week (its Monday, YYYY-MM-DD; None: the week of the last row), from which its forest is fitted."""
+    start = F.date_trunc("week", F.lit(week).cast("timestamp") if week else F.lit(rows.agg(F.max("timestamp")).first()[0]).cast("timestamp"))
+    at = F.col("timestamp").cast("timestamp")
+    return rows.where((at < start) & (at >= start - F.expr(f"INTERVAL {days} DAYS")))
+
+
+def isolation_forest(rows: DataFrame, features: list[str], trees: int = TREES, subsample: int = SUBSAMPLE, limit: float = FOREST_LIMIT, training: DataFrame | None = None) -> DataFrame:
+    """Adds score (0 to 1) and flagged. The forest is fitted on `trees * subsample` rows of `training` (or of rows) at most, the least by a
+    hash: a documented bound. A missing feature counts as the sample's median, so that gaps are not taken for extremes."""
+    numbers = lambda df: [F.col(f).cast("double").alias(f) for f in features]
+    given = rows if training is None else training
+    sample = given.select(*numbers(given), F.xxhash64(*features, F.lit(SEED)).alias("_order")).orderBy("_order", *features).limit(trees * subsample).drop("_order").toPandas().to_numpy(float)
+    known = [column[~np.isnan(column)] for column in sample.T]
+    medians = np.array([np.median(x) if len(x) else 0.0 for x in known]) if len(sample) else np.zeros(len(features))
+    sample = np.where(np.isnan(sample), medians, sample)
     rng = np.random.default_rng(SEED)
     forest = [np.array(grow(sample[rng.choice(len(sample), min(subsample, len(sample)), replace=False)], rng)) for _ in range(trees)] if len(sample) else []
-    sent = rows.sparkSession.sparkContext.broadcast(forest)
+    sent = rows.sparkSession.sparkContext.broadcast((forest, medians))  # at most `trees` trees of `subsample` leaves
     scale = float(path_length(min(subsample, max(len(sample), 2)))) or 1.0
 
     @F.pandas_udf("double")
     def score(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        forest, medians = sent.value
         for columns in parts:
             x = np.column_stack([c.to_numpy(float) for c in columns])
-            depth = np.zeros(len(x))
-            for tree in sent.value:
-                at = np.zeros(len(x), np.int64)
-                while (inner := np.flatnonzero(tree[at, 0] >= 0)).size:
-                    node = tree[at[inner]]
-                    at[inner] = np.where(x[inner, node[:, 0].astype(int)] < node[:, 1], node[:, 2], node[:, 3]).astype(np.int64)
-                depth += tree[at, 4]
-            yield pd.Series(2.0 ** (-depth / max(1, len(sent.value)) / scale))
-
-    out = rows.withColumn("score", score(*[F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features]))
+            yield pd.Series(scores(np.where(np.isnan(x), medians, x), forest, scale))
+
+    out = rows.withColumn("score", score(*numbers(rows)))
     return out.withColumn("flagged", F.col("score") > limit)
 
 
+def scores(x: np.ndarray, forest: list[np.ndarray], scale: float) -> np.ndarray:
+    depth = np.zeros(len(x))
+    for tree in forest:
+        at = np.zeros(len(x), np.int64)
+        while (inner := np.flatnonzero(tree[at, 0] >= 0)).size:
+            node = tree[at[inner]]
+            at[inner] = np.where(x[inner, node[:, 0].astype(int)] < node[:, 1], node[:, 2], node[:, 3]).astype(np.int64)
+        depth += tree[at, 4]
+    return 2.0 ** (-depth / max(1, len(forest)) / scale)
+
+
 def consensus(flags: DataFrame, points: DataFrame, key: str) -> DataFrame:
     """flags (key, method) of all detectors and the points themselves: methods and severity of each flagged point. One method is minor, two
     are moderate, three or a hazardous value severe."""
@@ -150,13 +207,23 @@ def merge_gaps(anomalies: DataFrame, minutes: int = 30, by: tuple[str, ...] = ("
 
 
 def near_pairs(anomalies: DataFrame, minutes: int = 30, km: float = 10.0, key: str = "id") -> DataFrame:
-    """Pairs of one metric within so many minutes and km; cells of that size, and their neighbours, keep the join an equi-join."""
-    step, degree = minutes * 60, km / geo.SQUARE_DEGREE_KM
-    rows = anomalies.select(key, "metric", "lat", "lon", (micros(F.col("timestamp")) / 1_000_000).alias("s"))
-    width = 2 * degree  # meridians converge: covers km up to latitudes of 60 degrees
-    rows = rows.withColumns({"t": F.floor(F.col("s") / step), "y": F.floor(F.col("lat") / degree), "x": F.floor(F.col("lon") / width)})
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("t"), F.lit(b).alias("y"), F.lit(c).alias("x")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-    other = rows.select(*[F.col(c).alias(f"{c}_b") for c in (key, "lat", "lon", "s")], "metric", "t", "y", "x", around.alias("o"))
-    other = other.withColumns({c: F.col(c) + F.col(f"o.{c}") for c in ("t", "y", "x")}).drop("o")
-    met = rows.join(other, ["metric", "t", "y", "x"]).where((F.col(key) < F.col(f"{key}_b")) & (F.abs(F.col("s") - F.col("s_b")) <= step))
+    """Pairs of one metric within so many minutes and km, at all latitudes; cells of time and place, and their neighbours, are the equi-join."""
+    step = minutes * 60
+    rows = anomalies.select(key, "metric", "lat", "lon", (micros(F.col("timestamp")) / 1_000_000).alias("s")).withColumn("t", F.floor(F.col("s") / step))
+    rows = rows.withColumn("place", geo.cell(F.col("lat"), F.col("lon"), km))
+    other = rows.select(*[F.col(c).alias(f"{c}_b") for c in (key, "lat", "lon", "s")], "metric", F.explode(F.array(*[F.col("t") + i for i in (-1, 0, 1)])).alias("t"), geo.cells_around(F.col("lat"), F.col("lon"), km).alias("around"))
+    other = other.withColumn("place", F.explode("around")).drop("around")
+    met = rows.join(other, ["metric", "t", "place"]).where((F.col(key) < F.col(f"{key}_b")) & (F.abs(F.col("s") - F.col("s_b")) <= step))
     return met.where(geo.distance_km(F.col("lat"), F.col("lon"), F.col("lat_b"), F.col("lon_b")) <= km).select("metric", key, f"{key}_b")
+
+
+def merge_near(anomalies: DataFrame, minutes: int = 30, km: float = 10.0, key: str = "id") -> DataFrame:
+    """anomalies with event: the least key that near pairs reach, directly or over others; an anomaly without neighbours is its own event."""
+    merged = components(near_pairs(anomalies, minutes, km, key), key, f"{key}_b").select(F.col("node").alias(key), "component")
+    return anomalies.join(merged, key, "left").withColumn("event", F.coalesce("component", key)).drop("component")
+
+
+def events(merged: DataFrame, key: str = "id") -> DataFrame:
+    """One row for each event: metric, first and last time, number, and the representative (the largest |score|, then the earliest, then the least key)."""
+    best = F.struct((-F.abs("score")).alias("a"), micros(F.col("timestamp")).alias("b"), F.col(key).alias("c"))
+    return merged.groupBy("event").agg(F.first("metric").alias("metric"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"), F.count(F.lit(1)).alias("n"), F.min_by(key, best).alias("representative"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,13 +18,47 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Vectors in a block of queries and of chunks, and tasks over which the chunks are dealt; each gets all queries, a stated set.
+QUERY_BLOCK, CHUNK_BLOCK, DEALT = 512, 4096, 64
+
+
+def blocks(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
+    """Vectors in blocks, a row each: the keys as text, dim, and the unit vectors as one binary. Vectors that are null, empty, zero or not finite are left out."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame[[v is not None and len(v) > 0 for v in frame["v"]]]
+            for dim, part in frame.groupby(frame["v"].map(len), sort=True):
+                for at in range(0, len(part), size):
+                    x = np.array(part["v"].iloc[at : at + size].tolist(), float)
+                    norm = np.linalg.norm(x, axis=1)
+                    good = np.isfinite(norm) & (norm > 0)
+                    if good.any():
+                        yield pd.DataFrame({"dim": [dim], f"{name}_keys": [part["k"].iloc[at : at + size][good].tolist()], f"{name}_vectors": [(x[good] / norm[good, None]).tobytes()]})
+
+    given = rows.select(F.col(key).cast("string").alias("k"), F.col(vector).cast("array<double>").alias("v")).where("k IS NOT NULL")
+    return given.mapInPandas(run, f"dim int, {name}_keys array<string>, {name}_vectors binary")
+
+
 def top_chunks(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query", vector: str = "embedding", chunk: str = "chunk") -> DataFrame:
-    """For each of a small set of queries its k nearest chunks by cosine, ties by id. All chunks are scanned once against the queries;
-    each task keeps k of each query before the shuffle."""
-    met = chunks.select(F.col(chunk), F.col(vector).alias("_v")).join(F.broadcast(queries.select(F.col(query), F.col(vector).alias("_q"))), F.lit(True))
-    scored = met.select(query, chunk, cosine(F.col("_q"), F.col("_v")).alias("similarity"))
+    """For each query its k nearest chunks by cosine (to nine decimals, ties by id), with similarity and place. Blocks of queries meet blocks
+    of chunks of the same dimension; each two give k chunks of a query at most, so little is shuffled after them. Neither side is broadcast."""
+    asked, known = blocks(queries, query, vector, QUERY_BLOCK, "q"), blocks(chunks, chunk, vector, CHUNK_BLOCK, "c")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                q, c = (np.frombuffer(v).reshape(-1, row.dim) for v in (row.q_vectors, row.c_vectors))
+                near, most = np.round(q @ c.T, 9), min(k, len(c))
+                least = -np.partition(-near, most - 1, axis=1)[:, most - 1]
+                i, j = np.nonzero(near >= least[:, None])  # ties at the k-th place stay until all blocks are known
+                yield pd.DataFrame({"q": np.asarray(row.q_keys)[i], "c": np.asarray(row.c_keys)[j], "similarity": near[i, j]})
+
+    dealt = known.withColumn("deal", F.pmod(F.xxhash64("c_keys"), F.lit(DEALT)).cast("int"))
+    met = asked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).join(dealt, ["dim", "deal"]).mapInPandas(run, "q string, c string, similarity double")
+    out = met.select(F.col("q").cast(queries.schema[query].dataType).alias(query), F.col("c").cast(chunks.schema[chunk].dataType).alias(chunk), "similarity")
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("similarity"), chunk))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
+    return out.withColumn("place", place).where(F.col("place") <= k)
 
 
 def grounded(claims: DataFrame, evidence: DataFrame, key: list[str]) -> DataFrame:
@@ -46,3 +84,17 @@ METADATA = "struct<cause: string, confidence: double, radius_km: double, risk: m
 def metadata(rows: DataFrame, column: str = "metadata") -> DataFrame:
     """Fields of an explanation's JSON metadata as columns; what is missing or unreadable is null."""
     return rows.withColumn("_m", F.from_json(column, METADATA)).select("*", "_m.*").drop("_m")
+
+
+def likert(ratings: DataFrame, by: list[str], rating: str = "rating", low: int = 1, high: int = 5) -> DataFrame:
+    """Number, mean and standard deviation of the ratings on the scale; others do not count."""
+    on_scale = F.when(F.col(rating).between(low, high), F.col(rating).cast("double"))
+    return ratings.groupBy(*by).agg(F.count(on_scale).alias("n"), F.avg(on_scale).alias("mean_rating"), F.stddev_samp(on_scale).alias("sd_rating"))
+
+
+def ablation(scores: DataFrame, variant: str = "variant", item: str = "item", score: str = "score", full: str = "full") -> DataFrame:
+    """For each variant without one of the sources: items scored under it and under the full context, both means, and what is lost."""
+    whole = scores.where(F.col(variant) == full).groupBy(item).agg(F.avg(score).alias("_full"))
+    part = scores.where(F.col(variant) != full).groupBy(variant, item).agg(F.avg(score).alias("_part"))
+    both = part.join(whole, item).groupBy(variant).agg(F.count(F.lit(1)).alias("n"), F.avg("_part").alias("mean_score"), F.avg("_full").alias("mean_full"))
+    return both.withColumn("lost", F.col("mean_full") - F.col("mean_score"))

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .store import source_status
 
 MOST_ROWS = 1000
 
 
-def select_observations(rows: DataFrame, source: str, metric: str | None = None, start=None, end=None, lat: float | None = None, lon: float | None = None, radius_km: float | None = None) -> DataFrame:
-    """Rows of a source; an empty metric is none, both times are inclusive, and the square needs all three of its numbers."""
-    out = rows.where(F.col("source") == source)
+def select_observations(rows: DataFrame, source: str | None, metric: str | None = None, start=None, end=None, lat: float | None = None, lon: float | None = None, radius_km: float | None = None) -> DataFrame:
+    """Rows of a source (None: of all); an empty metric is none, both times are inclusive, and the square needs all three of its numbers."""
+    out = rows if source is None else rows.where(F.col("source") == source)
     if metric:
         out = out.where(F.col("metric") == metric)
     if start is not None:
@@ -35,16 +37,36 @@ def page(rows: DataFrame, limit: int = 100, offset: int = 0, tie: str = "id") ->
 
 @dataclass
 class Page:
+    """A page; its total is counted when it is asked for."""
+
     items: DataFrame
-    total: int
+    found: DataFrame
     limit: int
     offset: int
 
+    @cached_property
+    def total(self) -> int:
+        return self.found.count()
+
 
 def query_observations(rows: DataFrame, source: str, limit: int = 100, offset: int = 0, tie: str = "id", **filters) -> Page:
     """A page and the total under the same filters; an unknown source has an empty page."""
     found = select_observations(rows, source, **filters)
-    return Page(page(found, limit, offset, tie), found.count(), limit, offset)
+    return Page(page(found, limit, offset, tie), found, limit, offset)
+
+
+def totals(rows: DataFrame, **filters) -> DataFrame:
+    """The total of each source under the same filters, in one pass."""
+    return select_observations(rows, None, **filters).groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+
+
+def list_sources(runs: DataFrame) -> DataFrame:
+    """Name, status, last collection and error count of every source that ever ran, by name."""
+    return source_status(runs)
+
+
+#: The same under the interface's other name.
+sources = list_sources
 
 
 def health(spark: SparkSession, env: str = "development", version: str = "0.1.0") -> dict[str, str]:

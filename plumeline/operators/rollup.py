@@ -46,3 +46,9 @@ def day_over_day(rows: DataFrame) -> DataFrame:
 
 def series_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source_entity_id", "metric").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean_value"), F.max_by("value", "timestamp").alias("last_value"), F.count(F.lit(1)).alias("n"))
+
+
+def top_causes(explanations: DataFrame, k: int, cause: str = "cause", confidence: str = "confidence") -> DataFrame:
+    """The k causes named most often, ties by name, with the mean confidence; explanations without a cause do not count."""
+    named = explanations.where(F.col(cause).isNotNull()).groupBy(cause).agg(F.count(F.lit(1)).alias("n"), F.avg(confidence).alias("mean_confidence"))
+    return named.orderBy(F.desc("n"), cause).limit(k)

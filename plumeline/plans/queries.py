@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions import geo, parse, text, units
 from ..operators import detect, enrich, evaluate, read, rollup, runs, store, validate
+from ..operators.graph import shared_dir, written
 from ..sources import feeds, planned, registry
 from .view import OBS, PLACES, RUNS, facilities, km_sql, observations, table
 from .view import runs as run_log
@@ -23,7 +23,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = re.sub(r"round\((.*?), 4\) AS", r"round(\1 + 1e-9, 4) + 0.0::DOUBLE AS", sql, flags=re.S)
+            SQL[f.__name__] = sql
         return f
 
     return add
@@ -71,10 +71,10 @@ def obs_page_newest(spark, d):
 
 @query(f"WITH {OBS} SELECT source, count(*) AS total FROM obs WHERE metric = 'pm10' GROUP BY source")
 def obs_page_total(spark, d):
-    return observations(spark, d).where("metric = 'pm10'").groupBy("source").agg(F.count(F.lit(1)).alias("total"))
+    return read.totals(observations(spark, d), metric="pm10")
 
 
-@query(f"WITH {OBS} SELECT id, round({km_sql(str(LAT), str(LON), 'lat', 'lon')}, 4) AS km FROM obs WHERE {km_sql(str(LAT), str(LON), 'lat', 'lon')} <= 50")
+@query(f"WITH {OBS} SELECT id, round({km_sql(str(LAT), str(LON), 'lat', 'lon')} + 1e-9, 4) + 0.0::DOUBLE AS km FROM obs WHERE {km_sql(str(LAT), str(LON), 'lat', 'lon')} <= 50")
 def obs_within_radius(spark, d):
     o = observations(spark, d)
     lat, lon = F.col("lat"), F.col("lon")
@@ -138,7 +138,7 @@ def time_parse(spark, d):
 
 @query(
     """WITH c AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'l' WHEN 1 THEN ' Nominal' WHEN 2 THEN 'HIGH' WHEN 3 THEN value::VARCHAR WHEN 4 THEN 'bad' WHEN 5 THEN '1.5d' END AS given FROM events)
-    SELECT event_id, round(CASE lower(trim(given)) WHEN 'l' THEN 33 WHEN 'low' THEN 33 WHEN 'n' THEN 66 WHEN 'nominal' THEN 66 WHEN 'h' THEN 100 WHEN 'high' THEN 100 ELSE try_cast(given AS DOUBLE) END, 4) AS confidence FROM c"""
+    SELECT event_id, round(CASE lower(trim(given)) WHEN 'l' THEN 33 WHEN 'low' THEN 33 WHEN 'n' THEN 66 WHEN 'nominal' THEN 66 WHEN 'h' THEN 100 WHEN 'high' THEN 100 ELSE try_cast(given AS DOUBLE) END + 1e-9, 4) + 0.0::DOUBLE AS confidence FROM c"""
 )
 def confidence_map(spark, d):
     given = F.expr("CASE event_id % 7 WHEN 0 THEN 'l' WHEN 1 THEN ' Nominal' WHEN 2 THEN 'HIGH' WHEN 3 THEN cast(value AS STRING) WHEN 4 THEN 'bad' WHEN 5 THEN '1.5d' END")
@@ -150,7 +150,7 @@ def entity_id_format(spark, d):
     return observations(spark, d).select("id", text.fire_entity(F.lit("VIIRS"), F.when(F.col("id") % 3 > 0, F.col("metric")), F.col("lat"), F.col("lon"), F.col("timestamp")).alias("entity"))
 
 
-@query("""SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END + CASE WHEN event_id % 4 = 0 THEN 0 ELSE value / 2 END, 4) AS mm FROM events""")
+@query("""SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END + CASE WHEN event_id % 4 = 0 THEN 0 ELSE value / 2 END + 1e-9, 4) + 0.0::DOUBLE AS mm FROM events""")
 def precip_sum(spark, d):
     rain = F.when(F.col("event_id") % 3 != 0, F.col("value").cast("string"))
     snow = F.when(F.col("event_id") % 4 == 0, "none").otherwise((F.col("value") / 2).cast("string"))
@@ -170,7 +170,7 @@ def run_report(spark, d):
 
 @query("SELECT event_id, 30 * (2 ** (event_id % 4))::BIGINT AS wait_s FROM events")
 def retry_backoff(spark, d):
-    return table(spark, d, "events").select("event_id", (F.lit(runs.BACKOFF_S) * F.pow(F.lit(2), F.col("event_id") % 4)).cast("long").alias("wait_s"))
+    return table(spark, d, "events").select("event_id", runs.backoff_of(F.col("event_id") % 4 + 1).alias("wait_s"))
 
 
 @query(
@@ -182,7 +182,7 @@ def aqi_from_conc(spark, d):
     return observations(spark, d).where("metric = 'pm25'").select("id", units.aqi_pm25(F.col("value")).alias("aqi"))
 
 
-@query(f"WITH {OBS} SELECT id, round(greatest(0.0, value * 0.7 - 1.5), 4) AS corrected FROM obs WHERE metric = 'pm25'")
+@query(f"WITH {OBS} SELECT id, round(greatest(0.0, value * 0.7 - 1.5) + 1e-9, 4) + 0.0::DOUBLE AS corrected FROM obs WHERE metric = 'pm25'")
 def pm_correction(spark, d):
     return observations(spark, d).where("metric = 'pm25'").select("id", r4(units.corrected(F.col("value"), 0.7, -1.5)).alias("corrected"))
 
@@ -194,7 +194,7 @@ def calendar_features(spark, d):
 
 @query(
     r"""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z]+')) AS w, greatest(len(regexp_extract_all(text, '[.!?]+')), 1) AS s, len(regexp_extract_all(lower(text), '[aeiouy]+')) AS y FROM documents WHERE lang = 'en')
-    SELECT doc_id, round(CASE WHEN w > 0 THEN 0.39 * w / s + 11.8 * greatest(y, w) / w - 15.59 END, 4) AS grade FROM n"""
+    SELECT doc_id, round(CASE WHEN w > 0 THEN 0.39 * w / s + 11.8 * greatest(y, w) / w - 15.59 END + 1e-9, 4) + 0.0::DOUBLE AS grade FROM n"""
 )
 def readability(spark, d):
     return table(spark, d, "documents").where("lang = 'en'").select("doc_id", r4(text.grade(F.col("text"))).alias("grade"))
@@ -203,8 +203,8 @@ def readability(spark, d):
 # Normalizers over payloads made of the event table
 
 
-def payloads(spark, d, which: int, body: F.Column) -> DataFrame:
-    return table(spark, d, "events").where(F.col("user_id") % 5 == which).select(F.to_json(body).alias("payload"))
+def payloads(spark, d, body: F.Column) -> DataFrame:
+    return table(spark, d, "events").select(F.to_json(body).alias("payload"))
 
 
 def shown(found: DataFrame) -> DataFrame:
@@ -217,9 +217,9 @@ def text_of(name: str) -> F.Column:
 
 @query(
     f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 4 = 0 THEN {LAT} ELSE 33.749 END::DOUBLE AS lat, CASE WHEN event_id % 4 = 0 THEN {LON} ELSE -84.388 END::DOUBLE AS lon,
-        CASE event_type WHEN 'click' THEN 'pm25' WHEN 'view' THEN 'pm10' ELSE 'ozone' END AS metric, round(value, 4) AS value, CASE event_type WHEN 'error' THEN 'ppm' ELSE 'ug/m3' END AS unit, 'epa_airnow' AS source,
+        CASE event_type WHEN 'click' THEN 'pm25' WHEN 'view' THEN 'pm10' ELSE 'ozone' END AS metric, round(value + 1e-9, 4) + 0.0::DOUBLE AS value, CASE event_type WHEN 'error' THEN 'ppm' ELSE 'ug/m3' END AS unit, 'epa_airnow' AS source,
         CASE WHEN event_id % 6 = 0 THEN 'unknown' ELSE user_id::VARCHAR END AS source_entity_id
-    FROM events WHERE user_id % 5 = 0 AND event_type IN ('click', 'view', 'error') AND event_id % 9 <> 0"""
+    FROM events WHERE event_type IN ('click', 'view', 'error') AND event_id % 9 <> 0"""
 )
 def normalize_airnow(spark, d):
     o = F.struct(
@@ -232,13 +232,13 @@ def normalize_airnow(spark, d):
         F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("Value"),
         F.expr("CASE event_type WHEN 'error' THEN 'PPM' ELSE 'UG/M3' END").alias("Unit"),
     )
-    return shown(feeds.airnow(payloads(spark, d, 0, F.struct(F.array(o).alias("observations")))))
+    return shown(feeds.airnow(payloads(spark, d, F.struct(F.array(o).alias("observations")))))
 
 
 @query(
     f"""SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 2 = 0 THEN 34.1 ELSE {LAT} END::DOUBLE AS lat, CASE WHEN event_id % 2 = 0 THEN -84.2 ELSE {LON} END::DOUBLE AS lon,
-        CASE event_type WHEN 'click' THEN 'pm25' WHEN 'view' THEN 'ozone' ELSE 'bc' END AS metric, round(value, 4) AS value, CASE event_type WHEN 'view' THEN 'ppm' ELSE 'ug/m3' END AS unit, 'openaq' AS source, event_id::VARCHAR AS source_entity_id
-    FROM events WHERE user_id % 5 = 1 AND event_type IN ('click', 'view', 'error') AND event_id % 7 <> 0"""
+        CASE event_type WHEN 'click' THEN 'pm25' WHEN 'view' THEN 'ozone' ELSE 'bc' END AS metric, round(value + 1e-9, 4) + 0.0::DOUBLE AS value, CASE event_type WHEN 'view' THEN 'ppm' ELSE 'ug/m3' END AS unit, 'openaq' AS source, event_id::VARCHAR AS source_entity_id
+    FROM events WHERE event_type IN ('click', 'view', 'error') AND event_id % 7 <> 0"""
 )
 def normalize_openaq(spark, d):
     place = F.struct(F.lit(LAT).alias("latitude"), F.lit(LON).alias("longitude"))
@@ -247,13 +247,13 @@ def normalize_openaq(spark, d):
     parameter = F.struct(F.expr("CASE event_type WHEN 'click' THEN 'PM25' WHEN 'view' THEN 'o3' WHEN 'error' THEN 'bc' ELSE 'pm4' END").alias("name"), F.expr("CASE event_type WHEN 'view' THEN 'ppm' ELSE 'µg/m³' END").alias("units"))
     sensor = F.struct(text_of("event_id").alias("id"), parameter.alias("parameter"), F.when(F.col("event_id") % 7 != 0, latest).alias("latest"))
     body = F.struct(F.array(F.struct(text_of("user_id").alias("id"), place.alias("coordinates"))).alias("locations"), F.create_map(text_of("user_id"), F.array(sensor)).alias("sensors_by_location_id"))
-    return shown(feeds.openaq(payloads(spark, d, 1, body)))
+    return shown(feeds.openaq(payloads(spark, d, body)))
 
 
 @query(
-    f"""WITH e AS (SELECT *, 34.0515::DOUBLE + ((user_id * 37) % 201 - 100) * 0.008::DOUBLE AS lat, (-84.0713)::DOUBLE + ((user_id * 53) % 201 - 100) * 0.008::DOUBLE AS lon FROM events WHERE user_id % 5 = 2 AND event_id % 3 <> 0 AND event_id % 11 <> 0),
+    f"""WITH e AS (SELECT *, 34.0515::DOUBLE + ((user_id * 37) % 201 - 100) * 0.008::DOUBLE AS lat, (-84.0713)::DOUBLE + ((user_id * 53) % 201 - 100) * 0.008::DOUBLE AS lon FROM events WHERE event_id % 3 <> 0 AND event_id % 11 <> 0),
     r AS (SELECT *, 'pm25' AS metric, 'ug/m3' AS unit, value AS v FROM e UNION ALL SELECT *, 'pm10', 'ug/m3', value * 2 FROM e WHERE event_id % 5 <> 0 UNION ALL SELECT *, 'humidity', 'percent', 44 FROM e)
-    SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, round(lat, 4) AS lat, round(lon, 4) AS lon, metric, round(v, 4) AS value, unit, 'purpleair' AS source, user_id::VARCHAR AS source_entity_id
+    SELECT strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, round(lat + 1e-9, 4) + 0.0::DOUBLE AS lat, round(lon + 1e-9, 4) + 0.0::DOUBLE AS lon, metric, round(v + 1e-9, 4) + 0.0::DOUBLE AS value, unit, 'purpleair' AS source, user_id::VARCHAR AS source_entity_id
     FROM r WHERE {km_sql(str(LAT), str(LON), 'lat', 'lon')} <= 50"""
 )
 def normalize_purpleair(spark, d):
@@ -261,14 +261,14 @@ def normalize_purpleair(spark, d):
     place = lambda centre, by: F.lit(centre) + ((F.col("user_id") * by) % 201 - 100) * F.lit(0.008)
     seen = F.when(F.col("event_id") % 11 == 0, "not-a-time").otherwise(F.unix_seconds(F.col("ts").cast("timestamp")).cast("string"))
     row = [text_of("user_id"), seen, place(34.0515, 37), place(-84.0713, 53), F.when(F.col("event_id") % 3 == 0, "1").otherwise("0"), F.col("value"), F.when(F.col("event_id") % 5 != 0, F.col("value") * 2), F.lit("44"), F.lit("warm")]
-    return shown(feeds.purpleair(payloads(spark, d, 2, F.struct(F.array(*map(F.lit, names)).alias("fields"), F.array(F.array(*[x.cast("string") for x in row])).alias("data")))))
+    return shown(feeds.purpleair(payloads(spark, d, F.struct(F.array(*map(F.lit, names)).alias("fields"), F.array(F.array(*[x.cast("string") for x in row])).alias("data")))))
 
 
 @query(
-    """WITH e AS (SELECT *, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events WHERE user_id % 5 = 3),
+    """WITH e AS (SELECT *, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events),
     r AS (SELECT *, 'temperature' AS metric, 'degC' AS unit, value AS v FROM e WHERE event_id % 4 <> 0 UNION ALL SELECT *, 'humidity', 'percent', 58 FROM e UNION ALL SELECT *, 'pressure', 'hPa', 1012 FROM e UNION ALL SELECT *, 'wind_speed', 'm/s', 3.4 FROM e
         UNION ALL SELECT *, 'precipitation', 'mm/h', CASE WHEN event_id % 2 = 0 THEN 1.2 ELSE 0 END + 0.3 FROM e)
-    SELECT r.at, 34.05::DOUBLE AS lat, (-84.07)::DOUBLE AS lon, metric, round(v::DOUBLE, 4) AS value, unit, 'openweather' AS source, 'grid:p' || user_id AS source_entity_id FROM r"""
+    SELECT r.at, 34.05::DOUBLE AS lat, (-84.07)::DOUBLE AS lon, metric, round(v::DOUBLE + 1e-9, 4) + 0.0::DOUBLE AS value, unit, 'openweather' AS source, 'grid:p' || user_id AS source_entity_id FROM r"""
 )
 def normalize_openweather(spark, d):
     number = lambda x, name: F.lit(x).alias(name)
@@ -281,17 +281,17 @@ def normalize_openweather(spark, d):
         F.struct(number("0.3", "1h")).alias("snow"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("dt"),
     )
-    return shown(feeds.openweather(payloads(spark, d, 3, F.struct(F.concat(F.lit("p"), "user_id").alias("point_id"), body.alias("payload")))))
+    return shown(feeds.openweather(payloads(spark, d, F.struct(F.concat(F.lit("p"), "user_id").alias("point_id"), body.alias("payload")))))
 
 
 @query(
-    """WITH e AS (SELECT *, date_trunc('minute', ts) AS m, CASE WHEN user_id % 2 = 0 THEN 'VIIRS_SNPP_NRT' ELSE 'MODIS_NRT' END AS dataset FROM events WHERE user_id % 5 = 4),
+    """WITH e AS (SELECT *, date_trunc('minute', ts) AS m, CASE WHEN user_id % 2 = 0 THEN 'VIIRS_SNPP_NRT' ELSE 'MODIS_NRT' END AS dataset FROM events),
     r AS (SELECT *, 'fire_radiative_power' AS metric, 'MW' AS unit, value AS v FROM e UNION ALL SELECT *, 'fire_confidence', 'percent', CASE WHEN user_id % 2 = 0 THEN 66 ELSE 87 END FROM e
         UNION ALL SELECT *, 'fire_brightness', 'K', 300 + value FROM e WHERE event_id % 5 <> 0)
-    SELECT strftime(m, '%Y-%m-%d %H:%M:%S') AS at, 34.1::DOUBLE AS lat, (-84.2)::DOUBLE AS lon, metric, round(v::DOUBLE, 4) AS value, unit, 'nasa_firms' AS source, dataset || ':N20:34.10000:-84.20000:' || strftime(m, '%Y%m%d%H%M') AS source_entity_id FROM r"""
+    SELECT strftime(m, '%Y-%m-%d %H:%M:%S') AS at, 34.1::DOUBLE AS lat, (-84.2)::DOUBLE AS lon, metric, round(v::DOUBLE + 1e-9, 4) + 0.0::DOUBLE AS value, unit, 'nasa_firms' AS source, dataset || ':N20:34.10000:-84.20000:' || strftime(m, '%Y%m%d%H%M') AS source_entity_id FROM r"""
 )
 def normalize_firms(spark, d):
-    e = table(spark, d, "events").where("user_id % 5 = 4")
+    e = table(spark, d, "events")
     viirs = F.col("user_id") % 2 == 0
     heat = F.when(F.col("event_id") % 5 != 0, (F.col("value") + 300).cast("string")).otherwise("")
     head = F.when(viirs, "latitude,longitude,bright_ti4,acq_date,acq_time,satellite,confidence,frp").otherwise("latitude,longitude,brightness,acq_date,acq_time,satellite,confidence,frp")
@@ -308,18 +308,18 @@ AT = "strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at, 34.1::DOUBL
 
 
 @query(
-    f"""WITH e AS (SELECT *, {AT} FROM events WHERE user_id % 5 = 0), r AS (SELECT *, 'traffic_speed' AS metric, 'km/h' AS unit, value AS v FROM e UNION ALL SELECT *, 'traffic_freeflow', 'km/h', event_id % 3 * 50 FROM e
+    f"""WITH e AS (SELECT *, {AT} FROM events), r AS (SELECT *, 'traffic_speed' AS metric, 'km/h' AS unit, value AS v FROM e UNION ALL SELECT *, 'traffic_freeflow', 'km/h', event_id % 3 * 50 FROM e
         UNION ALL SELECT *, 'traffic_congestion', 'ratio', 1 - value / (event_id % 3 * 50) FROM e WHERE event_id % 3 > 0)
-    SELECT r.at, lat, lon, metric, round(v::DOUBLE, 4) AS value, unit, 'traffic' AS source, user_id::VARCHAR AS source_entity_id FROM r"""
+    SELECT r.at, lat, lon, metric, round(v::DOUBLE + 1e-9, 4) + 0.0::DOUBLE AS value, unit, 'traffic' AS source, user_id::VARCHAR AS source_entity_id FROM r"""
 )
 def normalize_traffic(spark, d):
     row = placed_row({"current_speed": text_of("value"), "free_flow_speed": (F.col("event_id") % 3 * 50).cast("string")})
-    return shown(planned.traffic(payloads(spark, d, 0, F.struct(F.array(row).alias("segments")))))
+    return shown(planned.traffic(payloads(spark, d, F.struct(F.array(row).alias("segments")))))
 
 
 @query(
-    f"""SELECT {AT}, CASE event_type WHEN 'click' THEN 'streamflow' WHEN 'view' THEN 'ph' ELSE 'turbidity' END AS metric, round(value, 4) AS value, CASE event_type WHEN 'click' THEN 'ft3/s' WHEN 'view' THEN 'pH' ELSE 'FNU' END AS unit,
-        'water_gauges' AS source, user_id::VARCHAR AS source_entity_id FROM events WHERE user_id % 5 = 1 AND event_type IN ('click', 'view', 'error')"""
+    f"""SELECT {AT}, CASE event_type WHEN 'click' THEN 'streamflow' WHEN 'view' THEN 'ph' ELSE 'turbidity' END AS metric, round(value + 1e-9, 4) + 0.0::DOUBLE AS value, CASE event_type WHEN 'click' THEN 'ft3/s' WHEN 'view' THEN 'pH' ELSE 'FNU' END AS unit,
+        'water_gauges' AS source, user_id::VARCHAR AS source_entity_id FROM events WHERE event_type IN ('click', 'view', 'error')"""
 )
 def normalize_water(spark, d):
     code = F.expr("CASE event_type WHEN 'click' THEN '00060' WHEN 'view' THEN '00400' WHEN 'error' THEN '63680' ELSE '99999' END")
@@ -331,21 +331,21 @@ def normalize_water(spark, d):
         F.struct(named(code).alias("variableCode")).alias("variable"),
         F.array(F.struct(F.array(reading).alias("value"))).alias("values"),
     )
-    return shown(planned.water(payloads(spark, d, 1, F.struct(F.struct(F.array(series).alias("timeSeries")).alias("value")))))
+    return shown(planned.water(payloads(spark, d, F.struct(F.struct(F.array(series).alias("timeSeries")).alias("value")))))
 
 
 @query(
-    f"""WITH e AS (SELECT *, {AT} FROM events WHERE user_id % 5 = 2), r AS (SELECT *, 'generation_mwh' AS metric, 'MWh' AS unit, value AS v FROM e UNION ALL SELECT *, 'co2_emissions', 't', value / 2 FROM e WHERE event_id % 2 = 0
-        UNION ALL SELECT *, 'grid_carbon_intensity', 'g/kWh', 400 FROM e)
-    SELECT r.at, lat, lon, metric, round(v::DOUBLE, 4) AS value, unit, 'energy' AS source, user_id::VARCHAR AS source_entity_id FROM r"""
+    f"""WITH e AS (SELECT *, {AT} FROM events), r AS (SELECT *, 'generation_mwh' AS metric, 'MWh' AS unit, value AS v FROM e UNION ALL SELECT *, 'co2_emissions', 't', value / 2 FROM e WHERE event_id % 2 = 0
+        UNION ALL SELECT *, 'grid_carbon_intensity', 'g/kWh', 400 FROM e UNION ALL SELECT *, 'fuel_type', 'code', CASE event_id % 3 WHEN 0 THEN 1 ELSE 6 END FROM e WHERE event_id % 3 < 2)
+    SELECT r.at, lat, lon, metric, round(v::DOUBLE + 1e-9, 4) + 0.0::DOUBLE AS value, unit, 'energy' AS source, user_id::VARCHAR AS source_entity_id FROM r"""
 )
 def normalize_energy(spark, d):
-    row = placed_row({"generation_mwh": text_of("value"), "co2_emissions": F.when(F.col("event_id") % 2 == 0, (F.col("value") / 2).cast("string")).otherwise("n/a"), "grid_carbon_intensity": F.lit("400")})
-    return shown(planned.energy(payloads(spark, d, 2, F.struct(F.array(row).alias("plants")))))
+    row = placed_row({"generation_mwh": text_of("value"), "co2_emissions": F.when(F.col("event_id") % 2 == 0, (F.col("value") / 2).cast("string")).otherwise("n/a"), "grid_carbon_intensity": F.lit("400"), "fuel_type": F.expr("CASE event_id % 3 WHEN 0 THEN 'Coal' WHEN 1 THEN 'solar' ELSE 'peat' END")})
+    return shown(planned.energy(payloads(spark, d, F.struct(F.array(row).alias("plants")))))
 
 
 @query(
-    f"""WITH {OBS} SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS at, round((floor(lat / 0.25) + 0.5) * 0.25, 4) AS lat, round((floor(lon / 0.25) + 0.5) * 0.25, 4) AS lon, 'no2_column' AS metric, round(avg(value), 4) AS value,
+    f"""WITH {OBS} SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS at, round((floor(lat / 0.25) + 0.5) * 0.25 + 1e-9, 4) + 0.0::DOUBLE AS lat, round((floor(lon / 0.25) + 0.5) * 0.25 + 1e-9, 4) + 0.0::DOUBLE AS lon, 'no2_column' AS metric, round(avg(value) + 1e-9, 4) + 0.0::DOUBLE AS value,
         'mol/m2' AS unit, 'satellite' AS source, concat('cell:', floor(lat / 0.25)::BIGINT, ':', floor(lon / 0.25)::BIGINT) AS source_entity_id FROM obs GROUP BY date_trunc('hour', timestamp), floor(lat / 0.25), floor(lon / 0.25)"""
 )
 def satellite_grid(spark, d):
@@ -353,17 +353,31 @@ def satellite_grid(spark, d):
     return shown(planned.satellite_cells(pixels, "no2_column", 0.25, "mol/m2"))
 
 
-@query("SELECT 'epa_airnow' AS source, count(*) AS n FROM events WHERE user_id % 5 = 0 AND event_id % 2 = 0 UNION ALL SELECT 'nasa_firms', 2 * count(*) FROM events WHERE user_id % 5 = 4")
+@query("SELECT 'epa_airnow' AS source, count(*) AS n FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'nasa_firms', 2 * count(*) FROM events")
 def union_sources(spark, d):
     """Two feeds through the registry into one table."""
     e = table(spark, d, "events")
     o = F.struct(F.date_format("ts", "yyyy-MM-dd").alias("DateObserved"), F.hour("ts").alias("HourObserved"), F.when(F.col("event_id") % 2 == 0, "PM10").otherwise("pm10").alias("ParameterName"), F.col("value").alias("Value"))
-    air = e.where("user_id % 5 = 0").select(F.to_json(F.struct(F.array(o).alias("observations"))).alias("payload"))
+    air = e.select(F.to_json(F.struct(F.array(o).alias("observations"))).alias("payload"))
     line = F.concat_ws(",", F.lit("34.1"), F.lit("-84.2"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "Hmm"), F.lit("high"), text_of("value"))
-    fire = e.where("user_id % 5 = 4").select(F.lit("MODIS_NRT").alias("dataset"), F.concat(F.lit("latitude,longitude,acq_date,acq_time,confidence,frp\n"), line).alias("payload"))
+    fire = e.select(F.lit("MODIS_NRT").alias("dataset"), F.concat(F.lit("latitude,longitude,acq_date,acq_time,confidence,frp\n"), line).alias("payload"))
     return registry.normalize_all({"epa_airnow": air, "nasa_firms": fire}).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {OBS} SELECT id FROM obs WHERE timestamp >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 7200 SECONDS")
+def fresh_readings(spark, d):
+    return feeds.fresh(observations(spark, d), "2024-01-20 12:00:00", S.PURPLEAIR_MAX_AGE_S).select("id")
+
+
+@query("SELECT count(DISTINCT user_id) AS n_locations, 2 * count(*) AS n_sensors, false AS truncated FROM events WHERE user_id % 3 > 0")
+def openaq_sensors(spark, d):
+    """Locations in the radius and their sensors; every third has coordinates outside."""
+    place = F.struct(F.when(F.col("user_id") % 3 == 0, 10.0).otherwise(LAT).alias("latitude"), F.lit(LON).alias("longitude"))
+    sensors = F.array(*[F.struct(F.concat(F.lit(x), text_of("event_id")).alias("id")) for x in "ab"])
+    body = F.struct(F.array(F.struct(text_of("user_id").alias("id"), place.alias("coordinates"))).alias("locations"), F.create_map(text_of("user_id"), sensors).alias("sensors_by_location_id"))
+    return feeds.openaq_tally(payloads(spark, d, body), S.RADIUS_KM)
+
+
 # Store and status
 
 
@@ -403,14 +417,14 @@ def exit_code(spark, d):
     return runs.exit_code(run_log(spark, d))
 
 
-@query(f"WITH {RUNS} SELECT source, max(run_at) AS last_at, round(avg(success::INTEGER), 4) AS success_rate, count(*) AS n_runs FROM runs GROUP BY source")
+@query(f"WITH {RUNS} SELECT source, max(run_at) AS last_at, round(avg(success::INTEGER) + 1e-9, 4) + 0.0::DOUBLE AS success_rate, count(*) AS n_runs FROM runs GROUP BY source")
 def source_health(spark, d):
     return rounded(rollup.source_health(run_log(spark, d)), "success_rate")
 
 
-@query()
+@query(f"WITH {RUNS} SELECT source, round(quantile_cont(duration_ms, 0.5) + 1e-9, 4) + 0.0::DOUBLE AS p50, round(quantile_cont(duration_ms, 0.95) + 1e-9, 4) + 0.0::DOUBLE AS p95, round(quantile_cont(duration_ms, 0.99) + 1e-9, 4) + 0.0::DOUBLE AS p99 FROM runs GROUP BY source")
 def latency_pctl(spark, d):
-    return run_log(spark, d).groupBy("source").agg(F.percentile_approx("duration_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.lit(10_000)).alias("ms"))
+    return rounded(runs.latency(run_log(spark, d)), "p50", "p95", "p99")
 
 
 # Validation
@@ -436,7 +450,7 @@ def stale_sources(spark, d):
 # Rollups
 
 
-@query(f"WITH {OBS} SELECT source, metric, unit, timestamp::DATE AS day, count(*) AS n, max(timestamp) AS last_at, round(avg(value), 4) AS mean_value FROM obs GROUP BY ALL")
+@query(f"WITH {OBS} SELECT source, metric, unit, timestamp::DATE AS day, count(*) AS n, max(timestamp) AS last_at, round(avg(value) + 1e-9, 4) + 0.0::DOUBLE AS mean_value FROM obs GROUP BY ALL")
 def source_daily_rollup(spark, d):
     return rounded(rollup.daily(observations(spark, d)), "mean_value")
 
@@ -468,12 +482,19 @@ def feed_filter(spark, d):
     return read.feed(with_severity(spark, d), severity="severe", metric="pm25", lat=LAT, lon=LON, radius_km=60.0).select("id", "severity")
 
 
-@query(f"WITH {OBS} SELECT floor(lat / 0.1)::BIGINT AS cell_lat, floor(lon / 0.1)::BIGINT AS cell_lon, count(*) AS n FROM obs GROUP BY ALL ORDER BY n DESC, cell_lat, cell_lon LIMIT 10")
+@query(f"{SEVERE} SELECT floor(lat / 0.1)::BIGINT AS cell_lat, floor(lon / 0.1)::BIGINT AS cell_lon, count(*) AS n FROM a GROUP BY ALL ORDER BY n DESC, cell_lat, cell_lon LIMIT 10")
 def top_cells(spark, d):
-    return rollup.top_cells(observations(spark, d), 0.1, 10)
+    """The ten places of most anomalies."""
+    return rollup.top_cells(with_severity(spark, d), 0.1, 10)
+
 
+@query("SELECT event_type AS cause, count(*) AS n, round(avg(value / 100) + 1e-9, 4) + 0.0::DOUBLE AS mean_confidence FROM events WHERE event_id % 4 > 0 GROUP BY event_type ORDER BY n DESC, cause LIMIT 3")
+def top_causes(spark, d):
+    """The three causes that explanations name most."""
+    return rounded(rollup.top_causes(explanations(spark, d), 3), "mean_confidence")
 
-@query(f"WITH {OBS} SELECT floor(lat / 0.1)::BIGINT AS cell_lat, floor(lon / 0.1)::BIGINT AS cell_lon, metric, unit, round(avg(value), 4) AS mean_value, count(*) AS n FROM obs GROUP BY ALL")
+
+@query(f"WITH {OBS} SELECT floor(lat / 0.1)::BIGINT AS cell_lat, floor(lon / 0.1)::BIGINT AS cell_lon, metric, unit, round(avg(value) + 1e-9, 4) + 0.0::DOUBLE AS mean_value, count(*) AS n FROM obs GROUP BY ALL")
 def grid_avg(spark, d):
     return rounded(rollup.grid_means(observations(spark, d), 0.1), "mean_value")
 
@@ -488,7 +509,7 @@ def day_over_day(spark, d):
     return rollup.day_over_day(observations(spark, d))
 
 
-@query(f"WITH {OBS} SELECT source_entity_id, metric, min(value) AS low, max(value) AS high, round(avg(value), 4) AS mean_value, arg_max(value, timestamp) AS last_value, count(*) AS n FROM obs GROUP BY ALL")
+@query(f"WITH {OBS} SELECT source_entity_id, metric, min(value) AS low, max(value) AS high, round(avg(value) + 1e-9, 4) + 0.0::DOUBLE AS mean_value, arg_max(value, timestamp) AS last_value, count(*) AS n FROM obs GROUP BY ALL")
 def series_summary(spark, d):
     return rounded(rollup.series_summary(observations(spark, d)), "mean_value")
 
@@ -496,12 +517,12 @@ def series_summary(spark, d):
 # Detectors
 
 
-@query(f"{Z} SELECT id, n_before, round(mean_before, 4) AS mean_before, round(sd_before, 4) AS sd_before, round(z, 4) AS z, coalesce(abs(z) > 3, false) AS flagged FROM z")
+@query(f"{Z} SELECT id, n_before, round(mean_before + 1e-9, 4) + 0.0::DOUBLE AS mean_before, round(sd_before + 1e-9, 4) + 0.0::DOUBLE AS sd_before, round(z + 1e-9, 4) + 0.0::DOUBLE AS z, coalesce(abs(z) > 3, false) AS flagged FROM z")
 def obs_zscore(spark, d):
     return rounded(by_metric(spark, d), "mean_before", "sd_before", "z").select("id", "n_before", "mean_before", "sd_before", "z", "flagged")
 
 
-@query(f"{Z.replace('PARTITION BY metric', 'PARTITION BY source, source_entity_id, metric, unit')} SELECT id, round(z, 4) AS z FROM z WHERE abs(z) > 3")
+@query(f"{Z.replace('PARTITION BY metric', 'PARTITION BY source, source_entity_id, metric, unit')} SELECT id, round(z + 1e-9, 4) + 0.0::DOUBLE AS z FROM z WHERE abs(z) > 3")
 def zscore_flags(spark, d):
     return rounded(detect.zscore(observations(spark, d)).where("flagged"), "z").select("id", "z")
 
@@ -511,7 +532,7 @@ SEASON = f"""WITH {OBS}, h AS (SELECT metric, date_trunc('hour', timestamp) AS h
     s AS (SELECT *, avg(value - trend) OVER (PARTITION BY metric, extract(hour FROM hour)) AS season FROM t), r AS (SELECT *, value - trend - season AS residual FROM s), f AS (SELECT *, stddev_samp(residual) OVER (PARTITION BY metric) AS sd FROM r)"""
 
 
-@query(f"{SEASON} SELECT metric, strftime(hour, '%Y-%m-%d %H') AS hour, round(trend, 4) AS trend, round(season, 4) AS season, round(residual, 4) AS residual, coalesce(sd > 0 AND abs(residual) > 2.5 * sd, false) AS flagged FROM f")
+@query(f"{SEASON} SELECT metric, strftime(hour, '%Y-%m-%d %H') AS hour, round(trend + 1e-9, 4) + 0.0::DOUBLE AS trend, round(season + 1e-9, 4) + 0.0::DOUBLE AS season, round(residual + 1e-9, 4) + 0.0::DOUBLE AS residual, coalesce(sd > 0 AND abs(residual) > 2.5 * sd, false) AS flagged FROM f")
 def seasonal_residual(spark, d):
     found = rounded(detect.seasonal_residual(observations(spark, d)), "trend", "season", "residual")
     return found.select("metric", F.date_format("hour", "yyyy-MM-dd HH").alias("hour"), "trend", "season", "residual", "flagged")
@@ -522,11 +543,30 @@ def loess_residual(spark, d):
     return rounded(detect.loess_residuals(observations(spark, d)), "trend", "season", "residual")
 
 
+#: Metrics of the event table that stand for weather and traffic.
+STAND_INS = {"temperature": "pm10", "humidity": "ozone", "wind_speed": "no2", "traffic_density": "so2"}
+
+
+@query(
+    f"""WITH {OBS}, h AS (SELECT date_trunc('hour', timestamp) AS hour, avg(value) FILTER (metric = 'pm10') AS temperature, avg(value) FILTER (metric = 'ozone') AS humidity, avg(value) FILTER (metric = 'no2') AS wind_speed, avg(value) FILTER (metric = 'so2') AS traffic_density FROM obs GROUP BY ALL)
+    SELECT id, {', '.join(f"round({c} + 1e-9, 4) + 0.0::DOUBLE AS {c}" for c in STAND_INS)}, extract(hour FROM timestamp)::INTEGER AS hour_of_day, (extract(dow FROM timestamp) + 1)::INTEGER AS day_of_week FROM obs JOIN h ON date_trunc('hour', timestamp) = hour"""
+)
+def forest_features(spark, d):
+    o = observations(spark, d)
+    return rounded(enrich.forest_features(o, o, STAND_INS), *STAND_INS).select("id", *STAND_INS, "hour_of_day", "day_of_week")
+
+
 @query()
 def iforest_scores(spark, d):
+    """A forest of the 30 days before the last row's week scores all rows."""
     o = observations(spark, d)
-    o = o.select("id", "value", "lat", "lon", F.hour("timestamp").alias("hour_of_day"), F.dayofweek("timestamp").alias("day_of_week"))
-    return detect.isolation_forest(o, ["value", "lat", "lon", "hour_of_day", "day_of_week"]).select("id", "score", "flagged")
+    rows = enrich.forest_features(o, o, STAND_INS)
+    return detect.isolation_forest(rows, list(detect.FOREST_FEATURES), training=detect.training_weeks(rows)).select("id", "score", "flagged")
+
+
+@query(f"WITH {OBS}, w AS (SELECT date_trunc('week', max(timestamp)) AS start FROM obs) SELECT id FROM obs, w WHERE timestamp < start AND timestamp >= start - INTERVAL 30 DAYS")
+def forest_training(spark, d):
+    return detect.training_weeks(observations(spark, d)).select("id")
 
 
 @query(
@@ -553,7 +593,7 @@ def consensus_severity(spark, d):
     e AS (SELECT *, sum(new) OVER (PARTITION BY metric, cell_lat, cell_lon ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS event FROM g)
     SELECT metric, cell_lat, cell_lon, event::BIGINT AS event, min(timestamp) AS first_at, max(timestamp) AS last_at, count(*) AS n FROM e GROUP BY ALL"""
 )
-def merge_events(spark, d):
+def merge_runs(spark, d):
     a = rollup.cells(by_metric(spark, d).where("abs(z) > 1").withColumn("score", F.col("z")), 0.1)
     return detect.merge_gaps(a).drop("representative")
 
@@ -566,6 +606,33 @@ def merge_pairs(spark, d):
     return detect.near_pairs(by_metric(spark, d).where("abs(z) > 1.5"))
 
 
+@query(
+    f"""{Z.replace('WITH', 'WITH RECURSIVE', 1)}, a AS (SELECT * FROM z WHERE abs(z) > 1.5),
+    p AS (SELECT a.id, b.id AS id_b FROM a JOIN a AS b ON a.metric = b.metric AND a.id <> b.id AND abs(epoch_us(a.timestamp) - epoch_us(b.timestamp)) <= 1800000000 WHERE {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 10),
+    r(id, c) AS (SELECT id, id FROM a UNION SELECT p.id_b, r.c FROM r JOIN p USING (id)), e AS (SELECT id, min(c) AS event FROM r GROUP BY id)
+    SELECT event, metric, min(timestamp) AS first_at, max(timestamp) AS last_at, count(*) AS n, arg_min(id, (-abs(z), timestamp, id)) AS representative FROM e JOIN a USING (id) GROUP BY event, metric"""
+)
+def merge_events(spark, d):
+    """Anomalies within 30 minutes and 10 km of each other, over any number of steps, are one event."""
+    a = written(by_metric(spark, d).where("abs(z) > 1.5").withColumn("score", F.col("z")), "anomalies")
+    return detect.events(detect.merge_near(a))
+
+
+PLACED = """places AS (SELECT s_suppkey AS id, s_acctbal AS value, 'pm25' AS metric, TIMESTAMP '2024-01-01' + INTERVAL (s_suppkey * 37 % 240) MINUTE AS timestamp,
+    (70 + s_suppkey * 41 % 31 * 0.01::DOUBLE) AS lat, CASE WHEN (179.85::DOUBLE + s_suppkey * 67 % 31 * 0.01::DOUBLE) > 180 THEN (179.85::DOUBLE + s_suppkey * 67 % 31 * 0.01::DOUBLE) - 360 ELSE (179.85::DOUBLE + s_suppkey * 67 % 31 * 0.01::DOUBLE) END::DOUBLE AS lon FROM supplier)"""
+
+
+@query(
+    f"""WITH {PLACED} SELECT a.metric, a.id, b.id AS id_b FROM places AS a JOIN places AS b ON a.id < b.id AND abs(epoch_us(a.timestamp) - epoch_us(b.timestamp)) <= 1800000000 WHERE {km_sql('a.lat', 'a.lon', 'b.lat', 'b.lon')} <= 10"""
+)
+def merge_pairs_far_north(spark, d):
+    """Suppliers placed around 70 degrees north, on both sides of the 180th meridian: cells there are as complete as elsewhere."""
+    lon = F.lit(179.85) + F.col("s_suppkey") * 67 % 31 * F.lit(0.01)
+    at = (F.lit("2024-01-01").cast("timestamp_ntz").cast("timestamp").cast("long") + F.col("s_suppkey") * 37 % 240 * 60).cast("timestamp")
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("pm25").alias("metric"), at.alias("timestamp"), (F.lit(70.0) + F.col("s_suppkey") * 41 % 31 * F.lit(0.01)).alias("lat"), F.when(lon > 180, lon - 360).otherwise(lon).alias("lon"))
+    return detect.near_pairs(s)
+
+
 # Enrichment
 
 
@@ -592,7 +659,7 @@ def as_of_reading(spark, d):
 
 
 @query(
-    f"""{FEW} SELECT a.id AS anomaly, count(*) AS n, min(o.value) AS low, max(o.value) AS high, round(avg(o.value), 4) AS mean_value, arg_max(o.value, o.timestamp) AS last_value
+    f"""{FEW} SELECT a.id AS anomaly, count(*) AS n, min(o.value) AS low, max(o.value) AS high, round(avg(o.value) + 1e-9, 4) + 0.0::DOUBLE AS mean_value, arg_max(o.value, o.timestamp) AS last_value
     FROM a JOIN obs AS o ON a.source_entity_id = o.source_entity_id AND a.metric = o.metric AND o.timestamp BETWEEN a.timestamp - INTERVAL 72 HOURS AND a.timestamp GROUP BY a.id"""
 )
 def history_72h(spark, d):
@@ -602,18 +669,21 @@ def history_72h(spark, d):
 BEARING = "(degrees(atan2(sin(radians(p.lon - a.lon)) * cos(radians(p.lat)), cos(radians(a.lat)) * sin(radians(p.lat)) - sin(radians(a.lat)) * cos(radians(p.lat)) * cos(radians(p.lon - a.lon)))) + 360) % 360"
 
 
-@query(f"{FEW}, {PLACES} SELECT a.id, p.facility, round({km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')}, 4) AS km FROM a JOIN places AS p ON true WHERE {km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')} <= 25")
+@query(f"{FEW}, {PLACES} SELECT a.id, p.facility, round({km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')} + 1e-9, 4) + 0.0::DOUBLE AS km FROM a JOIN places AS p ON true WHERE {km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')} <= 25")
 def near_facilities(spark, d):
     return rounded(enrich.within(few(spark, d), facilities(spark, d), 25.0, "id", "facility"), "km").select("id", "facility", "km")
 
 
 @query(
-    f"""{FEW}, p AS (SELECT id AS fire, lat, lon FROM obs WHERE source = 'nasa_firms' AND value > 20), n AS (SELECT a.id, p.fire, {km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')} AS km, {BEARING} AS turn FROM a, p)
-    SELECT id, fire, round(km, 4) AS km, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][(floor((turn + 22.5) / 45)::INTEGER % 8) + 1] AS wind FROM n WHERE km <= 100 AND km > 0"""
+    f"""{FEW}, p AS (SELECT id AS fire, lat, lon FROM obs WHERE source = 'nasa_firms' AND value > 20), n AS (SELECT a.id, p.fire, {km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')} AS km, {BEARING} AS turn FROM a, p),
+    k AS (SELECT * FROM n WHERE km <= 100 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(km, 6), fire) <= 10)
+    SELECT id, fire, round(km + 1e-9, 4) + 0.0::DOUBLE AS km, CASE WHEN km > 0 THEN ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][(floor((turn + 22.5) / 45)::INTEGER % 8) + 1] END AS wind FROM k"""
 )
 def near_fires(spark, d):
+    """The ten nearest fires within 100 km; one at the very place has no direction."""
     fires = observations(spark, d).where("source = 'nasa_firms' AND value > 20").withColumnRenamed("id", "fire")
-    return rounded(enrich.within(few(spark, d), fires, 100.0, "id", "fire").where("km > 0"), "km").select("id", "fire", "km", "wind")
+    found = enrich.within(few(spark, d), fires, 100.0, "id", "fire", nearest=10).withColumn("wind", F.when(F.col("km") > 0, F.col("wind")))
+    return rounded(found, "km").select("id", "fire", "km", "wind")
 
 
 @query("SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -624,37 +694,75 @@ def location_lookup(spark, d):
 
 
 @query(
-    f"""WITH {OBS} SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H') AS hour, round(avg(value) FILTER (metric = 'pm25'), 4) AS pm25, round(avg(value) FILTER (metric = 'ozone'), 4) AS ozone,
+    f"""WITH {OBS} SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H') AS hour, round(avg(value) FILTER (metric = 'pm25') + 1e-9, 4) + 0.0::DOUBLE AS pm25, round(avg(value) FILTER (metric = 'ozone') + 1e-9, 4) + 0.0::DOUBLE AS ozone,
     extract(hour FROM date_trunc('hour', timestamp))::INTEGER AS hour_of_day, (extract(dow FROM date_trunc('hour', timestamp)) + 1)::INTEGER AS day_of_week FROM obs GROUP BY date_trunc('hour', timestamp)"""
 )
 def feature_pivot(spark, d):
     return rounded(enrich.features(observations(spark, d), ["pm25", "ozone"]), "pm25", "ozone").withColumn("hour", F.date_format("hour", "yyyy-MM-dd HH"))
 
 
-@query()
-def enrich_context(spark, d):
+ALERTS = """alerts AS (SELECT c_custkey AS alert, 34.0515::DOUBLE + (c_custkey % 11 - 5) * 0.1::DOUBLE AS lat, (-84.0713)::DOUBLE + (c_custkey % 13 - 6) * 0.1::DOUBLE AS lon, 30 AS radius_km,
+    TIMESTAMP '2024-01-01' + INTERVAL (c_custkey % 700) HOUR AS starts, TIMESTAMP '2024-01-01' + INTERVAL (c_custkey % 700 + 30) HOUR AS ends FROM customer)"""
+
+
+def alerts(spark, d) -> DataFrame:
+    """An alert of 30 hours for each customer."""
+    c, day = F.col("c_custkey"), F.lit("2024-01-01").cast("timestamp").cast("long")
+    hours = lambda more: (day + (c % 700 + more) * 3600).cast("timestamp").cast("timestamp_ntz")
+    return table(spark, d, "customer").select(c.alias("alert"), (F.lit(34.0515) + (c % 11 - 5) * F.lit(0.1)).alias("lat"), (F.lit(-84.0713) + (c % 13 - 6) * F.lit(0.1)).alias("lon"), F.lit(30.0).alias("radius_km"), hours(0).alias("starts"), hours(30).alias("ends"))
+
+
+@query(f"{FEW}, {ALERTS} SELECT DISTINCT a.id, l.alert FROM a JOIN alerts AS l ON a.timestamp BETWEEN l.starts AND l.ends WHERE {km_sql('a.lat', 'a.lon', 'l.lat', 'l.lon')} <= l.radius_km")
+def active_alerts(spark, d):
+    return enrich.active_alerts(few(spark, d), alerts(spark, d))
+
+
+@query(f"{FEW}, u AS (SELECT source_entity_id, metric, extract(hour FROM timestamp) AS h, avg(value) AS usual FROM obs GROUP BY ALL) SELECT a.id, round(usual + 1e-9, 4) + 0.0::DOUBLE AS usual FROM a JOIN u ON a.source_entity_id = u.source_entity_id AND a.metric = u.metric AND extract(hour FROM a.timestamp) = h")
+def usual_value(spark, d):
+    return rounded(enrich.baseline(few(spark, d), observations(spark, d)), "usual")
+
+
+@query(
+    f"""{FEW}, {PLACES}, {ALERTS}, p AS (SELECT id AS fire, lat, lon FROM obs WHERE source = 'nasa_firms' AND value > 50),
+    f AS (SELECT a.id, least(count(*), 10) AS n FROM a JOIN places AS p ON true WHERE {km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')} <= 25 GROUP BY a.id),
+    g AS (SELECT a.id, least(count(*), 10) AS n FROM a JOIN p ON true WHERE {km_sql('a.lat', 'a.lon', 'p.lat', 'p.lon')} <= 100 GROUP BY a.id),
+    c AS (SELECT a.id, count(DISTINCT (o.source, o.metric)) AS n FROM a JOIN obs AS o ON o.source <> a.source AND abs(epoch_us(o.timestamp) - epoch_us(a.timestamp)) <= 3600000000 WHERE {km_sql('a.lat', 'a.lon', 'o.lat', 'o.lon')} <= 25 GROUP BY a.id),
+    l AS (SELECT a.id, count(DISTINCT l.alert) AS n FROM a JOIN alerts AS l ON a.timestamp BETWEEN l.starts AND l.ends WHERE {km_sql('a.lat', 'a.lon', 'l.lat', 'l.lon')} <= l.radius_km GROUP BY a.id)
+    SELECT a.id, coalesce(f.n, 0)::INTEGER AS n_facilities, coalesce(g.n, 0)::INTEGER AS n_fires, coalesce(c.n, 0)::INTEGER AS n_concurrent, coalesce(l.n, 0)::INTEGER AS n_alerts
+    FROM a LEFT JOIN f USING (id) LEFT JOIN g USING (id) LEFT JOIN c USING (id) LEFT JOIN l USING (id)"""
+)
+def enrich_record(spark, d):
+    return records(spark, d).select("id", *[F.size(c).alias(f"n_{c}") for c in ("facilities", "fires", "concurrent", "alerts")])
+
+
+def records(spark, d) -> DataFrame:
     o = observations(spark, d)
     fires = o.where("source = 'nasa_firms' AND value > 50").withColumnRenamed("id", "fire")
-    return enrich.context_document(enrich.enriched(few(spark, d), o, facilities(spark, d), fires)).select("id", F.size("facilities").alias("n_facilities"), F.size("fires").alias("n_fires"), F.size("concurrent").alias("n_concurrent"), "document")
+    return enrich.enriched(written(few(spark, d), "anomalies"), o, facilities(spark, d), fires, alerts(spark, d))
+
+
+@query()
+def enrich_context(spark, d):
+    return enrich.context_document(records(spark, d)).select("id", "document")
 
 
 # Retrieval and evaluation
 
 
 @query(
-    """SELECT q.vec_id AS query, e.vec_id AS chunk, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS similarity FROM embeddings AS q, embeddings AS e WHERE q.vec_id IN (1, 2, 3)
-    QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) DESC, e.vec_id) <= 5"""
+    """WITH n AS (SELECT q.vec_id AS query, e.vec_id AS chunk, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS near FROM embeddings AS q, embeddings AS e WHERE q.vec_id % 20 = 0)
+    SELECT query, chunk, round(near + 1e-9, 4) + 0.0::DOUBLE AS similarity FROM n QUALIFY row_number() OVER (PARTITION BY query ORDER BY near DESC, chunk) <= 5"""
 )
 def retrieve_top5(spark, d):
-    """The five nearest of all vectors for a stated set of three queries."""
+    """The five nearest of all vectors for every vector whose id is divisible by 20."""
     e = table(spark, d, "embeddings")
-    queries = e.where("vec_id IN (1, 2, 3)").select(F.col("vec_id").alias("query"), "embedding")
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
     return rounded(evaluate.top_chunks(queries, e.withColumnRenamed("vec_id", "chunk"), 5), "similarity").select("query", "chunk", "similarity")
 
 
 @query(
     f"""WITH {OBS}, claims AS (SELECT DISTINCT source, metric, timestamp::DATE AS day FROM obs), evidence AS (SELECT DISTINCT source, metric, timestamp::DATE AS day FROM obs WHERE value > 15), v AS (SELECT c.*, e.day IS NOT NULL AS verified FROM claims AS c LEFT JOIN evidence AS e USING (source, metric, day))
-    SELECT source, round(avg(verified::INTEGER), 4) AS share, count(*) AS n, count(DISTINCT metric) AS n_metrics FROM v GROUP BY source"""
+    SELECT source, round(avg(verified::INTEGER) + 1e-9, 4) + 0.0::DOUBLE AS share, count(*) AS n, count(DISTINCT metric) AS n_metrics FROM v GROUP BY source"""
 )
 def claim_grounding(spark, d):
     o = observations(spark, d).withColumn("day", F.to_date("timestamp"))
@@ -666,16 +774,35 @@ def claim_grounding(spark, d):
 @query(
     """WITH n AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY ALL), t AS (SELECT sum(n)::BIGINT AS total, sum(n) FILTER (a = b) AS same FROM n),
     c AS (SELECT sum(x.n * y.n)::DOUBLE AS chance FROM (SELECT a AS v, sum(n) AS n FROM n GROUP BY a) AS x JOIN (SELECT b AS v, sum(n) AS n FROM n GROUP BY b) AS y USING (v))
-    SELECT total, round(same / total, 4) AS observed, round(chance / (total * total), 4) AS expected, round((same / total - chance / (total * total)) / (1 - chance / (total * total)), 4) AS kappa FROM t, c"""
+    SELECT total, round(same / total + 1e-9, 4) + 0.0::DOUBLE AS observed, round(chance / (total * total) + 1e-9, 4) + 0.0::DOUBLE AS expected, round((same / total - chance / (total * total)) / (1 - chance / (total * total)) + 1e-9, 4) + 0.0::DOUBLE AS kappa FROM t, c"""
 )
 def kappa(spark, d):
     return rounded(evaluate.kappa(table(spark, d, "labels"), "quality", "toxic"), "observed", "expected", "kappa")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_type END AS cause, round(value / 100, 4) AS confidence FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_type END AS cause, round(value / 100 + 1e-9, 4) + 0.0::DOUBLE AS confidence FROM events")
 def explanation_metadata(spark, d):
+    return rounded(explanations(spark, d), "confidence").select("event_id", "cause", "confidence")
+
+
+def explanations(spark, d) -> DataFrame:
     meta = F.to_json(F.struct(F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("cause"), (F.col("value") / 100).alias("confidence")))
-    return rounded(evaluate.metadata(table(spark, d, "events").select("event_id", meta.alias("metadata"))), "confidence").select("event_id", "cause", "confidence")
+    return evaluate.metadata(table(spark, d, "events").select("event_id", meta.alias("metadata")))
+
+
+@query("SELECT event_type, count(*) FILTER (user_id % 7 BETWEEN 1 AND 5) AS n, round(avg(user_id % 7) FILTER (user_id % 7 BETWEEN 1 AND 5) + 1e-9, 4) + 0.0::DOUBLE AS mean_rating, round(stddev_samp(user_id % 7) FILTER (user_id % 7 BETWEEN 1 AND 5) + 1e-9, 4) + 0.0::DOUBLE AS sd_rating FROM events GROUP BY event_type")
+def likert(spark, d):
+    e = table(spark, d, "events").select("event_type", (F.col("user_id") % 7).alias("rating"))
+    return rounded(evaluate.likert(e, ["event_type"]), "mean_rating", "sd_rating")
+
+
+@query(
+    """WITH s AS (SELECT CASE event_type WHEN 'click' THEN 'full' ELSE event_type END AS variant, user_id AS item, value AS score FROM events), f AS (SELECT item, avg(score) AS f FROM s WHERE variant = 'full' GROUP BY item), p AS (SELECT variant, item, avg(score) AS p FROM s WHERE variant <> 'full' GROUP BY ALL)
+    SELECT variant, count(*) AS n, round(avg(p) + 1e-9, 4) + 0.0::DOUBLE AS mean_score, round(avg(f) + 1e-9, 4) + 0.0::DOUBLE AS mean_full, round(avg(f) - avg(p) + 1e-9, 4) + 0.0::DOUBLE AS lost FROM p JOIN f USING (item) GROUP BY variant"""
+)
+def ablation(spark, d):
+    e = table(spark, d, "events").select(F.when(F.col("event_type") == "click", "full").otherwise(F.col("event_type")).alias("variant"), F.col("user_id").alias("item"), F.col("value").alias("score"))
+    return rounded(evaluate.ablation(e), "mean_score", "mean_full", "lost")
 
 
 # Streams
@@ -684,12 +811,11 @@ def explanation_metadata(spark, d):
 @query(f"WITH {OBS} SELECT source, count(*) AS n FROM (SELECT DISTINCT source, metric, source_entity_id, timestamp FROM obs) GROUP BY source")
 def stream_ingest(spark, d):
     """The event table as a stream through insert-or-ignore, twice: the second pass adds nothing."""
-    import tempfile
     import uuid
 
     from ..streaming import ingest
 
-    base = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows = observations(spark, d)
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(f"{base}/landed")
     parsed = lambda found: found.select(F.from_json("value", rows.schema).alias("o")).select("o.*")

@@ -39,6 +39,8 @@ OPENWEATHER_FIELDS = {
 }
 FIRE_CONFIDENCE = {"l": 33.0, "low": 33.0, "n": 66.0, "nominal": 66.0, "h": 100.0, "high": 100.0}
 FIRE_METRICS = {"fire_radiative_power": "MW", "fire_confidence": "percent", "fire_brightness": "K"}
+#: What the feeds are asked for: readings of at most this age, and detections of so many days.
+PURPLEAIR_MAX_AGE_S, FIRE_DAYS = 7200, 1
 COLLECT_MINUTES = {"epa_airnow": 60, "openaq": 60, "purpleair": 15, "openweather": 60, "nasa_firms": 180}
 
 # EPA breakpoints for 24-hour PM2.5 (ug/m3): lower and upper concentration, lower and upper index.
@@ -46,4 +48,26 @@ PM25_BREAKPOINTS = ((0.0, 9.0, 0, 50), (9.1, 35.4, 51, 100), (35.5, 55.4, 101, 1
 #: Concentrations from which on a reading is severe by itself, by metric and unit.
 HAZARDOUS = {("pm25", "ug/m3"): 225.5, ("pm10", "ug/m3"): 425.0}
 #: Plausible values of a metric, by metric and unit.
-BOUNDS = {("pm25", "ug/m3"): (0.0, 1000.0), ("pm10", "ug/m3"): (0.0, 2000.0), ("ozone", "ug/m3"): (0.0, 1000.0), ("no2", "ug/m3"): (0.0, 1000.0), ("so2", "ug/m3"): (0.0, 1000.0)}
+BOUNDS = {
+    ("pm25", "ug/m3"): (0.0, 1000.0),
+    ("pm10", "ug/m3"): (0.0, 2000.0),
+    **{(m, "ug/m3"): (0.0, 1000.0) for m in ("ozone", "no2", "so2")},
+    **{(m, "ppm"): (0.0, 10.0) for m in ("ozone", "no2", "so2")},
+    **{(m, "ppb"): (0.0, 10_000.0) for m in ("ozone", "no2", "so2")},
+    ("co", "ppm"): (0.0, 500.0),
+    ("bc", "ug/m3"): (0.0, 500.0),
+    ("temperature", "degC"): (-90.0, 60.0),
+    ("temperature", "degF"): (-130.0, 140.0),
+    ("humidity", "percent"): (0.0, 100.0),
+    ("cloud_cover", "percent"): (0.0, 100.0),
+    ("pressure", "hPa"): (850.0, 1100.0),
+    ("wind_speed", "m/s"): (0.0, 115.0),
+    ("wind_direction", "degree"): (0.0, 360.0),
+    ("precipitation", "mm/h"): (0.0, 500.0),
+    ("fire_confidence", "percent"): (0.0, 100.0),
+    ("fire_radiative_power", "MW"): (0.0, 50_000.0),
+    ("fire_brightness", "K"): (200.0, 600.0),
+    ("traffic_speed", "km/h"): (0.0, 300.0),
+    ("traffic_congestion", "ratio"): (-1.0, 1.0),
+    ("ph", "pH"): (0.0, 14.0),
+}

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from . import feeds
+from . import feeds, planned
 
 NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "epa_airnow": feeds.airnow,
@@ -15,6 +15,9 @@ NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "purpleair": feeds.purpleair,
     "openweather": feeds.openweather,
     "nasa_firms": lambda landed: feeds.fires(feeds.fire_rows(landed)),
+    "traffic": planned.traffic,
+    "water_gauges": planned.water,
+    "energy": planned.energy,
 }
 
 

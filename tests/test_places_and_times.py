@@ -1,0 +1,189 @@
+"""Cells at all latitudes, rolling scores, merging, retrieval, forests and the command line against brute force."""
+
+import json
+import math
+import random
+from datetime import datetime, timedelta
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from plumeline import __main__ as command
+from plumeline.functions import geo
+from plumeline.operators import detect, enrich, evaluate, read, runs
+from plumeline.sources import feeds, registry
+from plumeline.streaming import ingest
+
+RNG = random.Random(11)
+
+
+def km(a, b):
+    (y1, x1), (y2, x2) = (tuple(map(math.radians, p)) for p in (a, b))
+    h = math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2
+    return 2 * 6371 * math.asin(math.sqrt(min(1, h)))
+
+
+@pytest.mark.parametrize("radius", [10.0, 100.0])
+def test_cells_miss_no_pair(spark, radius):
+    places = []
+    for lat in (0, 34, 60, 70, 85, 89.5, 89.99, -70, -89.9):
+        for lon in (0, 179.9, -179.95, -84):
+            places += [(max(-90.0, min(90.0, lat + RNG.uniform(-1, 1) * radius / 80)), (lon + RNG.uniform(-1, 1) * radius / 80 / max(0.02, math.cos(math.radians(lat))) + 540) % 360 - 180) for _ in range(6)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id long, lat double, lon double")
+    found = enrich.within(rows, rows.withColumnRenamed("id", "place"), radius, "id", "place").collect()
+    got = {(r.id, r.place) for r in found}
+    assert len(found) == len(got)
+    assert got == {(i, j) for i, a in enumerate(places) for j, b in enumerate(places) if km(a, b) <= radius}
+    nearest = enrich.within(rows, rows.withColumnRenamed("id", "place"), radius, "id", "place", nearest=2).groupBy("id").count().collect()
+    assert all(r["count"] <= 2 for r in nearest)
+    assert spark.range(1).select(geo.cell(F.lit(90.0), F.lit(180.0), radius).alias("c")).first().c.x == 0
+
+
+def test_zscore_equals_direct_window(spark):
+    start, rows = datetime(2024, 1, 1), []
+    for i in range(600):
+        at = start + timedelta(minutes=RNG.randrange(0, 60 * 24 * 20, 30))
+        rows.append((i, at, RNG.choice([None, RNG.uniform(1e6, 1e6 + 5)]) if i % 9 == 0 else RNG.uniform(1e6, 1e6 + 5), RNG.choice(["a", "b", None])))
+    rows += [(1000, None, 5.0, "a"), (1001, start, 1e6, "c"), (1001, start, 1e6, "c")]
+    df = spark.createDataFrame(rows, "id long, timestamp timestamp_ntz, value double, metric string")
+    for hours in (6, 24, 168):
+        found = {r.id: r for r in detect.zscore(df, by=("metric",), min_samples=3, slice_hours=hours).collect()}
+        for i, at, value, metric in rows:
+            before = [v for _, t, v, m in rows if t is not None and at is not None and v is not None and m == metric and at - timedelta(days=7) <= t < at]
+            r = found[i]
+            assert r.n_before == len(before)
+            assert (r.mean_before is None) == (not before) and (r.sd_before is None) == (len(before) < 2)
+            if before:
+                assert r.mean_before == pytest.approx(np.mean(before), rel=1e-12)
+            if len(before) >= 3 and value is not None:
+                assert r.sd_before == pytest.approx(np.std(before, ddof=1), rel=1e-6)
+                assert r.z == pytest.approx((value - np.mean(before)) / np.std(before, ddof=1), rel=1e-5)
+    assert detect.zscore(df.limit(0), by=("metric",)).isEmpty()
+    with pytest.raises(ValueError):
+        detect.zscore(df, slice_hours=5)
+
+
+def test_merge_is_transitive(spark):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    rows = [(i, "pm25", at(25 * i), 70.0, 179.9 + 0.2 * i if 179.9 + 0.2 * i <= 180 else 179.9 + 0.2 * i - 360, float(i)) for i in range(5)] + [(9, "pm10", at(0), 70.0, 179.9, 1.0), (10, "pm25", at(600), 70.0, 179.9, 9.0)]
+    df = spark.createDataFrame(rows, "id long, metric string, timestamp timestamp_ntz, lat double, lon double, score double")
+    found = {r.event: (r.n, r.representative) for r in detect.events(detect.merge_near(df)).collect()}
+    assert found == {0: (5, 4), 9: (1, 9), 10: (1, 10)}
+    assert detect.merge_near(df.limit(0)).isEmpty()
+
+
+def test_as_of_over_days(spark):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    right = [("k", at(h), None if h % 40 == 0 else float(h)) for h in range(0, 100, 10)] + [("other", at(1), 7.0)]
+    left = [(i, "k", at(h)) for i, h in enumerate([-5, 0, 9, 10, 41, 95, 400])] + [(50, None, at(3))]
+    a, b = spark.createDataFrame(left, "id long, k string, timestamp timestamp_ntz"), spark.createDataFrame(right, "k string, timestamp timestamp_ntz, value double")
+    found = {r.id: r.as_of_value for r in enrich.as_of(a, b, ["k"], "value").collect()}
+    assert found == {0: None, 1: None, 2: None, 3: 10.0, 4: 30.0, 5: 90.0, 6: 90.0, 50: None}
+
+
+def test_top_chunks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(evaluate, "CHUNK_BLOCK", 7)
+    rows = [(i, [RNG.gauss(0, 1) for _ in range(8)]) for i in range(60)] + [(60, None), (61, [0.0] * 8), (62, [1.0, 2.0])]
+    rows += [(70 + i, rows[0][1]) for i in range(9)]  # ties
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    found = evaluate.top_chunks(df.where("id % 5 = 0").withColumnRenamed("id", "query"), df.withColumnRenamed("id", "chunk"), 5).collect()
+    cosine = lambda a, b: round(float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+    usable = [(i, v) for i, v in rows if v and any(v) and len(v) == 8]
+    for q, v in usable:
+        if q % 5 == 0:
+            want = sorted(((-cosine(v, w), c) for c, w in usable))[:5]
+            got = sorted((-r.similarity, r.chunk) for r in found if r.query == q)
+            assert [c for _, c in got] == [c for _, c in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want])
+    assert {r.query for r in found} == {q for q, _ in usable if q % 5 == 0}
+
+
+def test_forest_scores_equal_walks(spark):
+    rows = [(i, RNG.gauss(0, 1), None if i % 10 == 0 else RNG.gauss(0, 1)) for i in range(300)] + [(999, 40.0, 40.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    found = {r.id: r for r in detect.isolation_forest(df, ["a", "b"], trees=30).collect()}
+    assert found[999].flagged and found[999].score == max(r.score for r in found.values())
+    gaps = [found[i].score for i in range(0, 300, 10)]
+    assert np.mean(gaps) < np.mean([r.score for r in found.values()]) + 0.02  # a gap is no extreme
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(64, 2))
+    trees = [np.array(detect.grow(x, rng)) for _ in range(5)]
+
+    def walk(tree, row):
+        k = 0
+        while tree[k, 0] >= 0:
+            k = int(tree[k, 2] if row[int(tree[k, 0])] < tree[k, 1] else tree[k, 3])
+        return tree[k, 4]
+
+    assert detect.scores(x, trees, 7.0) == pytest.approx([2 ** (-np.mean([walk(t, r) for t in trees]) / 7.0) for r in x])
+
+
+def test_loess_equals_pointwise_fits(spark):
+    start = datetime(2024, 1, 1)
+    df = spark.createDataFrame([(start + timedelta(hours=h), "pm25", 10 + math.sin(h / 24 * 2 * math.pi) + h * 0.01) for h in range(24 * 6)], "timestamp timestamp, metric string, value double")
+    found = detect.loess_residuals(df).collect()
+    assert max(abs(r.residual) for r in found) < 0.05
+    assert all(r.value == pytest.approx(r.trend + r.season + r.residual) for r in found)
+
+
+def test_alerts_and_documents(spark):
+    at = datetime(2024, 1, 2, 12)
+    anomalies = spark.createDataFrame([(1, at, 34.0, -84.0, "pm25", 80.0, "ug/m3", "openaq", "s", 4.2)], "id long, timestamp timestamp_ntz, lat double, lon double, metric string, value double, unit string, source string, source_entity_id string, z double")
+    readings = anomalies.drop("z").union(spark.createDataFrame([(2, at, 34.0, -84.0, m, 5.0, "u", "other", "t") for m in ("temperature", "traffic_speed", "no2_column", "ph", "pm10")], anomalies.drop("z").schema))
+    places = spark.createDataFrame([("plant", 34.1, -84.0, "chemical", 3)], "facility string, lat double, lon double, kind string, violations int")
+    fires = spark.createDataFrame([("f", 34.5, -84.0, 12.0)], "fire string, lat double, lon double, value double")
+    alerts = spark.createDataFrame([("heat", 34.0, -84.0, 20.0, at - timedelta(days=2), at), ("past", 34.0, -84.0, 20.0, at - timedelta(days=2), at - timedelta(hours=1)), ("far", 44.0, -84.0, 20.0, at, at)], "alert string, lat double, lon double, radius_km double, starts timestamp_ntz, ends timestamp_ntz")
+    row = enrich.context_document(enrich.enriched(anomalies, readings, places, fires, alerts)).first()
+    assert row.alerts == ["heat"]
+    for line in ("z-score: 4.20", "Weather: other temperature 5.00", "Traffic: other traffic_speed", "Satellite: other no2_column", "Water: other ph", "Power plants: none known", "Other readings: other pm10", "Alerts: heat", "Usual at this hour: 80.00"):
+        assert line in row.document
+    assert "plant chemical 11.1 km N violations 3" in row.document and "f 55.6 km N, 12.0" in row.document
+    bare = enrich.context_document(enrich.enriched(anomalies, readings.limit(0), places.limit(0), fires.limit(0))).first()
+    assert bare.alerts == [] and "History of 72 hours: none known" in bare.document and "Alerts: none known" in bare.document
+
+
+def test_csv_quotes_and_line_breaks(spark):
+    text = 'latitude,longitude,acq_date,acq_time,satellite,confidence,frp\r\n34.1,-84.2,2024-01-01,130,"N ""20"", a\nb",n,"1.5"\n\n'
+    row = feeds.fire_rows(spark.createDataFrame([("D", text)], "dataset string, payload string")).collect()
+    assert len(row) == 1 and row[0].satellite == 'N "20", a\nb' and row[0].frp == "1.5" and row[0].bright_ti4 is None
+    assert feeds.fires(feeds.fire_rows(spark.createDataFrame([("D", text)], "dataset string, payload string")), now="2024-01-03 01:31:00").isEmpty()
+
+
+def test_runs_that_all_fail(spark):
+    log = spark.createDataFrame([("a", True), ("a", False), ("b", False)], "source string, success boolean")
+    assert runs.require_some(log.where("source = 'a'")).count() == 1
+    with pytest.raises(Exception, match="nothing succeeded: b"):
+        runs.require_some(log).collect()
+
+
+def test_command_line_and_schedule(spark, tmp_path, capsys):
+    payload = json.dumps({"observations": [{"DateObserved": "2024-01-01", "HourObserved": 3, "ReportingArea": "X", "ParameterName": "PM2.5", "Value": 7.5, "Unit": "UG/M3"}]})
+    (tmp_path / "landed" / "epa_airnow").mkdir(parents=True)
+    (tmp_path / "landed" / "epa_airnow" / "a.json").write_text(payload)
+    arguments = ["--landed", str(tmp_path / "landed"), "--table", str(tmp_path / "table"), "--max-retries", "2"]
+    waits = []
+    assert command.main([*arguments, "--source", "epa_airnow", "--source", "openaq"], spark, waits.append) == 1
+    lines = capsys.readouterr().out.splitlines()
+    assert lines[0].startswith("epa_airnow | ok | records=1") and lines[1].startswith("openaq | failed | records=0") and waits == [30]
+    assert command.main([*arguments, "--source", "epa_airnow"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 1
+    pushed = []
+    streams = ingest.schedule(spark, str(tmp_path / "landed"), str(tmp_path / "table2"), str(tmp_path / "at"), ["epa_airnow"], once=True, after=lambda rows, n: pushed.append(ingest.push(rows, str(tmp_path / "events"), "source_entity_id")))
+    for stream in streams.values():
+        stream.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "table2"))
+    assert rows.count() == 1 and len(pushed) == 1
+    ingest.push(rows, str(tmp_path / "events"), "source_entity_id")
+    assert spark.read.json(str(tmp_path / "events")).count() == 1
+
+
+def test_registry_and_sources(spark):
+    registry.register("own", lambda landed: landed)
+    try:
+        assert "own" in registry.names() and {"traffic", "water_gauges", "energy"} <= set(registry.names())
+    finally:
+        del registry.NORMALIZERS["own"]
+    log = spark.createDataFrame([("b", True, datetime(2024, 1, 1), 1), ("a", False, datetime(2024, 1, 1), 2)], "source string, success boolean, at timestamp, seq long")
+    assert [(r.name, r.status) for r in read.list_sources(log).collect()] == [("a", "error"), ("b", "active")]
+    assert read.sources is read.list_sources
