@@ -2,11 +2,17 @@
 
 Spark deals the documents out; a task splits its texts into the pattern's matches and encodes the distinct ones in one recursive
 query: (word, pos, id) rows join the merge table, the leftmost pair of least rank of every word is contracted, until no word has
-a pair left. An ordered aggregation over (doc, pos, id) rows decodes. No row leaves its task, so nothing is shuffled.
+a pair left. An ordered aggregation over (doc, pos, id) rows joined with the vocabulary decodes. No row leaves its task, so nothing
+is shuffled.
 
-Nulls count as empty texts; an empty text has no tokens. Repeated rows give repeated results, further columns are kept by
-`encode` unless they have a result's name. A match of n bytes takes up to n rounds, so that single matches of many thousand bytes
-are slow, though right: the recursion keeps all its rounds, so it stops after as many as ROWS allows and starts again from its last one.
+A long match is cut into tiles that overlap by half, which the query encodes like words. Two tiles that have one token in common,
+at the same place, are joined there. The result is the match's own encoding: a sequence of tokens is that of its bytes if each two
+neighbours are that of theirs (the first contraction over a border between tokens would be one in the pair of these alone, as all
+before it are the same), and each two neighbours come from one tile. Tiles that share no token are made larger, up to the match.
+
+Nulls count as empty texts; an empty text has no tokens. Repeated rows and null keys give results like others, an empty table gives
+an empty one. Further columns are kept by `encode` and `decode` unless they have a result's name, and left out by `round_trip`.
+Whole texts are encoded, whatever their length, in batches of bounded size or one text; of equal ranks the leftmost goes first.
 """
 
 from __future__ import annotations
@@ -25,9 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text that a task holds at once, and distinct words that it remembers.
+#: Characters of text that a task holds at once, and distinct words and their bytes that it remembers, none longer than KEPT_LONGEST.
 BATCH_CHARS = 4_000_000
-KEPT_WORDS = 700_000
+KEPT_WORDS, KEPT_BYTES, KEPT_LONGEST = 700_000, 32_000_000, 256
+#: Half of a tile's bytes, at first and where tiles of that size share no token. Multiples keep the phase of runs of characters of 1 to 4 bytes.
+TILES = (192, 960, 6_720, 60_480)
 #: Bytes of words that go into one recursion (or one word), and rows that it may keep over all its rounds (or two rounds).
 WORD_BYTES, ROWS = 1_000_000, 8_000_000
 
@@ -107,19 +115,56 @@ def contracted(words: list[bytes], known: dict[bytes, int], db: duckdb.DuckDBPyC
     return found
 
 
+def recursions(words: list[bytes], path: str) -> list[bytes]:
+    """The ids of words by the query, so many bytes at once."""
+    known, db, found = ranks(path), database(path), []
+    part = np.cumsum([len(w) for w in words]) // WORD_BYTES
+    for own in np.split(np.arange(len(words)), np.flatnonzero(np.diff(part)) + 1) if words else ():
+        found += contracted([words[i] for i in own], known, db)
+    return found
+
+
+def joined_tiles(tiles: list[bytes], sizes: np.ndarray, step: int) -> bytes | None:
+    """The ids of a match whose tiles begin `step` bytes after each other; None if two have no token in common. sizes: bytes of each id."""
+    out, before, before_at = [], None, None
+    for k, tile in enumerate(tiles):
+        ids = np.frombuffer(tile, "<u4")
+        ends = np.cumsum(sizes[ids]) + k * step
+        at = (ends - sizes[ids]) << 32 | ends
+        if before is None:
+            before, before_at = ids, at
+            continue
+        _, i, j = np.intersect1d(before_at, at, assume_unique=True, return_indices=True)
+        if not len(i):
+            return None
+        out.append(before[: i[0]])
+        before, before_at = ids[j[0] :], at[j[0] :]
+    return np.concatenate([*out, before]).astype("<u4").tobytes()
+
+
 def encode_words(words: list[bytes], path: str) -> list[bytes]:
     """The ids of each distinct word, as little-endian unsigned 32-bit integers."""
-    known, db = ranks(path), database(path)
+    known = ranks(path)
     found: list[bytes | None] = [known[w].to_bytes(4, "little") if w in known else None for w in words]
-    todo = [i for i, x in enumerate(found) if x is None]
-    sizes = np.array([len(words[i]) for i in todo], np.int64)
-    part = np.cumsum(sizes) // WORD_BYTES
-    for own in np.split(np.array(todo, np.int64), np.flatnonzero(np.diff(part)) + 1) if todo else ():
-        for i, ids in zip(own.tolist(), contracted([words[i] for i in own], known, db), strict=True):
-            found[i] = ids
+    left = [i for i, x in enumerate(found) if x is None]
+    for step in (*TILES, max(map(len, words), default=0)):
+        cuts = [range(0, max(1, len(words[i]) - step), step) for i in left]
+        tiles = iter(recursions([words[i][a : a + 2 * step] for i, own in zip(left, cuts, strict=True) for a in own], path))
+        for i, own in zip(left, cuts, strict=True):
+            found[i] = joined_tiles([next(tiles) for _ in own], token_sizes(path), step)
+        left = [i for i in left if found[i] is None]
     return found
 
 
+@cache
+def token_sizes(path: str) -> np.ndarray:
+    known = ranks(path)
+    sizes = np.zeros(max(known.values()) + 1, np.int64)
+    for token, rank in known.items():
+        sizes[rank] = len(token)
+    return sizes
+
+
 def decode_ids(ids: list[bytes], path: str) -> list[bytes]:
     """The bytes that each sequence of ids stands for."""
     db, flat = database(path), np.frombuffer(b"".join(ids), "<u4")
@@ -133,9 +178,8 @@ def decode_ids(ids: list[bytes], path: str) -> list[bytes]:
     return texts
 
 
-#: Of this process, by vocabulary: the ids of words met before, and what those ids decode to. Both are emptied beyond KEPT_WORDS.
+#: Of this process, by vocabulary: the ids of words met before. Emptied beyond KEPT_WORDS and KEPT_BYTES.
 ENCODED: dict[str, dict[str, bytes]] = {}
-DECODED: dict[str, dict[bytes, bytes]] = {}
 
 
 class Encoder:
@@ -143,25 +187,25 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.path, self.matches = path, regex.compile(pattern).findall
-        self.words, self.pieces = ENCODED.setdefault(path, {}), DECODED.setdefault(path, {})
+        self.words = ENCODED.setdefault(path, {})
+        self.bytes = sum(map(len, self.words))
 
-    def split(self, texts: list[str]) -> list[list[bytes]]:
-        """For each text the ids of each of the pattern's matches."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         split = [self.matches(t) for t in texts]
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > KEPT_WORDS or self.bytes > KEPT_BYTES:
             self.words.clear()
-            self.pieces.clear()
+            self.bytes = 0
         new = list({w for words in split for w in words if w not in self.words})
-        self.words.update(zip(new, encode_words([w.encode() for w in new], self.path), strict=True))
-        look = self.words.__getitem__
-        return [list(map(look, words)) for words in split]
-
-    def join(self, split: list[list[bytes]]) -> list[bytes]:
-        """The bytes of each text: every sequence of ids that is new to this process is decoded by the query."""
-        new = list({x for ids in split for x in ids if x not in self.pieces})
-        self.pieces.update(zip(new, decode_ids(new, self.path), strict=True))
-        look = self.pieces.__getitem__
-        return [b"".join(map(look, ids)) for ids in split]
+        found = dict(zip(new, encode_words([w.encode() for w in new], self.path), strict=True))
+        short = {w: x for w, x in found.items() if len(w) <= KEPT_LONGEST}
+        self.words.update(short)
+        self.bytes += sum(map(len, short))
+        if len(short) == len(found):
+            look = self.words.__getitem__
+        else:
+            look = lambda w: self.words[w] if w in self.words else found[w]
+        return [b"".join(map(look, words)) for words in split]
 
 
 def batches(frames: Iterator[pd.DataFrame], text: str) -> Iterator[pd.DataFrame]:
@@ -180,8 +224,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", result:
     def run(frames):
         encoder = Encoder(path, pattern)
         for part in batches(frames, text):
-            split = encoder.split([t or "" for t in part[text]])
-            yield part.assign(**{result: [np.frombuffer(b"".join(x), "<u4").astype(np.int32) for x in split]})
+            yield part.assign(**{result: [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.ids([t or "" for t in part[text]])]})
 
     return kept.mapInPandas(run, schema)
 
@@ -206,15 +249,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
     def run(frames):
         encoder = Encoder(path, pattern)
         for part in batches(frames, text):
-            split = encoder.split([t or "" for t in part[text]])
-            ids = [b"".join(x) for x in split]
+            ids = encoder.ids([t or "" for t in part[text]])
             out = {
                 key: part[key].to_numpy(),
                 "n_tokens": [len(x) // 4 for x in ids],
                 "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in encoder.join(split)],
+                "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decode_ids(ids, path)],
             }
             yield pd.DataFrame(out | ({"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]} if with_ids else {}))
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    given = docs.select(F.col(key).cast("string").alias(key), text)  # as text, so that nulls do not turn integers into floats
+    found = given.mapInPandas(run, f"`{key}` string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return found.withColumn(key, F.col(key).cast(kind))

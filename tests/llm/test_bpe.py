@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers as P
@@ -52,3 +53,39 @@ def test_rounds_restart(tk, monkeypatch):
     monkeypatch.setattr(bpe, "WORD_BYTES", 30)
     words = ["the", "zqxj", "aaaaaaa", "ababababab", "x" * 90, "éèüß", "9" * 50, " hello", "字" * 20, "qzqzqz"]
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_words([w.encode() for w in words], PATH)] == [tk._core_bpe.encode_single_piece(w.encode()) for w in words]
+
+
+def test_long_matches_equal_the_library():
+    """Single matches of the pattern of up to 100,000 bytes, random and periodic."""
+    rng = random.Random(9)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(30_000))
+    long = [letters, "-" * 100_000, han, "\u4e2d" * 30_000, "ab" * 30_000, "abcde" * 9_000, " " * 70_000 + "x", "\U0001f600" * 5_000, "\u043f\u0440" * 9_000, "a" * 383, "b" * 385, letters[:20_000] + "a" * 20_000]
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks(PATH), special_tokens={})
+    encoder = bpe.Encoder(PATH, P.PATTERN)
+    for text, ids in zip(long, encoder.ids(long), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.encode_ordinary(text)
+    assert bpe.decode_ids(encoder.ids(long), PATH) == [t.encode() for t in long]
+    assert max(map(len, encoder.words)) <= bpe.KEPT_LONGEST
+
+
+def test_tiles_without_a_common_token(monkeypatch):
+    """Tiles too small to agree are made larger; the result is that of the whole match."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdet -\n", k=n)) for n in (5, 30, 200, 900)] + ["abc" * 200, "-" * 333]
+    whole = bpe.encode_words([t.encode() for t in texts], PATH)
+    monkeypatch.setattr(bpe, "TILES", (2, 5, 11))
+    assert bpe.encode_words([t.encode() for t in texts], PATH) == whole
+    monkeypatch.setattr(bpe, "TILES", ())
+    assert bpe.encode_words([t.encode() for t in texts], PATH) == whole
+
+
+def test_null_keys_and_bounded_caches(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 10)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 20)
+    rows = [(2**60 + 1, "some words here", 1), (None, "some words here", 2), (3, None, 3), (3, "", 4), (2**60 + 1, "some words here", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").coalesce(1)
+    found = bpe.round_trip(docs, PATH, P.PATTERN).collect()
+    assert sorted((r.doc_id or 0 for r in found)) == [0, 3, 3, 2**60 + 1, 2**60 + 1]
+    assert len({r.ids_sha256 for r in found}) == 2 and {r.n_tokens for r in found if r.doc_id == 3} == {0}
+    assert bpe.round_trip(docs.limit(0), PATH, P.PATTERN).isEmpty()
