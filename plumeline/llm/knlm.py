@@ -50,6 +50,8 @@ CHUNK_CHARS, COUNT_CHARS, ASK_WORDS = 8_000_000, 1_000_000, 100_000
 SHARD_GRAMS, SLICE_BATCHES = 2_000_000, 64
 #: Up to so many ids of trusted documents (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: Up to so many words with ratios (12 bytes each) are broadcast; beyond, batches ask for theirs as they do for n-grams.
+BROADCAST_WORDS = 1_000_000
 #: Labelled texts from which on a word is known to the models of toxic and clean text, and what each word takes from a run's sum.
 LEAST_TEXTS, DRIFT = 5, 1.0
 FIRST, LAST = 2, 3  # code points that mark a word's begin and end
@@ -176,7 +178,7 @@ def count_words(labelled: DataFrame, text: str) -> DataFrame:
         for frame in frames:
             for t, toxic in zip(frame[text], frame["toxic"], strict=True):
                 found[toxic].update(set(whole_words(t)))
-            if sum(map(len, found)) > 200_000:
+            if sum(map(len, found)) > 400_000:
                 yield table(*found)
                 found = Counter(), Counter()
         if any(found):
@@ -274,7 +276,7 @@ def packed(docs: DataFrame, key: str, text: str, also: tuple[str, ...]) -> DataF
         *columns, texts = zip(*held, strict=True)
         sizes = np.array([-1 if t is None else len(t.encode()) for t in texts], np.int64)
         blob = "".join(t for t in texts if t is not None).encode()
-        row = {**dict(zip(names, map(list, columns), strict=True)), "sizes": pack(sizes), "texts": zstandard.ZstdCompressor(level=3).compress(blob)}
+        row = {**dict(zip(names, map(list, columns), strict=True)), "sizes": pack(sizes), "texts": zstandard.ZstdCompressor(level=5).compress(blob)}
         return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in row.items()})
 
     given = docs.select(*[F.col(c).cast("string").alias(c) for c in names], text)
@@ -293,7 +295,13 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
     """key, the columns `also`, and perplexity (null without words) of each row; with `ratios` also toxicity."""
     symbols = max(1, model.where("n = 1").count())
     rated = ratios is not None
-    if rated:
+    sent = None
+    if rated and ratios.count() <= BROADCAST_WORDS:
+        known = ratios.toPandas()
+        by = np.argsort(known["key"].to_numpy(np.int64).view(np.uint64))
+        sent = docs.sparkSession.sparkContext.broadcast((known["key"].to_numpy(np.int64).view(np.uint64)[by], known["ratio"].to_numpy(np.float32)[by]))
+    asking = rated and sent is None
+    if asking:
         model = model.unionByName(ratios.select("key", F.lit(None).cast("int").alias("n"), F.col("ratio").alias("alpha"), F.lit(0.0).cast("float").alias("gamma")))
     batches = packed(docs, key, text, also)
     # As many shards as the model needs; batches ask them in slices, so that what a shard gets at once is bounded by both sides' sizes.
@@ -308,7 +316,7 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
                 for at in range(0, len(words), ASK_WORDS):
                     part = words[at : at + ASK_WORDS]
                     wanted += [np.unique(keys[place >= n - 1]) for n, keys, place, _ in orders(part, order) if n]
-                if rated:
+                if asking:
                     own = {w for t in words for w in whole_words(t)}
                     wanted.append(np.fromiter(map(word_key, own), np.uint64, len(own)))
                 asked = np.unique(np.concatenate(wanted))
@@ -338,20 +346,21 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
         words = list(ids)
         scores = word_scores(words, order, weights, symbols) if words else np.empty(0)
         lengths = np.array([len(w) for w in words], np.int64) + 1
-        steps, ends = steps_of(words, weights) if rated else (None, None)
+        of_words = Weights(*sent.value, np.zeros(len(sent.value[0]), np.float32)) if sent else weights
+        steps, ends = steps_of(words, of_words) if rated else (None, None)
         out, toxic = [], []
         for own in split:
             out.append(math.exp(-scores[own].sum() / lengths[own].sum()) if len(own) else None)
             if rated:
-                toxic.append(toxicity(steps[own] if ends is None else run_of(own, steps, ends)) if len(own) else None)
+                toxic.append(toxicity(run_of(own, steps, ends)) if len(own) else None)
         found = pd.DataFrame({c: pd.Series(list(row[c]), dtype=object) for c in (key, *also)})
         found["perplexity"] = pd.Series(out, dtype="float64")
         if rated:
             found["toxicity"] = pd.Series(toxic, dtype="float64")
         return found
 
-    def steps_of(words: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray | None]:
-        """What each whole word of a word adds to a run's sum, one after the other, and where each word's end; ends are None if all words are whole ones."""
+    def steps_of(words: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray]:
+        """What each whole word of a word adds to a run's sum, one after the other, and where each word's begin."""
         split = [whole_words(w) for w in words]
         distinct = list({w for own in split for w in own})
         keys = np.fromiter(map(word_key, distinct), np.uint64, len(distinct))

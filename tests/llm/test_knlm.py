@@ -102,9 +102,10 @@ def test_toxic_documents():
 
 
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
-def test_toxic_held_out(spark, size):
+def test_toxic_held_out(spark, monkeypatch, size):
     """Labelled documents whose labels were not given: those with insults go, clean ones stay, and insults in trusted text do not hide them."""
     d = f"/root/testdata/{size}"
+    monkeypatch.setattr(knlm, "BROADCAST_WORDS", 0 if size == "sf0.01" else knlm.BROADCAST_WORDS)  # both ways
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
     given = labels.where("doc_id % 4 > 0")
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
