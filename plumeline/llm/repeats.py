@@ -1,16 +1,21 @@
 """Repeated passages by prefix-partitioned suffix trees.
 
 The suffixes of all texts, cut at `size` words, are the leaves of one tree. Variable-length prefixes deal its subtrees out to
-groups of bounded size: a suffix goes by its first PREFIX words, and where so many suffixes share them that a group would grow too
-large, by all `size` words. Edges carry 64-bit fingerprints of their words in place of the words themselves. In a group the leaves,
-sorted by path, have the inner nodes of depth `size` as runs of equal paths: a run of two leaves or more is a maximal repeat of at
-least that length, and its leaves are the windows that also start elsewhere.
-
-A task sends each path once, however often its own texts repeat it, so that the passage that a third of all documents hold weighs
-one row for each task. Exact copies are set aside first: only one of each text is searched, and every window of a text with a copy
-is repeated.
-
-Null and empty texts have no words, and texts shorter than `size` no windows. Repeated rows are copies. Further columns stay.
+groups of bounded size: a suffix goes by its first PREFIX words, and where so many suffixes share a group that it would grow too
+large, by all `size` words. Edges carry fingerprints of their words in place of the words themselves, 128 bits for a path of `size`
+words. In a group the leaves, sorted by path, have the inner nodes of depth `size` as runs of equal paths. The leaves of a run of two
+or more are windows that also start elsewhere. A document's runs of such windows that follow each other are its repeats, as long as
+they last; `repeats` gives them as spans.
+
+Texts are packed into batches, each a row of a written table that is read twice: once to send its paths, and once to look up which of
+them came back. A batch sends a path once, however often its own texts repeat it, so that the passage that a third of all documents
+hold weighs one row for each batch; what repeats inside a batch is seen there. Only paths are shuffled, and the squeezed texts once.
+A batch sends at most FAN rows; where there are more groups than that, the rows of many batches are gathered and dealt out again, so
+that the number of rows grows with the input and not with its square.
+
+Null and empty texts have no words, and texts shorter than `size` no windows. Every row is a text of its own: repeated rows are copies
+of each other, rows may share a key, and keys may be null. Whole texts are read, in batches of bounded size or one text. Further
+columns are left out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,18 +26,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHash, mix, pack, pack_sorted, unpack, unpack_sorted, windows, written
 
 PREFIX = 8
-#: Words that a task holds at once, and leaves that a group is to hold.
-BATCH_WORDS, GROUP_LEAVES = 2_000_000, 1_500_000
-#: Share of the sampled words from which heavy prefixes are found; they only steer which group a leaf goes to.
-PLAN_SHARE = 0.01
-#: Up to so many ids of copies (8 bytes each) are broadcast; beyond, they are joined by a shuffle of the texts.
-BROADCAST_IDS = 2_000_000
+#: Characters that a batch holds at most (or one text), leaves that a group is to hold, and rows that a batch sends at most.
+BATCH_CHARS, GROUP_LEAVES, FAN = 10_000_000, 1_500_000, 2_048
+#: One in so many texts tells which groups are too large for prefixes of PREFIX words; it only steers where a leaf goes.
+PLAN_EACH = 64
+#: Leaves that are gathered to be dealt out again.
+GATHER_LEAVES = 4_000_000
+SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 
@@ -41,110 +48,160 @@ def words(text: str | None) -> list[str]:
     return WORDS(text) if text else []
 
 
-def group_count(docs: DataFrame, text: str) -> int:
-    """Groups for all leaves; a word has about six characters."""
-    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
-    return int(max(8, chars // 6 // GROUP_LEAVES))
-
+def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """batch, keys (as text), sizes and squeezed texts, as a written table."""
 
-def heavy_prefixes(docs: DataFrame, text: str, groups: int, share: float) -> np.ndarray:
-    """Fingerprints of prefixes that may fill a sixteenth of a group; there can be at most 16 times as many as groups, whatever the input."""
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        size = 0
+        for frame in frames:
+            for k, t in zip(frame["k"], frame["t"], strict=True):
+                held.append((k, (t or "").encode()))
+                size += len(t or "")
+                if size >= BATCH_CHARS:
+                    yield batch(held)
+                    held, size = [], 0
+        if held:
+            yield batch(held)
+
+    def batch(held: list[tuple]) -> pd.DataFrame:
+        keys, texts = zip(*held, strict=True)
+        squeezed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        return pd.DataFrame({"keys": [list(keys)], "sizes": [pack(np.array([len(t) for t in texts], np.int64))], "texts": [squeezed]})
+
+    given = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    return written(given.mapInPandas(run, "keys array<string>, sizes binary, texts binary").withColumn("batch", F.expr("uuid()")), "texts")
+
+
+def texts_of(sizes: bytes, texts: bytes) -> Iterator[str]:
+    blob, at = zstandard.ZstdDecompressor().decompress(texts), 0
+    for size in unpack(sizes, "i8").tolist():
+        yield blob[at : at + size].decode()
+        at += size
+
+
+def leaves_of(texts: Iterator[str], size: int, table: WordHash) -> tuple[np.ndarray, ...]:
+    """Of all windows of the texts, one after the other: path, its second half, and prefix; and how many words each text has."""
+    paths, seconds, prefixes, counts = [], [], [], []
+    for t in texts:
+        own = table.array(words(t))
+        counts.append(len(own))
+        if len(own) >= size:
+            paths.append(windows(own, size))
+            seconds.append(windows(own ^ SECOND, size))
+            prefixes.append(windows(own, PREFIX)[: len(own) - size + 1])
+    flat = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in (paths, seconds, prefixes)]
+    return *flat, np.array(counts, np.int64)
+
+
+def sorted_runs(path: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of leaves by path, and where a new path begins in it."""
+    order = np.argsort(path, kind="stable")
+    same = path[order][1:] == path[order][:-1]
+    if (same & (second[order][1:] != second[order][:-1])).any():  # one half of two paths is equal by chance
+        order = np.lexsort((second, path))
+        same = (path[order][1:] == path[order][:-1]) & (second[order][1:] == second[order][:-1])
+    return order, np.concatenate([[True], ~same]) if len(path) else np.empty(0, bool)
+
+
+def plan(batches: DataFrame, size: int, fan: int) -> np.ndarray:
+    """Into how many parts each of the `fan` groups is cut, from a sample of the texts: a bounded list."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = WordHash()
         for frame in frames:
-            paths = [windows(table.array(words(t)), PREFIX) for t in frame[text]]
-            keys, n = np.unique(np.concatenate(paths), return_counts=True)
-            yield pd.DataFrame({"prefix": keys.view(np.int64), "n": n})
+            for row in frame.itertuples(index=False):
+                _, _, prefix, _ = leaves_of((t for i, t in enumerate(texts_of(row.sizes, row.texts)) if i % PLAN_EACH == 0), size, table)
+                group, n = np.unique(mix(prefix) % np.uint64(fan), return_counts=True)
+                yield pd.DataFrame({"group": group.astype(np.int32), "n": n})
+
+    parts = np.ones(fan, np.int64)
+    for row in batches.select("sizes", "texts").mapInPandas(run, "group int, n long").groupBy("group").agg(F.sum("n").alias("n")).collect():
+        parts[row["group"]] = max(1, -(-row["n"] * PLAN_EACH // GROUP_LEAVES))
+    return parts
 
-    counts = docs.select(text).sample(share, seed=7).mapInPandas(run, "prefix long, n long").groupBy("prefix").agg(F.sum("n").alias("n"))
-    total = F.broadcast(counts.agg(F.sum("n").alias("total")))
-    rows = counts.where("n >= 8").crossJoin(total).where(F.col("n") * 16 * groups > F.col("total")).select("prefix").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(np.uint64))
 
+LEAVES = "names array<string>, owners binary, paths binary, seconds binary"
 
-def leaves(docs: DataFrame, key: str, text: str, size: int, groups: int, heavy: np.ndarray) -> DataFrame:
-    """For each batch of documents and each group: the documents (keys, begins: their first leaves), the distinct paths and their
-    leaves. One row of a batch also has `again`, the leaves that repeat inside the batch; so all that is known of a batch comes from one run of its task."""
+
+def part_of(path: np.ndarray, group: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    return (mix(path) % parts[group].astype(np.uint64)).astype(np.int64)
+
+
+def leaves(batches: DataFrame, size: int, parts: np.ndarray, direct: bool) -> DataFrame:
+    """For each batch and each group (and, if they go there directly, part) the distinct paths, sorted."""
+    fan = len(parts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, keys, parts, total = WordHash(), [], [], 0
+        table = WordHash()
         for frame in frames:
-            for k, t in zip(frame[key], frame[text], strict=True):
-                own = table.array(words(t))
-                if len(own) >= size:
-                    keys.append(k)
-                    parts.append(own)
-                    total += len(own)
-                if total >= BATCH_WORDS:
-                    yield from batch(keys, parts)
-                    keys, parts, total = [], [], 0
-        if keys:
-            yield from batch(keys, parts)
-
-    def batch(keys: list, parts: list[np.ndarray]) -> Iterator[pd.DataFrame]:
-        path = np.concatenate([windows(p, size) for p in parts])
-        prefix = np.concatenate([windows(p, PREFIX)[: len(p) - size + 1] for p in parts])
-        begins = np.cumsum([0] + [len(p) - size + 1 for p in parts])
-        order = np.argsort(path, kind="stable")
-        ordered = path[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        last = np.concatenate([new[1:], [True]])
-        first = order[new]
-        again = np.sort(order[~(new & last)])  # leaves whose path has another leaf in this batch
-        by = prefix[first]
-        if len(heavy):
-            by = np.where(heavy[np.minimum(np.searchsorted(heavy, by), len(heavy) - 1)] == by, ordered[new], by)
-        group = (mix(by) % np.uint64(groups)).astype(np.int64)
-        dealt = np.argsort(group, kind="stable")  # keeps the order of paths inside each group
-        cuts = np.searchsorted(group[dealt], np.arange(groups + 1))
-        name, named = f"{keys[0]}:{keys[-1]}:{len(keys)}", (pack(np.diff(np.array(keys, np.int64), prepend=0)), pack(np.diff(begins, prepend=0)))
-        filled = [g for g in range(groups) if cuts[g] < cuts[g + 1]]
-        mark = filled[int(ordered[0] % np.uint64(len(filled)))]
-        rows = []
-        for g in filled:
-            part = dealt[cuts[g] : cuts[g + 1]]
-            rows.append((name, g, *named, pack_sorted(ordered[new][part]), pack(first[part].astype(np.uint32)), pack(again.astype(np.uint32)) if g == mark else None))
-        yield pd.DataFrame(rows, columns=["batch", "group", "keys", "begins", "paths", "leaves", "again"])
-
-    # In the order of the key, a task that is run again makes the same batches.
-    return docs.select(key, text).sortWithinPartitions(key).mapInPandas(run, "batch string, group long, keys binary, begins binary, paths binary, leaves binary, again binary")
+            for row in frame.itertuples(index=False):
+                path, second, prefix, _ = leaves_of(texts_of(row.sizes, row.texts), size, table)
+                order, new = sorted_runs(path, second)
+                first = order[new]
+                path, second, group = path[first], second[first], (mix(prefix[first]) % np.uint64(fan)).astype(np.int64)
+                part = part_of(path, group, parts) if direct else np.zeros(len(path), np.int64)
+                yield dealt([row.batch], None, path, second, group, part)
+
+    return batches.select("batch", "sizes", "texts").mapInPandas(run, f"group int, part long, {LEAVES}")
+
+
+def dealt(names: list[str], owner: np.ndarray | None, path: np.ndarray, second: np.ndarray, group: np.ndarray, part: np.ndarray) -> pd.DataFrame:
+    """Sorted leaves cut by group and part."""
+    order = np.lexsort((part, group))  # stable, so that each row stays sorted by path
+    group, part = group[order], part[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])])) if len(order) else np.empty(0, np.int64)
+    rows = []
+    for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True) if len(cuts) else ():
+        own = order[a:b]
+        rows.append((int(group[a]), int(part[a]), names, None if owner is None else pack(owner[own]), pack_sorted(path[own]), second[own].tobytes()))
+    return pd.DataFrame(rows, columns=["group", "part", "names", "owners", "paths", "seconds"])
+
+
+def gathered(frame: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The batches of some rows, and of their leaves the batch's number, path and second half."""
+    names = [n for own in frame["names"] for n in own]
+    paths = [unpack_sorted(x) for x in frame["paths"]]
+    owners, before = [], 0
+    for own, packed_owner, path in zip(frame["names"], frame["owners"], paths, strict=True):
+        owners.append(before + (np.zeros(len(path), np.uint32) if packed_owner is None else unpack(packed_owner, "u4")))
+        before += len(own)
+    return names, np.concatenate(owners).astype(np.uint32), np.concatenate(paths), np.concatenate([np.frombuffer(x, "u8") for x in frame["seconds"]])
+
+
+def deal_again(frame: pd.DataFrame, parts: np.ndarray) -> pd.DataFrame:
+    """The leaves of many batches in one group, cut into the group's parts."""
+    names, owner, path, second = gathered(frame)
+    order = np.argsort(path, kind="stable")
+    path, group = path[order], np.full(len(path), frame["group"].iat[0], np.int64)
+    return dealt(names, owner[order], path, second[order], group, part_of(path, group, parts))
 
 
 def deep_nodes(frame: pd.DataFrame) -> pd.DataFrame:
-    """One subtree: its leaves, sorted by path, with the nodes of full depth as runs; gives each batch its leaves under nodes of two leaves or more."""
-    paths = [unpack_sorted(x) for x in frame["paths"]]
-    owner = np.repeat(np.arange(len(paths)), [len(p) for p in paths])
-    leaf = np.concatenate([unpack(x, "u4") for x in frame["leaves"]])
-    flat = np.concatenate(paths)
-    order = np.argsort(flat, kind="stable")
-    same = flat[order][1:] == flat[order][:-1]
-    found = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    found = found[np.argsort(owner[found], kind="stable")]
-    cuts = np.searchsorted(owner[found], np.arange(len(paths) + 1))
-    out = []
-    for b, row in enumerate(frame.itertuples(index=False)):
-        if cuts[b] < cuts[b + 1] or row.again is not None:
-            out.append((row.batch, row.keys, row.begins, pack(np.sort(leaf[found[cuts[b] : cuts[b + 1]]])), row.again))
-    return pd.DataFrame(out, columns=["batch", "keys", "begins", "leaves", "again"])
-
-
-def by_document(frame: pd.DataFrame) -> pd.DataFrame:
-    """One batch: its repeated windows by document."""
-    keys, begins = np.cumsum(unpack(frame["keys"].iat[0], "i8")), np.cumsum(unpack(frame["begins"].iat[0], "i8"))
-    hit = np.unique(np.concatenate([unpack(x, "u4") for x in [*frame["leaves"], *frame["again"].dropna()]]).astype(np.int64))
-    doc = np.searchsorted(begins, hit, side="right") - 1
-    places, firsts = np.unique(doc, return_index=True)
-    starts = np.split((hit - begins[doc]).astype(np.uint32), firsts[1:]) if len(places) else []
-    return pd.DataFrame({"key": keys[places], "starts": [pack(s) for s in starts]})
-
-
-def repeated_windows(docs: DataFrame, key: str, text: str, size: int, plan: DataFrame) -> DataFrame:
-    """key and starts (packed word offsets) of the windows of each document whose words start elsewhere in docs, too. The groups are planned on `plan`."""
-    groups = group_count(plan, text)
-    sent = leaves(docs, key, text, size, groups, heavy_prefixes(plan, text, groups, PLAN_SHARE))
-    found = sent.groupBy("group").applyInPandas(deep_nodes, "batch string, keys binary, begins binary, leaves binary, again binary")
-    return found.groupBy("batch").applyInPandas(by_document, "key long, starts binary").withColumnRenamed("key", key)
+    """One subtree: its leaves, sorted by path, with the nodes of full depth as runs; gives each batch its paths that have another leaf."""
+    names, owner, path, second = gathered(frame)
+    order, new = sorted_runs(path, second)
+    found = order[~(new & np.append(new[1:], True))]  # each batch sent a path once
+    found = found[np.lexsort((path[found], owner[found]))]
+    cuts = np.searchsorted(owner[found], np.arange(len(names) + 1))
+    rows = [(n, pack_sorted(path[found[a:b]]), second[found[a:b]].tobytes()) for n, a, b in zip(names, cuts[:-1], cuts[1:], strict=True) if a < b]
+    return pd.DataFrame(rows, columns=["batch", "paths", "seconds"])
+
+
+def hits_of(path: np.ndarray, second: np.ndarray, found: pd.DataFrame) -> np.ndarray:
+    """Which windows of a batch also start elsewhere: in another batch, as was found, or in this one."""
+    order, new = sorted_runs(path, second)
+    hit = np.zeros(len(path), bool)
+    hit[order[~(new & np.append(new[1:], True))]] = True
+    if len(found):
+        paths, seconds = np.concatenate([unpack_sorted(x) for x in found["paths"]]), np.concatenate([np.frombuffer(x, "u8") for x in found["seconds"]])
+        by = np.lexsort((seconds, paths))
+        paths, seconds = paths[by], seconds[by]
+        at = np.searchsorted(paths, path)
+        for more in range(2):  # two paths of which one half is equal are next to each other
+            near = np.minimum(at + more, len(paths) - 1)
+            hit |= (paths[near] == path) & (seconds[near] == second)
+    return hit
 
 
 def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
@@ -155,34 +212,54 @@ def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
+def search(docs: DataFrame, key: str, text: str, size: int, report, schema: str) -> DataFrame:
+    """`report` makes rows of a text's words and of which of its windows are repeated."""
+    batches = packed(docs, key, text)
+    chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
+    parts = plan(batches, size, int(min(FAN, max(8, chars // 6 // GROUP_LEAVES))))  # a word has about six characters
+    direct = int(parts.sum()) <= 2 * FAN
+    sent = leaves(batches, size, parts, direct)
+    if not direct:
+        spread = max(1, batches.count() * BATCH_CHARS // 6 // len(parts) // GATHER_LEAVES)
+        sent = sent.withColumn("spread", F.pmod(F.xxhash64("names"), F.lit(spread)))
+        sent = sent.groupBy("group", "spread").applyInPandas(lambda frame: deal_again(frame, parts), f"group int, part long, {LEAVES}")
+    found = sent.groupBy("group", "part").applyInPandas(deep_nodes, "batch string, paths binary, seconds binary")
+
+    def by_text(batch, mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        row = mine.iloc[0]
+        path, second, _, counts = leaves_of(texts_of(row["sizes"], row["texts"]), size, WordHash())
+        hit, at, rows = hits_of(path, second, found), 0, []
+        for k, t, n in zip(row["keys"], texts_of(row["sizes"], row["texts"]), counts.tolist(), strict=True):
+            own = max(0, n - size + 1)
+            rows += [(k, *x) for x in report(t, n, np.flatnonzero(hit[at : at + own]))]
+            at += own
+        return pd.DataFrame(rows, columns=["key", *[c.split()[0] for c in schema.split(", ")]])
+
+    out = batches.groupBy("batch").cogroup(found.groupBy("batch")).applyInPandas(by_text, f"key string, {schema}")
+    return out.withColumn("key", F.col("key").cast(docs.schema[key].dataType)).withColumnRenamed("key", key)
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 35, digest: bool = False) -> DataFrame:
-    """docs with n_words, n_removed and kept: the words that no repeated window covers, joined by spaces (with `digest` its SHA-256 instead).
-    `key` must be an integer, unique but for repeated rows."""
-    digests = docs.select(F.col(key).alias("_key"), F.sha2(text, 256).alias("_digest")).where("_digest IS NOT NULL")
-    copies = digests.groupBy("_digest").agg(F.min("_key").alias("_key"), F.count(F.lit(1)).alias("_n"))
-    copied = copies.where("_n > 1").select("_digest", F.col("_key").alias("_least"))
-    # Of each text that has copies only the row of least key is searched.
-    spare = digests.join(copied, "_digest").where("_key > _least").select(F.col("_key").alias(key)).distinct()
-    spare = written(spare, "spare")
-    searched = docs.select(key, text).join(F.broadcast(spare) if spare.count() <= BROADCAST_IDS else spare, key, "left_anti")
-    found = repeated_windows(searched, key, text, size, plan=docs)
-    marks = found.unionByName(digests.join(copied, "_digest").select(F.col("_key").alias(key), F.lit(b"").alias("starts")).distinct())
-    marks = marks.groupBy(key).agg(F.min("starts").alias("starts"))  # empty: a copy, all windows are repeated
-    out = docs.drop("n_words", "n_removed", "kept").join(marks.withColumnRenamed("starts", "_starts"), key, "left")
-    schema = out.drop("_starts", *([text] if digest else [])).schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    """key, n_words, n_removed and kept of each row: the words that no repeated window covers, joined by spaces (with `digest` its SHA-256 instead)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for t, packed in zip(frame[text], frame["_starts"], strict=True):
-                own, kept = words(t), None
-                if packed is not None and len(own) >= size:
-                    gone = covered(len(own), unpack(packed, "u4").astype(np.int64), size) if packed else np.ones(len(own), bool)
-                    kept = [w for w, g in zip(own, gone.tolist(), strict=True) if not g]
-                left = " ".join(own if kept is None else kept)
-                rows.append((len(own), 0 if kept is None else len(own) - len(kept), hashlib.sha256(left.encode()).hexdigest() if digest else left))
-            frame = frame.drop(columns=["_starts", text] if digest else ["_starts"])
-            frame[["n_words", "n_removed", "kept"]] = pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"], index=frame.index)
-            yield frame
-
-    return out.mapInPandas(run, schema)
+    def report(t: str, n: int, starts: np.ndarray) -> list[tuple]:
+        own, gone = words(t), 0
+        if len(starts):
+            hit = covered(n, starts, size)
+            gone = int(hit.sum())
+            own = [w for w, g in zip(own, hit.tolist(), strict=True) if not g]
+        left = " ".join(own)
+        return [(n, gone, hashlib.sha256(left.encode()).hexdigest() if digest else left)]
+
+    return search(docs, key, text, size, report, "n_words long, n_removed long, kept string")
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 35) -> DataFrame:
+    """key, first and n_words of each repeat: the longest runs of words in which every window of `size` also starts elsewhere."""
+
+    def report(t: str, n: int, starts: np.ndarray) -> list[tuple]:
+        new = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
+        last = starts[np.append(new[1:], len(starts)) - 1] if len(new) else starts
+        return [(int(a), int(b - a + size)) for a, b in zip(starts[new], last, strict=True)]
+
+    return search(docs, key, text, size, report, "first long, n_words long")

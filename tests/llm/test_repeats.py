@@ -3,6 +3,10 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pytest
+
 from plumeline.llm import repeats
 
 RNG = random.Random(5)
@@ -41,10 +45,37 @@ def test_equals_brute_force(spark):
     assert repeats.remove_repeats(docs.limit(0)).isEmpty()
 
 
-def test_small_batches(spark, monkeypatch):
-    """Heavy prefixes, many batches and groups change nothing."""
-    monkeypatch.setattr(repeats, "PLAN_SHARE", 1.0)
-    monkeypatch.setattr(repeats, "GROUP_LEAVES", 50)
+@pytest.mark.parametrize("fan", [2, 2048])
+def test_small_batches(spark, monkeypatch, fan):
+    """Heavy prefixes, many batches and groups change nothing, whether leaves go directly or are dealt out again."""
+    for name, bound in (("PLAN_EACH", 1), ("GROUP_LEAVES", 50), ("BATCH_CHARS", 500), ("FAN", fan), ("GATHER_LEAVES", 100)):
+        monkeypatch.setattr(repeats, name, bound)
     docs = spark.createDataFrame(list(enumerate(DOCS)), "doc_id long, text string").repartition(7)
     found = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in repeats.remove_repeats(docs).collect()}
     assert [found[i] for i in range(len(DOCS))] == brute(DOCS)
+
+
+def test_repeated_rows_null_and_shared_keys(spark, monkeypatch):
+    """Rows are texts of their own, whatever their keys."""
+    monkeypatch.setattr(repeats, "BATCH_CHARS", 700)
+    long = [prose(50) for _ in range(4)]
+    rows = [(5, long[0]), (7, long[1] + " " + PASSAGE), (9, long[2]), (5, long[0]), (8, prose(12) + " " + PASSAGE), (9, long[2]), (None, long[3]), (None, PASSAGE), (2**60 + 1, None), (7, "short")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in repeats.remove_repeats(df).collect()), key=str)
+    assert found == sorted(((k, *x) for (k, _), x in zip(rows, brute([t for _, t in rows]), strict=True)), key=str)
+
+
+def test_equal_halves_of_paths(monkeypatch):
+    """Paths of which one half is equal by chance are told apart."""
+    path, second = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 3], np.uint64)
+    order, new = repeats.sorted_runs(path, second)
+    assert sorted(order[~(new & np.append(new[1:], True))].tolist()) == [0, 2]
+    found = pd.DataFrame({"paths": [repeats.pack_sorted(np.array([5, 7], np.uint64))], "seconds": [np.array([3, 9], np.uint64).tobytes()]})
+    assert repeats.hits_of(path, second, found).tolist() == [True, False, True, False, True]
+
+
+def test_long_text_and_spans(spark):
+    body = [f"v{RNG.randrange(10**7)}" for _ in range(150_000)]
+    texts = [" ".join(body), "x " + " ".join(body[1000:1500]) + " y " + " ".join(body[2000:2040]), " ".join(body[5000:5034])]
+    found = sorted((r.doc_id, r.first, r.n_words) for r in repeats.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert found == [(0, 1000, 500), (0, 2000, 40), (1, 1, 500), (1, 502, 40)]
