@@ -1,12 +1,17 @@
 """Exact phrases and proximity matches by a distributed positional inverted index.
 
 The index is dealt by document: each row of the stored table is a shard of about SHARD_WORDS words, with its sorted distinct terms,
-the postings of each term (positions, delta-packed) and the documents' places. Phrases go to every shard, in blocks of bounded
-size: a shard intersects the offset-adjusted postings of a phrase from its rarest term on, and most phrases end at a term that the
-shard lacks. A shard's cost depends on its own words only, so a term or document in every second row makes no shard larger.
-
-Words are runs of digits, letters and all characters beyond ASCII, with A-Z lower-cased. Null and empty texts have no words, a
-phrase without words or id matches nothing. Repeated rows are separate documents; further columns are ignored.
+the postings of each term (positions, delta-packed) and the documents' places. The items are packed into blocks of bounded size, also
+rows of a stored table; every block meets every shard, as all items are asked of all documents, and neither comes to the driver. A
+shard looks the block's terms up, passes over windows with a term that it lacks, which are nearly all, and intersects the
+offset-adjusted postings of the others from their rarest term on. What a task holds is one shard and one block, whatever the number of
+either, and a term or document in every second row makes no shard larger.
+
+Words are runs of digits, letters and all characters beyond ASCII, with A-Z lower-cased; the index holds 64-bit hashes of them. Null
+and empty texts have no words, a phrase without words or id matches nothing; rows of one item_id are one item. Rows that repeat or share
+a key, and rows with a null key, are separate documents. Whole texts are read: a long document is a shard by itself, a long item is cut
+into parts that overlap. An empty table of documents gives an empty table, one of items gives no hits. Items that hit one word are
+sorted as strings. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, fresh_path, pack, unpack
+from .common import WordHash, fresh_path, pack, unpack, written
 
 SHARD_WORDS = 1_000_000
-#: Characters of phrases that are broadcast at once.
-BLOCK_CHARS = 8_000_000
+#: Words of items in a block, and of an item in one piece.
+BLOCK_WORDS, PIECE_WORDS = 200_000, 50_000
 #: A-Z become a-z, other ASCII outside 0-9 and a-z separates words. All bytes of other characters are word bytes.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -120,10 +125,55 @@ def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return (at < len(ordered)) & (ordered[np.minimum(at, len(ordered) - 1)] == values)
 
 
-def phrase_windows(text: str | None, size: int) -> list[list[bytes]]:
-    """All windows of `size` words; a shorter text is one window."""
-    own = words(text)
-    return [own[i : i + size] for i in range(max(1, len(own) - size + 1))] if own else []
+def pieces(own: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """An item's words in pieces that overlap so far that each window of `size` lies in one."""
+    for at in range(0, max(1, len(own) - size + 1), PIECE_WORDS):
+        yield own[at : at + PIECE_WORDS + size - 1]
+
+
+def pack_items(items: DataFrame, item: str, text: str, size: int) -> DataFrame:
+    """names, sizes and words (one piece of an item after the other) of each block, as a written table."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table, names, parts, total = WordHash(), [], [], 0
+        for frame in frames:
+            for name, t in zip(frame["item"], frame["text"], strict=True):
+                own = table.array(words(t))
+                for part in pieces(own, size) if len(own) else ():
+                    names.append(name)
+                    parts.append(part)
+                    total += len(part)
+                    if total >= BLOCK_WORDS:
+                        yield block(names, parts)
+                        names, parts, total = [], [], 0
+        if names:
+            yield block(names, parts)
+
+    def block(names: list[str], parts: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"names": [names], "lengths": [pack(np.array([len(p) for p in parts], np.int64))], "words": [np.concatenate(parts).tobytes()]})
+
+    given = items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    # Few bytes for each item: some files of a test set need not make as many blocks.
+    return written(given.mapInPandas(run, "names array<string>, lengths binary, words binary"), "items")
+
+
+class Block:
+    """Windows of a block: where each begins in its words, how many words it has, and its item."""
+
+    def __init__(self, names, lengths: bytes, words: bytes, size: int):
+        self.names, lengths = names, unpack(lengths, "i8")
+        self.asked, self.inverse = np.unique(np.frombuffer(words, "u8"), return_inverse=True)
+        counts = np.maximum(1, lengths - size + 1)
+        self.item = np.repeat(np.arange(len(lengths)), counts)
+        self.size = np.minimum(lengths, size)[self.item]
+        self.start = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts)
+
+    def present(self, own: Shard) -> Iterator[tuple[int, np.ndarray]]:
+        """Windows of which the shard has all terms, each with the terms' places."""
+        at = own.find(self.asked)[self.inverse]
+        lacking = np.concatenate([[0], np.cumsum(at < 0)])
+        for k in np.flatnonzero(lacking[self.start + self.size] == lacking[self.start]):
+            yield k, at[self.start[k] : self.start[k] + self.size[k]]
 
 
 def search(index: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text", size: int = 13, slop: int | None = None, gap: int = 64) -> DataFrame:
@@ -131,46 +181,24 @@ def search(index: DataFrame, items: DataFrame, item: str = "item_id", text: str
     With `slop`, instead the places of a window's rarest term that have all its other terms within so many words."""
     if max(size, slop or 0) > gap:
         raise ValueError("windows must not be longer than the gap between documents")
-    items = items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    blocks = 1 + (items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS
-    found = [search_block(index, items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b), size, slop, gap) for b in range(blocks)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def search_block(index: DataFrame, items: DataFrame, size: int, slop: int | None, gap: int) -> DataFrame:
-    rows, table = items.toPandas(), WordHash()
-    distinct: dict[bytes, tuple[np.ndarray, set]] = {}
-    for name, text in zip(rows["item"], rows["text"], strict=True):
-        for window in phrase_windows(text, size):
-            distinct.setdefault(b" ".join(window), (table.array(window), set()))[1].add(name)
-    phrases = [p for p, _ in distinct.values()]
-    sent = index.sparkSession.sparkContext.broadcast((phrases, [sorted(x for x in names if x is not None) for _, names in distinct.values()]))
+    blocks = pack_items(items, item, text, size)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        phrases, names = sent.value
-        flat = np.concatenate(phrases) if phrases else np.empty(0, np.uint64)
-        ends = np.cumsum([len(p) for p in phrases])
-        asked, inverse = np.unique(flat, return_inverse=True)
         for frame in frames:
             for row in frame.itertuples(index=False):
-                own, hits = Shard(row, gap), []
-                if phrases and len(own.terms):
-                    at = own.find(asked)[inverse]
-                    for k in np.flatnonzero(np.minimum.reduceat(at, ends - [len(p) for p in phrases]) >= 0):
-                        terms = at[ends[k] - len(phrases[k]) : ends[k]]
-                        places = own.phrase(terms) if slop is None else own.near(terms, slop)
-                        if len(places):
-                            doc = np.searchsorted(own.starts, places, side="right") - 1
-                            begin = places - own.starts[doc]
-                            for name in names[k]:
-                                hits.append(pd.DataFrame({"shard": row.shard, "place": doc, "item": name, "start": begin, "end": begin + (len(terms) if slop is None else 1)}))
+                own, block, hits = Shard(row, gap), Block(row.names, row.lengths, row.words, size), []
+                for k, terms in block.present(own) if len(own.terms) else ():
+                    places = own.phrase(terms) if slop is None else own.near(terms, slop)
+                    if len(places):
+                        doc = np.searchsorted(own.starts, places, side="right") - 1
+                        begin = places - own.starts[doc]
+                        hits.append(pd.DataFrame({"shard": row.shard, "place": doc, "item": block.names[block.item[k]], "start": begin, "end": begin + (len(terms) if slop is None else 1)}))
                 if hits:
                     yield merged(pd.concat(hits)) if slop is None else pd.concat(hits)
 
-    return index.select("shard", "sizes", "terms", "counts", "postings").mapInPandas(run, "shard string, place long, item string, start long, end long")
+    # A stated set of queries against all documents, block by block.
+    met = index.select("shard", "sizes", "terms", "counts", "postings").crossJoin(blocks)
+    return met.mapInPandas(run, "shard string, place long, item string, start long, end long")
 
 
 def merged(hits: pd.DataFrame) -> pd.DataFrame:

@@ -42,3 +42,26 @@ def test_proximity(spark):
     index = phrases.build_index(docs)
     near = phrases.search(index, items, slop=5).join(phrases.documents_of(index), ["shard", "place"])
     assert sorted(r.key for r in near.collect()) == ["1", "2"]
+
+
+def test_blocks_and_pieces(spark, monkeypatch):
+    """Items cut into pieces and blocks, long items, items of several rows, null and shared keys."""
+    monkeypatch.setattr(phrases, "BLOCK_WORDS", 20)
+    monkeypatch.setattr(phrases, "PIECE_WORDS", 3)
+    monkeypatch.setattr(phrases, "SHARD_WORDS", 30)
+    docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(DOCS)], "doc_id long, text string, n_words int").repartition(3)
+    items = spark.createDataFrame(ITEMS, "item_id string, text string").repartition(3)
+    found = {r.doc_id: r for r in phrases.contamination(docs, items).collect()}
+    for i, t in enumerate(DOCS):
+        assert (found[i].n_words, found[i].n_hit, list(found[i].items), found[i].contaminated) == brute(t)
+    long = " ".join(f"w{i}" for i in range(5000))
+    rows = [(1, "x " + " ".join(f"w{i}" for i in range(2000, 2020)) + " y"), (1, "nothing"), (None, " ".join(f"w{i}" for i in range(40, 53)))]
+    more = spark.createDataFrame([("long", long), ("long", "nothing"), ("other", None)], "item_id string, text string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_hit, list(r.items)) for r in phrases.contamination(spark.createDataFrame(rows, "doc_id long, text string"), more).collect())
+    assert got == [(0, 13, 13, ["long"]), (1, 1, 1, ["long"]), (1, 22, 20, ["long"])]
+
+
+def test_long_document(spark):
+    text = " ".join(f"t{i % 977}" for i in range(1_200_000)) + " " + FOX
+    found = phrases.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id string, text string")).first()
+    assert (found.n_words, found.n_hit, list(found.items), found.contaminated) == (1_200_015, 15, ["a", "e"], False)

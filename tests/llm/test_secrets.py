@@ -1,5 +1,7 @@
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from plumeline.llm import secrets
@@ -47,3 +49,44 @@ def test_names_and_constants():
 def test_redact(spark):
     docs = spark.createDataFrame([(1, "a token=abcdefghijklmnop b"), (2, None), (3, "nothing")], "doc_id long, text string")
     assert [r.text for r in secrets.redact(docs).orderBy("doc_id").collect()] == ["a [SECRET] b", None, "nothing"]
+
+
+@pytest.mark.parametrize(
+    ("text", "values"),
+    [
+        ("password = \"it's-S3cr3t-Valu3!\"", ["it's-S3cr3t-Valu3!"]),
+        ('token = """Abc9$kd82\nLsQ02"""', ["Abc9$kd82\nLsQ02"]),
+        ("secret = 'Abc9$kd8' + \"2LsQ02zz\"", ["Abc9$kd8", "2LsQ02zz"]),
+        ("secret = ('Abc9$kd8' \\\n '2LsQ02zz')", ["Abc9$kd8", "2LsQ02zz"]),
+        ('use(password=KEY)\nKEY = "Tr0ub4dor-83x9Q"', ["Tr0ub4dor-83x9Q"]),
+        ('a = "Tr0ub4dor-83x9Q"\nb = a\nsecret = b', ["Tr0ub4dor-83x9Q"]),
+        ('password = "Tr0ub4dor\\"&3x!9Q" # why', ['Tr0ub4dor\\"&3x!9Q']),
+        ('{"user": "x", "api_key": "aB3dE5fG7hJ9kL", "n": 1}', ["aB3dE5fG7hJ9kL"]),
+        ("conf['secret'] = rb'aB3dE5fG7hJ9kL'", ["aB3dE5fG7hJ9kL"]),
+        ("run --password aB3dE5fG7hJ9kL --verbose", ["aB3dE5fG7hJ9kL"]),
+        ("# old token := `aB3dE5fG7hJ9kL`", ["aB3dE5fG7hJ9kL"]),
+        ("don't say password = 'aB3dE5fG7hJ9kL', it isn't safe", ["aB3dE5fG7hJ9kL"]),
+        ("words " * 500 + "so: passwd => \"aB3dE5fG7hJ9kL\"; " + "more words " * 500, ["aB3dE5fG7hJ9kL"]),
+        ("password: ${ENV_NAME_HERE}", []),
+        ('if password == "aB3dE5fG7hJ9kL": pass', []),
+        ('see "the secret: aBcdefgh" and colour = "q9Z!xv81LmPw0#"', []),
+        ("", []),
+    ],
+)
+def test_lexer(text, values):
+    assert [text[a:b] for a, _, b, _, _ in sorted(secrets.assigned(text))] == values
+
+
+def test_lexer_is_linear_and_bounded():
+    for part in ("it's \"", "'" * 3, "a = ", "'a' + ", "b = c\n", "\\", "word, "):
+        took = []
+        for n in (20_000, 80_000):
+            began = time.perf_counter()
+            secrets.assigned(part * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 12 * took[0] + 0.5
+    assert len(secrets.tokens("word, " * 100_000 + "a = 'b'" + " word" * 100_000)) < 40
+
+
+def test_whole_literals_are_redacted():
+    assert secrets.redacted('password = "Tr0ub4dor\\"&3x!9Q"; x = 1', "[S]") == 'password = "[S]"; x = 1'
