@@ -45,7 +45,7 @@ ORDER, QUANTILE, MARGIN = 4, 0.995, 1.1
 #: One in so many trusted texts is not trained on and sets the threshold, in languages with at least LEAST_HELD such texts; else all set it.
 HELD_OUT, LEAST_HELD = 10, 20
 #: Characters of texts in a batch, and of words whose n-grams a task holds at once.
-CHUNK_CHARS, COUNT_CHARS, ASK_WORDS = 8_000_000, 1_000_000, 100_000
+CHUNK_CHARS, COUNT_CHARS, ASK_WORDS = 16_000_000, 1_000_000, 100_000
 #: N-grams of a shard of the model, and batches (by the number of shards) that ask it at once.
 SHARD_GRAMS, SLICE_BATCHES = 2_000_000, 64
 #: Up to so many ids of trusted documents (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
