@@ -1,35 +1,5 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links."""
 
-from __future__ import annotations
+from ..operators.graph import are_stars, components, star
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import written
-
-
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges: u > v, distinct. Large: every larger neighbour of u is linked to the least node around u. Small: every smaller one, and u itself."""
-    around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = around.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    known = around.join(least, "u")
-    if large:
-        out = known.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = known.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
-
-
-def are_stars(edges: DataFrame) -> bool:
-    """Whether every node has one edge up at most, and only to nodes that have none."""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select("v", F.lit(0), F.lit(1)).toDF("node", "up", "down"))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up = 1 AND down = 1)").isEmpty()
-
-
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
-    """node and component, the least node that it reaches, of every node with a link to another. Nulls link with nothing."""
-    edges = written(links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    while not are_stars(edges):
-        edges = written(star(star(edges, large=True), large=False), "links")
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+__all__ = ["are_stars", "components", "star"]

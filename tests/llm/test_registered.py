@@ -73,3 +73,25 @@ def test_stages(spark):
         text = rows["secret scans"][i].text.encode()
         assert b"".join(ranks[x] for x in r.ids) == text
         assert r.decoded_sha256 == hashlib.sha256(text).hexdigest()
+
+
+def test_rows_without_a_key(spark):
+    """Rows without a doc_id are judged by their own texts, and stay out of near-duplicate classes."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first().text
+    good = docs.where("doc_id = 0").first()
+    rows = [(None, "@@@ ### XQZ $$$ &&& %%%", "en", "s", 1), (None, good.text, good.lang, "s", 1), (None, item, "en", "s", 1), (None, None, None, None, None)]
+    given = docs.where("doc_id < 150").unionByName(spark.createDataFrame(rows, docs.schema))
+    texts = lambda found: sorted((r.text or "") for r in found.where("doc_id IS NULL").collect())
+    judged = pipeline.quality(spark, given, DATA)
+    assert rows[0][1] not in texts(judged) and "" not in texts(judged)
+    assert (good.text in texts(judged)) == bool(judged.where("doc_id = 0").count())
+    assert len(texts(pipeline.near_duplicates(spark, given, DATA))) == 4
+    assert texts(pipeline.decontamination(spark, given, DATA)) == sorted(r[1] or "" for r in (rows[0], rows[1], rows[3]))
+
+
+def test_shared_keys(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(1)
+    rows = [(1, "b some words of a text", "en", "s", 1), (1, "a some words of a text", "en", "s", 2), (2, "quite another text than those", "en", "s", 3)]
+    found = pipeline.near_duplicates(spark, spark.createDataFrame(rows, docs.schema), DATA).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, "a some words of a text"), (2, "quite another text than those")]
