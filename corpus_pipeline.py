@@ -6,7 +6,7 @@ Each stage works on all that its predecessor kept. All but the last return the c
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeline.llm import bpe, knlm, omh, phrases, secrets
@@ -16,30 +16,38 @@ from plumeline.llm.common import written
 BROADCAST_IDS = 2_000_000
 
 
+def own_id() -> Column:
+    """doc_id, or for rows without one a negative number made of the text: one decision for rows of one text."""
+    return F.coalesce("doc_id", -2 - F.pmod(F.xxhash64("text"), F.lit(1 << 62)))
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but for those ids. Rows with a null doc_id stay."""
-    ids = written(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "left-out")
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+    """docs but for those own ids."""
+    ids = written(ids.select(F.col("doc_id").alias("_id")).where("_id IS NOT NULL").distinct(), "left-out")
+    return docs.withColumn("_id", own_id()).join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "_id", "left_anti").select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of higher perplexity than their language's trusted texts go, toxic ones, and those without words."""
+    """Documents of higher perplexity than their language's trusted texts go, toxic ones, and those without words; rows that share a doc_id go together."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return without(docs, knlm.classify(docs, labels.where("quality <=> 1 AND toxic <=> 0"), labels=labels).where("NOT accepted"))
+    judged = knlm.classify(docs.withColumn("doc_id", own_id()), labels.where("quality <=> 1 AND toxic <=> 0"), labels=labels)
+    return without(docs, judged.where("NOT accepted"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, that of least doc_id; of rows with one doc_id, any one."""
+    """One document of each class stays, that of least doc_id; of rows with one doc_id, which are one document, that of the least text.
+    Rows without a doc_id are in no class and stay."""
     found = written(omh.classes(docs), "classes")
     kept = without(docs, found.where("NOT kept"))
     if not found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+        first = kept.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct(*kept.columns), F.struct("text", *[c for c in kept.columns if c != "text"])).alias("row")).select("row.*")
+        kept = first.select(*kept.columns).unionByName(kept.where("doc_id IS NULL"))
     return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more is benchmark text go."""
-    return without(docs, phrases.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
+    return without(docs, phrases.contamination(docs.withColumn("doc_id", own_id()), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated"))
 
 
 def secret_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
