@@ -8,8 +8,13 @@ template with at least the wanted probability.
 A text is windowed only if it holds a word without which no template can match; that loses nothing: a template whose containment
 reaches the threshold has too many shingles for all those with such a word to be missing.
 
-Words are lower-cased runs of letters and digits; shingles are five words. Null and empty texts match nothing, rows repeat as given,
-further columns are ignored. Templates shorter than five words are refused.
+Templates come as a few texts or as a table (license_id, text), such as the full texts of all licenses; their shingles and bands are
+then made by Spark, and only their words come to the driver, which plans windows from them: MOST_TEMPLATES words at most.
+
+Words are lower-cased runs of letters and digits; shingles are five words. Null and empty texts match nothing; every row is a text of its
+own, so repeated rows and shared or null keys give a row for each. Whole texts are read, in windows. A containment equal to the
+threshold is a match; of windows of equal containment the first is reported. Further columns are ignored; an empty table gives an empty
+table. Templates shorter than five words are refused, as are more than MOST_TEMPLATES words of them.
 """
 
 from __future__ import annotations
@@ -24,6 +29,8 @@ from pyspark.sql import functions as F
 SHINGLE, CONTAINMENT, COLLISION = 5, 0.8, 0.999
 #: Bands of all templates up to so many rows are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_BANDS = 200_000
+#: Words of all templates together; a plan is made from them on the driver.
+MOST_TEMPLATES = 5_000_000
 #: Letters of a word that is worth looking for first.
 TELLING = 6
 
@@ -118,15 +125,27 @@ def windows_of(starts: Column, scale: Scale) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("start"), F.array_distinct(F.slice("shingles", i, scale.words - SHINGLE + 1)).alias("seen")))
 
 
+def planned(templates: DataFrame) -> tuple[dict[str, str], DataFrame]:
+    """The words of each template of a table, and license_id and own (its distinct shingles) as Spark makes them. Of templates that share an id the least text counts."""
+    one = templates.where("license_id IS NOT NULL AND text IS NOT NULL").groupBy(F.col("license_id").cast("string").alias("license_id")).agg(F.min("text").alias("text"))
+    words = one.select("license_id", words_of(F.col("text")).alias("words"))
+    total = words.agg(F.sum(F.size("words"))).first()[0] or 0
+    if total > MOST_TEMPLATES:
+        raise ValueError(f"{total} words of templates; at most {MOST_TEMPLATES}")
+    return {r.license_id: " ".join(r.words) for r in words.collect()}, words.select("license_id", F.array_distinct(shingles_of(F.col("words"))).alias("own"))
+
+
 def template_table(spark: SparkSession, templates: dict[str, str], scale: Scale, of: dict[str, Scale]) -> DataFrame:
     rows = [F.struct(F.lit(n).alias("license_id"), F.array(*map(F.lit, template_shingles(t))).alias("own")) for n, t in templates.items() if of[n] == scale]
     return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.license_id", "t.own")
 
 
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT, collision: float = COLLISION) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None, key: str = "doc_id", text: str = "text", containment: float = CONTAINMENT, collision: float = COLLISION) -> DataFrame:
     """key, license_id, containment (the best window's share of the template's shingles) and first_word (where the first such
     window starts), one row for each license that a row's text holds."""
-    templates = NOTICES if templates is None else templates
+    templates, table_of = planned(templates) if isinstance(templates, DataFrame) else (NOTICES if templates is None else templates, None)
+    if not templates:
+        return docs.select(F.col(key), F.lit("").alias("license_id"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word")).limit(0)
     of = scales(templates, containment, collision)
     needed = "(?<![\\p{L}\\p{N}])(" + "|".join(required_words(templates, containment)) + ")(?![\\p{L}\\p{N}])"
     known = docs.select(F.col(key), F.col(text).alias("text")).where(F.lower("text").rlike(needed)).withColumn("row", F.monotonically_increasing_id())
@@ -137,7 +156,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
         starts = F.sequence(F.lit(1), F.size("shingles"), F.lit(scale.step))
         windows = known.select(key, "row", F.explode(windows_of(starts, scale)).alias("w")).select(key, "row", "w.start", "w.seen")
         bands = windows.select(key, "row", "start", "seen", F.posexplode(band_values(F.col("seen"), scale.bands)).alias("band", "value"))
-        table = template_table(docs.sparkSession, templates, scale, of)
+        names = [n for n in templates if of[n] == scale]
+        table = template_table(docs.sparkSession, templates, scale, of) if table_of is None else table_of.where(F.size("own").between(scale.least, scale.most) & F.col("license_id").isin(names))
         asked = table.select("license_id", "own", F.posexplode(band_values(F.col("own"), scale.bands)).alias("band", "value"))
         asked = F.broadcast(asked) if len(templates) * scale.bands <= BROADCAST_BANDS else asked
         hits = bands.join(asked, ["band", "value"]).select(key, "row", "start", "license_id", (F.size(F.array_intersect("own", "seen")) / F.size("own")).alias("containment"))

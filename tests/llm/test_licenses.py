@@ -47,3 +47,21 @@ def test_bands_are_enough():
         common = -(-4 * s.least // 5)
         jaccard = common / (s.words - 4 + s.least - common)
         assert 1 - (1 - jaccard) ** s.bands >= 0.999
+
+
+def test_templates_of_a_table(spark):
+    """Full texts from a table, of very different lengths, with ids that repeat and null rows; the plan has no Python in it."""
+    long = " ".join(f"clause{i} grants{i % 7} you{i % 11} rights{i}" for i in range(900))
+    rows = [*licenses.NOTICES.items(), ("FULL", long), ("FULL", long + " more"), (None, "x"), ("none", None)]
+    table = spark.createDataFrame(rows, "license_id string, text string")
+    texts = [*TEXTS, "before " + long + " after", " ".join(long.split()[:1000]), "w " * 30_000 + long]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, MIT), (0, MIT)], "doc_id long, text string")
+    found = licenses.scan(docs, table)
+    assert not re.search("Python|Pandas|Arrow", found._jdf.queryExecution().executedPlan().toString())
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, set()).add(r.license_id)
+    want = {i: set(b) for i, t in enumerate(TEXTS) if (b := brute(t))}
+    n = len(TEXTS)
+    assert got == want | {n: {"FULL"}, n + 2: {"FULL"}, None: {"MIT"}, 0: {"MIT"}}
+    assert licenses.scan(docs, table.limit(0)).isEmpty()
