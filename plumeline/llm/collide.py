@@ -5,12 +5,15 @@ of known width, so a window of fixed width around a query's projection holds the
 collides in as many windows as a pair at the threshold does but for one in 10,000 is verified by its cosine in double precision.
 
 The first lines also deal the work out: vectors are sorted into cells of a window's width along them, and a cell meets itself and its
-neighbours, in blocks of bounded size, so that neither a label, a cell nor a crowd of near copies comes together in one task. A pair
-of blocks returns sums for each vector and a spanning forest of its links, never the links themselves. Equal vectors of a label are
-one node with a weight.
+neighbours, in blocks of bounded size, so that neither a label, a cell nor a crowd of near copies comes together in one task. In a pair
+of blocks both sides are sorted along each line; a line on which the sorted runs lie further apart than a window is missed by all their
+pairs, and blocks that miss too many lines are passed over. The others count their windows' collisions, and stop as soon as no pair can
+reach the count. A pair of blocks returns sums for each vector and a spanning forest of its links, never the links themselves. Equal
+vectors of a label are one node with a weight.
 
 Vectors that are null, of length zero, or hold null or non-finite components link with nothing, nor do those without a label or
-with different numbers of components. Repeated rows are vectors of their own. Further columns are left out.
+with different numbers of components. Repeated rows are vectors of their own, as are rows that share a key; rows with a null key link
+with nothing. A cosine equal to the threshold is a link. Further columns are left out; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .graph import components
 
-LEAST, LINES, CELL_LINES, BLOCK = 0.93, 48, 2, 1024
+LEAST, LINES, CELL_LINES, BLOCK, RUN = 0.93, 48, 2, 1024, 128
 #: Half widths of the windows, in standard deviations of the difference that a pair at the threshold has; a cell loses a pair once in 16,000.
 WINDOW, CELL = 1.5, 4.0
 RECALL = 0.9999
@@ -86,6 +89,35 @@ def forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def widest(lines: np.ndarray) -> int:
+    """The line along which the vectors lie furthest apart."""
+    return int(lines.std(axis=0).argmax())
+
+
+def collisions(p: np.ndarray, q: np.ndarray, sorted_q: np.ndarray, half: np.float32, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many windows around the vectors of p hold each vector of q, for those of q that may be held by enough of them; and which these are.
+
+    The windows of a run are merged into sorted q line by line: what is left of the least window or right of the largest is missed by all."""
+    low, high = p.min(axis=0) - half, p.max(axis=0) + half
+    reach = np.array([np.searchsorted(sorted_q[:, k], high[k], "right") - np.searchsorted(sorted_q[:, k], low[k], "left") for k in range(LINES)])
+    allowed = LINES - wanted
+    if (reach == 0).sum() > allowed:
+        return np.empty((len(p), 0), np.uint8), np.empty(0, np.int64)
+    left, missed = np.arange(len(q)), np.zeros(len(q), np.uint8)
+    lines = np.argsort(reach, kind="stable")  # the most selective first
+    for k in lines:
+        missed += (q[:, k] < low[k]) | (q[:, k] > high[k])
+    left = left[missed <= allowed]
+    hits = np.zeros((len(p), len(left)), np.uint8)
+    for at, k in enumerate(lines):
+        hits += np.abs(p[:, k, None] - q[None, left, k]) <= half
+        if at % 8 == 7 and len(left):
+            may = (hits.max(axis=0) + (LINES - 1 - at)) >= wanted
+            if not may.all():
+                hits, left = hits[:, may], left[may]
+    return hits, left
+
+
 def compare(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     """Two blocks (or one with itself): sums of the weights linked to each vector (other is null) and a forest of links."""
     a, b = frame[frame["side"] == 0], frame[frame["side"] == 1]
@@ -98,14 +130,15 @@ def compare(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     p, q = np.array(a["lines"].tolist(), np.float32), np.array(b["lines"].tolist(), np.float32)
     half = np.float32(WINDOW * width(dim, least) * (1 + 1e-6))
     linked = np.zeros((len(a), len(b)), bool)
-    for start in range(0, len(a), 128):
-        part = slice(start, start + 128)
-        hits = np.zeros((len(p[part]), len(b)), np.uint8)
-        for line in range(LINES):
-            hits += np.abs(p[part, line, None] - q[None, :, line]) <= half
-        near = hits >= wanted
-        if near.any():
-            linked[part] = near & (x[part] @ y.T >= least)
+    order = np.argsort(p[:, widest(p)], kind="stable")  # runs of neighbours, which most windows of the others miss
+    by = np.argsort(q, axis=0, kind="stable")
+    sorted_q = np.take_along_axis(q, by, axis=0)
+    for start in range(0, len(a), RUN):
+        part = order[start : start + RUN]
+        hits, left = collisions(p[part], q, sorted_q, half, wanted)
+        if len(left):
+            near = hits >= wanted
+            linked[np.ix_(part, left)] = near & (x[part] @ y[left].T >= least)
     if own:
         np.fill_diagonal(linked, False)
     ids, others = a["id"].to_numpy(), b["id"].to_numpy()
@@ -135,8 +168,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     wide = F.col(vector).cast("array<double>")
     usable = F.col(label).isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(wide, lambda x: x != 0)
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), wide.alias("vector"), F.coalesce(usable, F.lit(False)).alias("usable"))
-    rows = rows.withColumn("digest", F.when(F.col("usable"), F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)))
-    distinct = rows.where("usable AND id IS NOT NULL").groupBy("label", "digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.any_value("vector").alias("vector"))
+    rows = rows.withColumn("digest", F.when(F.col("usable") & F.col("id").isNotNull(), F.sha2(F.concat_ws(",", F.col("vector").cast("array<string>")), 256)))
+    distinct = rows.where("digest IS NOT NULL").groupBy("label", "digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.any_value("vector").alias("vector"))
     nodes = written(projected(distinct.select("id", "n", "label", "vector"), least), "vectors")
     # Blocks by a hash of the id: as many as a cell's size asks for.
     sizes = nodes.groupBy("label", "dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -5,7 +5,9 @@ and the digest of its payload. A join of the two gives the records back, byte fo
 digest. Of records with equal payloads of at least `least` bytes the one of smallest page_id is a response, the others revisit it.
 
 Null or empty html is an empty payload. A null url is an empty target. Repeated rows give repeated records; their payload is stored
-once. Rows with a null page_id become revisits of an equal payload, else responses. Further columns are left out.
+once, as are those of equal rows that share a page_id. Rows with a null page_id become revisits of an equal payload, else responses.
+Payloads of any length are stored whole; a payload that many pages share meets its records in a broadcast of the repeated digests, up to
+a bound. An empty table gives an empty archive. Further columns are left out.
 """
 
 from __future__ import annotations
@@ -13,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import written
+
 CRLF = "\r\n"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Up to so many rows (a page_id and a digest, under 100 bytes) that need no payload are broadcast, so that payloads are stored
-#: without a shuffle; beyond, both sides are shuffled.
+#: Up to so many digests of repeated payloads, and rows (a page_id and a digest) that need no payload, under 100 bytes each, are broadcast, so
+#: that neither records nor payloads are shuffled; beyond, both sides are.
 BROADCAST_ROWS = 200_000
 
 
@@ -35,7 +39,9 @@ def with_headers(pages: DataFrame, date: str, least: int) -> DataFrame:
     """page_id, digest (SHA-256), revisit, first (of its digest) and header, the bytes before the payload."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     known = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.length(payload).alias("size"), base32_sha1(payload).alias("sha1"), F.sha2(payload, 256).alias("digest"))
-    firsts = known.groupBy("digest").agg(F.min("page_id").alias("first"))
+    firsts = known.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    firsts = written(firsts, "repeated")
+    firsts = F.broadcast(firsts) if firsts.count() <= BROADCAST_ROWS else firsts
     revisit = F.when(F.col("size") < least, False).otherwise(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("size"), F.lit(CRLF * 2))
     lines = [
@@ -51,7 +57,8 @@ def with_headers(pages: DataFrame, date: str, least: int) -> DataFrame:
         F.concat(F.lit("Content-Length: "), F.length(F.encode(http, "UTF-8")) + F.when(F.col("revisit"), 0).otherwise(F.col("size"))),
     ]
     header = F.encode(F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF * 2), http), "UTF-8")
-    return known.join(firsts, "digest").withColumn("revisit", revisit).select("page_id", "digest", "revisit", F.col("page_id").eqNullSafe(F.col("first")).alias("first"), header.alias("header"))
+    known = known.join(firsts, "digest", "left").withColumn("first", F.coalesce("first", "page_id"))
+    return known.withColumn("revisit", revisit).select("page_id", "digest", "revisit", F.col("page_id").eqNullSafe(F.col("first")).alias("first"), header.alias("header"))
 
 
 def write_archive(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z", least: int = 0) -> None:
