@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text that a task holds at once, and distinct words and their bytes that it remembers, none longer than KEPT_LONGEST.
-BATCH_CHARS = 4_000_000
-KEPT_WORDS, KEPT_BYTES, KEPT_LONGEST = 700_000, 32_000_000, 256
+BATCH_CHARS = 1_000_000
+KEPT_WORDS, KEPT_BYTES, KEPT_LONGEST = 300_000, 32_000_000, 256
 #: Half of a tile's bytes, at first and where tiles of that size share no token. Multiples keep the phase of runs of characters of 1 to 4 bytes.
 TILES = (192, 960, 6_720, 60_480)
 #: Bytes of words that go into one recursion (or one word), and rows that it may keep over all its rounds (or two rounds).
-WORD_BYTES, ROWS = 1_000_000, 8_000_000
+WORD_BYTES, ROWS = 100_000, 1_000_000
 
 #: `start` and so every round holds a word's rows together and by pos: one thread keeps the order of rows, and OVER () follows it.
 #: encode_words() checks that each result covers its word without gaps, which a broken order would not.
@@ -74,7 +74,7 @@ def ranks(path: str) -> dict[bytes, int]:
 def database(path: str) -> duckdb.DuckDBPyConnection:
     """An in-memory database of this process, with the vocabulary and every split of a token into two tokens."""
     known = ranks(path)
-    db = duckdb.connect(config={"threads": 1, "memory_limit": "900MB", "temp_directory": tempfile.mkdtemp(prefix="plumeline-bpe-")})
+    db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.mkdtemp(prefix="plumeline-bpe-")})
     pairs = [(known[t[:i]] << 32 | known[t[i:]], r) for t, r in known.items() for i in range(1, len(t)) if t[:i] in known and t[i:] in known]
     merges = pa.table({"pair": pa.array([a for a, _ in pairs], pa.int64()), "rank": pa.array([b for _, b in pairs], pa.int64())})
     vocabulary = pa.table({"id": pa.array(list(known.values()), pa.int32()), "hex": pa.array([t.hex() for t in known])})
