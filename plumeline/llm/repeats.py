@@ -2,8 +2,8 @@
 
 The suffixes of all texts, cut at `size` words, are the leaves of one tree. Variable-length prefixes deal its subtrees out to
 groups of bounded size: a suffix goes by its first PREFIX words, and where so many suffixes share a group that it would grow too
-large, by all `size` words. Edges carry fingerprints of their words in place of the words themselves, 128 bits for a path of `size`
-words. In a group the leaves, sorted by path, have the inner nodes of depth `size` as runs of equal paths. The leaves of a run of two
+large, by all `size` words. Edges carry fingerprints of their words in place of the words themselves, 80 bits for a path of `size`
+words (two different ones of a thousand billion are equal with a probability below one half). In a group the leaves, sorted by path, have the inner nodes of depth `size` as runs of equal paths. The leaves of a run of two
 or more are windows that also start elsewhere. A document's runs of such windows that follow each other are its repeats, as long as
 they last; `repeats` gives them as spans.
 
@@ -66,7 +66,7 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def batch(held: list[tuple]) -> pd.DataFrame:
         keys, texts = zip(*held, strict=True)
-        squeezed = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+        squeezed = zstandard.ZstdCompressor(level=5).compress(b"".join(texts))
         return pd.DataFrame({"keys": [list(keys)], "sizes": [pack(np.array([len(t) for t in texts], np.int64))], "texts": [squeezed]})
 
     given = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
@@ -81,16 +81,16 @@ def texts_of(sizes: bytes, texts: bytes) -> Iterator[str]:
 
 
 def leaves_of(texts: Iterator[str], size: int, table: WordHash) -> tuple[np.ndarray, ...]:
-    """Of all windows of the texts, one after the other: path, its second half, and prefix; and how many words each text has."""
+    """Of all windows of the texts, one after the other: path (64 bits), its second part (16 bits), and prefix; and how many words each text has."""
     paths, seconds, prefixes, counts = [], [], [], []
     for t in texts:
         own = table.array(words(t))
         counts.append(len(own))
         if len(own) >= size:
             paths.append(windows(own, size))
-            seconds.append(windows(own ^ SECOND, size))
+            seconds.append((windows(own ^ SECOND, size) >> np.uint64(48)).astype(np.uint16))
             prefixes.append(windows(own, PREFIX)[: len(own) - size + 1])
-    flat = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in (paths, seconds, prefixes)]
+    flat = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((paths, np.uint64), (seconds, np.uint16), (prefixes, np.uint64))]
     return *flat, np.array(counts, np.int64)
 
 
@@ -98,7 +98,7 @@ def sorted_runs(path: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nd
     """The order of leaves by path, and where a new path begins in it."""
     order = np.argsort(path, kind="stable")
     same = path[order][1:] == path[order][:-1]
-    if (same & (second[order][1:] != second[order][:-1])).any():  # one half of two paths is equal by chance
+    if (same & (second[order][1:] != second[order][:-1])).any():  # the first parts of two paths are equal by chance
         order = np.lexsort((second, path))
         same = (path[order][1:] == path[order][:-1]) & (second[order][1:] == second[order][:-1])
     return order, np.concatenate([[True], ~same]) if len(path) else np.empty(0, bool)
@@ -159,14 +159,14 @@ def dealt(names: list[str], owner: np.ndarray | None, path: np.ndarray, second:
 
 
 def gathered(frame: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """The batches of some rows, and of their leaves the batch's number, path and second half."""
+    """The batches of some rows, and of their leaves the batch's number, path and second part."""
     names = [n for own in frame["names"] for n in own]
     paths = [unpack_sorted(x) for x in frame["paths"]]
     owners, before = [], 0
     for own, packed_owner, path in zip(frame["names"], frame["owners"], paths, strict=True):
         owners.append(before + (np.zeros(len(path), np.uint32) if packed_owner is None else unpack(packed_owner, "u4")))
         before += len(own)
-    return names, np.concatenate(owners).astype(np.uint32), np.concatenate(paths), np.concatenate([np.frombuffer(x, "u8") for x in frame["seconds"]])
+    return names, np.concatenate(owners).astype(np.uint32), np.concatenate(paths), np.concatenate([np.frombuffer(x, "u2") for x in frame["seconds"]])
 
 
 def deal_again(frame: pd.DataFrame, parts: np.ndarray) -> pd.DataFrame:
@@ -194,11 +194,11 @@ def hits_of(path: np.ndarray, second: np.ndarray, found: pd.DataFrame) -> np.nda
     hit = np.zeros(len(path), bool)
     hit[order[~(new & np.append(new[1:], True))]] = True
     if len(found):
-        paths, seconds = np.concatenate([unpack_sorted(x) for x in found["paths"]]), np.concatenate([np.frombuffer(x, "u8") for x in found["seconds"]])
+        paths, seconds = np.concatenate([unpack_sorted(x) for x in found["paths"]]), np.concatenate([np.frombuffer(x, "u2") for x in found["seconds"]])
         by = np.lexsort((seconds, paths))
         paths, seconds = paths[by], seconds[by]
         at = np.searchsorted(paths, path)
-        for more in range(2):  # two paths of which one half is equal are next to each other
+        for more in range(2):  # two paths of which the first part is equal are next to each other
             near = np.minimum(at + more, len(paths) - 1)
             hit |= (paths[near] == path) & (seconds[near] == second)
     return hit

@@ -65,12 +65,12 @@ def test_repeated_rows_null_and_shared_keys(spark, monkeypatch):
     assert found == sorted(((k, *x) for (k, _), x in zip(rows, brute([t for _, t in rows]), strict=True)), key=str)
 
 
-def test_equal_halves_of_paths(monkeypatch):
-    """Paths of which one half is equal by chance are told apart."""
-    path, second = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 3], np.uint64)
+def test_equal_parts_of_paths(monkeypatch):
+    """Paths of which one part is equal by chance are told apart."""
+    path, second = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 3], np.uint16)
     order, new = repeats.sorted_runs(path, second)
     assert sorted(order[~(new & np.append(new[1:], True))].tolist()) == [0, 2]
-    found = pd.DataFrame({"paths": [repeats.pack_sorted(np.array([5, 7], np.uint64))], "seconds": [np.array([3, 9], np.uint64).tobytes()]})
+    found = pd.DataFrame({"paths": [repeats.pack_sorted(np.array([5, 7], np.uint64))], "seconds": [np.array([3, 9], np.uint16).tobytes()]})
     assert repeats.hits_of(path, second, found).tolist() == [True, False, True, False, True]
 
 
