@@ -256,7 +256,8 @@ def word_scores(words: list[str], order: int, weights: Weights, symbols: int) ->
 
 
 def packed(docs: DataFrame, key: str, text: str, also: tuple[str, ...]) -> DataFrame:
-    """The texts in batches of CHUNK_CHARS characters or one text, each a row of a written table: batch, the columns as arrays of strings, and the squeezed texts."""
+    """The texts in batches of CHUNK_CHARS characters or one text, a row each: batch (a digest of what it holds, so that a task that is run
+    again makes the same one), the columns as arrays of strings, and the squeezed texts."""
     names = (key, *also)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -276,11 +277,12 @@ def packed(docs: DataFrame, key: str, text: str, also: tuple[str, ...]) -> DataF
         *columns, texts = zip(*held, strict=True)
         sizes = np.array([-1 if t is None else len(t.encode()) for t in texts], np.int64)
         blob = "".join(t for t in texts if t is not None).encode()
-        row = {**dict(zip(names, map(list, columns), strict=True)), "sizes": pack(sizes), "texts": zstandard.ZstdCompressor(level=5).compress(blob)}
+        name = xxhash.xxh3_128_hexdigest(repr(columns).encode("utf-8", "surrogatepass") + sizes.tobytes() + blob)
+        row = {"batch": name, **dict(zip(names, map(list, columns), strict=True)), "sizes": pack(sizes), "texts": zstandard.ZstdCompressor(level=5).compress(blob)}
         return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in row.items()})
 
     given = docs.select(*[F.col(c).cast("string").alias(c) for c in names], text)
-    return written(given.mapInPandas(run, ", ".join(f"`{c}` array<string>" for c in names) + ", sizes binary, texts binary").withColumn("batch", F.expr("uuid()")), "batches")
+    return given.mapInPandas(run, "batch string, " + ", ".join(f"`{c}` array<string>" for c in names) + ", sizes binary, texts binary")
 
 
 def texts_of(sizes: bytes, texts: bytes) -> Iterator[str]:
@@ -303,10 +305,12 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
     asking = rated and sent is None
     if asking:
         model = model.unionByName(ratios.select("key", F.lit(None).cast("int").alias("n"), F.col("ratio").alias("alpha"), F.lit(0.0).cast("float").alias("gamma")))
-    batches = packed(docs, key, text, also)
+    chunks = (docs.agg(F.sum(F.length(text))).first()[0] or 0) / CHUNK_CHARS
+    # The only exchange of texts: asking and judging share it.
+    batches = packed(docs, key, text, also).repartition(max(8, math.ceil(2 * chunks)), "batch")
     # As many shards as the model needs; batches ask them in slices, so that what a shard gets at once is bounded by both sides' sizes.
     shards = max(8, math.ceil(model.count() / SHARD_GRAMS))
-    slices = max(1, math.ceil(batches.count() / (SLICE_BATCHES * shards)))
+    slices = max(1, math.ceil(chunks / (SLICE_BATCHES * shards)))
 
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -339,8 +343,14 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
         return pd.DataFrame(out, columns=["batch", "keys", "alpha", "gamma"])
 
     def judge(batch, mine: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
-        parts = [np.concatenate([unpack_sorted(x) for x in got["keys"]]), *(np.concatenate([unpack(x, "f4") for x in got[c]]) for c in ("alpha", "gamma"))] if len(got) else [np.empty(0, np.uint64), np.empty(0, np.float32), np.empty(0, np.float32)]
-        weights, row = Weights(*parts), mine.iloc[0]
+        """A batch's rows; two batches that hold the same have one name. Every batch has asked, if only for the empty n-gram."""
+        if not len(got) or not len(mine):
+            raise RuntimeError("batch and answers do not match: the rows of the input changed their order between two reads")
+        parts = [np.concatenate([unpack_sorted(x) for x in got["keys"]]), *(np.concatenate([unpack(x, "f4") for x in got[c]]) for c in ("alpha", "gamma"))]
+        weights = Weights(*parts)
+        return pd.concat([judged_rows(row, weights) for _, row in mine.iterrows()])
+
+    def judged_rows(row: pd.Series, weights: Weights) -> pd.DataFrame:
         ids: dict[str, int] = defaultdict(count().__next__)  # words of the batch by first sight
         split = [np.fromiter(map(ids.__getitem__, own), np.int32, len(own)) for own in map(str.split, texts_of(row["sizes"], row["texts"]))]
         words = list(ids)
@@ -373,7 +383,7 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
         sizes = ends[own + 1] - ends[own]
         return steps[np.repeat(ends[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
-    asks = batches.select("batch", "sizes", "texts").mapInPandas(ask, "batch string, shard int, wanted binary").withColumn("slice", F.pmod(F.xxhash64("batch"), F.lit(slices)).cast("int"))
+    asks = batches.mapInPandas(ask, "batch string, shard int, wanted binary").withColumn("slice", F.pmod(F.xxhash64("batch"), F.lit(slices)).cast("int"))
     dealt = model.withColumn("shard", unsigned_mod(F.col("key"), shards)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     answers = asks.groupBy("shard", "slice").cogroup(dealt.groupBy("shard", "slice")).applyInPandas(answer, "batch string, keys binary, alpha binary, gamma binary")
     measures = ["perplexity", "toxicity"][: 1 + rated]
