@@ -42,6 +42,8 @@ KMER, SKETCHES, KEPT, LEAST, SHORT = 5, 20, 6, 0.8, 30
 BLOCK_DOCS, BLOCK_KMERS, AT_ONCE = 256, 400_000, 8_192
 #: Up to so many large cells (some 30 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_CELLS = 200_000
+#: Up to so many ids (8 bytes each) whose texts are compared are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
 
 
 def kmers(text: str | None, table: WordHash, k: int = KMER) -> np.ndarray:
@@ -134,9 +136,17 @@ def sketched(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
     return written(given.mapInPandas(run, "id long, digest string, size int, buckets array<long>"), "sketches")
 
 
+def texts_of(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
+    """id and text of the documents of some ids; up to a bound these are broadcast, so that no other text is shuffled."""
+    ids = written(ids.select("id").distinct(), "ids")
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
+    return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """Of the pairs (a, b) those whose alignment reaches `least`."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    pairs = written(pairs, "pairs")
+    texts = texts_of(docs, key, text, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     joined = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -194,8 +204,9 @@ def linked(ids: list[int], groups: list[int], sides: np.ndarray, texts: list[str
     return out
 
 
-def in_blocks(rest: DataFrame, mixed: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+def in_blocks(rest: DataFrame, mixed: DataFrame, docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
     """Links (a, b) inside buckets. rest: bucket, id, size, component; mixed: bucket, n and total (k-mers) of those to be compared."""
+    texts = texts_of(docs, key, text, rest.join(mixed.select("bucket"), "bucket", "left_semi"))
     small = (F.col("n") <= BLOCK_DOCS) & (F.col("total") <= BLOCK_KMERS)
     whole = rest.join(mixed.where(small).select("bucket"), "bucket").select(F.col("bucket").cast("string").alias("task"), F.lit(0).alias("side"), "id", "component")
     large = rest.join(mixed.where(~small).select("bucket"), "bucket").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / -np.log(least)).cast("int"))
@@ -253,8 +264,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: flo
     mixed = placed.groupBy("bucket").agg(*sums).where("n > 2 AND low < high")
     mixed = written(mixed.groupBy("members", "n", "total").agg(F.min("bucket").alias("bucket")), "mixed")
     if not mixed.isEmpty():
-        texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL")
-        more = in_blocks(placed, mixed, texts, least)
+        more = in_blocks(placed, mixed, docs, key, text, least)
         merged = components(merged.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), "a", "b")
     of_digest = firsts.select("digest", "first").join(merged.withColumnRenamed("node", "first"), "first", "left").select("digest", F.coalesce("component", "first").alias("component"))
     placed = known.select("id", "digest").join(of_digest, "digest").groupBy("id").agg(F.min("component").alias("component"))
