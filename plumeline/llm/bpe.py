@@ -31,9 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 #: Characters of text that a task holds at once, and distinct words and their bytes that it remembers, none longer than KEPT_LONGEST.
 BATCH_CHARS = 1_000_000
-KEPT_WORDS, KEPT_BYTES, KEPT_LONGEST = 300_000, 32_000_000, 256
+KEPT_WORDS, KEPT_BYTES, KEPT_LONGEST = 150_000, 16_000_000, 256
 #: Half of a tile's bytes, at first and where tiles of that size share no token. Multiples keep the phase of runs of characters of 1 to 4 bytes.
 TILES = (192, 960, 6_720, 60_480)
 #: Bytes of words that go into one recursion (or one word), and rows that it may keep over all its rounds (or two rounds).
@@ -85,6 +87,13 @@ def database(path: str) -> duckdb.DuckDBPyConnection:
     return db
 
 
+def forget(path: str) -> None:
+    """At a task's end: the process stays, but its database's memory is given back."""
+    database(path).close()
+    database.cache_clear()
+    release()
+
+
 def contracted(words: list[bytes], known: dict[bytes, int], db: duckdb.DuckDBPyConnection) -> list[bytes]:
     """The ids of each word; words that have pairs left after a recursion's rounds go into the next one."""
     single = np.array([known[bytes([b])] for b in range(256)], np.int32)
@@ -225,6 +234,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", result:
         encoder = Encoder(path, pattern)
         for part in batches(frames, text):
             yield part.assign(**{result: [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.ids([t or "" for t in part[text]])]})
+        forget(path)
 
     return kept.mapInPandas(run, schema)
 
@@ -257,6 +267,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
                 "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in decode_ids(ids, path)],
             }
             yield pd.DataFrame(out | ({"ids": [np.frombuffer(x, "<u4").astype(np.int32) for x in ids]} if with_ids else {}))
+        forget(path)
 
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key).cast("string").alias(key), text)  # as text, so that nulls do not turn integers into floats

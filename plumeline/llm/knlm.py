@@ -39,7 +39,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, mix, pack, pack_sorted, unpack, unpack_sorted, written
+from .common import BASE, mix, pack, pack_sorted, release, unpack, unpack_sorted, written
 
 ORDER, QUANTILE, MARGIN = 4, 0.995, 1.1
 #: One in so many trusted texts is not trained on and sets the threshold, in languages with at least LEAST_HELD such texts; else all set it.
@@ -99,6 +99,7 @@ def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
                     yield from tables(found)
                     found, held = Counter(), 0
         yield from tables(found)
+        release()
 
     def tables(found: Counter) -> Iterator[pd.DataFrame]:
         """Some words at a time, so that their n-grams take bounded memory; a word longer than that comes alone."""
@@ -329,6 +330,7 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
                 cuts = np.searchsorted(shard[by], np.arange(shards + 1))
                 rows = [(name, s, pack_sorted(asked[by[cuts[s] : cuts[s + 1]]])) for s in range(shards) if cuts[s] < cuts[s + 1]]
                 yield pd.DataFrame(rows, columns=["batch", "shard", "wanted"])
+        release()
 
     def answer(key, asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         known = own["key"].to_numpy(np.int64).view(np.uint64)
@@ -348,7 +350,10 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
             raise RuntimeError("batch and answers do not match: the rows of the input changed their order between two reads")
         parts = [np.concatenate([unpack_sorted(x) for x in got["keys"]]), *(np.concatenate([unpack(x, "f4") for x in got[c]]) for c in ("alpha", "gamma"))]
         weights = Weights(*parts)
-        return pd.concat([judged_rows(row, weights) for _, row in mine.iterrows()])
+        found = pd.concat([judged_rows(row, weights) for _, row in mine.iterrows()])
+        del weights, parts
+        release()
+        return found
 
     def judged_rows(row: pd.Series, weights: Weights) -> pd.DataFrame:
         ids: dict[str, int] = defaultdict(count().__next__)  # words of the batch by first sight

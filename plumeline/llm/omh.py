@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, WordHash, mix, windows, written
+from .common import BASE, WordHash, mix, release, windows, written
 from .graph import components
 from .phrases import words as plain_words
 
@@ -131,6 +131,7 @@ def sketched(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
                 if len(own):
                     rows.append((k, xxhash.xxh3_128_hexdigest(b" ".join(plain_words(t.lower()))), len(own), buckets(own, least).view(np.int64)))
             yield pd.DataFrame(rows, columns=["id", "digest", "size", "buckets"])
+        release()
 
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
     return written(given.mapInPandas(run, "id long, digest string, size int, buckets array<long>"), "sketches")

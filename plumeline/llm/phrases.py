@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, fresh_path, pack, unpack, written
+from .common import WordHash, fresh_path, pack, release, unpack, written
 
 SHARD_WORDS = 1_000_000
 #: Words of items in a block, and of an item in one piece.
@@ -57,6 +57,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: i
                     keys, sizes, parts, total = [], [], [], 0
         if keys:
             yield shard(keys, sizes, parts, gap)
+        release()
 
     index = docs.mapInPandas(run, INDEX).withColumn("shard", F.expr("uuid()"))
     index.write.option("compression", "none").parquet(path)
