@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import release
 
-#: Characters of text that a task holds at once, and distinct words and their bytes that it remembers, none longer than KEPT_LONGEST.
+#: Characters of text that a task holds at once, and distinct words and their characters in each of two generations that it remembers, none longer than KEPT_LONGEST.
 BATCH_CHARS = 1_000_000
-KEPT_WORDS, KEPT_BYTES, KEPT_LONGEST = 150_000, 16_000_000, 256
+KEPT_WORDS, KEPT_CHARS, KEPT_LONGEST = 200_000, 8_000_000, 256
 #: Half of a tile's bytes, at first and where tiles of that size share no token. Multiples keep the phase of runs of characters of 1 to 4 bytes.
 TILES = (192, 960, 6_720, 60_480)
 #: Bytes of words that go into one recursion (or one word), and rows that it may keep over all its rounds (or two rounds).
@@ -187,29 +187,32 @@ def decode_ids(ids: list[bytes], path: str) -> list[bytes]:
     return texts
 
 
-#: Of this process, by vocabulary: the ids of words met before. Emptied beyond KEPT_WORDS and KEPT_BYTES.
-ENCODED: dict[str, dict[str, bytes]] = {}
+#: Of this process, by vocabulary: the ids of words met of late, and of those met before. A word that is met again moves to the first; when that
+#: is full it takes the other's place, so that frequent words stay.
+ENCODED: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 
 
 class Encoder:
-    """Encodes texts; only words that this process has not met go to the query."""
+    """Encodes texts; only words that this process does not remember go to the query."""
 
     def __init__(self, path: str, pattern: str):
         self.path, self.matches = path, regex.compile(pattern).findall
-        self.words = ENCODED.setdefault(path, {})
-        self.bytes = sum(map(len, self.words))
+        self.words, self.before = ENCODED.setdefault(path, ({}, {}))
+        self.chars = sum(map(len, self.words))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         split = [self.matches(t) for t in texts]
-        if len(self.words) > KEPT_WORDS or self.bytes > KEPT_BYTES:
-            self.words.clear()
-            self.bytes = 0
+        if len(self.words) > KEPT_WORDS or self.chars > KEPT_CHARS:
+            self.words, self.before, self.chars = {}, self.words, 0
+            ENCODED[self.path] = self.words, self.before
         new = list({w for words in split for w in words if w not in self.words})
-        found = dict(zip(new, encode_words([w.encode() for w in new], self.path), strict=True))
+        found = {w: self.before[w] for w in new if w in self.before}
+        unknown = [w for w in new if w not in found]
+        found.update(zip(unknown, encode_words([w.encode() for w in unknown], self.path), strict=True))
         short = {w: x for w, x in found.items() if len(w) <= KEPT_LONGEST}
         self.words.update(short)
-        self.bytes += sum(map(len, short))
+        self.chars += sum(map(len, short))
         if len(short) == len(found):
             look = self.words.__getitem__
         else:

@@ -81,7 +81,7 @@ def test_tiles_without_a_common_token(monkeypatch):
 
 
 def test_null_keys_and_bounded_caches(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "KEPT_BYTES", 10)
+    monkeypatch.setattr(bpe, "KEPT_CHARS", 10)
     monkeypatch.setattr(bpe, "BATCH_CHARS", 20)
     rows = [(2**60 + 1, "some words here", 1), (None, "some words here", 2), (3, None, 3), (3, "", 4), (2**60 + 1, "some words here", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").coalesce(1)
@@ -89,3 +89,16 @@ def test_null_keys_and_bounded_caches(spark, monkeypatch):
     assert sorted((r.doc_id or 0 for r in found)) == [0, 3, 3, 2**60 + 1, 2**60 + 1]
     assert len({r.ids_sha256 for r in found}) == 2 and {r.n_tokens for r in found if r.doc_id == 3} == {0}
     assert bpe.round_trip(docs.limit(0), PATH, P.PATTERN).isEmpty()
+
+
+def test_two_generations_of_words(monkeypatch):
+    """However few words are remembered, the ids are the same, and memory is bounded."""
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choices("abcdefg", k=rng.randrange(1, 6))) for _ in range(40)) for _ in range(30)]
+    whole = bpe.Encoder(PATH, P.PATTERN).ids(texts)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 20)
+    monkeypatch.setattr(bpe, "ENCODED", {})
+    encoder = bpe.Encoder(PATH, P.PATTERN)
+    assert [encoder.ids([t])[0] for t in texts] == whole
+    assert len(encoder.words) <= 60 and len(encoder.before) <= 60
+    assert bpe.ENCODED[PATH] == (encoder.words, encoder.before)
