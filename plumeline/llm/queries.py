@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collide, knlm, licenses, omh, phrases, repeats, secrets, site_tree, warc
+from . import bpe, collide, infill, knlm, licenses, lines, omh, phrases, repeats, secrets, site_tree, vantage, warc
 from .common import fresh_path
 
 
@@ -62,7 +62,29 @@ def op10_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_tree.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_order_minhash, op2_collision_counting, op3_license_windows, op4_kneser_ney, op5_warc_archive, op6_secret_scan, op7_benchmark_phrases, op8_byte_bpe, op9_repeated_passages, op10_site_style_tree)}
+def op11_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = lines.LineIndex(spark, fresh_path(spark, "lines"))
+    index.insert(docs)
+    return index.apply(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+def op13_vantage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vantage.clusters(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join("centroid", ","), 256)).drop("centroid")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_order_minhash, op2_collision_counting, op3_license_windows, op4_kneser_ney, op5_warc_archive, op6_secret_scan, op7_benchmark_phrases,
+        op8_byte_bpe, op9_repeated_passages, op10_site_style_tree, op11_line_counts, op12_fill_in_middle, op13_vantage_clusters,
+    )
+}
 
 #: DuckDB SQL with the same result, where SQL can express it on whole tables.
 SQL: dict[str, str] = {
@@ -152,3 +174,58 @@ SQL["op3_license_windows"] = """
 """.format(
     values=", ".join(f"('{n}', {licenses.template_shingles(t)!r}, {s.words}, {s.step})" for (n, t), s in zip(licenses.NOTICES.items(), licenses.scales(licenses.NOTICES, 0.8, 0.999).values(), strict=True))
 )
+
+SQL["op11_line_counts"] = r"""
+    WITH l AS (
+        SELECT doc_id, i, line, translate(trim(line, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+        FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+    ), common AS (
+        SELECT k, max(doc_id) AS holder FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+    ), judged AS (
+        SELECT l.*, holder IS NOT NULL AND doc_id <> holder AS gone FROM l LEFT JOIN common USING (k)
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+"""
+
+SQL["op12_fill_in_middle"] = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS u, sha256('7:' || doc_id) AS s FROM documents
+    ), h AS (
+        SELECT *, ('0x' || s[1:8])::BIGINT % (len(u) + 1) AS h1, ('0x' || s[9:16])::BIGINT % (len(u) + 1) AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d
+    ), f AS (
+        SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+            array_to_string(u[1 : least(h1, h2)], '') AS prefix, array_to_string(u[least(h1, h2) + 1 : greatest(h1, h2)], '') AS middle, array_to_string(u[greatest(h1, h2) + 1 : len(u)], '') AS suffix FROM h
+    )
+    SELECT doc_id, len(u)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+        sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+    FROM f
+"""
+
+
+def clusters_sql(k: int = 8, rounds: int = 10, dim: int = 64, scale: int = 1024, seed: int = 3) -> str:
+    """Each round as two tables: the nearest centroids, and the floors of their means."""
+    away = "list_sum(list_transform(list_zip(v, x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))"
+    parts = [
+        f"""k AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v AS x FROM k ORDER BY sha256('{seed}:' || vec_id), v LIMIT {k})",
+    ]
+    nearest = lambda i: f"a{i} AS MATERIALIZED (SELECT r, min((d, c)) AS best FROM (SELECT r, c, {away}::BIGINT AS d FROM k, c{i}) GROUP BY r)"
+    for i in range(rounds):
+        parts += [
+            nearest(i),
+            f"m{i} AS (SELECT c, j, sum(e) AS s, count(*) AS n FROM (SELECT best[2] AS c, unnest(v) AS e, generate_subscripts(v, 1) AS j FROM k JOIN a{i} USING (r)) GROUP BY c, j)",
+            f"c{i + 1} AS MATERIALIZED (SELECT c, coalesce(y, x) AS x FROM c{i} LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS y FROM m{i} GROUP BY c) USING (c))",
+        ]
+    parts.append(nearest(rounds))
+    return f"""WITH {", ".join(parts)}
+        SELECT vec_id, best[2]::INTEGER AS cluster, best[1]::BIGINT AS distance, (sum(best[1]) OVER (PARTITION BY best[2]))::BIGINT AS cluster_inertia, (sum(best[1]) OVER ())::BIGINT AS inertia, sha256(array_to_string(x, ',')) AS centroid_sha256
+        FROM k JOIN a{rounds} USING (r) JOIN c{rounds} ON c = best[2]"""
+
+
+SQL["op13_vantage_clusters"] = clusters_sql()
