@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geo
 from ..functions.parse import choice
-from .graph import components
 from ..schema import HAZARDOUS
+from . import proximity
 
 DAY = 86_400_000_000
 WHERE = ("source", "source_entity_id", "metric", "unit")
@@ -175,6 +177,100 @@ def isolation_forest(rows: DataFrame, features: list[str], trees: int = TREES, s
     return out.withColumn("flagged", F.col("score") > limit)
 
 
+#: A week's forest learns from the `EACH` rows of least hash in each of `BUCKETS` buckets: 25,600 at most, a documented bound. Rows that one task scores, about.
+EACH, BUCKETS, SCORED = 400, 64, 200_000
+MODEL = "week timestamp, n_trained long, sizes array<int>, medians array<double>, nodes binary"
+
+
+def week_of(time: Column) -> Column:
+    """Its Monday."""
+    return F.date_trunc("week", time.cast("timestamp"))
+
+
+def training_sets(rows: DataFrame, weeks: DataFrame | None = None, days: int = 30) -> DataFrame:
+    """rows, each once for every week (column week) whose forest may learn from it: those that begin after the row and within so many days.
+    `weeks` (column week) are the weeks that want a forest, by default all that have rows."""
+    at, day = F.col("timestamp").cast("timestamp"), F.expr("INTERVAL 7 DAYS")
+    first, last = week_of(F.col("timestamp")) + day, at + F.make_dt_interval(F.lit(days))
+    wanted = rows.select(week_of(F.col("timestamp")).alias("week")).distinct() if weeks is None else weeks.select("week").distinct()
+    learned = rows.drop("week").withColumn("week", F.explode(F.when(first <= last, F.sequence(first, last, day))))
+    return learned.join(F.broadcast(wanted), "week", "left_semi")  # 52 rows a year
+
+
+def weekly_forests(rows: DataFrame, features: list[str], weeks: DataFrame | None = None, days: int = 30, trees: int = TREES, subsample: int = SUBSAMPLE, key: str = "id") -> DataFrame:
+    """The table of models: for each week the forest of a bounded sample of the `days` before it, fitted by a task of its own. Weeks with nothing
+    before them have no model. The sample is cut before rows are shuffled, as each task hands on its least rows only."""
+    numbers = [F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]
+    sets = training_sets(rows, weeks, days).select("week", *numbers, F.xxhash64(F.col(key).cast("string"), F.lit(SEED)).alias("_order"))
+    bucket = Window.partitionBy("week", F.pmod("_order", F.lit(BUCKETS))).orderBy("_order", *[f"_f{i}" for i in range(len(features))])
+    sample = sets.withColumn("_n", F.row_number().over(bucket)).where(F.col("_n") <= EACH).drop("_n")
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(list(frame.columns[::-1]), kind="stable")
+        x = frame[[f"_f{i}" for i in range(len(features))]].to_numpy(float)
+        week = frame["week"].iloc[0]
+        forest, medians = forest_of(x, trees, subsample, week.toordinal())
+        return pd.DataFrame({"week": [week], "n_trained": [len(x)], "sizes": [[len(t) for t in forest]], "medians": [medians.tolist()], "nodes": [np.concatenate(forest).tobytes()]})
+
+    return sample.groupBy("week").applyInPandas(fit, MODEL)
+
+
+def forest_of(x: np.ndarray, trees: int, subsample: int, seed: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Trees over subsamples of x, whose gaps are filled by the medians."""
+    known = [column[~np.isnan(column)] for column in x.T]
+    medians = np.array([np.median(c) if len(c) else 0.0 for c in known])
+    x = np.where(np.isnan(x), medians, x)
+    rng = np.random.default_rng([SEED, seed])
+    return [np.array(grow(x[rng.choice(len(x), min(subsample, len(x)), replace=False)], rng)) for _ in range(trees)], medians
+
+
+def retrain(path: str, rows: DataFrame, features: list[str], **settings) -> DataFrame:
+    """Adds the models of weeks that the table at `path` has none of, and gives the table. Doing it twice is as doing it once: a week's
+    model is never replaced, also if late rows come."""
+    spark = rows.sparkSession
+    weeks = rows.select(week_of(F.col("timestamp")).alias("week")).distinct()
+    try:
+        stored = spark.read.parquet(path)
+    except Exception as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        stored = None
+    if stored is not None:
+        weeks = weeks.join(F.broadcast(stored.select("week")), "week", "left_anti")
+    if not weeks.isEmpty():
+        weekly_forests(rows, features, weeks, **settings).coalesce(8).write.mode("append").parquet(path)
+    return spark.read.schema(MODEL).parquet(path)
+
+
+def weekly_scores(rows: DataFrame, models: DataFrame, features: list[str], limit: float = FOREST_LIMIT, subsample: int = SUBSAMPLE, key: str = "id") -> DataFrame:
+    """rows with score (0 to 1; null in weeks without a model) and flagged, each scored by its own week's forest, which saw nothing of that week.
+    A week's rows meet its model in as many tasks as they need."""
+    rows = rows.drop("score", "flagged")
+    week = week_of(F.col("timestamp"))
+    parts = rows.groupBy(week.alias("_of")).agg(F.ceil(F.count(F.lit(1)) / SCORED).cast("int").alias("_parts"))  # a row for each week
+    numbers = [F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]
+    sent = rows.withColumn("_week", week).join(F.broadcast(parts), F.col("_week").eqNullSafe(F.col("_of")))
+    sent = sent.withColumn("_part", F.pmod(F.xxhash64(F.col(key).cast("string")), F.col("_parts")).cast("int")).drop("_parts", "_of").select("*", *numbers)
+    copies = models.select(F.col("week").alias("_week"), "n_trained", "sizes", "medians", "nodes").join(F.broadcast(parts), F.col("_week") == F.col("_of")).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts", "_of")
+    names = rows.columns
+
+    def run(own: pa.Table, model: pa.Table) -> pa.Table:
+        if own.num_rows and model.num_rows:
+            sizes, nodes = model.column("sizes")[0].as_py(), np.frombuffer(model.column("nodes")[0].as_py(), float).reshape(-1, 5)
+            forest = np.split(nodes, np.cumsum(sizes)[:-1])
+            x = np.column_stack([own.column(f"_f{i}").to_numpy().astype(float) for i in range(len(features))])
+            medians = np.array(model.column("medians")[0].as_py())
+            scale = float(path_length(min(subsample, max(model.column("n_trained")[0].as_py(), 2)))) or 1.0
+            found = pa.array(scores(np.where(np.isnan(x), medians, x), forest, scale))
+        else:
+            found = pa.nulls(own.num_rows, pa.float64())
+        return own.select(names).append_column("score", found)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+    out = sent.groupBy("_week", "_part").cogroup(copies.groupBy("_week", "_part")).applyInArrow(run, schema)
+    return out.withColumn("flagged", F.coalesce(F.col("score") > limit, F.lit(False)))
+
+
 def scores(x: np.ndarray, forest: list[np.ndarray], scale: float) -> np.ndarray:
     depth = np.zeros(len(x))
     for tree in forest:
@@ -218,9 +314,9 @@ def near_pairs(anomalies: DataFrame, minutes: int = 30, km: float = 10.0, key: s
 
 
 def merge_near(anomalies: DataFrame, minutes: int = 30, km: float = 10.0, key: str = "id") -> DataFrame:
-    """anomalies with event: the least key that near pairs reach, directly or over others; an anomaly without neighbours is its own event."""
-    merged = components(near_pairs(anomalies, minutes, km, key), key, f"{key}_b").select(F.col("node").alias(key), "component")
-    return anomalies.join(merged, key, "left").withColumn("event", F.coalesce("component", key)).drop("component")
+    """anomalies with event: the least key that links (one metric, so many minutes and km) reach, directly or over others; an anomaly without
+    neighbours is its own event. Dense places and times are one node of the graph each, so that no pairs of theirs are made."""
+    return proximity.grouped(anomalies, minutes, km, key, ["metric"])
 
 
 def events(merged: DataFrame, key: str = "id") -> DataFrame:

@@ -564,6 +564,34 @@ def iforest_scores(spark, d):
     return detect.isolation_forest(rows, list(detect.FOREST_FEATURES), training=detect.training_weeks(rows)).select("id", "score", "flagged")
 
 
+@query(
+    f"""WITH {OBS}, h AS (SELECT date_trunc('hour', timestamp) AS hour, floor(lat / 0.25) AS y, floor(lon / 0.25) AS x, avg(value) FILTER (metric = 'pm10') AS temperature, avg(value) FILTER (metric = 'ozone') AS humidity, avg(value) FILTER (metric = 'no2') AS wind_speed, avg(value) FILTER (metric = 'so2') AS traffic_density FROM obs GROUP BY ALL)
+    SELECT id, {', '.join(f"round({c} + 1e-9, 4) + 0.0::DOUBLE AS {c}" for c in STAND_INS)} FROM obs JOIN h ON date_trunc('hour', timestamp) = hour AND floor(lat / 0.25) = y AND floor(lon / 0.25) = x"""
+)
+def forest_features_by_cell(spark, d):
+    o = observations(spark, d)
+    return rounded(enrich.forest_features(o, o, STAND_INS, degrees=0.25), *STAND_INS).select("id", *STAND_INS)
+
+
+@query(
+    f"""WITH {OBS}, w AS (SELECT DISTINCT date_trunc('week', timestamp) AS week FROM obs)
+    SELECT strftime(week, '%Y-%m-%d') AS week, count(*) AS n, min(timestamp) AS first_at, max(timestamp) AS last_at FROM w JOIN obs ON timestamp < week AND timestamp >= week - INTERVAL 30 DAYS GROUP BY week"""
+)
+def weekly_training_sets(spark, d):
+    """What each week's forest may learn from."""
+    sets = detect.training_sets(observations(spark, d))
+    return sets.groupBy(F.date_format("week", "yyyy-MM-dd").alias("week")).agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+
+
+@query()
+def weekly_forest_scores(spark, d):
+    """Every row scored by the forest of its own week, which saw the 30 days before it."""
+    o = observations(spark, d)
+    rows = written(enrich.forest_features(o, o, STAND_INS, degrees=0.25), "features")
+    models = written(detect.weekly_forests(rows, list(detect.FOREST_FEATURES)), "forests")
+    return detect.weekly_scores(rows, models, list(detect.FOREST_FEATURES)).select("id", "score", "flagged")
+
+
 @query(f"WITH {OBS}, w AS (SELECT date_trunc('week', max(timestamp)) AS start FROM obs) SELECT id FROM obs, w WHERE timestamp < start AND timestamp >= start - INTERVAL 30 DAYS")
 def forest_training(spark, d):
     return detect.training_weeks(observations(spark, d)).select("id")
@@ -822,3 +850,19 @@ def stream_ingest(spark, d):
     for turn in ("first", "second"):
         ingest.ingest(spark.readStream.text(f"{base}/landed"), lambda found: parsed(found).drop("id"), f"{base}/table", f"{base}/{turn}", ["value"]).awaitTermination()
     return spark.read.parquet(f"{base}/table").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{Z.replace('PARTITION BY metric', 'PARTITION BY source, source_entity_id, metric, unit')} SELECT source, source_entity_id, metric, timestamp, value, n_before, round(mean_before + 1e-9, 4) + 0.0::DOUBLE AS mean_before, round(z + 1e-9, 4) + 0.0::DOUBLE AS z, coalesce(abs(z) > 3, false) AS flagged FROM z")
+def stream_zscore(spark, d):
+    """The event table as a stream through the stateful detector."""
+    import uuid
+
+    from ..streaming import stateful
+
+    base = f"{shared_dir(spark).rstrip('/')}/stateful-{uuid.uuid4().hex}"
+    rows = observations(spark, d).select(*S.KEY, "unit", "value")
+    rows.write.parquet(f"{base}/landed")
+    found = stateful.rolling_zscore(spark.readStream.schema(rows.schema).parquet(f"{base}/landed"))
+    found.writeStream.format("parquet").option("path", f"{base}/found").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    out = rounded(spark.read.parquet(f"{base}/found"), "mean_before", "z").withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    return out.select("source", "source_entity_id", "metric", "timestamp", "value", "n_before", "mean_before", "z", "flagged")

@@ -1,0 +1,91 @@
+"""The stateful z-score of a stream against the batch operator, over several batches and a restart."""
+
+import datetime as dt
+import random
+
+import numpy as np
+import pytest
+
+from plumeline.operators import detect
+from plumeline.streaming import stateful
+
+TYPES = "source string, source_entity_id string, metric string, unit string, timestamp timestamp, value double"
+START = dt.datetime(2024, 1, 1)
+
+
+def readings(n=500, days=24):
+    rng = random.Random(9)
+    rows = [("s", rng.choice("ab"), rng.choice(["pm25", None]), "u", START + dt.timedelta(minutes=30 * rng.randrange(days * 48)), rng.choice([None, 50.0]) if i % 41 == 0 else rng.gauss(1000, 2)) for i in range(n)]
+    return sorted(rows, key=lambda r: r[4])
+
+
+def key(r):
+    return tuple(map(str, (r["source_entity_id"], r["metric"], r["timestamp"], r["value"])))
+
+
+def run(spark, folder):
+    stream = spark.readStream.schema(TYPES).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    found = stateful.rolling_zscore(stream, min_samples=5)
+    query = found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
+def land(spark, folder, rows, n):
+    for i in range(n):
+        part = rows[len(rows) * i // n : len(rows) * (i + 1) // n]
+        spark.createDataFrame(part, TYPES).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+@pytest.fixture
+def folder(tmp_path):
+    return f"file://{tmp_path}"
+
+
+def test_equals_the_batch_operator_over_a_restart(spark, folder):
+    rows = readings()
+    cut = next(i for i, r in enumerate(rows) if r[4] >= START + dt.timedelta(days=11))
+    land(spark, folder, rows[:cut], 2)
+    run(spark, folder)
+    land(spark, folder, rows[cut:], 2)
+    run(spark, folder)  # from the checkpoint
+    found = sorted(spark.read.parquet(f"{folder}/out").collect(), key=key)
+    want = sorted(detect.zscore(spark.createDataFrame(rows, TYPES), min_samples=5).collect(), key=key)
+    assert len(found) == len(want)
+    for a, b in zip(found, want):
+        assert key(a) == key(b) and a.n_before == b.n_before and a.flagged == b.flagged
+        for c in ("mean_before", "sd_before", "z"):
+            assert (a[c] is None) == (b[c] is None) and (a[c] is None or a[c] == pytest.approx(b[c], rel=1e-6, abs=1e-9))
+    assert any(r.flagged for r in found)
+
+
+def test_timers_clear_idle_series_and_active_ones_keep_their_days(spark, folder):
+    day = dt.timedelta(days=1)
+    rows = [("s", name, "pm25", "u", START + i * day, float(i)) for i in range(40) for name in ("active", *(["idle"] if i < 3 else []))]
+    land(spark, folder, rows, 4)
+    run(spark, folder)
+    state = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", "recent").load()
+    held = {r.source_entity_id: len(r.times) // 8 for r in state.select("key.source_entity_id", "value.times").collect()}
+    assert set(held) == {"active"} and held["active"] <= 20
+
+
+def test_windows_equal_a_plain_walk():
+    rng = np.random.default_rng(4)
+    times, past = np.sort(rng.integers(0, 50, 60)), rng.normal(1e6, 1, 60)
+    at = rng.integers(0, 70, 40)
+    n, mean, sd = stateful.before(at, times, past, 20)
+    for i, t in enumerate(at):
+        seen = past[(times >= t - 20) & (times < t)]
+        assert n[i] == len(seen)
+        assert np.isnan(mean[i]) if not len(seen) else mean[i] == pytest.approx(seen.mean())
+        assert np.isnan(sd[i]) if len(seen) < 2 else sd[i] == pytest.approx(seen.std(ddof=1), rel=1e-6)
+    assert [len(x) for x in stateful.before(at, times[:0], past[:0], 20)] == [40] * 3
+
+
+def test_late_rows_are_dropped_and_rows_without_time_left_out(spark, folder):
+    rows = [("s", "a", "pm25", "u", START + dt.timedelta(days=i), 1.0) for i in range(4)]
+    land(spark, folder, rows[3:], 1)
+    run(spark, folder)
+    land(spark, folder, [*rows[:1], ("s", "a", "pm25", "u", None, 2.0), ("s", "a", "pm25", "u", START + dt.timedelta(days=5), 3.0)], 1)
+    run(spark, folder)
+    assert sorted(r.value for r in spark.read.parquet(f"{folder}/out").collect()) == [1.0, 3.0]
