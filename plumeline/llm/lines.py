@@ -37,13 +37,12 @@ BROADCAST_BYTES, BROADCAST_ROWS = 32 << 20, 500_000
 #: Holdings of a shard that meet its filter in one task.
 TOGETHER = 1_000_000
 WHITE = " \t\n\x0b\x0c\r"
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SLOTS, KICKS = 4, 500
 
 
 def key_of(line: str, chars: int) -> bytes | None:
     line = line.strip(WHITE)
-    return hashlib.blake2b(line.translate(LOWER).encode("utf-8", "surrogatepass"), digest_size=16).digest() if len(line) >= chars else None
+    return hashlib.blake2b(line.encode("utf-8", "surrogatepass").lower(), digest_size=16).digest() if len(line) >= chars else None  # of bytes only A-Z are lowered
 
 
 # A cuckoo filter is an array of buckets of four 16-bit fingerprints, 0 where free; a fingerprint is in one of two buckets, each of which follows from the other.

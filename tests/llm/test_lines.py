@@ -9,11 +9,12 @@ import pytest
 from plumeline.llm import lines
 
 LONG = "x" * 20
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 TYPES = "doc_id long, text string"
 
 
 def brute(docs, least=3, chars=20):
-    key = lambda line: line.strip(lines.WHITE).translate(lines.LOWER)
+    key = lambda line: line.strip(lines.WHITE).translate(LOWER)
     holders = {}
     for doc_id, text in docs:
         for line in (text or "").split("\n"):
