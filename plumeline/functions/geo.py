@@ -65,7 +65,7 @@ def within_radius(lat: Column, lon: Column, centre_lat: float, centre_lon: float
     return F.coalesce(near, F.lit(False))
 
 
-def _band_cells(band: Column, km: float) -> Column:
+def _band_cells(band: Column, km: float | Column) -> Column:
     """Cells of a band of latitude, each wider than km reaches from the band or a neighbour; 1 where meridians meet."""
     degree = km / SQUARE_DEGREE_KM
     far = F.least(F.greatest(F.abs(band - 1), F.abs(band + 2)) * F.lit(degree), F.lit(90.0))
@@ -73,17 +73,17 @@ def _band_cells(band: Column, km: float) -> Column:
     return F.when(reach >= 1, 1).otherwise(F.greatest(F.lit(1), F.floor(360 / (F.degrees(2 * F.asin(F.least(reach, F.lit(1.0)))) * 1.001)))).cast("long")
 
 
-def _cell(band: Column, lon: Column, km: float, step: int) -> Column:
+def _cell(band: Column, lon: Column, km: float | Column, step: int) -> Column:
     n = _band_cells(band, km)
     return F.struct(band.alias("y"), F.pmod(F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n) + step, n).alias("x"))
 
 
-def cell(lat: Column, lon: Column, km: float) -> Column:
+def cell(lat: Column, lon: Column, km: float | Column) -> Column:
     """The cell (y, x) of a place: two places within km are in one cell or in neighbours, at all latitudes and across 180 degrees."""
     return _cell(F.floor(lat / (km / SQUARE_DEGREE_KM)), lon, km, 0)
 
 
-def cells_around(lat: Column, lon: Column, km: float) -> Column:
+def cells_around(lat: Column, lon: Column, km: float | Column) -> Column:
     """The cells, each once, in which all places within km of this one lie."""
     band = F.floor(lat / (km / SQUARE_DEGREE_KM))
     return F.array_distinct(F.array(*[_cell(band + up, lon, km, step) for up in (-1, 0, 1) for step in (-1, 0, 1)]))

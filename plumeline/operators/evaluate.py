@@ -18,8 +18,8 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-#: Vectors in a block of queries and of chunks, and tasks over which the chunks are dealt; each gets all queries, a stated set.
-QUERY_BLOCK, CHUNK_BLOCK, DEALT = 512, 4096, 64
+#: Vectors in a block of queries and of chunks, and blocks of chunks in a deal; each deal gets all queries, a stated set.
+QUERY_BLOCK, CHUNK_BLOCK, BLOCKS = 512, 4096, 4
 
 
 def blocks(rows: DataFrame, key: str, vector: str, size: int, name: str) -> DataFrame:
@@ -42,7 +42,8 @@ def blocks(rows: DataFrame, key: str, vector: str, size: int, name: str) -> Data
 
 def top_chunks(queries: DataFrame, chunks: DataFrame, k: int, query: str = "query", vector: str = "embedding", chunk: str = "chunk") -> DataFrame:
     """For each query its k nearest chunks by cosine (to nine decimals, ties by id), with similarity and place. Blocks of queries meet blocks
-    of chunks of the same dimension; each two give k chunks of a query at most, so little is shuffled after them. Neither side is broadcast."""
+    of chunks of the same dimension; each two give k chunks of a query at most, so little is shuffled after them. Neither side is broadcast; there
+    are as many deals of chunks as their number asks for."""
     asked, known = blocks(queries, query, vector, QUERY_BLOCK, "q"), blocks(chunks, chunk, vector, CHUNK_BLOCK, "c")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -54,8 +55,9 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, k: int, query: str = "quer
                 i, j = np.nonzero(near >= least[:, None])  # ties at the k-th place stay until all blocks are known
                 yield pd.DataFrame({"q": np.asarray(row.q_keys)[i], "c": np.asarray(row.c_keys)[j], "similarity": near[i, j]})
 
-    dealt = known.withColumn("deal", F.pmod(F.xxhash64("c_keys"), F.lit(DEALT)).cast("int"))
-    met = asked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).join(dealt, ["dim", "deal"]).mapInPandas(run, "q string, c string, similarity double")
+    deals = max(1, -(-chunks.count() // (CHUNK_BLOCK * BLOCKS)))
+    dealt = known.withColumn("deal", F.pmod(F.xxhash64("c_keys"), F.lit(deals)).cast("int"))
+    met = asked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1)))).join(dealt, ["dim", "deal"]).mapInPandas(run, "q string, c string, similarity double")
     out = met.select(F.col("q").cast(queries.schema[query].dataType).alias(query), F.col("c").cast(chunks.schema[chunk].dataType).alias(chunk), "similarity")
     place = F.row_number().over(Window.partitionBy(query).orderBy(F.desc("similarity"), chunk))
     return out.withColumn("place", place).where(F.col("place") <= k)

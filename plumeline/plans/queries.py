@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import geo, parse, text, units
-from ..operators import detect, enrich, evaluate, read, rollup, runs, store, validate
+from ..operators import detect, enrich, evaluate, read, retrieval, rollup, runs, store, validate
 from ..operators.graph import shared_dir, written
-from ..sources import feeds, planned, registry
+from ..sources import feeds, landed, planned, reference, registry
 from .view import OBS, PLACES, RUNS, facilities, km_sql, observations, table
 from .view import runs as run_log
 
@@ -216,7 +217,7 @@ def text_of(name: str) -> F.Column:
 
 
 @query(
-    f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 4 = 0 THEN {LAT} ELSE 33.749 END::DOUBLE AS lat, CASE WHEN event_id % 4 = 0 THEN {LON} ELSE -84.388 END::DOUBLE AS lon,
+    f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS at, CASE WHEN event_id % 4 = 0 THEN {LAT} ELSE 33.61 END::DOUBLE AS lat, CASE WHEN event_id % 4 = 0 THEN {LON} ELSE -84.52 END::DOUBLE AS lon,
         CASE event_type WHEN 'click' THEN 'pm25' WHEN 'view' THEN 'pm10' ELSE 'ozone' END AS metric, round(value + 1e-9, 4) + 0.0::DOUBLE AS value, CASE event_type WHEN 'error' THEN 'ppm' ELSE 'ug/m3' END AS unit, 'epa_airnow' AS source,
         CASE WHEN event_id % 6 = 0 THEN 'unknown' ELSE user_id::VARCHAR END AS source_entity_id
     FROM events WHERE event_type IN ('click', 'view', 'error') AND event_id % 9 <> 0"""
@@ -226,9 +227,9 @@ def normalize_airnow(spark, d):
         F.date_format("ts", "yyyy-MM-dd").alias("DateObserved"),
         F.hour("ts").alias("HourObserved"),
         F.when(F.col("event_id") % 6 != 0, text_of("user_id")).alias("ReportingArea"),
-        F.when(F.col("event_id") % 4 != 0, 33.749).alias("Latitude"),
-        F.when(F.col("event_id") % 4 != 0, -84.388).alias("Longitude"),
-        F.expr("CASE event_type WHEN 'click' THEN 'PM2.5' WHEN 'view' THEN 'PM10' WHEN 'error' THEN 'OZONE' ELSE 'UNKNOWN' END").alias("ParameterName"),
+        F.when(F.col("event_id") % 4 != 0, 33.61).alias("Latitude"),
+        F.when(F.col("event_id") % 4 != 0, -84.52).alias("Longitude"),
+        F.expr("CASE event_type WHEN 'click' THEN 'PM2.5' WHEN 'view' THEN 'PM10' WHEN 'error' THEN 'OZONE' ELSE 'CO2' END").alias("ParameterName"),
         F.when(F.col("event_id") % 9 != 0, F.col("value")).alias("Value"),
         F.expr("CASE event_type WHEN 'error' THEN 'PPM' ELSE 'UG/M3' END").alias("Unit"),
     )
@@ -266,19 +267,19 @@ def normalize_purpleair(spark, d):
 
 @query(
     """WITH e AS (SELECT *, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS at FROM events),
-    r AS (SELECT *, 'temperature' AS metric, 'degC' AS unit, value AS v FROM e WHERE event_id % 4 <> 0 UNION ALL SELECT *, 'humidity', 'percent', 58 FROM e UNION ALL SELECT *, 'pressure', 'hPa', 1012 FROM e UNION ALL SELECT *, 'wind_speed', 'm/s', 3.4 FROM e
-        UNION ALL SELECT *, 'precipitation', 'mm/h', CASE WHEN event_id % 2 = 0 THEN 1.2 ELSE 0 END + 0.3 FROM e)
+    r AS (SELECT *, 'temperature' AS metric, 'degC' AS unit, value AS v FROM e WHERE event_id % 4 <> 0 UNION ALL SELECT *, 'humidity', 'percent', 63 FROM e UNION ALL SELECT *, 'pressure', 'hPa', 1021 FROM e UNION ALL SELECT *, 'wind_speed', 'm/s', 5.1 FROM e
+        UNION ALL SELECT *, 'precipitation', 'mm/h', CASE WHEN event_id % 2 = 0 THEN 0.5 ELSE 0 END + 0.25 FROM e)
     SELECT r.at, 34.05::DOUBLE AS lat, (-84.07)::DOUBLE AS lon, metric, round(v::DOUBLE + 1e-9, 4) + 0.0::DOUBLE AS value, unit, 'openweather' AS source, 'grid:p' || user_id AS source_entity_id FROM r"""
 )
 def normalize_openweather(spark, d):
     number = lambda x, name: F.lit(x).alias(name)
-    main = F.struct(F.when(F.col("event_id") % 4 == 0, "bad").otherwise(text_of("value")).alias("temp"), number("1012", "pressure"), number("58", "humidity"))
+    main = F.struct(F.when(F.col("event_id") % 4 == 0, "bad").otherwise(text_of("value")).alias("temp"), number("1021", "pressure"), number("63", "humidity"))
     body = F.struct(
         F.struct(number(-84.07, "lon"), number(34.05, "lat")).alias("coord"),
         main.alias("main"),
-        F.struct(number("3.4", "speed")).alias("wind"),
-        F.when(F.col("event_id") % 2 == 0, F.struct(number("1.2", "1h"))).alias("rain"),
-        F.struct(number("0.3", "1h")).alias("snow"),
+        F.struct(number("5.1", "speed")).alias("wind"),
+        F.when(F.col("event_id") % 2 == 0, F.struct(number("0.5", "1h"))).alias("rain"),
+        F.struct(number("0.25", "1h")).alias("snow"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("dt"),
     )
     return shown(feeds.openweather(payloads(spark, d, F.struct(F.concat(F.lit("p"), "user_id").alias("point_id"), body.alias("payload")))))
@@ -788,6 +789,40 @@ def retrieve_top5(spark, d):
     return rounded(evaluate.top_chunks(queries, e.withColumnRenamed("vec_id", "chunk"), 5), "similarity").select("query", "chunk", "similarity")
 
 
+#: The four corpora of the knowledge store.
+CORPORA = ("guidelines", "science", "patterns", "geography")
+
+
+def knowledge(spark, d) -> DataFrame:
+    """The vectors as chunks of four corpora."""
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("chunk"), "embedding", F.element_at(F.array(*map(F.lit, CORPORA)), (F.col("vec_id") % 4 + 1).cast("int")).alias("corpus"))
+
+
+def asked(spark, d) -> DataFrame:
+    return table(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), "embedding")
+
+
+@query(
+    """WITH n AS (SELECT q.vec_id AS query, e.vec_id AS chunk, CASE e.vec_id % 4 WHEN 0 THEN 'guidelines' WHEN 1 THEN 'science' WHEN 2 THEN 'patterns' ELSE 'geography' END AS corpus, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 9) AS near FROM embeddings AS q, embeddings AS e WHERE q.vec_id % 20 = 0)
+    SELECT query, corpus, chunk, round(near + 1e-9, 4) + 0.0::DOUBLE AS similarity FROM n QUALIFY row_number() OVER (PARTITION BY query, corpus ORDER BY near DESC, chunk) <= 2"""
+)
+def retrieve_by_corpus(spark, d):
+    """The two nearest chunks of each corpus by the index's exact search."""
+    index = retrieval.build(knowledge(spark, d))
+    found = [retrieval.search(asked(spark, d), index, 2, where=f"corpus = '{c}'").withColumn("corpus", F.lit(c)) for c in CORPORA]
+    return rounded(functools.reduce(DataFrame.unionByName, found), "similarity").select("query", "corpus", "chunk", "similarity")
+
+
+@query()
+def retrieve_indexed(spark, d):
+    """The five nearest chunks by as many lists of the index as nine tenths of them need."""
+    index = retrieval.build(knowledge(spark, d))
+    index.lists = written(index.lists, "lists")
+    queries = asked(spark, d)
+    return rounded(retrieval.search(queries, index, 5, retrieval.calibrate(queries, index, 5, 0.95)), "similarity")
+
+
 @query(
     f"""WITH {OBS}, claims AS (SELECT DISTINCT source, metric, timestamp::DATE AS day FROM obs), evidence AS (SELECT DISTINCT source, metric, timestamp::DATE AS day FROM obs WHERE value > 15), v AS (SELECT c.*, e.day IS NOT NULL AS verified FROM claims AS c LEFT JOIN evidence AS e USING (source, metric, day))
     SELECT source, round(avg(verified::INTEGER) + 1e-9, 4) + 0.0::DOUBLE AS share, count(*) AS n, count(DISTINCT metric) AS n_metrics FROM v GROUP BY source"""
@@ -833,6 +868,72 @@ def ablation(spark, d):
     return rounded(evaluate.ablation(e), "mean_score", "mean_full", "lost")
 
 
+# Landed files
+
+
+@query(f"WITH {OBS} SELECT metric, count(*) AS n, round(sum(value) + 1e-9, 4) + 0.0::DOUBLE AS total, min(timestamp) AS first_at, max(source_entity_id) AS last_entity FROM obs WHERE source IN ('openaq', 'purpleair') AND timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-20' AND lat > 33.9 AND lon <= -84.0 GROUP BY metric")
+def landed_observations(spark, d):
+    """Observations landed as files, read by the data source with conditions on source, time and box."""
+    import uuid
+
+    base = f"{shared_dir(spark).rstrip('/')}/landed-{uuid.uuid4().hex}"
+    rows = observations(spark, d).drop("id").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    rows.write.partitionBy("source").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(base)
+    found = landed.register(spark).read.format(landed.FORMAT).load(base)
+    at = lambda text: F.lit(text).cast("timestamp_ntz").cast("timestamp")
+    kept = found.where(F.col("source").isin("openaq", "purpleair") & (F.col("timestamp") >= at("2024-01-05")) & (F.col("timestamp") < at("2024-01-20")) & (F.col("lat") > 33.9) & (F.col("lon") <= -84.0))
+    out = kept.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.min("timestamp").cast("timestamp_ntz").alias("first_at"), F.max("source_entity_id").alias("last_entity"))
+    return rounded(out, "total")
+
+
+# Alerts
+
+
+#: Corners of an alert's area around its supplier, in degrees north and east.
+CORNERS = ((-0.1003, -0.1009), (-0.1003, 0.1507), (0.0511, 0.2003), (0.2009, 0.0007), (0.0307, -0.0203))
+
+
+def edges_sql() -> str:
+    """Edges that a line to the east of a place crosses."""
+    at = lambda i: (f"printf('%.4f', p.lat + {CORNERS[i % 5][0]})::DOUBLE", f"printf('%.4f', p.lon + {CORNERS[i % 5][1]})::DOUBLE")
+    cross = [f"(CASE WHEN (({a[0]}) > o.lat) <> (({b[0]}) > o.lat) AND o.lon < ({b[1]} - {a[1]}) * (o.lat - {a[0]}) / ({b[0]} - {a[0]}) + {a[1]} THEN 1 ELSE 0 END)" for a, b in ((at(i), at(i + 1)) for i in range(5))]
+    return " + ".join(cross)
+
+
+@query(
+    f"""WITH {OBS}, {PLACES}, a AS (SELECT facility, lat, lon, TIMESTAMP '2024-01-01' + INTERVAL (facility * 7 % 700) HOUR AS starts, CASE WHEN facility % 3 > 0 THEN TIMESTAMP '2024-01-01' + INTERVAL (facility * 7 % 700 + facility * 11 % 240) HOUR END AS ends FROM places WHERE facility % 7 > 0)
+    SELECT 'alert-' || facility AS alert, count(*) AS n, min(timestamp) AS first_at, max(timestamp) AS last_at FROM a AS p JOIN obs AS o ON o.timestamp >= starts AND (ends IS NULL OR o.timestamp <= ends)
+    WHERE CASE WHEN facility % 4 = 0 THEN {km_sql("printf('%.4f', p.lat)::DOUBLE", "printf('%.4f', p.lon)::DOUBLE", 'o.lat', 'o.lon')} <= 12 ELSE ({edges_sql()}) % 2 = 1 END GROUP BY facility"""
+)
+def alert_zones(spark, d):
+    """Alert messages around the suppliers, areas and circles, every third without an end and every seventh cancelled, with the readings that each holds."""
+    number = lambda c: F.format_string("%.4f", c)
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    hours = lambda n: F.date_format(F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(hours=n.cast("int")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    k = F.col("facility")
+    corners = F.array_join(F.array(*[F.concat(number(F.col("lat") + y), F.lit(","), number(F.col("lon") + x)) for y, x in (*CORNERS, CORNERS[0])]), " ")
+    area = F.when(k % 4 == 0, tag("circle", F.concat(number(F.col("lat")), F.lit(","), number(F.col("lon")), F.lit(" 12")))).otherwise(tag("polygon", corners))
+    info = F.concat(tag("event", F.lit("Air Stagnation")), tag("onset", hours(k * 7 % 700)), F.when(k % 3 > 0, tag("expires", hours(k * 7 % 700 + k * 11 % 240))).otherwise(""), tag("area", F.concat(tag("areaDesc", F.lit("around a supplier")), area)))
+    message = F.concat(F.lit('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'), tag("identifier", F.concat(F.lit("alert-"), k)), tag("msgType", F.when(k % 7 == 0, "Cancel").otherwise("Alert")), tag("info", info), F.lit("</alert>"))
+    found = written(reference.alerts(facilities(spark, d).select(message.alias("payload"))), "alerts")
+    o = observations(spark, d)
+    held = enrich.active_alerts(o, found)
+    return held.join(o.select("id", "timestamp"), "id").groupBy("alert").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+
+
+@query(
+    """WITH v AS (SELECT l_suppkey AS facility, l_shipdate::DATE AS day FROM lineitem WHERE l_returnflag = 'R'), n AS (SELECT facility, count(*) AS n FROM v WHERE day BETWEEN DATE '1995-01-01' - INTERVAL 365 DAYS AND DATE '1995-01-01' GROUP BY facility)
+    SELECT s_suppkey::VARCHAR AS facility, s_name AS name, coalesce(n, 0) AS violations FROM supplier LEFT JOIN n ON facility = s_suppkey"""
+)
+def facility_violations(spark, d):
+    """Facilities and violations as landed JSON, counted over a year."""
+    f = F.struct(text_of("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.lit("34.1").alias("latitude"), F.lit("-84.2").alias("longitude"))
+    places = reference.facilities(table(spark, d, "supplier").select(F.to_json(F.struct(F.array(f).alias("facilities"))).alias("payload")))
+    v = F.struct(text_of("l_suppkey").alias("facility_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("date"), F.col("l_returnflag").alias("rule"))
+    found = reference.violations(table(spark, d, "lineitem").select(F.to_json(F.struct(F.array(v).alias("violations"))).alias("payload"))).where("rule = 'R'")
+    return reference.with_violations(places, found, "1995-01-01").select("facility", "name", "violations")
+
+
 # Streams
 
 
