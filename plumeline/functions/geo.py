@@ -60,8 +60,21 @@ def in_square(lat: Column, lon: Column, centre_lat: float, centre_lon: float, ra
 
 
 def within_radius(lat: Column, lon: Column, centre_lat: float, centre_lon: float, radius_km: float) -> Column:
-    """The box goes first: it reaches the scan, the distance does not. A missing coordinate is outside."""
-    near = Box.around(centre_lat, centre_lon, radius_km).holds(lat, lon) & (distance_km(F.lit(centre_lat), F.lit(centre_lon), lat, lon) <= radius_km)
+    """A box that holds the circle, at all latitudes and across 180 degrees, goes first: it reaches the scan, the distance does not. A missing coordinate is outside."""
+    near = distance_km(F.lit(centre_lat), F.lit(centre_lon), lat, lon) <= radius_km
+    up = math.degrees(radius_km / EARTH_KM) * 1.000001
+    wide = math.sin(min(radius_km / EARTH_KM, math.pi / 2))
+    around = math.cos(math.radians(centre_lat))
+    near = lat.between(centre_lat - up, centre_lat + up) & near
+    if wide < around and up < 90:
+        side = math.degrees(math.asin(wide / around)) * 1.000001
+        west, east = centre_lon - side, centre_lon + side
+        if west < -180:
+            near = ((lon <= east) | (lon >= west + 360)) & near
+        elif east > 180:
+            near = ((lon >= west) | (lon <= east - 360)) & near
+        else:
+            near = lon.between(west, east) & near
     return F.coalesce(near, F.lit(False))
 
 

@@ -29,10 +29,11 @@ def zscore(rows: DataFrame, days: int = 7, limit: float = 3.0, min_samples: int
 
     Time is cut into slices. What comes before a reading are the readings of its own slice before it, the whole slices between, and the end
     of the slice that many days ago, which is sent to the same task. So each row is read twice whatever the days hold, and a key with a
-    third of all rows is spread over its slices. Rows without a time have nothing before them."""
+    third of all rows is spread over its slices. Rows without a time have nothing before them. Columns that are added replace those of their names."""
     span, step = days * DAY, slice_hours * 3_600_000_000
     if span % step:
         raise ValueError("slice_hours must divide the days")
+    rows = rows.drop("n_before", "mean_before", "sd_before", "z", "flagged")
     at = micros(F.col("timestamp"))
 
     def moments(of: str, over=lambda x: x) -> list[Column]:

@@ -428,6 +428,24 @@ def latency_pctl(spark, d):
     return rounded(runs.latency(run_log(spark, d)), "p50", "p95", "p99")
 
 
+@query(f"WITH {RUNS} SELECT DISTINCT source FROM runs WHERE source <> 'purpleair'")
+def sources_list(spark, d):
+    """The interface's list of sources that ever ran."""
+    return read.list_sources(run_log(spark, d).where("source <> 'purpleair'")).select(F.col("name").alias("source"))
+
+
+@query(
+    f"""WITH {RUNS}, l AS (SELECT source, max(run_at) AS last_at FROM runs WHERE run_at < TIMESTAMP '2024-01-19 12:00:00' OR (source IN ('openaq', 'purpleair') AND run_at < TIMESTAMP '2024-01-20 05:30:00') GROUP BY source)
+    SELECT source, last_at FROM l WHERE CASE WHEN source IN ('openweather', 'nasa_firms', 'purpleair') THEN date_trunc('day', last_at - INTERVAL 6 HOURS) + INTERVAL 30 HOURS ELSE last_at + INTERVAL 60 MINUTES END <= TIMESTAMP '2024-01-20 05:59:00' UNION ALL SELECT 'traffic', NULL"""
+)
+def sources_due(spark, d):
+    """Sources whose turn has come by the run log, some by the hour and some once a day."""
+    log = run_log(spark, d)
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    log = log.where((F.col("at") < at("2024-01-19 12:00:00")) | (F.col("source").isin("openaq", "purpleair") & (F.col("at") < at("2024-01-20 05:30:00"))))
+    return runs.due(log, "2024-01-20 05:59:00", {"epa_airnow": 60, "openaq": 60, "traffic": 15}, {"openweather": 6, "nasa_firms": 6, "purpleair": 6}, zone="UTC")
+
+
 # Validation
 
 
@@ -953,6 +971,38 @@ def stream_ingest(spark, d):
     return spark.read.parquet(f"{base}/table").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT dataset, count(*) AS n, round(sum(v) + 1e-9, 4) + 0.0::DOUBLE AS total FROM (SELECT 'nasa_firms' AS dataset, value AS v FROM events UNION ALL SELECT 'nasa_firms', 66 FROM events) GROUP BY dataset")
+def schedule_once(spark, d):
+    """A landed source through the scheduler, with every batch in the run log and pushed once."""
+    import uuid
+
+    from ..streaming import ingest
+
+    base = f"{shared_dir(spark).rstrip('/')}/schedule-{uuid.uuid4().hex}"
+    e = table(spark, d, "events")
+    line = F.concat_ws(",", F.format_string("%.5f", F.lit(30) + F.col("event_id") * 0.00001), F.lit("-84.2"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "Hmm"), F.lit("nominal"), text_of("value"))
+    texts = e.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(16)).alias("deal")).agg(F.concat(F.lit("latitude,longitude,acq_date,acq_time,confidence,frp\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
+    texts.select("value").write.option("lineSep", "\n").text(f"{base}/landed/nasa_firms")
+    push = lambda found, n: ingest.push(found.withColumn("key_of", F.concat_ws("|", *S.KEY)), f"{base}/events", n, "key_of")
+    for stream in ingest.schedule(spark, f"{base}/landed", f"{base}/table", f"{base}/state", ["nasa_firms"], once=True, after=push, log=f"{base}/runs").values():
+        stream.awaitTermination()
+    pushed = spark.read.json(f"{base}/events").select(F.from_json("event", "source string, value double").alias("e")).select("e.*")
+    return rounded(pushed.groupBy(F.col("source").alias("dataset")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), "total")
+
+
+@query("SELECT source_dataset, count(*) AS n, count(brightness) AS n_brightness, count(bright_ti4) AS n_bright_ti4 FROM (SELECT 'MODIS' AS source_dataset, '300' AS brightness, NULL AS bright_ti4 FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'VIIRS', NULL, '310' FROM events WHERE event_id % 2 = 1) GROUP BY source_dataset")
+def fires_union(spark, d):
+    """Two datasets of files whose columns differ, as one."""
+    import uuid
+
+    base = f"{shared_dir(spark).rstrip('/')}/fires-{uuid.uuid4().hex}"
+    e = table(spark, d, "events")
+    for name, odd, column, heat in (("MODIS", 0, "brightness", "300"), ("VIIRS", 1, "bright_ti4", "310")):
+        e.where(F.col("event_id") % 2 == odd).select(F.lit("34.1").alias("latitude"), F.lit(heat).alias(column)).write.csv(f"{base}/{name}", header=True)
+    found = feeds.read_fires(spark, {name: f"{base}/{name}" for name in ("MODIS", "VIIRS")})
+    return found.groupBy("source_dataset").agg(F.count(F.lit(1)).alias("n"), F.count("brightness").alias("n_brightness"), F.count("bright_ti4").alias("n_bright_ti4"))
+
+
 @query(f"{Z.replace('PARTITION BY metric', 'PARTITION BY source, source_entity_id, metric, unit')} SELECT source, source_entity_id, metric, timestamp, value, n_before, round(mean_before + 1e-9, 4) + 0.0::DOUBLE AS mean_before, round(z + 1e-9, 4) + 0.0::DOUBLE AS z, coalesce(abs(z) > 3, false) AS flagged FROM z")
 def stream_zscore(spark, d):
     """The event table as a stream through the stateful detector."""

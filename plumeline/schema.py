@@ -41,7 +41,9 @@ FIRE_CONFIDENCE = {"l": 33.0, "low": 33.0, "n": 66.0, "nominal": 66.0, "h": 100.
 FIRE_METRICS = {"fire_radiative_power": "MW", "fire_confidence": "percent", "fire_brightness": "K"}
 #: What the feeds are asked for: readings of at most this age, and detections of so many days.
 PURPLEAIR_MAX_AGE_S, FIRE_DAYS = 7200, 1
-COLLECT_MINUTES = {"epa_airnow": 60, "openaq": 60, "purpleair": 15, "openweather": 60, "nasa_firms": 180}
+COLLECT_MINUTES = {"epa_airnow": 60, "openaq": 60, "purpleair": 15, "openweather": 60, "nasa_firms": 180, "traffic": 15, "water_gauges": 15}
+#: Hour of the day, in New York, of sources that are collected once a day.
+COLLECT_DAILY = {"satellite": 6, "energy": 6}
 
 # EPA breakpoints for 24-hour PM2.5 (ug/m3): lower and upper concentration, lower and upper index.
 PM25_BREAKPOINTS = ((0.0, 9.0, 0, 50), (9.1, 35.4, 51, 100), (35.5, 55.4, 101, 150), (55.5, 125.4, 151, 200), (125.5, 225.4, 201, 300), (225.5, 325.4, 301, 500))

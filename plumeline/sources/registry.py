@@ -1,4 +1,4 @@
-"""Normalizers by source name."""
+"""Normalizers by source name. Those of scans with several points or datasets leave out what failed, and fail if all did."""
 
 from __future__ import annotations
 
@@ -6,15 +6,17 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..operators import runs
 from . import feeds, planned
 
 NORMALIZERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "epa_airnow": feeds.airnow,
     "openaq": feeds.openaq,
     "purpleair": feeds.purpleair,
-    "openweather": feeds.openweather,
-    "nasa_firms": lambda landed: feeds.fires(feeds.fire_rows(landed)),
+    "openweather": lambda landed: feeds.openweather(runs.some(landed, F.get_json_object("payload", "$.payload.coord").isNotNull(), "openweather")),
+    "nasa_firms": lambda landed: feeds.fires(feeds.fire_rows(runs.some(landed, ~feeds.refused(), "nasa_firms"))),
     "traffic": planned.traffic,
     "water_gauges": planned.water,
     "energy": planned.energy,

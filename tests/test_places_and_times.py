@@ -3,7 +3,7 @@
 import json
 import math
 import random
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -166,16 +166,24 @@ def test_command_line_and_schedule(spark, tmp_path, capsys):
     assert command.main([*arguments, "--source", "epa_airnow", "--source", "openaq"], spark, waits.append) == 1
     lines = capsys.readouterr().out.splitlines()
     assert lines[0].startswith("epa_airnow | ok | records=1") and lines[1].startswith("openaq | failed | records=0") and waits == [30]
-    assert command.main([*arguments, "--source", "epa_airnow"], spark) == 0
+    assert command.main(arguments, spark) == 0  # the sources that have landed
+    assert [line.split(" | ")[0] for line in capsys.readouterr().out.splitlines()] == ["epa_airnow"]
+    log = spark.read.parquet(f"{tmp_path}/table-runs")
+    assert sorted((r.source, r.success, r.record_count) for r in log.collect()) == [("epa_airnow", True, 1), ("epa_airnow", True, 1), ("openaq", False, 0)]
+    assert {r.name: (r.status, r.error_count) for r in read.list_sources(log).collect()} == {"epa_airnow": ("active", 0), "openaq": ("error", 1)}
+    later = datetime.now(UTC) + timedelta(minutes=59)
+    assert command.main([*arguments, "--due"], spark, now=later) == 0 and capsys.readouterr().out == ""
+    assert command.main([*arguments, "--due"], spark, now=later + timedelta(minutes=2)) == 0 and capsys.readouterr().out.startswith("epa_airnow | ok")
     assert spark.read.parquet(str(tmp_path / "table")).count() == 1
     pushed = []
-    streams = ingest.schedule(spark, str(tmp_path / "landed"), str(tmp_path / "table2"), str(tmp_path / "at"), ["epa_airnow"], once=True, after=lambda rows, n: pushed.append(ingest.push(rows, str(tmp_path / "events"), "source_entity_id")))
+    streams = ingest.schedule(spark, str(tmp_path / "landed"), str(tmp_path / "table2"), str(tmp_path / "at"), ["epa_airnow"], once=True, after=lambda rows, n: pushed.append(ingest.push(rows, str(tmp_path / "events"), n, "source_entity_id")), log=str(tmp_path / "streamed"))
     for stream in streams.values():
         stream.awaitTermination()
     rows = spark.read.parquet(str(tmp_path / "table2"))
     assert rows.count() == 1 and len(pushed) == 1
-    ingest.push(rows, str(tmp_path / "events"), "source_entity_id")
+    ingest.push(rows, str(tmp_path / "events"), 0, "source_entity_id")
     assert spark.read.json(str(tmp_path / "events")).count() == 1
+    assert [(r.source, r.success, r.record_count) for r in spark.read.parquet(str(tmp_path / "streamed")).collect()] == [("epa_airnow", True, 1)]
 
 
 def test_registry_and_sources(spark):
