@@ -26,7 +26,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def work(spark: SparkSession, source: str, landed: str, table: str):
     def collect() -> int:
-        rows = spark.read.option("wholetext", True).text(f"{landed}/{source}").select(F.col("value").alias("payload"), F.lit(source).alias("dataset"))
+        rows = spark.read.text(f"{landed}/{source}", wholetext=True).select(F.col("value").alias("payload"), F.lit(source).alias("dataset"))
         found = registry.normalizer(source)(rows).persist()
         try:
             n = found.count()

@@ -982,7 +982,7 @@ def schedule_once(spark, d):
     e = table(spark, d, "events")
     line = F.concat_ws(",", F.format_string("%.5f", F.lit(30) + F.col("event_id") * 0.00001), F.lit("-84.2"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "Hmm"), F.lit("nominal"), text_of("value"))
     texts = e.groupBy(F.pmod(F.xxhash64("event_id"), F.lit(16)).alias("deal")).agg(F.concat(F.lit("latitude,longitude,acq_date,acq_time,confidence,frp\n"), F.array_join(F.collect_list(line), "\n")).alias("value"))
-    texts.select("value").write.option("lineSep", "\n").text(f"{base}/landed/nasa_firms")
+    texts.repartition("deal").select("value").write.text(f"{base}/landed/nasa_firms")
     push = lambda found, n: ingest.push(found.withColumn("key_of", F.concat_ws("|", *S.KEY)), f"{base}/events", n, "key_of")
     for stream in ingest.schedule(spark, f"{base}/landed", f"{base}/table", f"{base}/state", ["nasa_firms"], once=True, after=push, log=f"{base}/runs").values():
         stream.awaitTermination()

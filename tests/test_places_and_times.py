@@ -160,7 +160,7 @@ def test_runs_that_all_fail(spark):
 def test_command_line_and_schedule(spark, tmp_path, capsys):
     payload = json.dumps({"observations": [{"DateObserved": "2024-01-01", "HourObserved": 3, "ReportingArea": "X", "ParameterName": "PM2.5", "Value": 7.5, "Unit": "UG/M3"}]})
     (tmp_path / "landed" / "epa_airnow").mkdir(parents=True)
-    (tmp_path / "landed" / "epa_airnow" / "a.json").write_text(payload)
+    (tmp_path / "landed" / "epa_airnow" / "a.json").write_text(json.dumps(json.loads(payload), indent=1))
     arguments = ["--landed", str(tmp_path / "landed"), "--table", str(tmp_path / "table"), "--max-retries", "2"]
     waits = []
     assert command.main([*arguments, "--source", "epa_airnow", "--source", "openaq"], spark, waits.append) == 1
