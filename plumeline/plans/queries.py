@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import geo, parse, text, units
-from ..operators import detect, enrich, evaluate, read, retrieval, rollup, runs, store, validate
+from ..operators import detect, enrich, evaluate, read, retrieval, rollup, runs, stl, store, validate
 from ..operators.graph import shared_dir, written
 from ..sources import feeds, landed, planned, reference, registry
 from .view import OBS, PLACES, RUNS, facilities, km_sql, observations, table
@@ -562,6 +562,12 @@ def loess_residual(spark, d):
     return rounded(detect.loess_residuals(observations(spark, d)), "trend", "season", "residual")
 
 
+@query()
+def stl_residual(spark, d):
+    """Robust decomposition of each metric's hourly means."""
+    return rounded(stl.robust_residuals(observations(spark, d)), "trend", "season", "residual", "weight")
+
+
 #: Metrics of the event table that stand for weather and traffic.
 STAND_INS = {"temperature": "pm10", "humidity": "ozone", "wind_speed": "no2", "traffic_density": "so2"}
 
