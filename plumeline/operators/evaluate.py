@@ -100,3 +100,47 @@ def ablation(scores: DataFrame, variant: str = "variant", item: str = "item", sc
     part = scores.where(F.col(variant) != full).groupBy(variant, item).agg(F.avg(score).alias("_part"))
     both = part.join(whole, item).groupBy(variant).agg(F.count(F.lit(1)).alias("n"), F.avg("_part").alias("mean_score"), F.avg("_full").alias("mean_full"))
     return both.withColumn("lost", F.col("mean_full") - F.col("mean_score"))
+
+
+# Claims in free text
+
+#: Names of metrics and units in texts.
+CLAIMED = {"pm2.5": "pm25", "pm25": "pm25", "pm10": "pm10", "ozone": "ozone", "no2": "no2", "so2": "so2", "co": "co", "temperature": "temperature", "humidity": "humidity", "wind speed": "wind_speed", "pressure": "pressure"}
+CLAIM_UNITS = {"ug/m3": "ug/m3", "µg/m³": "ug/m3", "μg/m³": "ug/m3", "ppm": "ppm", "ppb": "ppb", "°c": "degC", "degc": "degC", "%": "percent", "percent": "percent", "m/s": "m/s", "hpa": "hPa"}
+#: A metric, a number and a unit in one sentence, and maybe a day after them. It is a fixed pattern, also of the SQL that is held against it.
+CLAIM = r"(?i)\b(pm2\.5|pm25|pm10|ozone|no2|so2|co|temperature|humidity|wind speed|pressure)\b[^0-9.;\n]{0,40}?(-?[0-9]+(?:\.[0-9]+)?) ?(ug/m3|µg/m³|μg/m³|ppm|ppb|°c|degc|percent|%|m/s|hpa)(?:[^0-9.;\n]{0,20}([0-9]{4}-[0-9]{2}-[0-9]{2}))?"
+
+
+def claims(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, n (from 0), span, metric, value, unit and day (null if none is said) of every measured value that a text states. A null text states none."""
+    groups = [F.regexp_extract_all(text, F.lit(CLAIM), F.lit(i)) for i in range(5)]
+    found = texts.select(F.col(key), F.posexplode(F.arrays_zip(*[g.alias(n) for g, n in zip(groups, ("span", "metric", "value", "unit", "day"), strict=True)])).alias("n", "c"))
+    known = lambda names, c: F.element_at(F.create_map(*[F.lit(x) for item in names.items() for x in item]), F.lower(c))
+    return found.select(key, "n", "c.span", known(CLAIMED, F.col("c.metric")).alias("metric"), F.col("c.value").cast("double").alias("value"), known(CLAIM_UNITS, F.col("c.unit")).alias("unit"), F.col("c.day").try_cast("date").alias("day"))
+
+
+def supported(stated: DataFrame, evidence: DataFrame, by: list[str], tolerance: float = 0.1) -> DataFrame:
+    """stated with verified: whether some evidence (by, metric, unit, value, timestamp) is within the tolerance (a share of the evidence), on
+    the claim's day if it has one. Values meet by buckets of their logarithms, of which evidence keeps the ends only: whatever lies between
+    them supports no claim that the ends do not. So a claim meets three rows at most, however much evidence there is."""
+    if not 0 < tolerance < 1:
+        raise ValueError("the tolerance is a share between 0 and 1")
+    width = -float(np.log1p(-tolerance)) * (1 + 1e-9)
+    bucket = lambda v: F.coalesce(F.floor(F.ln(F.abs(v)) / width), F.lit(0)).cast("long")
+    keys = [*by, "metric", "unit", "_sign", "_day", "_bucket"]
+    seen = evidence.where("value IS NOT NULL").select(*by, "metric", "unit", "value", F.signum("value").alias("_sign"), F.explode(F.array(F.coalesce(F.to_date("timestamp").cast("string"), F.lit("never")), F.lit("any"))).alias("_day"), bucket(F.col("value")).alias("_bucket"))
+    ends = seen.groupBy(*keys).agg(F.min("value").alias("_low"), F.max("value").alias("_high"))
+    names = stated.columns
+    asked = stated.drop("verified").withColumns({"_claim": F.struct(*[c for c in names if c != "verified"]), "_sign": F.signum("value"), "_day": F.coalesce(F.col("day").cast("string"), F.lit("any")), "_bucket": F.explode(F.array(*[bucket(F.col("value")) + i for i in (-1, 0, 1)]))})
+    near = lambda e: F.abs(F.col("value") - F.col(e)) <= F.abs(F.col(e)) * tolerance
+    met = asked.join(ends, keys, "left").withColumn("_good", F.coalesce(near("_low") | near("_high"), F.lit(False)))
+    return met.groupBy("_claim").agg(F.max("_good").alias("verified")).select("_claim.*", "verified")
+
+
+def annotated(texts: DataFrame, judged: DataFrame, key: str, text: str) -> DataFrame:
+    """texts with n_claims, n_verified, and marked: the text with [unverified] after each claim that nothing supports. A text whose claims are stated twice is
+    marked at both places; one without claims is unchanged, and its share is that of no claims."""
+    facts = judged.groupBy(key).agg(F.count(F.lit(1)).alias("n_claims"), F.count_if("verified").alias("n_verified"), F.array_sort(F.collect_set(F.when(~F.col("verified"), F.col("span")))).alias("_spans"))
+    out = texts.drop("n_claims", "n_verified", "marked").join(facts, key, "left").fillna(0, ["n_claims", "n_verified"])
+    mark = F.aggregate("_spans", F.col(text), lambda t, s: F.replace(t, s, F.concat(s, F.lit(" [unverified]"))))
+    return out.withColumn("marked", F.coalesce(mark, F.col(text))).drop("_spans")

@@ -5,12 +5,12 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import geo, parse, text, units
-from ..operators import detect, enrich, evaluate, read, retrieval, rollup, runs, stl, store, validate
+from ..operators import context, detect, enrich, evaluate, read, retrieval, rollup, runs, stl, store, validate
 from ..operators.graph import shared_dir, written
 from ..sources import feeds, landed, planned, reference, registry
 from .view import OBS, PLACES, RUNS, facilities, km_sql, observations, table
@@ -799,6 +799,29 @@ def enrich_context(spark, d):
     return enrich.context_document(records(spark, d)).select("id", "document")
 
 
+@query()
+def context_budget(spark, d):
+    """Documents of the same records that are held to their budget of tokens."""
+    rows = written(records(spark, d), "records")
+    series = context.series(rows, observations(spark, d))
+    return context.documents(rows.join(series, "id", "left")).select("id", "document", "n_tokens", (F.col("n_tokens") <= context.MOST).alias("fits"))
+
+
+@query(
+    r"""WITH i AS (SELECT o_custkey AS doc, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1 AS place, ascii(o_orderpriority) - 48 AS rank, o_orderpriority AS section, printf('%d %s %.2f', o_orderkey, o_orderstatus, o_totalprice) AS item FROM orders),
+    t AS (SELECT *, len(regexp_extract_all(item, '[A-Za-z0-9]+|[^\sA-Za-z0-9]')) + 1 AS n_tokens, CASE WHEN place = 0 THEN len(regexp_extract_all(section, '[A-Za-z0-9]+|[^\sA-Za-z0-9]')) + 9 ELSE 0 END AS title FROM i),
+    k AS (SELECT *, rank = 0 OR sum(title) OVER (PARTITION BY doc) + sum(n_tokens) OVER (PARTITION BY doc ORDER BY rank, place ROWS UNBOUNDED PRECEDING) <= 100 AS kept FROM t)
+    SELECT doc, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_left_out, sum(n_tokens) FILTER (kept)::BIGINT AS n_tokens FROM k GROUP BY doc"""
+)
+def token_budget(spark, d):
+    """Customers' orders as the items of documents of a hundred tokens, by priority."""
+    o = table(spark, d, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")) - 1
+    items = o.select(F.col("o_custkey").alias("doc"), (F.ascii("o_orderpriority") - 48).alias("rank"), F.col("o_orderpriority").alias("section"), place.alias("place"), F.format_string("%d %s %.2f", "o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("double")).alias("item"))
+    judged = context.fitted(items, "doc", 100)
+    return judged.groupBy("doc").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_left_out"), F.sum(F.when(F.col("kept"), F.col("n_tokens").cast("long"))).alias("n_tokens"))
+
+
 # Retrieval and evaluation
 
 
@@ -813,6 +836,22 @@ def retrieve_top5(spark, d):
     return rounded(evaluate.top_chunks(queries, e.withColumnRenamed("vec_id", "chunk"), 5), "similarity").select("query", "chunk", "similarity")
 
 
+@query(
+    f"""WITH {OBS}, t AS (SELECT id, source_entity_id, CASE metric WHEN 'pm25' THEN 'PM2.5' ELSE metric END AS named, metric, printf('%.2f', value * (CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.01 WHEN 2 THEN 1.2 ELSE 0.97 END)::DOUBLE)::DOUBLE AS v, CASE WHEN id % 5 > 0 THEN timestamp::DATE END AS day FROM obs WHERE id % 2 = 0 OR metric = 'pm25'),
+    j AS (SELECT t.id, t.metric, bool_or(coalesce(abs(t.v - o.value) <= abs(o.value) * 0.1, false)) AS verified FROM t LEFT JOIN obs AS o ON o.source_entity_id = t.source_entity_id AND o.metric = t.metric AND (t.day IS NULL OR o.timestamp::DATE = t.day) GROUP BY ALL)
+    SELECT metric, count(*) AS n_claims, count(*) FILTER (verified) AS n_verified, count(*) FILTER (NOT verified) AS n_marked FROM j GROUP BY metric"""
+)
+def claims_in_text(spark, d):
+    """A sentence about each reading, some off by a few percent and some by twenty, held against all readings of its place."""
+    o = observations(spark, d)
+    value = F.format_string("%.2f", F.col("value") * F.expr("cast(CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.01 WHEN 2 THEN 1.2 ELSE 0.97 END AS double)"))
+    body = F.concat(F.lit("The level of "), F.when(F.col("metric") == "pm25", "PM2.5").otherwise(F.col("metric")), F.lit(" was "), value, F.lit(" ug/m3"), F.when(F.col("id") % 5 > 0, F.concat(F.lit(" on "), F.date_format("timestamp", "yyyy-MM-dd"))).otherwise(""), F.lit("."))
+    texts = o.where("id % 2 = 0 OR metric = 'pm25'").select("id", "source_entity_id", body.alias("body"), F.col("metric").alias("about"))
+    stated = evaluate.claims(texts, "id", "body").join(texts.select("id", "source_entity_id"), "id")
+    judged = evaluate.annotated(texts, evaluate.supported(stated, o, ["source_entity_id"]), "id", "body")
+    return judged.groupBy(F.col("about").alias("metric")).agg(F.sum("n_claims").alias("n_claims"), F.sum("n_verified").alias("n_verified"), F.count_if(F.contains("marked", F.lit("[unverified]"))).alias("n_marked"))
+
+
 #: The four corpora of the knowledge store.
 CORPORA = ("guidelines", "science", "patterns", "geography")
 
