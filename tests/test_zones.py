@@ -109,3 +109,14 @@ def test_facilities_and_violations(spark):
     places = reference.facilities(payload('{"facilities": [{"id": 1, "name": "Mill", "kind": "paper", "latitude": "34.1", "longitude": -84.2, "releases_kg": "7.5"}, {"id": 2, "latitude": "x", "longitude": 1}, {"id": 3, "latitude": 1, "longitude": 2}]}'))
     found = reference.violations(payload('{"violations": [{"facility_id": 1, "date": "2025-06-01", "rule": "air"}, {"facility_id": 1, "date": "2023-06-01"}, {"facility_id": 1, "date": "never"}, {"facility_id": 9, "date": "2025-06-01"}]}'))
     assert {(r.facility, r.releases_kg, r.violations) for r in reference.with_violations(places, found, "2025-12-31").collect()} == {("1", 7.5, 1), ("3", None, 0)}
+
+
+def test_many_keys_of_little_size_are_not_broadcast(spark):
+    """Thousands of alike alerts are a small file, but hundreds of thousands of keys."""
+    time = lambda hours: F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + F.lit(3600) * hours)
+    given = spark.range(2500).select(F.col("id").alias("alert"), time(F.col("id") % 5).alias("starts"), time(F.col("id") % 5 + 30).alias("ends"), F.lit(34.0).alias("lat"), F.lit(-84.0).alias("lon"), F.lit(30.0).alias("radius_km"))
+    points = spark.range(6).select("id", time(F.col("id") * 7).alias("timestamp"), F.lit(34.1).alias("lat"), (F.lit(-84.0) - F.col("id") % 2).alias("lon"))
+    found = zones.holding(points, given, "id", "alert")
+    rows = found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sorted((r.id, r.alert) for r in rows) == sorted((i, a) for i in (0, 2, 4) for a in range(2500) if a % 5 <= i * 7 <= a % 5 + 30)
