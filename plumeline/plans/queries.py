@@ -981,7 +981,7 @@ def alert_zones(spark, d):
     found = written(reference.alerts(facilities(spark, d).select(message.alias("payload"))), "alerts")
     o = observations(spark, d)
     held = enrich.active_alerts(o, found)
-    return held.join(o.select("id", "timestamp"), "id").groupBy("alert").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+    return held.join(o.select("id", "timestamp").hint("merge"), "id").groupBy("alert").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
 
 
 @query(
