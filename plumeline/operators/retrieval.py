@@ -23,6 +23,8 @@ SAMPLE, ASKED = 20_000, 200
 #: Lists at most (their centroids are broadcast: 8 bytes for each list and dimension), and vectors and queries that one task compares.
 LISTS, CHUNKS, QUERIES = 4096, 50_000, 5_000
 SEED, ROUNDS = 23, 12
+#: Cosines that are held at once: 16 MB, and as much for each copy that ranks them.
+AT_ONCE = 1 << 21
 
 
 @dataclass
@@ -46,18 +48,26 @@ def units(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return good, x[fine] / norm[fine, None]
 
 
+def parts(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of so many rows that their cosines with all columns are held at once."""
+    size = max(1, AT_ONCE // max(1, columns))
+    return (slice(at, min(at + size, rows)) for at in range(0, rows, size))
+
+
 def fit(sample: np.ndarray, lists: int) -> np.ndarray:
     """Unit centroids by Lloyd's rounds on cosine; an empty one takes the vector that is farthest from its own."""
     rng = np.random.default_rng(SEED)
     found = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)]
+    own, best = np.empty(len(sample), np.int64), np.empty(len(sample))
     for _ in range(ROUNDS):
-        near = sample @ found.T
-        own = near.argmax(axis=1)
+        for part in parts(len(sample), len(found)):
+            near = sample[part] @ found.T
+            own[part], best[part] = near.argmax(axis=1), near.max(axis=1)
         sums = np.zeros_like(found)
         np.add.at(sums, own, sample)
         norm = np.linalg.norm(sums, axis=1)
         empty = np.flatnonzero(norm == 0)
-        sums[empty] = sample[np.argsort(near.max(axis=1), kind="stable")[: len(empty)]]
+        sums[empty] = sample[np.argsort(best, kind="stable")[: len(empty)]]
         norm[empty] = 1
         found = sums / norm[:, None]
     return found
@@ -65,7 +75,10 @@ def fit(sample: np.ndarray, lists: int) -> np.ndarray:
 
 def nearest_lists(x: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """The n lists of nearest centroids of each vector, the nearest first."""
-    return np.argsort(-np.round(x @ centroids.T, 12), axis=1, kind="stable")[:, :n]
+    out = np.empty((len(x), min(n, len(centroids))), np.int64)
+    for part in parts(len(x), len(centroids)):
+        out[part] = np.argsort(-np.round(x[part] @ centroids.T, 12), axis=1, kind="stable")[:, :n]
+    return out
 
 
 def build(chunks: DataFrame, chunk: str = "chunk", vector: str = "embedding", lists: int | None = None) -> Index | None:
@@ -101,10 +114,11 @@ def probed(queries: DataFrame, index: Index, n: int, query: str, vector: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, x = units(batch.column("v").to_pylist(), dim)
-            near = nearest_lists(x, sent.value, n)
-            rows = pa.array(np.repeat(np.flatnonzero(good), near.shape[1]), pa.int64())
-            asked = batch.take(rows)
-            yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(near.ravel(), pa.int32()), pa.array(np.tile(np.arange(1, near.shape[1] + 1), len(x)), pa.int32())], ["q", "v", "list", "rank"])
+            own, width = np.flatnonzero(good), min(n, len(sent.value))
+            for part in parts(len(x), width * dim):
+                near = nearest_lists(x[part], sent.value, n)
+                asked = batch.take(pa.array(np.repeat(own[part], width), pa.int64()))
+                yield pa.RecordBatch.from_arrays([*asked.columns, pa.array(near.ravel(), pa.int32()), pa.array(np.tile(np.arange(1, width + 1), len(near)), pa.int32())], ["q", "v", "list", "rank"])
 
     given = queries.select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q IS NOT NULL")
     return given.mapInArrow(run, f"q {given.schema['q'].dataType.simpleString()}, v array<double>, list int, rank int")
@@ -118,8 +132,8 @@ def search(queries: DataFrame, index: Index, k: int, probes: int | None = None,
         return top_chunks(queries, lists, k, query, vector, index.chunk) if vector == index.vector else top_chunks(queries.withColumnRenamed(vector, index.vector), lists, k, query, index.vector, index.chunk)
     asked = probed(queries, index, probes, query, vector).drop("rank")
     held = lists.select(F.col(index.chunk).alias("c"), F.col(index.vector).cast("array<double>").alias("w"), "list").where("c IS NOT NULL")
-    parts = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    sizes = parts(held, CHUNKS, "cs").join(parts(asked, QUERIES, "qs"), "list")  # a row for each list, of which there are `LISTS` at most
+    dealt = lambda df, size, name: df.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
+    sizes = dealt(held, CHUNKS, "cs").join(dealt(asked, QUERIES, "qs"), "list")  # a row for each list, of which there are `LISTS` at most
     sizes = F.broadcast(sizes)
     split = lambda key, n: F.pmod(F.xxhash64(key), F.col(n).cast("long")).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -132,11 +146,11 @@ def search(queries: DataFrame, index: Index, k: int, probes: int | None = None,
         a, b = (np.array(x.tolist(), float) for x in (q["v"], c["w"]))
         a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (a, b))
         found = []
-        for at in range(0, len(a), 512):
-            near, most = np.round(a[at : at + 512] @ b.T, 9), min(k, len(b))
+        for part in parts(len(a), len(b)):
+            near, most = np.round(a[part] @ b.T, 9), min(k, len(b))
             least = -np.partition(-near, most - 1, axis=1)[:, most - 1]
             i, j = np.nonzero(near >= least[:, None])  # ties at the k-th place stay until all lists are known
-            found.append(pd.DataFrame({"q": q["q"].to_numpy()[i + at], "c": c["c"].to_numpy()[j], "similarity": near[i, j]}))
+            found.append(pd.DataFrame({"q": q["q"].to_numpy()[i + part.start], "c": c["c"].to_numpy()[j], "similarity": near[i, j]}))
         return pd.concat(found, ignore_index=True)
 
     keys = ["list", "cp", "qp"]

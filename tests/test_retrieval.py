@@ -96,3 +96,19 @@ def test_deals_follow_the_number_of_chunks(spark, monkeypatch):
     found = evaluate.top_chunks(queries(spark, 20), spark.createDataFrame(rows, CHUNKS).repartition(7), 5)
     want = brute(rows, [(i, v) for i, v, _ in rows[::10][:20]], 5)
     assert {q: w for q, w in as_lists(found).items()} == want
+
+
+def test_cosines_are_held_in_parts():
+    """A batch of 10,000 vectors against 2,000 centroids would be 160 MB at once, and as much for each copy."""
+    import tracemalloc
+
+
+    rng = np.random.default_rng(5)
+    x, centroids = rng.normal(size=(10_000, 16)), rng.normal(size=(2_000, 16))
+    tracemalloc.start()
+    near = retrieval.nearest_lists(x, centroids, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert near.shape == (10_000, 3) and peak < 120_000_000
+    some = rng.choice(10_000, 50, replace=False)
+    assert (near[some] == np.argsort(-np.round(x[some] @ centroids.T, 12), axis=1, kind="stable")[:, :3]).all()
