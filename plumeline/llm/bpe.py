@@ -159,8 +159,8 @@ def encode_words(words: list[bytes], path: str) -> list[bytes]:
     for step in (*TILES, max(map(len, words), default=0)):
         cuts = [range(0, max(1, len(words[i]) - step), step) for i in left]
         tiles = iter(recursions([words[i][a : a + 2 * step] for i, own in zip(left, cuts, strict=True) for a in own], path))
-        for i, own in zip(left, cuts, strict=True):
-            found[i] = joined_tiles([next(tiles) for _ in own], token_sizes(path), step)
+        for i, own in zip(left, cuts, strict=True):  # nearly all words are one tile, whose ids are their own
+            found[i] = next(tiles) if len(own) == 1 else joined_tiles([next(tiles) for _ in own], token_sizes(path), step)
         left = [i for i in left if found[i] is None]
     return found
 

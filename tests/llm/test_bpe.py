@@ -102,3 +102,12 @@ def test_two_generations_of_words(monkeypatch):
     assert [encoder.ids([t])[0] for t in texts] == whole
     assert len(encoder.words) <= 60 and len(encoder.before) <= 60
     assert bpe.ENCODED[PATH] == (encoder.words, encoder.before)
+
+
+def test_words_of_one_tile_are_not_joined(tk, monkeypatch):
+    """Joining takes several array operations for each word: only long matches need it."""
+    joined, real = [], bpe.joined_tiles
+    monkeypatch.setattr(bpe, "joined_tiles", lambda tiles, *rest: (joined.append(len(tiles)), real(tiles, *rest))[1])
+    words = ["zqxj", "ababababab", "qv" * 190, "x" * 384, "xy" * 200]
+    assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_words([w.encode() for w in words], PATH)] == [tk._core_bpe.encode_single_piece(w.encode()) for w in words]
+    assert joined and min(joined) > 1
