@@ -120,3 +120,16 @@ def test_many_keys_of_little_size_are_not_broadcast(spark):
     rows = found.collect()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert sorted((r.id, r.alert) for r in rows) == sorted((i, a) for i in (0, 2, 4) for a in range(2500) if a % 5 <= i * 7 <= a % 5 + 30)
+
+
+def test_many_zones_of_one_place_are_few_rows(spark):
+    """Thousands of alerts over one place, of the same hours or of others, cost a point a few rows; its list is whole, sorted and without repeats."""
+    day = dt.datetime(2024, 1, 1)
+    points = spark.createDataFrame([(i, 34.0, -84.0, day + dt.timedelta(minutes=7 * i)) for i in range(60)], "id int, lat double, lon double, timestamp timestamp_ntz")
+    given = [(n % 2900, 34.1, -84.0, 30.0, day + dt.timedelta(hours=n % 5, minutes=n % 2), day + dt.timedelta(hours=n % 5 + 2)) for n in range(3000)]
+    alerts = spark.createDataFrame(given, "alert int, lat double, lon double, radius_km double, starts timestamp_ntz, ends timestamp_ntz")
+    want = {i: sorted({a for a, *_, begin, end in given if begin <= day + dt.timedelta(minutes=7 * i) <= end}) for i in range(60)}
+    found = {r.id: r.alerts for r in zones.lists(points, alerts, "id", "alert", "alerts").collect()}
+    assert found == {i: names for i, names in want.items() if names}
+    assert zones.meetings(points, alerts, "id", "alert").count() < sum(map(len, want.values())) / 100
+    assert {tuple(r) for r in zones.holding(points, alerts, "id", "alert").collect()} == {(i, a) for i, names in want.items() for a in names}
