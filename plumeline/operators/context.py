@@ -1,4 +1,6 @@
-"""Context documents of a bounded length: sections of items in the order of their worth, filled by running sums of their tokens."""
+"""Context documents of a bounded length: sections of items in the order of their worth, filled by running sums of their tokens.
+
+`documents` fills each document inside its row, as an anomaly may have thousands of alerts; `fitted` and `assembled` do the same for any table of items."""
 
 from __future__ import annotations
 
@@ -53,11 +55,12 @@ def series(anomalies: DataFrame, readings: DataFrame, hours: int = 72, key: str
     return met.groupBy("anomaly").agg(F.array_sort(F.collect_list(F.struct("place", ago.alias("minutes"), "value"))).alias("readings")).withColumnRenamed("anomaly", key)
 
 
-def items(rows: DataFrame, key: str = "id") -> DataFrame:
-    """The items of enriched anomalies (with `readings` of `series`, or without): what the anomaly is comes first, then the summary of its history, places, fires,
-    alerts and readings of the hour, then the series. Sections without items say that nothing is known."""
+def sections(rows: DataFrame, key: str = "id", most: int = MOST) -> DataFrame:
+    """key, sections: (section, texts, size) of enriched anomalies (with `readings` of `series`, or without): what the anomaly is comes first, then the summary of its
+    history, places, fires, alerts and readings of the hour, then the series. Sections without items say that nothing is known. `texts` are the first `most` items, as
+    each has a token or more with its separator; `size` counts all."""
     reading = lambda x: F.format_string("%s %s %.2f", x["source"], x["metric"], x["value"])
-    of = lambda metrics: F.transform(F.filter("concurrent", lambda x: x["metric"].isin(*metrics)), reading)
+    of = lambda metrics: F.filter("concurrent", lambda x: x["metric"].isin(*metrics))
     known = [m for metrics in SECTIONS.values() for m in metrics]
     facts = rows.schema["facilities"].dataType.elementType.names
     place = lambda x: F.concat_ws(" ", x["facility"].cast("string"), *[x[c].cast("string") for c in ("kind",) if c in facts], F.format_string("%.1f km %s", x["km"], x["wind"]), *[F.concat(F.lit("violations "), x[c].cast("string")) for c in ("violations",) if c in facts])
@@ -65,21 +68,44 @@ def items(rows: DataFrame, key: str = "id") -> DataFrame:
     said = F.concat(F.format_string("%s = %.2f %s at %.4f, %.4f", "metric", "value", "unit", "lat", "lon"), score, F.lit(", "), F.col("timestamp").cast("string"), F.lit(", "), F.concat_ws("/", "source", "source_entity_id"))
     usual = [F.when(F.col("usual").isNotNull(), F.format_string("usual at this hour %.2f", "usual"))] if "usual" in rows.columns else []
     summary = F.when(F.col("history.n") > 0, F.format_string("%d readings, %.2f to %.2f, mean %.2f", "history.n", "history.low", "history.high", "history.mean_value"))
-    parts: list[tuple[str, Column]] = [
-        ("Anomaly", F.array(said)),
-        ("History of 72 hours", F.array_compact(F.array(summary, *usual))),
-        ("Alerts", F.transform("alerts", lambda x: x.cast("string"))),
-        ("Fires", F.transform("fires", lambda x: F.format_string("%s %.1f km %s, %.1f", x["fire"].cast("string"), x["km"], x["wind"], x["value"]))),
-        ("Facilities", F.transform("facilities", place)),
-        *[(title, of(metrics)) for title, metrics in SECTIONS.items()],
-        ("Other readings", F.transform(F.filter("concurrent", lambda x: ~x["metric"].isin(*known)), reading)),
-        *([("Readings before, minutes and value", F.transform(F.coalesce("readings", F.array()), lambda x: F.format_string("%d %.2f", x["minutes"], x["value"])))] if "readings" in rows.columns else []),
+    own = lambda x: x
+    parts = [
+        ("Anomaly", F.array(said), own),
+        ("History of 72 hours", F.array_compact(F.array(summary, *usual)), own),
+        ("Alerts", F.col("alerts"), lambda x: x.cast("string")),
+        ("Fires", F.col("fires"), lambda x: F.format_string("%s %.1f km %s, %.1f", x["fire"].cast("string"), x["km"], x["wind"], x["value"])),
+        ("Facilities", F.col("facilities"), place),
+        *[(title, of(metrics), reading) for title, metrics in SECTIONS.items()],
+        ("Other readings", F.filter("concurrent", lambda x: ~x["metric"].isin(*known)), reading),
+        *([("Readings before, minutes and value", F.coalesce("readings", F.array()), lambda x: F.format_string("%d %.2f", x["minutes"], x["value"]))] if "readings" in rows.columns else []),
     ]
     none = F.array(F.lit("none known"))
-    sections = F.array(*[F.struct(F.lit(n).alias("rank"), F.lit(title).alias("section"), F.when(F.size(x) > 0, x).otherwise(none).alias("texts")) for n, (title, x) in enumerate(parts)])
-    return rows.select(key, F.explode(sections).alias("s")).select(key, "s.rank", "s.section", F.posexplode("s.texts").alias("place", "item"))
+    some = lambda x, text: F.when(F.size(x) > 0, F.transform(F.slice(x, 1, most), text)).otherwise(none)
+    return rows.select(key, F.array(*[F.struct(F.lit(title).alias("section"), some(x, text).alias("texts"), F.greatest(F.size(x), F.lit(1)).alias("size")) for title, x, text in parts]).alias("sections"))
 
 
 def documents(rows: DataFrame, key: str = "id", most: int = MOST) -> DataFrame:
-    """key, document and n_tokens of enriched anomalies; no document has more than `most` tokens, but for what the anomaly itself is."""
-    return assembled(fitted(items(rows, key), key, most), key)
+    """key, document and n_tokens of enriched anomalies; no document has more than `most` tokens, but for what the anomaly itself is. As `fitted`, a document ends
+    before the first item that would take it over."""
+    titles = F.aggregate("sections", F.lit(0), lambda n, s: n + tokens(s["section"]) + 1 + LEFT_OUT)
+    full = lambda a: a["total"] > most
+
+    def filled(a: Column, s: Column) -> Column:
+        """After a section: the tokens up to the first item too many, that one counted, and the number of items kept in each section."""
+        begin = F.struct(a["total"].alias("total"), F.lit(0).alias("n"), a["kept"].alias("kept"))
+        turn = lambda x, text: F.when(full(x), x).otherwise(F.struct((x["total"] + tokens(text) + 1).alias("total"), (x["n"] + 1).alias("n"), x["kept"].alias("kept")))
+        end = lambda x: F.struct(x["total"].alias("total"), F.concat(x["kept"], F.array(F.when(full(x), F.greatest(x["n"] - 1, F.lit(0))).otherwise(x["n"]))).alias("kept"))
+        return F.aggregate(s["texts"], begin, turn, end)
+
+    kept = F.aggregate("sections", F.struct(titles.alias("total"), F.array().cast("array<int>").alias("kept")), filled, lambda a: a["kept"])
+
+    def line(s: Column, n: Column, i: Column) -> Column:
+        n = F.when(i == 0, s["size"]).otherwise(n)  # the anomaly itself
+        more = s["size"] - n
+        said = F.array_join(F.slice(s["texts"], 1, n), "; ")
+        left = F.when((more > 0) & (n > 0), F.concat(F.lit("; and "), more.cast("string"), F.lit(" more"))).when(more > 0, F.concat(more.cast("string"), F.lit(" known"))).otherwise("")
+        return F.concat(s["section"], F.lit(": "), said, left)
+
+    lines = F.transform(F.arrays_zip("sections", "kept"), lambda x, i: line(x["sections"], x["kept"], i))
+    out = sections(rows, key, most).withColumn("kept", kept).select(key, F.array_join(lines, "\n").alias("document"))
+    return out.withColumn("n_tokens", tokens(F.col("document")))

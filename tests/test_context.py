@@ -59,3 +59,18 @@ def test_bare_and_empty(spark):
     row = context.documents(bare).first()
     assert "History of 72 hours: none known" in row.document and "Facilities: none known" in row.document
     assert context.documents(bare.limit(0)).isEmpty()
+
+
+def test_a_document_is_filled_inside_its_row(spark):
+    """Twenty thousand alerts of an anomaly do not become rows, and all that are left out are counted."""
+    rows = written(enriched(spark, 200, 3).withColumn("alerts", F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda x: x.cast("string"))), "enriched")
+    found = context.documents(rows)
+    plan = found._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Window" not in plan
+    row = found.first()
+    lines = row.document.split("\n")
+    kept, more = re.match(r"Alerts: (.*); and (\d+) more$", lines[2]).groups()
+    kept = kept.split("; ")
+    assert kept == [str(i + 1) for i in range(len(kept))] and len(kept) + int(more) == 20_000 and len(kept) > 1_000
+    assert lines[3] == "Fires: 1 known" and lines[4] == "Facilities: 3 known" and lines[-1].endswith(": 199 known")
+    assert row.n_tokens == count(row.document) <= 3000
