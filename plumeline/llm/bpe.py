@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import marshal
 import tempfile
 from collections.abc import Iterator
 from functools import cache
@@ -28,10 +29,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release
+from .common import releasing
 
 #: Characters of text that a task holds at once, and distinct words and their characters in each of two generations that it remembers, none longer than KEPT_LONGEST.
 BATCH_CHARS = 1_000_000
@@ -88,10 +90,17 @@ def database(path: str) -> duckdb.DuckDBPyConnection:
 
 
 def forget(path: str) -> None:
-    """At a task's end: the process stays, but its database's memory is given back."""
+    """At a task's end: the process stays, but its database's memory is given back, and its words wait squeezed for the next task."""
     database(path).close()
     database.cache_clear()
-    release()
+    if path in ENCODED:
+        SQUEEZED[path] = zstandard.ZstdCompressor(level=1).compress(marshal.dumps(ENCODED.pop(path)))
+
+
+def remembered(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
+    if path in SQUEEZED:
+        ENCODED[path] = marshal.loads(zstandard.ZstdDecompressor().decompress(SQUEEZED.pop(path)))
+    return ENCODED.setdefault(path, ({}, {}))
 
 
 def contracted(words: list[bytes], known: dict[bytes, int], db: duckdb.DuckDBPyConnection) -> list[bytes]:
@@ -190,6 +199,8 @@ def decode_ids(ids: list[bytes], path: str) -> list[bytes]:
 #: Of this process, by vocabulary: the ids of words met of late, and of those met before. A word that is met again moves to the first; when that
 #: is full it takes the other's place, so that frequent words stay.
 ENCODED: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
+#: The same between tasks: other stages have the same processes.
+SQUEEZED: dict[str, bytes] = {}
 
 
 class Encoder:
@@ -197,7 +208,7 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         self.path, self.matches = path, regex.compile(pattern).findall
-        self.words, self.before = ENCODED.setdefault(path, ({}, {}))
+        self.words, self.before = remembered(path)
         self.chars = sum(map(len, self.words))
 
     def ids(self, texts: list[str]) -> list[bytes]:
@@ -239,7 +250,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", result:
             yield part.assign(**{result: [np.frombuffer(x, "<u4").astype(np.int32) for x in encoder.ids([t or "" for t in part[text]])]})
         forget(path)
 
-    return kept.mapInPandas(run, schema)
+    return kept.mapInPandas(releasing(run), schema)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", result: str = "decoded") -> DataFrame:
@@ -274,5 +285,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", te
 
     kind = docs.schema[key].dataType.simpleString()
     given = docs.select(F.col(key).cast("string").alias(key), text)  # as text, so that nulls do not turn integers into floats
-    found = given.mapInPandas(run, f"`{key}` string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    found = given.mapInPandas(releasing(run), f"`{key}` string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     return found.withColumn(key, F.col(key).cast(kind))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import SparkSession
@@ -23,12 +26,24 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def release() -> None:
     """Gives memory that this worker has freed back to the system: the next stage's workers are the same processes."""
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task, which calls release() at its end. Within `run` itself that would come too early, as its variables still hold their memory."""
+
+    @wraps(run)
+    def task(frames: Iterator) -> Iterator:
+        yield from run(frames)
+        release()
+
+    return task
+
+
 def pack(values: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).tobytes())
 

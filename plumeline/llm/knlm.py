@@ -34,18 +34,21 @@ from itertools import count
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, mix, pack, pack_sorted, release, unpack, unpack_sorted, written
+from .common import BASE, mix, pack, pack_sorted, release, releasing, unpack, unpack_sorted, written
 
 ORDER, QUANTILE, MARGIN = 4, 0.995, 1.1
 #: One in so many trusted texts is not trained on and sets the threshold, in languages with at least LEAST_HELD such texts; else all set it.
 HELD_OUT, LEAST_HELD = 10, 20
-#: Characters of texts in a batch, and of words whose n-grams a task holds at once.
-CHUNK_CHARS, COUNT_CHARS, ASK_WORDS = 16_000_000, 1_000_000, 100_000
+#: Characters of texts in a batch, and of words whose n-grams a task holds at once when it counts them and when it asks for them or scores.
+CHUNK_CHARS, COUNT_CHARS, SCORE_CHARS = 16_000_000, 1_000_000, 200_000
+#: Rows whose texts are Python strings at once when batches are made.
+PACK_ROWS = 256
 #: N-grams of a shard of the model, and batches (by the number of shards) that ask it at once.
 SHARD_GRAMS, SLICE_BATCHES = 2_000_000, 64
 #: Up to so many ids of trusted documents (8 bytes each) are broadcast; beyond, they are joined by a shuffle.
@@ -74,6 +77,18 @@ def orders(words: list[str], order: int) -> Iterator[tuple[int, np.ndarray, np.n
         yield n, keys, place, word
 
 
+def pieces(words: list[str], chars: int) -> Iterator[tuple[int, int]]:
+    """Where runs of words of so many characters, or of one word, begin and end."""
+    at = 0
+    while at < len(words):
+        size, end = 0, at
+        while end < len(words) and (end == at or size + len(words[end]) <= chars):
+            size += len(words[end])
+            end += 1
+        yield at, end
+        at = end
+
+
 def vocabulary(texts: Iterable[str]) -> Counter:
     found: Counter = Counter()
     for t in texts:
@@ -99,18 +114,12 @@ def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
                     yield from tables(found)
                     found, held = Counter(), 0
         yield from tables(found)
-        release()
 
     def tables(found: Counter) -> Iterator[pd.DataFrame]:
         """Some words at a time, so that their n-grams take bounded memory; a word longer than that comes alone."""
-        words, at = list(found), 0
-        while at < len(words):
-            size, end = 0, at
-            while end < len(words) and (end == at or size + len(words[end]) <= COUNT_CHARS):
-                size += len(words[end])
-                end += 1
+        words = list(found)
+        for at, end in pieces(words, COUNT_CHARS):
             yield from table(words[at:end], np.fromiter((found[w] for w in words[at:end]), np.int64, end - at))
-            at = end
 
     def table(words: list[str], times: np.ndarray) -> Iterator[pd.DataFrame]:
         suffix = None
@@ -123,7 +132,7 @@ def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
                 yield pd.DataFrame({"n": n, "key": own.view(np.int64), "context": suffix[i - 1].view(np.int64), "suffix": suffix[i].view(np.int64), "raw": raw})
             suffix = keys
 
-    counted = docs.select(text).mapInPandas(run, COUNTS)
+    counted = docs.select(text).mapInPandas(releasing(run), COUNTS)
     return counted.groupBy("n", "key", "context", "suffix").agg(F.sum("raw").alias("raw"))
 
 
@@ -190,7 +199,7 @@ def count_words(labelled: DataFrame, text: str) -> DataFrame:
         keys = np.fromiter(map(word_key, words), np.uint64, len(words)).view(np.int64)
         return pd.DataFrame({"key": keys, "clean": [clean[w] for w in words], "toxic": [toxic[w] for w in words]})
 
-    counted = labelled.select(text, "toxic").where(F.col(text).isNotNull()).mapInPandas(run, "key long, clean long, toxic long")
+    counted = labelled.select(text, "toxic").where(F.col(text).isNotNull()).mapInPandas(releasing(run), "key long, clean long, toxic long")
     return counted.groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
@@ -237,12 +246,8 @@ class Weights:
 
 def word_scores(words: list[str], order: int, weights: Weights, symbols: int) -> np.ndarray:
     """Log probability of each word with its end."""
-    out, at = np.zeros(len(words)), 0
-    while at < len(words):
-        size, end = 0, at
-        while end < len(words) and (end == at or size + len(words[end]) <= COUNT_CHARS):
-            size += len(words[end])
-            end += 1
+    out = np.zeros(len(words))
+    for at, end in pieces(words, SCORE_CHARS):
         p, spare = None, None
         for n, keys, place, word in orders(words[at:end], order):
             alpha, gamma = weights.of(keys)
@@ -252,7 +257,6 @@ def word_scores(words: list[str], order: int, weights: Weights, symbols: int) ->
             else:
                 p, spare = np.full(len(keys), 1.0 / (symbols + 1)), gamma
         out[at:end] = np.bincount(word, weights=np.where(place > 0, np.log(p), 0.0), minlength=end - at)
-        at = end
     return out
 
 
@@ -260,30 +264,38 @@ def packed(docs: DataFrame, key: str, text: str, also: tuple[str, ...]) -> DataF
     """The texts in batches of CHUNK_CHARS characters or one text, a row each: batch (a digest of what it holds, so that a task that is run
     again makes the same one), the columns as arrays of strings, and the squeezed texts."""
     names = (key, *also)
+    kinds = pa.schema([("batch", pa.string()), *((c, pa.list_(pa.string())) for c in names), ("sizes", pa.binary()), ("texts", pa.binary())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for frame in frames:
-            for row in frame.itertuples(index=False, name=None):
-                held.append(row)
-                size += len(row[-1] or "")
-                if size >= CHUNK_CHARS:
-                    yield batch(held)
-                    held, size = [], 0
+            for at in range(0, frame.num_rows, PACK_ROWS):
+                for *own, t in zip(*(c.to_pylist() for c in frame.slice(at, PACK_ROWS).columns), strict=True):
+                    held.append((*own, None if t is None else t.encode()))
+                    size += len(t or "")
+                    if size >= CHUNK_CHARS:
+                        yield batch(held)
+                        held, size = [], 0
+            del frame  # before the next one is read
         if held:
             yield batch(held)
 
-    def batch(held: list[tuple]) -> pd.DataFrame:
+    def batch(held: list[tuple]) -> pa.RecordBatch:
         *columns, texts = zip(*held, strict=True)
-        sizes = np.array([-1 if t is None else len(t.encode()) for t in texts], np.int64)
-        blob = "".join(t for t in texts if t is not None).encode()
-        name = xxhash.xxh3_128_hexdigest(repr(columns).encode("utf-8", "surrogatepass") + sizes.tobytes() + blob)
-        row = {"batch": name, **dict(zip(names, map(list, columns), strict=True)), "sizes": pack(sizes), "texts": zstandard.ZstdCompressor(level=5).compress(blob)}
-        return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in row.items()})
+        sizes = np.array([-1 if t is None else len(t) for t in texts], np.int64)
+        name = xxhash.xxh3_128(repr(columns).encode("utf-8", "surrogatepass") + sizes.tobytes())
+        squeezer = zstandard.ZstdCompressor(level=5).compressobj(size=int(np.maximum(sizes, 0).sum()))
+        squeezed = bytearray()
+        for t in filter(None, texts):
+            name.update(t)
+            squeezed += squeezer.compress(t)
+        squeezed += squeezer.flush()
+        row = {"batch": name.hexdigest(), **dict(zip(names, map(list, columns), strict=True)), "sizes": pack(sizes), "texts": bytes(squeezed)}
+        return pa.RecordBatch.from_pylist([row], schema=kinds)
 
     given = docs.select(*[F.col(c).cast("string").alias(c) for c in names], text)
-    return given.mapInPandas(run, "batch string, " + ", ".join(f"`{c}` array<string>" for c in names) + ", sizes binary, texts binary")
+    return given.mapInArrow(releasing(run), "batch string, " + ", ".join(f"`{c}` array<string>" for c in names) + ", sizes binary, texts binary")
 
 
 def texts_of(sizes: bytes, texts: bytes) -> Iterator[str]:
@@ -316,11 +328,10 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, sizes, texts in zip(frame["batch"], frame["sizes"], frame["texts"], strict=True):
-                words = list(vocabulary(texts_of(sizes, texts)))
+                words = list({w for t in texts_of(sizes, texts) for w in t.split()})
                 wanted = [np.zeros(1, np.uint64)]
-                for at in range(0, len(words), ASK_WORDS):
-                    part = words[at : at + ASK_WORDS]
-                    wanted += [np.unique(keys[place >= n - 1]) for n, keys, place, _ in orders(part, order) if n]
+                for at, end in pieces(words, SCORE_CHARS):
+                    wanted += [np.unique(keys[place >= n - 1]) for n, keys, place, _ in orders(words[at:end], order) if n]
                 if asking:
                     own = {w for t in words for w in whole_words(t)}
                     wanted.append(np.fromiter(map(word_key, own), np.uint64, len(own)))
@@ -330,7 +341,6 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
                 cuts = np.searchsorted(shard[by], np.arange(shards + 1))
                 rows = [(name, s, pack_sorted(asked[by[cuts[s] : cuts[s + 1]]])) for s in range(shards) if cuts[s] < cuts[s + 1]]
                 yield pd.DataFrame(rows, columns=["batch", "shard", "wanted"])
-        release()
 
     def answer(key, asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         known = own["key"].to_numpy(np.int64).view(np.uint64)
@@ -359,6 +369,7 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
         ids: dict[str, int] = defaultdict(count().__next__)  # words of the batch by first sight
         split = [np.fromiter(map(ids.__getitem__, own), np.int32, len(own)) for own in map(str.split, texts_of(row["sizes"], row["texts"]))]
         words = list(ids)
+        del ids
         scores = word_scores(words, order, weights, symbols) if words else np.empty(0)
         lengths = np.array([len(w) for w in words], np.int64) + 1
         of_words = Weights(*sent.value, np.zeros(len(sent.value[0]), np.float32)) if sent else weights
@@ -376,19 +387,22 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
 
     def steps_of(words: list[str], weights: Weights) -> tuple[np.ndarray, np.ndarray]:
         """What each whole word of a word adds to a run's sum, one after the other, and where each word's begin."""
-        split = [whole_words(w) for w in words]
-        distinct = list({w for own in split for w in own})
-        keys = np.fromiter(map(word_key, distinct), np.uint64, len(distinct))
-        ratio, gamma = weights.of(keys)
-        known = dict(zip(distinct, np.where(gamma == 0, ratio, 0.0).tolist(), strict=True))  # unknown words have a gamma of 1
-        flat = np.fromiter((known[x] for own in split for x in own), np.float64) - DRIFT
-        return flat, np.cumsum([0] + [len(own) for own in split])
+        flat, sizes = [np.empty(0)], [np.zeros(1, np.int64)]
+        for at, end in pieces(words, SCORE_CHARS):
+            split = [whole_words(w) for w in words[at:end]]
+            distinct = list({w for own in split for w in own})
+            keys = np.fromiter(map(word_key, distinct), np.uint64, len(distinct))
+            ratio, gamma = weights.of(keys)
+            known = dict(zip(distinct, np.where(gamma == 0, ratio, 0.0).tolist(), strict=True))  # unknown words have a gamma of 1
+            flat.append(np.fromiter((known[x] for own in split for x in own), np.float64) - DRIFT)
+            sizes.append(np.fromiter(map(len, split), np.int64, len(split)))
+        return np.concatenate(flat), np.cumsum(np.concatenate(sizes))
 
     def run_of(own: np.ndarray, steps: np.ndarray, ends: np.ndarray) -> np.ndarray:
         sizes = ends[own + 1] - ends[own]
         return steps[np.repeat(ends[own] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
-    asks = batches.mapInPandas(ask, "batch string, shard int, wanted binary").withColumn("slice", F.pmod(F.xxhash64("batch"), F.lit(slices)).cast("int"))
+    asks = batches.mapInPandas(releasing(ask), "batch string, shard int, wanted binary").withColumn("slice", F.pmod(F.xxhash64("batch"), F.lit(slices)).cast("int"))
     dealt = model.withColumn("shard", unsigned_mod(F.col("key"), shards)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     answers = asks.groupBy("shard", "slice").cogroup(dealt.groupBy("shard", "slice")).applyInPandas(answer, "batch string, keys binary, alpha binary, gamma binary")
     measures = ["perplexity", "toxicity"][: 1 + rated]

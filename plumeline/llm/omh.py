@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, WordHash, mix, release, windows, written
+from .common import BASE, WordHash, mix, releasing, windows, written
 from .graph import components
 from .phrases import words as plain_words
 
@@ -131,10 +131,9 @@ def sketched(docs: DataFrame, key: str, text: str, least: float) -> DataFrame:
                 if len(own):
                     rows.append((k, xxhash.xxh3_128_hexdigest(b" ".join(plain_words(t.lower()))), len(own), buckets(own, least).view(np.int64)))
             yield pd.DataFrame(rows, columns=["id", "digest", "size", "buckets"])
-        release()
 
     given = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-    return written(given.mapInPandas(run, "id long, digest string, size int, buckets array<long>"), "sketches")
+    return written(given.mapInPandas(releasing(run), "id long, digest string, size int, buckets array<long>"), "sketches")
 
 
 def texts_of(docs: DataFrame, key: str, text: str, ids: DataFrame) -> DataFrame:
@@ -160,7 +159,7 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, least: floa
                 good.append(similarity(kmers(x, table), last[1], least) >= least)
             yield frame.loc[good, ["a", "b"]]
 
-    return written(joined.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long"), "verified")
+    return written(joined.select("a", "b", "text_a", "text_b").mapInPandas(releasing(run), "a long, b long"), "verified")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -245,7 +244,7 @@ def in_blocks(rest: DataFrame, mixed: DataFrame, docs: DataFrame, key: str, text
         if len(held) > 1:
             yield links()
 
-    return sent.repartition("task").sortWithinPartitions("task").mapInPandas(run, "a long, b long")
+    return sent.repartition("task").sortWithinPartitions("task").mapInPandas(releasing(run), "a long, b long")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:

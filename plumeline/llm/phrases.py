@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, fresh_path, pack, release, unpack, written
+from .common import WordHash, fresh_path, pack, releasing, unpack, written
 
 SHARD_WORDS = 1_000_000
 #: Words of items in a block, and of an item in one piece.
@@ -57,9 +57,8 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: i
                     keys, sizes, parts, total = [], [], [], 0
         if keys:
             yield shard(keys, sizes, parts, gap)
-        release()
 
-    index = docs.mapInPandas(run, INDEX).withColumn("shard", F.expr("uuid()"))
+    index = docs.mapInPandas(releasing(run), INDEX).withColumn("shard", F.expr("uuid()"))
     index.write.option("compression", "none").parquet(path)
     return spark.read.schema(index.schema).parquet(path)
 
@@ -155,7 +154,7 @@ def pack_items(items: DataFrame, item: str, text: str, size: int) -> DataFrame:
 
     given = items.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     # Few bytes for each item: some files of a test set need not make as many blocks.
-    return written(given.mapInPandas(run, "names array<string>, lengths binary, words binary"), "items")
+    return written(given.mapInPandas(releasing(run), "names array<string>, lengths binary, words binary"), "items")
 
 
 class Block:
@@ -199,7 +198,7 @@ def search(index: DataFrame, items: DataFrame, item: str = "item_id", text: str
 
     # A stated set of queries against all documents, block by block.
     met = index.select("shard", "sizes", "terms", "counts", "postings").crossJoin(blocks)
-    return met.mapInPandas(run, "shard string, place long, item string, start long, end long")
+    return met.mapInPandas(releasing(run), "shard string, place long, item string, start long, end long")
 
 
 def merged(hits: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +216,7 @@ def documents_of(index: DataFrame) -> DataFrame:
             for row in frame.itertuples(index=False):
                 yield pd.DataFrame({"shard": row.shard, "place": np.arange(len(row.keys)), "key": row.keys, "n_words": unpack(row.sizes, "i8")})
 
-    return index.select("shard", "keys", "sizes").mapInPandas(run, "shard string, place long, key string, n_words long")
+    return index.select("shard", "keys", "sizes").mapInPandas(releasing(run), "shard string, place long, key string, n_words long")
 
 
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", size: int = 13, per: int = 20) -> DataFrame:

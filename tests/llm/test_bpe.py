@@ -111,3 +111,13 @@ def test_words_of_one_tile_are_not_joined(tk, monkeypatch):
     words = ["zqxj", "ababababab", "qv" * 190, "x" * 384, "xy" * 200]
     assert [np.frombuffer(x, "<u4").tolist() for x in bpe.encode_words([w.encode() for w in words], PATH)] == [tk._core_bpe.encode_single_piece(w.encode()) for w in words]
     assert joined and min(joined) > 1
+
+
+def test_words_wait_squeezed_between_tasks(monkeypatch):
+    monkeypatch.setattr(bpe, "ENCODED", {})
+    encoder = bpe.Encoder(PATH, P.PATTERN)
+    ids, words = encoder.ids(["some words, zwölf 字"]), dict(encoder.words)
+    bpe.forget(PATH)
+    assert words and PATH not in bpe.ENCODED
+    again = bpe.Encoder(PATH, P.PATTERN)
+    assert again.words == words and again.ids(["some words, zwölf 字"]) == ids

@@ -1,11 +1,13 @@
 import math
+import tracemalloc
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumeline.llm import knlm
+from plumeline.llm import common, knlm
 
 TRUSTED = ["the cat sat on the mat", "a cat and a hat", "the rat ate the oat", "that bat sat", "on the flat hat sat a fat cat", "the cat sat on the mat"]
 
@@ -148,3 +150,24 @@ def test_long_words_and_null_keys(spark, monkeypatch):
     again = sorted((-1 if r.doc_id is None else r.doc_id, r.perplexity) for r in knlm.classify(small, trusted).collect())
     assert [i for i, _ in again] == [i for i, *_ in found if i != 6]
     assert [p for _, p in again] == pytest.approx([p for i, p, _ in found if i != 6], rel=1e-6)
+
+
+def test_scores_hold_few_characters_at_once():
+    words = [f"w{i:09d}" for i in range(100_000)]
+    tracemalloc.start()
+    scores = knlm.word_scores(words, 4, knlm.Weights(np.zeros(1, np.uint64), np.zeros(1, np.float32), np.ones(1, np.float32)), 9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and scores == pytest.approx(np.full(len(words), -11 * math.log(10)))
+
+
+def test_tasks_give_memory_back_when_their_variables_are_gone(monkeypatch):
+    refs, gone = [], []
+    monkeypatch.setattr(common, "release", lambda: gone.append(refs[0]() is None))
+
+    def run(frames):
+        held = np.zeros(9)
+        refs.append(weakref.ref(held))
+        yield from frames
+
+    assert list(common.releasing(run)(iter([1, 2]))) == [1, 2] and gone == [True]
