@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from plumeline.operators import detect
@@ -89,3 +90,34 @@ def test_late_rows_are_dropped_and_rows_without_time_left_out(spark, folder):
     land(spark, folder, [*rows[:1], ("s", "a", "pm25", "u", None, 2.0), ("s", "a", "pm25", "u", START + dt.timedelta(days=5), 3.0)], 1)
     run(spark, folder)
     assert sorted(r.value for r in spark.read.parquet(f"{folder}/out").collect()) == [1.0, 3.0]
+
+
+def test_a_series_costs_one_read_and_one_write_of_state():
+    calls, held = [], []
+
+    class State:
+        def exists(self):
+            calls.append("exists")
+            return bool(held)
+
+        def get(self):
+            calls.append("get")
+            return held[-1] if held else None
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+    class Handle:
+        getValueState = lambda self, *_: State()
+        registerTimer = deleteTimer = lambda self, at: None
+
+    class Times:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    series = stateful.Series(7, 3.0, 2, ("metric",))
+    series.init(Handle())
+    frame = pd.DataFrame({"metric": ["a", "a"], "timestamp": pd.to_datetime([5, 6], unit="us"), "value": [1.0, 2.0], "at_us": [5, 6]})
+    first = pd.concat(series.handleInputRows(("a",), iter([frame]), Times()))
+    later = pd.concat(series.handleInputRows(("a",), iter([frame[:1].assign(at_us=7), frame[1:].assign(at_us=8)]), Times()))
+    assert first["n_before"].tolist() == [0, 1] and later["n_before"].tolist() == [2, 3] and calls == ["get", "update"] * 2
