@@ -90,6 +90,43 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: Longer words are hashed one by one, shorter ones of many texts together, eight bytes a round.
+TOGETHER = 64
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def hash_words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and how many each text has. `table` gives each byte's own value, 32 for
+    what separates words."""
+    blob = b" ".join([b"", *texts, b" " * 8]).translate(table)
+    inner = np.frombuffer(blob, np.uint8) != 32
+    edges = np.flatnonzero(inner[1:] != inner[:-1]) + 1
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(blob) - 7, "<u8", blob, strides=(1,))  # at each byte
+    out = mix((eights[starts] & LOW[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * BASE))
+    more, k = np.flatnonzero((sizes > 8) & (sizes <= TOGETHER)), 8
+    while len(more):
+        out[more] = mix(out[more] ^ (eights[starts[more] + k] & LOW[np.minimum(sizes[more] - k, 8)]))
+        k += 8
+        more = more[sizes[more] > k]
+    for i in np.flatnonzero(sizes > TOGETHER):
+        out[i] = xxhash.xxh3_64_intdigest(blob[starts[i] : starts[i] + sizes[i]])
+    ends = 1 + np.cumsum(np.array([len(t) for t in texts], np.int64) + 1)
+    return out, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """np.argsort(values, kind="stable") of unsigned 64-bit integers, quicker where they are hashes: their places take the lowest bits and
+    the whole is sorted by value. Where values differ in those bits alone they are sorted the plain way."""
+    low = np.uint64((1 << len(values).bit_length()) - 1)
+    keyed = (values & ~low) | np.arange(len(values), dtype=np.uint64)
+    keyed.sort()
+    order = (keyed & low).astype(np.int64)
+    own = values[order]
+    same = (keyed[1:] & ~low) == (keyed[:-1] & ~low)
+    return np.argsort(values, kind="stable") if (same & (own[1:] != own[:-1])).any() else order
+
+
 def windows(values: np.ndarray, size: int) -> np.ndarray:
     """Fingerprint of every run of `size` values: a polynomial in BASE modulo 2**64, scrambled."""
     n = len(values) - size + 1

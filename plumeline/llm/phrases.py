@@ -23,11 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, fresh_path, pack, releasing, unpack, written
+from .common import fresh_path, hash_words, pack, releasing, stable_order, unpack, written
 
 SHARD_WORDS = 1_000_000
 #: Words of items in a block, and of an item in one piece.
 BLOCK_WORDS, PIECE_WORDS = 200_000, 50_000
+#: Bytes of a word with what separates it, for the size of shards; postings of windows' rarest terms that are intersected at once.
+WORD_BYTES, AT_ONCE = 6, 1_000_000
 #: A-Z become a-z, other ASCII outside 0-9 and a-z separates words. All bytes of other characters are word bytes.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -44,34 +46,38 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: i
     docs = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, keys, sizes, parts, total = WordHash(), [], [], [], 0
-        for frame in frames:
-            for k, t in zip(frame["key"], frame["text"], strict=True):
-                own = table.array(words(t))
-                keys.append(k)
-                sizes.append(len(own))
-                parts.append(own)
-                total += len(own)
-                if total >= SHARD_WORDS:
-                    yield shard(keys, sizes, parts, gap)
-                    keys, sizes, parts, total = [], [], [], 0
-        if keys:
-            yield shard(keys, sizes, parts, gap)
+        for keys, sizes, hashes in hashed(frames, "key"):
+            yield shard(keys, sizes, hashes, gap)
 
     index = docs.mapInPandas(releasing(run), INDEX).withColumn("shard", F.expr("uuid()"))
     index.write.option("compression", "none").parquet(path)
     return spark.read.schema(index.schema).parquet(path)
 
 
+def hashed(frames: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Keys, numbers of words, and the hashes of all these words one after the other, of about SHARD_WORDS words or one text at once."""
+    keys, texts, total = [], [], 0
+    for frame in frames:
+        for k, t in zip(frame[key], frame["text"], strict=True):
+            keys.append(k)
+            texts.append(t.encode() if t else b"")
+            total += len(texts[-1])
+            if total >= SHARD_WORDS * WORD_BYTES:
+                hashes, sizes = hash_words(texts, TABLE)
+                yield keys, sizes, hashes
+                keys, texts, total = [], [], 0
+    if keys:
+        hashes, sizes = hash_words(texts, TABLE)
+        yield keys, sizes, hashes
+
+
 def starts_of(sizes: np.ndarray, gap: int) -> np.ndarray:
     return np.cumsum(sizes + gap) - sizes - gap
 
 
-def shard(keys: list, sizes: list[int], parts: list[np.ndarray], gap: int) -> pd.DataFrame:
-    n = np.array(sizes, np.int64)
-    hashes = np.concatenate(parts)
+def shard(keys: list, n: np.ndarray, hashes: np.ndarray, gap: int) -> pd.DataFrame:
     where = np.arange(len(hashes)) + np.repeat(starts_of(n, gap) - (np.cumsum(n) - n), n)
-    order = np.argsort(hashes, kind="stable")
+    order = stable_order(hashes)
     hashes, where = hashes[order], where[order]
     firsts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
     deltas = np.diff(where, prepend=0)
@@ -86,7 +92,9 @@ class Shard:
         self.starts = starts_of(self.sizes, gap)
         self.terms, self.counts = np.frombuffer(row.terms, "u8"), unpack(row.counts, "u4").astype(np.int64)
         self.firsts = np.cumsum(self.counts) - self.counts
-        self.deltas = unpack(row.postings, "u4").astype(np.int64)
+        sums = np.cumsum(unpack(row.postings, "u4"), dtype=np.int64)
+        #: The postings of all terms, each term's in ascending order.
+        self.where = sums - np.repeat(np.append(0, sums)[self.firsts], self.counts)
 
     def find(self, terms: np.ndarray) -> np.ndarray:
         """The place of each term in this shard, -1 for none."""
@@ -96,18 +104,25 @@ class Shard:
         return np.where(self.terms[at] == terms, at, -1)
 
     def positions(self, term: int) -> np.ndarray:
-        first = self.firsts[term]
-        return np.cumsum(self.deltas[first : first + self.counts[term]])
-
-    def phrase(self, at: np.ndarray) -> np.ndarray:
-        """Where the phrase of these terms starts: offset-adjusted postings are intersected from the rarest term on."""
-        order = np.argsort(self.counts[at], kind="stable")
-        found = self.positions(at[order[0]]) - order[0]
-        for k in order[1:]:
-            found = found[among(found + k, self.positions(at[k]))]
-            if not len(found):
-                break
-        return found
+        return self.where[self.firsts[term] : self.firsts[term] + self.counts[term]]
+
+    def phrases(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Which rows of `at`, each a phrase of as many terms, start where: offset-adjusted postings are intersected from the rarest term
+        on, those of many phrases together."""
+        order = np.argsort(self.counts[at], axis=1, kind="stable")
+        rarest = np.take_along_axis(at, order[:, :1], 1)[:, 0]
+        span = int(self.where.max()) + 2 * at.shape[1]  # with its term before it a posting is a number of its own, in ascending order
+        postings = np.repeat(np.arange(len(self.terms)) * span, self.counts) + self.where
+        batch = np.cumsum(self.counts[rarest]) // AT_ONCE
+        for own in np.split(np.arange(len(at)), np.flatnonzero(np.diff(batch)) + 1):
+            n = self.counts[rarest[own]]
+            which = np.repeat(own, n)
+            found = self.where[np.arange(n.sum()) + np.repeat(self.firsts[rarest[own]] - (np.cumsum(n) - n), n)] - order[which, 0]
+            for j in range(1, at.shape[1]):
+                k = order[which, j]
+                kept = among(at[which, k] * span + found + k, postings)
+                which, found = which[kept], found[kept]
+            yield which, found
 
     def near(self, at: np.ndarray, slop: int) -> np.ndarray:
         """Positions of the rarest term that have every other term within `slop` words."""
@@ -135,10 +150,9 @@ def pack_items(items: DataFrame, item: str, text: str, size: int) -> DataFrame:
     """names, sizes and words (one piece of an item after the other) of each block, as a written table."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, names, parts, total = WordHash(), [], [], 0
-        for frame in frames:
-            for name, t in zip(frame["item"], frame["text"], strict=True):
-                own = table.array(words(t))
+        names, parts, total = [], [], 0
+        for items, sizes, hashes in hashed(frames, "item"):
+            for name, own in zip(items, np.split(hashes, np.cumsum(sizes)[:-1]), strict=True):
                 for part in pieces(own, size) if len(own) else ():
                     names.append(name)
                     parts.append(part)
@@ -168,12 +182,14 @@ class Block:
         self.size = np.minimum(lengths, size)[self.item]
         self.start = np.arange(counts.sum()) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts)
 
-    def present(self, own: Shard) -> Iterator[tuple[int, np.ndarray]]:
-        """Windows of which the shard has all terms, each with the terms' places."""
+    def present(self, own: Shard) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Windows of which the shard has all terms, those of one size at once, with a row of the terms' places for each."""
         at = own.find(self.asked)[self.inverse]
         lacking = np.concatenate([[0], np.cumsum(at < 0)])
-        for k in np.flatnonzero(lacking[self.start + self.size] == lacking[self.start]):
-            yield k, at[self.start[k] : self.start[k] + self.size[k]]
+        found = np.flatnonzero(lacking[self.start + self.size] == lacking[self.start])
+        for n in np.unique(self.size[found]):
+            k = found[self.size[found] == n]
+            yield k, at[self.start[k][:, None] + np.arange(n)]
 
 
 def search(index: DataFrame, items: DataFrame, item: str = "item_id", text: str = "text", size: int = 13, slop: int | None = None, gap: int = 64) -> DataFrame:
@@ -187,12 +203,13 @@ def search(index: DataFrame, items: DataFrame, item: str = "item_id", text: str
         for frame in frames:
             for row in frame.itertuples(index=False):
                 own, block, hits = Shard(row, gap), Block(row.names, row.lengths, row.words, size), []
+                names = np.array(block.names, dtype=object)
                 for k, terms in block.present(own) if len(own.terms) else ():
-                    places = own.phrase(terms) if slop is None else own.near(terms, slop)
-                    if len(places):
-                        doc = np.searchsorted(own.starts, places, side="right") - 1
-                        begin = places - own.starts[doc]
-                        hits.append(pd.DataFrame({"shard": row.shard, "place": doc, "item": block.names[block.item[k]], "start": begin, "end": begin + (len(terms) if slop is None else 1)}))
+                    for which, places in own.phrases(terms) if slop is None else ((np.full(len(x), i), x) for i, x in enumerate(own.near(t, slop) for t in terms)):
+                        if len(places):
+                            doc = np.searchsorted(own.starts, places, side="right") - 1
+                            begin = places - own.starts[doc]
+                            hits.append(pd.DataFrame({"shard": row.shard, "place": doc, "item": names[block.item[k[which]]], "start": begin, "end": begin + (terms.shape[1] if slop is None else 1)}))
                 if hits:
                     yield merged(pd.concat(hits)) if slop is None else pd.concat(hits)
 

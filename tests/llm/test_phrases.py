@@ -1,6 +1,11 @@
 import re
+import time
+
+import numpy as np
+import pandas as pd
 
 from plumeline.llm import phrases
+from plumeline.llm.common import hash_words, stable_order
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 FOX = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix potions"
@@ -65,3 +70,46 @@ def test_long_document(spark):
     text = " ".join(f"t{i % 977}" for i in range(1_200_000)) + " " + FOX
     found = phrases.contamination(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id string, text string")).first()
     assert (found.n_words, found.n_hit, list(found.items), found.contaminated) == (1_200_015, 15, ["a", "e"], False)
+
+
+def test_hashes_tell_words_apart():
+    """Words of all lengths, with NUL and other bytes, at the begin and end of texts: equal hashes where words are equal, and only there."""
+    texts = [b"", b"a", b"a\0", b"\0a", b" a  ab ", b"abcdefgh abcdefghi abcdefgh\0 " + b"x" * 64 + b" " + b"x" * 65, b"x" * 64 + b"y", "é ß 中文中文中文 é".encode(), b"ab", b"x" * 65 + b" ba", b"   "]
+    own = bytes(range(256))
+    hashes, sizes = hash_words(texts, own)
+    words = [[w for w in t.split(b" ") if w] for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    pairs = set(zip((w for t in words for w in t), hashes.tolist(), strict=True))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+    assert [len(x) for x in hash_words([], own)] == [0, 0]
+
+
+def test_stable_order():
+    rng = np.random.default_rng(3)
+    few = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    for values in (few[rng.integers(0, 300, 5000)], np.arange(5000, dtype=np.uint64)[::-1] % 7, few[:0], few[:1], few & np.uint64(2**63)):
+        assert (stable_order(values) == np.argsort(values, kind="stable")).all()
+
+
+def test_cost_of_a_shard():
+    """Reading, indexing and asking a shard of which every window has all its terms takes little more than splitting its words."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{i}" for i in range(100_000)]
+    drawn = (100_000 * rng.random(600_000) ** 3).astype(int)
+    text = " ".join(vocabulary[i] for i in drawn)
+    texts = [text[at : at + 3000] for at in range(0, len(text), 3000)]
+    items = [" ".join(vocabulary[i] for i in drawn[at : at + 40]) for at in range(0, 80_000, 400)]
+    began = time.process_time()
+    whole = [phrases.words(t) for t in texts]
+    split = time.process_time() - began
+    began = time.process_time()
+    found = 0
+    lengths, words = phrases.hash_words([x.encode() for x in items], phrases.TABLE)[::-1]
+    for keys, sizes, hashes in phrases.hashed(iter([pd.DataFrame({"key": range(len(texts)), "text": texts})]), "key"):
+        row = next(phrases.shard(keys, sizes, hashes, 64).itertuples(index=False))
+        own = phrases.Shard(row, 64)
+        for _, terms in phrases.Block([str(i) for i in range(len(items))], phrases.pack(lengths), words.tobytes(), 13).present(own):
+            found += sum(len(places) for _, places in own.phrases(terms))
+    took = time.process_time() - began
+    assert sum(map(len, whole)) >= 600_000 and found > 4000
+    assert took < 6 * split, (took, split)
