@@ -117,14 +117,22 @@ def hash_words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray
 
 def stable_order(values: np.ndarray) -> np.ndarray:
     """np.argsort(values, kind="stable") of unsigned 64-bit integers, quicker where they are hashes: their places take the lowest bits and
-    the whole is sorted by value. Where values differ in those bits alone they are sorted the plain way."""
+    the whole is sorted by value. The few that differ in those bits alone are sorted again."""
     low = np.uint64((1 << len(values).bit_length()) - 1)
     keyed = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     keyed.sort()
     order = (keyed & low).astype(np.int64)
     own = values[order]
-    same = (keyed[1:] & ~low) == (keyed[:-1] & ~low)
-    return np.argsort(values, kind="stable") if (same & (own[1:] != own[:-1])).any() else order
+    other = own[1:] ^ own[:-1]
+    wrong = np.flatnonzero((other != 0) & (other <= low))
+    if len(wrong):
+        keyed &= ~low
+        run = np.cumsum(np.concatenate([[0], keyed[1:] != keyed[:-1]]))
+        again = np.zeros(run[-1] + 1, bool)
+        again[run[wrong]] = True
+        at = np.flatnonzero(again[run])
+        order[at] = order[at[np.argsort(own[at], kind="stable")]]
+    return order
 
 
 def windows(values: np.ndarray, size: int) -> np.ndarray:

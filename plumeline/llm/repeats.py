@@ -21,8 +21,7 @@ columns are left out; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mix, pack, pack_sorted, unpack, unpack_sorted, windows, written
+from .common import hash_words, mix, pack, pack_sorted, stable_order, unpack, unpack_sorted, windows, written
 
 PREFIX = 8
 #: Characters that a batch holds at most (or one text), leaves that a group is to hold, and rows that a batch sends at most.
@@ -41,11 +40,10 @@ PLAN_EACH = 64
 GATHER_LEAVES = 4_000_000
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-
-
-def words(text: str | None) -> list[str]:
-    return WORDS(text) if text else []
+#: Bytes of texts whose windows are made at once (or one text).
+TOGETHER_BYTES = 2_000_000
+#: Of each byte its own value, 32 for what separates words; bytes.split() separates by the same six.
+TABLE = bytes(32 if 9 <= c <= 13 else c for c in range(256))
 
 
 def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -73,32 +71,46 @@ def packed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return written(given.mapInPandas(run, "keys array<string>, sizes binary, texts binary").withColumn("batch", F.expr("uuid()")), "texts")
 
 
-def texts_of(sizes: bytes, texts: bytes) -> Iterator[str]:
+def texts_of(sizes: bytes, texts: bytes) -> Iterator[bytes]:
     blob, at = zstandard.ZstdDecompressor().decompress(texts), 0
     for size in unpack(sizes, "i8").tolist():
-        yield blob[at : at + size].decode()
+        yield blob[at : at + size]
         at += size
 
 
-def leaves_of(texts: Iterator[str], size: int, table: WordHash) -> tuple[np.ndarray, ...]:
+def leaves_of(texts: Iterable[bytes], size: int) -> tuple[np.ndarray, ...]:
     """Of all windows of the texts, one after the other: path (64 bits), its second part (16 bits), and prefix; and how many words each text has."""
-    paths, seconds, prefixes, counts = [], [], [], []
+    paths, seconds, prefixes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for some in together(texts):
+        own, n = hash_words(some, TABLE)
+        counts.append(n)
+        leaves = np.maximum(n - size + 1, 0)  # windows that begin in one text and end in another are none
+        at = np.arange(leaves.sum()) + np.repeat(np.cumsum(n) - n - (np.cumsum(leaves) - leaves), leaves)
+        if len(at):
+            paths.append(windows(own, size)[at])
+            seconds.append((windows(own ^ SECOND, size)[at] >> np.uint64(48)).astype(np.uint16))
+            prefixes.append(windows(own, PREFIX)[at])
+    return tuple(np.concatenate(x) for x in (paths, seconds, prefixes, counts))
+
+
+def together(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
+    held, total = [], 0
     for t in texts:
-        own = table.array(words(t))
-        counts.append(len(own))
-        if len(own) >= size:
-            paths.append(windows(own, size))
-            seconds.append((windows(own ^ SECOND, size) >> np.uint64(48)).astype(np.uint16))
-            prefixes.append(windows(own, PREFIX)[: len(own) - size + 1])
-    flat = [np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((paths, np.uint64), (seconds, np.uint16), (prefixes, np.uint64))]
-    return *flat, np.array(counts, np.int64)
+        held.append(t)
+        total += len(t)
+        if total >= TOGETHER_BYTES:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 def sorted_runs(path: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of leaves by path, and where a new path begins in it."""
-    order = np.argsort(path, kind="stable")
-    same = path[order][1:] == path[order][:-1]
-    if (same & (second[order][1:] != second[order][:-1])).any():  # the first parts of two paths are equal by chance
+    order = stable_order(path)
+    ordered, also = path[order], second[order]
+    same = ordered[1:] == ordered[:-1]
+    if (same & (also[1:] != also[:-1])).any():  # the first parts of two paths are equal by chance
         order = np.lexsort((second, path))
         same = (path[order][1:] == path[order][:-1]) & (second[order][1:] == second[order][:-1])
     return order, np.concatenate([[True], ~same]) if len(path) else np.empty(0, bool)
@@ -108,10 +120,9 @@ def plan(batches: DataFrame, size: int, fan: int) -> np.ndarray:
     """Into how many parts each of the `fan` groups is cut, from a sample of the texts: a bounded list."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = WordHash()
         for frame in frames:
             for row in frame.itertuples(index=False):
-                _, _, prefix, _ = leaves_of((t for i, t in enumerate(texts_of(row.sizes, row.texts)) if i % PLAN_EACH == 0), size, table)
+                _, _, prefix, _ = leaves_of((t for i, t in enumerate(texts_of(row.sizes, row.texts)) if i % PLAN_EACH == 0), size)
                 group, n = np.unique(mix(prefix) % np.uint64(fan), return_counts=True)
                 yield pd.DataFrame({"group": group.astype(np.int32), "n": n})
 
@@ -133,10 +144,9 @@ def leaves(batches: DataFrame, size: int, parts: np.ndarray, direct: bool) -> Da
     fan = len(parts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = WordHash()
         for frame in frames:
             for row in frame.itertuples(index=False):
-                path, second, prefix, _ = leaves_of(texts_of(row.sizes, row.texts), size, table)
+                path, second, prefix, _ = leaves_of(texts_of(row.sizes, row.texts), size)
                 order, new = sorted_runs(path, second)
                 first = order[new]
                 path, second, group = path[first], second[first], (mix(prefix[first]) % np.uint64(fan)).astype(np.int64)
@@ -148,7 +158,9 @@ def leaves(batches: DataFrame, size: int, parts: np.ndarray, direct: bool) -> Da
 
 def dealt(names: list[str], owner: np.ndarray | None, path: np.ndarray, second: np.ndarray, group: np.ndarray, part: np.ndarray) -> pd.DataFrame:
     """Sorted leaves cut by group and part."""
-    order = np.lexsort((part, group))  # stable, so that each row stays sorted by path
+    cell = group * (int(part.max(initial=0)) + 1) + part
+    # Stable, so that each row stays sorted by path; numbers of 16 bits are sorted by counting.
+    order = np.argsort(cell.astype(np.uint16) if cell.max(initial=0) < 1 << 16 else cell, kind="stable")
     group, part = group[order], part[order]
     cuts = np.flatnonzero(np.concatenate([[True], (group[1:] != group[:-1]) | (part[1:] != part[:-1])])) if len(order) else np.empty(0, np.int64)
     rows = []
@@ -172,7 +184,7 @@ def gathered(frame: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, np
 def deal_again(frame: pd.DataFrame, parts: np.ndarray) -> pd.DataFrame:
     """The leaves of many batches in one group, cut into the group's parts."""
     names, owner, path, second = gathered(frame)
-    order = np.argsort(path, kind="stable")
+    order = stable_order(path)
     path, group = path[order], np.full(len(path), frame["group"].iat[0], np.int64)
     return dealt(names, owner[order], path, second[order], group, part_of(path, group, parts))
 
@@ -195,12 +207,13 @@ def hits_of(path: np.ndarray, second: np.ndarray, found: pd.DataFrame) -> np.nda
     hit[order[~(new & np.append(new[1:], True))]] = True
     if len(found):
         paths, seconds = np.concatenate([unpack_sorted(x) for x in found["paths"]]), np.concatenate([np.frombuffer(x, "u2") for x in found["seconds"]])
-        by = np.lexsort((seconds, paths))
+        by = stable_order(paths)
         paths, seconds = paths[by], seconds[by]
-        at = np.searchsorted(paths, path)
+        ordered, also = path[order], second[order]
+        at = np.searchsorted(paths, ordered)  # in order, which is quicker
         for more in range(2):  # two paths of which the first part is equal are next to each other
             near = np.minimum(at + more, len(paths) - 1)
-            hit |= (paths[near] == path) & (seconds[near] == second)
+            hit[order[(paths[near] == ordered) & (seconds[near] == also)]] = True
     return hit
 
 
@@ -227,7 +240,7 @@ def search(docs: DataFrame, key: str, text: str, size: int, report, schema: str)
 
     def by_text(batch, mine: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         row = mine.iloc[0]
-        path, second, _, counts = leaves_of(texts_of(row["sizes"], row["texts"]), size, WordHash())
+        path, second, _, counts = leaves_of(texts_of(row["sizes"], row["texts"]), size)
         hit, at, rows = hits_of(path, second, found), 0, []
         for k, t, n in zip(row["keys"], texts_of(row["sizes"], row["texts"]), counts.tolist(), strict=True):
             own = max(0, n - size + 1)
@@ -242,14 +255,14 @@ def search(docs: DataFrame, key: str, text: str, size: int, report, schema: str)
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 35, digest: bool = False) -> DataFrame:
     """key, n_words, n_removed and kept of each row: the words that no repeated window covers, joined by spaces (with `digest` its SHA-256 instead)."""
 
-    def report(t: str, n: int, starts: np.ndarray) -> list[tuple]:
-        own, gone = words(t), 0
+    def report(t: bytes, n: int, starts: np.ndarray) -> list[tuple]:
+        own, gone = t.split(), 0
         if len(starts):
             hit = covered(n, starts, size)
             gone = int(hit.sum())
             own = [w for w, g in zip(own, hit.tolist(), strict=True) if not g]
-        left = " ".join(own)
-        return [(n, gone, hashlib.sha256(left.encode()).hexdigest() if digest else left)]
+        left = b" ".join(own)
+        return [(n, gone, hashlib.sha256(left).hexdigest() if digest else left.decode())]
 
     return search(docs, key, text, size, report, "n_words long, n_removed long, kept string")
 
@@ -257,7 +270,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 35) -> DataFrame:
     """key, first and n_words of each repeat: the longest runs of words in which every window of `size` also starts elsewhere."""
 
-    def report(t: str, n: int, starts: np.ndarray) -> list[tuple]:
+    def report(t: bytes, n: int, starts: np.ndarray) -> list[tuple]:
         new = np.flatnonzero(np.diff(starts, prepend=-2) > 1)
         last = starts[np.append(new[1:], len(starts)) - 1] if len(new) else starts
         return [(int(a), int(b - a + size)) for a, b in zip(starts[new], last, strict=True)]

@@ -87,7 +87,7 @@ def test_hashes_tell_words_apart():
 def test_stable_order():
     rng = np.random.default_rng(3)
     few = rng.integers(0, 2**64, 300, dtype=np.uint64)
-    for values in (few[rng.integers(0, 300, 5000)], np.arange(5000, dtype=np.uint64)[::-1] % 7, few[:0], few[:1], few & np.uint64(2**63)):
+    for values in (few[rng.integers(0, 300, 5000)], np.arange(5000, dtype=np.uint64)[::-1] % 7, few[:0], few[:1], few & np.uint64(2**63), few[rng.integers(0, 300, 5000)] % np.uint64(8191) + np.uint64(2**63)):
         assert (stable_order(values) == np.argsort(values, kind="stable")).all()
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -79,3 +80,30 @@ def test_long_text_and_spans(spark):
     texts = [" ".join(body), "x " + " ".join(body[1000:1500]) + " y " + " ".join(body[2000:2040]), " ".join(body[5000:5034])]
     found = sorted((r.doc_id, r.first, r.n_words) for r in repeats.repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
     assert found == [(0, 1000, 500), (0, 2000, 40), (1, 1, 500), (1, 502, 40)]
+
+
+def test_windows_of_many_texts_together(monkeypatch):
+    """No window spans two texts, however many are taken at once; words are split by six bytes only."""
+    texts = [(t or "").encode() for t in DOCS] + ["a\x00b \x1c\x85\u00a0 c\x0bd\x0ce".encode() * 12]
+    whole = repeats.leaves_of(texts, 35)
+    monkeypatch.setattr(repeats, "TOGETHER_BYTES", 1)
+    for a, b, c in zip(whole, repeats.leaves_of(texts, 35), zip(*(repeats.leaves_of([t], 35) for t in texts), strict=True), strict=True):
+        assert a.tolist() == b.tolist() == np.concatenate(c).tolist()
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t.decode()) for t in texts]
+    assert whole[3].tolist() == [len(w) for w in split]
+    runs = [tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34)]
+    assert len(set(runs)) == len(set(whole[0].tolist())) == len(set(zip(runs, whole[0].tolist(), strict=True)))
+    assert [len(x) for x in repeats.leaves_of([], 35)] == [0] * 4
+
+
+def test_cost_of_leaves():
+    """A text's windows take little more than splitting its words."""
+    texts = [prose(500).encode() for _ in range(1000)]
+    began = time.process_time()
+    for t in texts:
+        re.findall(r"[^\x20\x09-\x0D]+", t.decode())
+    split = time.process_time() - began
+    began = time.process_time()
+    path, *_ = repeats.leaves_of(texts, 35)
+    took = time.process_time() - began
+    assert len(path) == 466_000 and took < 4 * split, (took, split)
