@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import wraps
 
 import numpy as np
@@ -95,13 +95,17 @@ TOGETHER = 64
 LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def hash_words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, one after the other, and how many each text has. `table` gives each byte's own value, 32 for
-    what separates words."""
+def spans_of(texts: list[bytes], table: bytes) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one, where each word begins in it, the words' sizes, and how many each text has."""
     blob = b" ".join([b"", *texts, b" " * 8]).translate(table)
     inner = np.frombuffer(blob, np.uint8) != 32
     edges = np.flatnonzero(inner[1:] != inner[:-1]) + 1
     starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    ends = 1 + np.cumsum(np.array([len(t) for t in texts], np.int64) + 1)
+    return blob, starts, sizes, np.diff(np.searchsorted(starts, ends), prepend=0)
+
+
+def hashes_of(blob: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     eights = np.ndarray(len(blob) - 7, "<u8", blob, strides=(1,))  # at each byte
     out = mix((eights[starts] & LOW[np.minimum(sizes, 8)]) ^ (sizes.astype(np.uint64) * BASE))
     more, k = np.flatnonzero((sizes > 8) & (sizes <= TOGETHER)), 8
@@ -111,8 +115,40 @@ def hash_words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray
         more = more[sizes[more] > k]
     for i in np.flatnonzero(sizes > TOGETHER):
         out[i] = xxhash.xxh3_64_intdigest(blob[starts[i] : starts[i] + sizes[i]])
-    ends = 1 + np.cumsum(np.array([len(t) for t in texts], np.int64) + 1)
-    return out, np.diff(np.searchsorted(starts, ends), prepend=0)
+    return out
+
+
+def hash_words(texts: list[bytes], table: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, one after the other, and how many each text has. `table` gives each byte's own value, 32 for
+    what separates words."""
+    blob, starts, sizes, counts = spans_of(texts, table)
+    return hashes_of(blob, starts, sizes), counts
+
+
+def distinct_words(texts: list[bytes], table: bytes) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct words of all texts by their hashes, which of them each word is, one after the other, and how many words each text has."""
+    blob, starts, sizes, counts = spans_of(texts, table)
+    hashes = hashes_of(blob, starts, sizes)
+    order = stable_order(hashes)
+    hashes = hashes[order]
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)]
+    which = np.empty(len(order), np.int32)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    return [blob[a : a + n].decode() for a, n in zip(starts[first].tolist(), sizes[first].tolist(), strict=True)], which, counts
+
+
+def together(texts: Iterable[bytes], size: int) -> Iterator[list[bytes]]:
+    """Texts of about `size` bytes, or one, at once."""
+    held, total = [], 0
+    for t in texts:
+        held.append(t)
+        total += len(t)
+        if total >= size:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
 
 
 def stable_order(values: np.ndarray) -> np.ndarray:

@@ -40,13 +40,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, mix, pack, pack_sorted, release, releasing, unpack, unpack_sorted, written
+from .common import BASE, distinct_words, mix, pack, pack_sorted, release, releasing, stable_order, together, unpack, unpack_sorted, written
 
 ORDER, QUANTILE, MARGIN = 4, 0.995, 1.1
 #: One in so many trusted texts is not trained on and sets the threshold, in languages with at least LEAST_HELD such texts; else all set it.
 HELD_OUT, LEAST_HELD = 10, 20
 #: Characters of texts in a batch, and of words whose n-grams a task holds at once when it counts them and when it asks for them or scores.
 CHUNK_CHARS, COUNT_CHARS, SCORE_CHARS = 16_000_000, 1_000_000, 200_000
+#: Bytes of texts (or one text) that are split into words at once.
+SPLIT_BYTES = 4_000_000
 #: Rows whose texts are Python strings at once when batches are made.
 PACK_ROWS = 256
 #: N-grams of a shard of the model, and batches (by the number of shards) that ask it at once.
@@ -89,11 +91,22 @@ def pieces(words: list[str], chars: int) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def vocabulary(texts: Iterable[str]) -> Counter:
-    found: Counter = Counter()
-    for t in texts:
-        found.update(t.split())
-    return found
+#: What str.split() takes for white space: of one byte, as a table, and of more.
+SPACES = bytes(32 if 9 <= c <= 13 or 28 <= c <= 31 else c for c in range(256))
+WIDE_SPACES = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def plainly_spaced(text: bytes) -> bytes:
+    if not text.isascii():
+        for space in WIDE_SPACES:
+            text = text.replace(space, b" ")
+    return text
+
+
+def split_words(texts: Iterable[bytes]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """Of some texts at once: their distinct words, which of them each word is, and how many words each text has."""
+    for some in together(map(plainly_spaced, texts), SPLIT_BYTES):
+        yield distinct_words(some, SPACES)
 
 
 COUNTS = "n int, key long, context long, suffix long, raw long"
@@ -103,32 +116,24 @@ def count_grams(docs: DataFrame, text: str, order: int) -> DataFrame:
     """n, key, context (the n-gram without its last character), suffix (without its first) and raw: how often it ends a longest history."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found: Counter = Counter()
-        held = 0
-        for frame in frames:
-            for t in frame[text].dropna():
-                new = vocabulary([t])
-                held += sum(len(w) for w in new if w not in found)
-                found.update(new)
-                if held > COUNT_CHARS:
-                    yield from tables(found)
-                    found, held = Counter(), 0
-        yield from tables(found)
-
-    def tables(found: Counter) -> Iterator[pd.DataFrame]:
-        """Some words at a time, so that their n-grams take bounded memory; a word longer than that comes alone."""
-        words = list(found)
-        for at, end in pieces(words, COUNT_CHARS):
-            yield from table(words[at:end], np.fromiter((found[w] for w in words[at:end]), np.int64, end - at))
+        for words, which, _ in split_words(t.encode() for frame in frames for t in frame[text].dropna()):
+            times = np.bincount(which, minlength=len(words))
+            # Some words at a time, so that their n-grams take bounded memory; a word longer than that comes alone.
+            for at, end in pieces(words, COUNT_CHARS):
+                yield from table(words[at:end], times[at:end])
 
     def table(words: list[str], times: np.ndarray) -> Iterator[pd.DataFrame]:
         suffix = None
         for n, keys, place, word in orders(words, order):
             if n:
                 at = np.flatnonzero(place >= max(1, n - 1))
-                own, where, inverse = np.unique(keys[at], return_index=True, return_inverse=True)
-                raw = np.bincount(inverse, weights=np.where((n == order) | (place[at] == n - 1), times[word[at]], 0)).astype(np.int64)
-                i = at[where]
+                grams = keys[at]
+                by = stable_order(grams)
+                own = grams[by]
+                firsts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+                own, i = own[firsts], at[by[firsts]]
+                ends = np.where((n == order) | (place[at] == n - 1), times[word[at]], 0)[by]
+                raw = np.add.reduceat(ends, firsts) if len(firsts) else ends
                 yield pd.DataFrame({"n": n, "key": own.view(np.int64), "context": suffix[i - 1].view(np.int64), "suffix": suffix[i].view(np.int64), "raw": raw})
             suffix = keys
 
@@ -231,16 +236,27 @@ def toxicity(values: np.ndarray) -> float:
 
 
 class Weights:
-    """alpha and gamma of sorted n-grams; others are unseen."""
+    """alpha and gamma of n-grams, sorted by their hashes; others are unseen. A table tells by the highest bits where to look."""
 
     def __init__(self, keys: np.ndarray, alpha: np.ndarray, gamma: np.ndarray):
         by = np.argsort(keys, kind="stable")
         end = np.uint64(2**64 - 1)  # stands for what is beyond all keys
         self.keys, self.alpha, self.gamma = np.append(keys[by], end), np.append(alpha[by], np.float32(0)), np.append(gamma[by], np.float32(1))
+        bits = len(keys).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        self.first = np.searchsorted(self.keys[:-1] >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32 if len(by) < 2**31 else np.int64)
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        at[self.keys[at] != keys] = len(self.keys) - 1
+        cell = (keys >> self.shift).astype(np.int64)
+        at = self.first[cell]
+        left = np.flatnonzero(self.keys[at] != keys)
+        while len(left):  # the others of the same cell, which are few
+            own = at[left] + 1
+            inside = own < self.first[cell[left] + 1]
+            at[left[~inside]] = len(self.keys) - 1
+            left, own = left[inside], own[inside]
+            at[left] = own
+            left = left[self.keys[own] != keys[left]]
         return self.alpha[at], self.gamma[at]
 
 
@@ -250,12 +266,12 @@ def word_scores(words: list[str], order: int, weights: Weights, symbols: int) ->
     for at, end in pieces(words, SCORE_CHARS):
         p, spare = None, None
         for n, keys, place, word in orders(words[at:end], order):
-            alpha, gamma = weights.of(keys)
             if n:
+                alpha, gamma = weights.of(keys)
                 p = np.where(place >= n - 1, alpha + spare * p, p)
                 spare = np.concatenate([[1.0], gamma[:-1]])
             else:
-                p, spare = np.full(len(keys), 1.0 / (symbols + 1)), gamma
+                p, spare = np.full(len(keys), 1.0 / (symbols + 1)), weights.of(keys[:1])[1]  # one history, the empty one
         out[at:end] = np.bincount(word, weights=np.where(place > 0, np.log(p), 0.0), minlength=end - at)
     return out
 
@@ -298,11 +314,11 @@ def packed(docs: DataFrame, key: str, text: str, also: tuple[str, ...]) -> DataF
     return given.mapInArrow(releasing(run), "batch string, " + ", ".join(f"`{c}` array<string>" for c in names) + ", sizes binary, texts binary")
 
 
-def texts_of(sizes: bytes, texts: bytes) -> Iterator[str]:
+def texts_of(sizes: bytes, texts: bytes) -> Iterator[bytes]:
     """Nulls count as empty."""
     blob, at = zstandard.ZstdDecompressor().decompress(texts), 0
     for size in unpack(sizes, "i8").tolist():
-        yield blob[at : at + max(size, 0)].decode()
+        yield blob[at : at + max(size, 0)]
         at += max(size, 0)
 
 
@@ -328,7 +344,7 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for name, sizes, texts in zip(frame["batch"], frame["sizes"], frame["texts"], strict=True):
-                words = list({w for t in texts_of(sizes, texts) for w in t.split()})
+                words = list({w for own, _, _ in split_words(texts_of(sizes, texts)) for w in own})
                 wanted = [np.zeros(1, np.uint64)]
                 for at, end in pieces(words, SCORE_CHARS):
                     wanted += [np.unique(keys[place >= n - 1]) for n, keys, place, _ in orders(words[at:end], order) if n]
@@ -367,7 +383,9 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
 
     def judged_rows(row: pd.Series, weights: Weights) -> pd.DataFrame:
         ids: dict[str, int] = defaultdict(count().__next__)  # words of the batch by first sight
-        split = [np.fromiter(map(ids.__getitem__, own), np.int32, len(own)) for own in map(str.split, texts_of(row["sizes"], row["texts"]))]
+        split = []
+        for distinct, which, sizes in split_words(texts_of(row["sizes"], row["texts"])):
+            split += np.split(np.fromiter(map(ids.__getitem__, distinct), np.int32, len(distinct))[which], np.cumsum(sizes)[:-1])
         words = list(ids)
         del ids
         scores = word_scores(words, order, weights, symbols) if words else np.empty(0)
@@ -389,7 +407,7 @@ def score(docs: DataFrame, model: DataFrame, key: str = "doc_id", text: str = "t
         """What each whole word of a word adds to a run's sum, one after the other, and where each word's begin."""
         flat, sizes = [np.empty(0)], [np.zeros(1, np.int64)]
         for at, end in pieces(words, SCORE_CHARS):
-            split = [whole_words(w) for w in words[at:end]]
+            split = [[w] if w.isalnum() else WHOLE_WORDS(w) for w in map(str.lower, words[at:end])]
             distinct = list({w for own in split for w in own})
             keys = np.fromiter(map(word_key, distinct), np.uint64, len(distinct))
             ratio, gamma = weights.of(keys)

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, pack, pack_sorted, stable_order, unpack, unpack_sorted, windows, written
+from .common import hash_words, mix, pack, pack_sorted, stable_order, together, unpack, unpack_sorted, windows, written
 
 PREFIX = 8
 #: Characters that a batch holds at most (or one text), leaves that a group is to hold, and rows that a batch sends at most.
@@ -81,7 +81,7 @@ def texts_of(sizes: bytes, texts: bytes) -> Iterator[bytes]:
 def leaves_of(texts: Iterable[bytes], size: int) -> tuple[np.ndarray, ...]:
     """Of all windows of the texts, one after the other: path (64 bits), its second part (16 bits), and prefix; and how many words each text has."""
     paths, seconds, prefixes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint16)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for some in together(texts):
+    for some in together(texts, TOGETHER_BYTES):
         own, n = hash_words(some, TABLE)
         counts.append(n)
         leaves = np.maximum(n - size + 1, 0)  # windows that begin in one text and end in another are none
@@ -93,18 +93,6 @@ def leaves_of(texts: Iterable[bytes], size: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in (paths, seconds, prefixes, counts))
 
 
-def together(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
-    held, total = [], 0
-    for t in texts:
-        held.append(t)
-        total += len(t)
-        if total >= TOGETHER_BYTES:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
-
-
 def sorted_runs(path: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of leaves by path, and where a new path begins in it."""
     order = stable_order(path)

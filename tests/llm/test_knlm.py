@@ -1,4 +1,5 @@
 import math
+import time
 import tracemalloc
 import weakref
 from collections import Counter, defaultdict
@@ -171,3 +172,42 @@ def test_tasks_give_memory_back_when_their_variables_are_gone(monkeypatch):
         yield from frames
 
     assert list(common.releasing(run)(iter([1, 2]))) == [1, 2] and gone == [True]
+
+
+def test_words_are_split_as_str_does(monkeypatch):
+    """All white space, texts of every kind, whatever is taken at once."""
+    spaces = [chr(c) for c in range(0x110000) if chr(c).isspace()]
+    texts = ["", " ", "".join(f"a{s}" for s in spaces), "".join(f"{s}é中" for s in spaces), "b\0 c\x1bd ​ ﻿ x", "é" * 100 + " é " + "z" * 65 + " a a", " 　"]
+    for size in (1, 10**6):
+        monkeypatch.setattr(knlm, "SPLIT_BYTES", size)
+        found = []
+        for words, which, sizes in knlm.split_words(t.encode() for t in texts):
+            assert len(set(words)) == len(words)
+            found += [[words[i] for i in own] for own in np.split(which, np.cumsum(sizes)[:-1])]
+        assert found == [t.split() for t in texts]
+
+
+def test_weights_equal_a_dictionary():
+    rng = np.random.default_rng(4)
+    for keys in (rng.integers(0, 2**64, 3000, dtype=np.uint64), np.arange(3000, dtype=np.uint64), np.array([2**64 - 1, 0], np.uint64), np.empty(0, np.uint64)):
+        alpha, gamma = rng.random((2, len(keys))).astype(np.float32)
+        asked = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 2**64, 100, dtype=np.uint64), np.array([0, 2**64 - 2, 2**63], np.uint64)])
+        known = dict(zip(keys.tolist(), zip(alpha.tolist(), gamma.tolist(), strict=True), strict=True))
+        got = knlm.Weights(keys, alpha, gamma).of(asked)
+        for k, a, g in zip(asked.tolist(), *(x.tolist() for x in got), strict=True):
+            assert (a, g) == known.get(k, (0, 1)) or k == 2**64 - 1
+
+
+def test_cost_of_scores():
+    """Looking n-grams up takes no search for each: scoring words costs little more than making their n-grams."""
+    rng = np.random.default_rng(6)
+    words = ["".join(map(chr, rng.integers(97, 123, 9))) for _ in range(100_000)]
+    keys = np.unique(np.concatenate([k for at, end in knlm.pieces(words, knlm.SCORE_CHARS) for _, k, _, _ in knlm.orders(words[at:end], 4)]))
+    weights = knlm.Weights(keys, np.full(len(keys), 0.5, np.float32), np.full(len(keys), 0.5, np.float32))
+    took = []
+    for run in (lambda: [len(k) for at, end in knlm.pieces(words, knlm.SCORE_CHARS) for _, k, _, _ in knlm.orders(words[at:end], 4)], lambda: knlm.word_scores(words, 4, weights, 26)):
+        run()
+        began = time.process_time()
+        run()
+        took.append(time.process_time() - began)
+    assert took[1] < 6 * took[0], took
