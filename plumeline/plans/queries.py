@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions import geo, parse, text, units
-from ..operators import context, detect, enrich, evaluate, read, retrieval, rollup, runs, stl, store, validate
+from ..operators import context, detect, enrich, evaluate, read, retrieval, rollup, runs, stl, store, validate, zones
 from ..operators.graph import shared_dir, written
 from ..sources import feeds, landed, planned, reference, registry
 from .view import OBS, PLACES, RUNS, facilities, km_sql, observations, table
@@ -980,9 +980,7 @@ def alert_zones(spark, d):
     info = F.concat(tag("event", F.lit("Air Stagnation")), tag("onset", hours(k * 7 % 700)), F.when(k % 3 > 0, tag("expires", hours(k * 7 % 700 + k * 11 % 240))).otherwise(""), tag("area", F.concat(tag("areaDesc", F.lit("around a supplier")), area)))
     message = F.concat(F.lit('<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">'), tag("identifier", F.concat(F.lit("alert-"), k)), tag("msgType", F.when(k % 7 == 0, "Cancel").otherwise("Alert")), tag("info", info), F.lit("</alert>"))
     found = written(reference.alerts(facilities(spark, d).select(message.alias("payload"))), "alerts")
-    o = observations(spark, d)
-    held = enrich.active_alerts(o, found)
-    return held.join(o.select("id", "timestamp").hint("merge"), "id").groupBy("alert").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first_at"), F.max("timestamp").alias("last_at"))
+    return zones.tallied(observations(spark, d), found, "alert")
 
 
 @query(
