@@ -58,7 +58,7 @@ def series(anomalies: DataFrame, readings: DataFrame, hours: int = 72, key: str
 def sections(rows: DataFrame, key: str = "id", most: int = MOST) -> DataFrame:
     """key, sections: (section, texts, size) of enriched anomalies (with `readings` of `series`, or without): what the anomaly is comes first, then the summary of its
     history, places, fires, alerts and readings of the hour, then the series. Sections without items say that nothing is known. `texts` are the first `most` items, as
-    each has a token or more with its separator; `size` counts all."""
+    each has a token or more with its separator; `size` counts all (alerts by n_alerts, where only the first are in the row)."""
     reading = lambda x: F.format_string("%s %s %.2f", x["source"], x["metric"], x["value"])
     of = lambda metrics: F.filter("concurrent", lambda x: x["metric"].isin(*metrics))
     known = [m for metrics in SECTIONS.values() for m in metrics]
@@ -81,7 +81,8 @@ def sections(rows: DataFrame, key: str = "id", most: int = MOST) -> DataFrame:
     ]
     none = F.array(F.lit("none known"))
     some = lambda x, text: F.when(F.size(x) > 0, F.transform(F.slice(x, 1, most), text)).otherwise(none)
-    return rows.select(key, F.array(*[F.struct(F.lit(title).alias("section"), some(x, text).alias("texts"), F.greatest(F.size(x), F.lit(1)).alias("size")) for title, x, text in parts]).alias("sections"))
+    all_of = {"Alerts": F.col("n_alerts").cast("int")} if "n_alerts" in rows.columns else {}
+    return rows.select(key, F.array(*[F.struct(F.lit(title).alias("section"), some(x, text).alias("texts"), F.greatest(F.size(x), all_of.get(title, F.lit(1)), F.lit(1)).alias("size")) for title, x, text in parts]).alias("sections"))
 
 
 def documents(rows: DataFrame, key: str = "id", most: int = MOST) -> DataFrame:
