@@ -785,7 +785,7 @@ def usual_value(spark, d):
     FROM a LEFT JOIN f USING (id) LEFT JOIN g USING (id) LEFT JOIN c USING (id) LEFT JOIN l USING (id)"""
 )
 def enrich_record(spark, d):
-    return records(spark, d).select("id", *[F.size(c).alias(f"n_{c}") for c in ("facilities", "fires", "concurrent", "alerts")])
+    return records(spark, d, most_alerts=0).select("id", *[F.size(c).alias(f"n_{c}") for c in ("facilities", "fires", "concurrent")], F.col("n_alerts").cast("int").alias("n_alerts"))
 
 
 def records(spark, d, anomalies: DataFrame | None = None, **settings) -> DataFrame:
